@@ -169,13 +169,13 @@ def spans(rule: Rule, order: int, text: str = "text") -> str:
     found = f"transform(regexp_extract_all({text}, {pattern}, 0), x -> length(x))"
     judged = f"transform(regexp_extract_all({text}, {pattern}, {rule.group}), x -> length(x))"
     return f"""aggregate(
-        zip_with({pieces}, arrays_zip({found} AS n, {judged} AS g), (gap, m) -> struct(gap AS gap, m.n AS n, m.g AS g)),
-        struct(0 AS at, CAST(array() AS {SPANS}) AS out),
-        (a, m) -> struct(
+        zip_with({pieces}, zip_with({found}, {judged}, (n, g) -> struct(n AS n, g AS g)), (gap, m) -> struct(gap AS gap, m.n AS n, m.g AS g)),
+        CAST(struct(0 AS at, array() AS out) AS struct<at:int,out:{SPANS}>),
+        (a, m) -> CAST(struct(
             a.at + m.gap + coalesce(m.n, 0) AS at,
             CASE WHEN m.g >= {rule.least}
                  THEN array_append(a.out, struct(a.at + m.gap AS start, {order} AS kind, concat('{rule.kind}:', a.at + m.gap, ':', a.at + m.gap + m.n) AS span))
-                 ELSE a.out END AS out),
+                 ELSE a.out END AS out) AS struct<at:int,out:{SPANS}>),
         a -> a.out)"""
 
 
@@ -218,16 +218,16 @@ def oracle_sql() -> str:
         pattern = "'" + rule.pattern.replace("'", "''") + "'"
         lists.append(
             f"""list_transform(list_filter(range(1, len(regexp_extract_all(text, {pattern})) + 1),
-                   i -> length(regexp_extract_all(text, {pattern}, {rule.group})[i]) >= {rule.least}),
-                 i -> {{'start': coalesce(list_sum(list_transform(string_split_regex(text, {pattern})[1:i], x -> length(x))), 0)
-                          + coalesce(list_sum(list_transform(regexp_extract_all(text, {pattern})[1:i-1], x -> length(x))), 0),
+                   lambda i: length(regexp_extract_all(text, {pattern}, {rule.group})[i]) >= {rule.least}),
+                 lambda i: {{'start': coalesce(list_sum(list_transform(string_split_regex(text, {pattern})[1:i], lambda x: length(x))), 0)
+                          + coalesce(list_sum(list_transform(regexp_extract_all(text, {pattern})[1:i-1], lambda x: length(x))), 0),
                         'kind': {order}, 'name': '{rule.kind}', 'n': length(regexp_extract_all(text, {pattern})[i])}})"""
         )
-    joined = lambda which: f"coalesce(array_to_string(list_transform({which}, x -> x.name || ':' || CAST(x.start AS BIGINT) || ':' || CAST(x.start + x.n AS BIGINT)), ','), '')"
-    counts = ", ".join(f"CAST(len(list_filter(found, x -> x.kind = {i})) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(BASE))
+    joined = lambda which: f"coalesce(array_to_string(list_transform({which}, lambda x: x.name || ':' || CAST(x.start AS BIGINT) || ':' || CAST(x.start + x.n AS BIGINT)), ','), '')"
+    counts = ", ".join(f"CAST(len(list_filter(found, lambda x: x.kind = {i})) AS BIGINT) AS n_{r.kind}" for i, r in enumerate(BASE))
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 f AS (SELECT doc_id, list_sort({' || '.join(lists)}) AS found FROM t)
-SELECT doc_id, {counts}, sha256({joined(f'list_filter(found, x -> x.kind < {len(BASE)})')}) AS base_sha256, {joined('found')} AS spans
+SELECT doc_id, {counts}, sha256({joined(f'list_filter(found, lambda x: x.kind < {len(BASE)})')}) AS base_sha256, {joined('found')} AS spans
 FROM f
 """
