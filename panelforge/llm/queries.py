@@ -4,10 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, secrets
+from . import bpe, exact_dedup, licenses, mixing, secrets, toxicity
 from .common import read_table
 
 
+#: The folder of the public vocabulary files is a parameter of the installed package; the files are never copied.
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(read_table(spark, sf_dir, "documents"))
 
@@ -20,7 +39,7 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_secret_scan, op7_exact_dedup, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op3_bpe_round_trip, op5_secret_scan, op6_license_templates, op7_exact_dedup, op9_source_mix)}
 
 ORACLES = {
     "op5_secret_scan": secrets.oracle_sql(),
