@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, licenses, mixing, secrets, toxicity
+from . import bpe, exact_dedup, licenses, media, mixing, ngram_join, secrets, toxicity
 from .common import read_table
 
 
@@ -27,6 +27,14 @@ def op6_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read_table(spark, sf_dir, "documents"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(read_table(spark, sf_dir, "documents"))
 
@@ -39,7 +47,9 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity_fm, op3_bpe_round_trip, op5_secret_scan, op6_license_templates, op7_exact_dedup, op9_source_mix)}
+QUERIES = {f.__name__: f for f in (
+    op1_toxicity_fm, op3_bpe_round_trip, op4_progressive_jpeg, op5_secret_scan, op6_license_templates, op7_exact_dedup, op8_ngram_jaccard, op9_source_mix,
+)}
 
 ORACLES = {
     "op5_secret_scan": secrets.oracle_sql(),
