@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -74,9 +76,12 @@ def ac_table() -> Huffman:
     return Huffman(bytes([0, 0, 0, 0, len(short), 0, 0, 0, len(long)] + [0] * 7), bytes(short + long))
 
 
+#: Bits of each magnitude up to 2047, the largest that 8-bit images have.
+SIZES = np.array([m.bit_length() for m in range(2048)])
+
+
 def _size(v: np.ndarray) -> np.ndarray:
-    """Bits of the magnitude."""
-    return np.ceil(np.log2(np.abs(v) + 1)).astype(np.int64)
+    return SIZES[np.abs(v)]
 
 
 def _extra(v: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -128,6 +133,7 @@ class Layout:
         self.mcus = self.wide * self.high
 
 
+@lru_cache(maxsize=4096)
 def mcu_order(wide: int, high: int, h: int, v: int) -> np.ndarray:
     """Raster positions of a component's blocks in the order of interleaved MCUs, a row for each MCU."""
     grid = np.arange(wide * h * high * v).reshape(high, v, wide, h)
@@ -278,135 +284,153 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return out
 
 
-@dataclass
-class Image:
-    """Headers of a file and, while scans are read, where its coefficients stand."""
+@dataclass(frozen=True)
+class Frame:
+    """Size of an image and (h, v, quantisation table) of its components."""
+
+    width: int
+    height: int
+    parts: tuple[tuple[int, int, int], ...]
+
+    @property
+    def most(self) -> tuple[int, int]:
+        return max(h for h, _, _ in self.parts), max(v for _, v, _ in self.parts)
+
+    @property
+    def mcus(self) -> tuple[int, int]:
+        hmax, vmax = self.most
+        return -(-self.width // (8 * hmax)), -(-self.height // (8 * vmax))
+
+    @lru_cache(maxsize=4096)
+    def grids(self) -> tuple[list[tuple[int, int]], list[int]]:
+        """Rows and columns of each component's blocks, and where its blocks begin; the last place is their number."""
+        wide, high = self.mcus
+        blocks = [(high * v, wide * h) for h, v, _ in self.parts]
+        return blocks, [0, *np.cumsum([r * c for r, c in blocks]).tolist()]
+
+    @lru_cache(maxsize=4096)
+    def order(self, parts: tuple[int, ...], interleaved: bool) -> np.ndarray:
+        """Blocks of a scan: a row for each unit of a restart interval."""
+        blocks, base = self.grids()
+        wide, high = self.mcus
+        if interleaved:
+            return np.concatenate([mcu_order(wide, high, *self.parts[c][:2]) + base[c] for c in parts], 1)
+        (c,) = parts
+        hmax, vmax = self.most
+        h, v, _ = self.parts[c]
+        rows, cols = -(-(-(-self.height * v // vmax)) // 8), -(-(-(-self.width * h // hmax)) // 8)
+        return (np.arange(rows)[:, None] * blocks[c][1] + np.arange(cols) + base[c]).reshape(-1, 1)
 
-    width: int = 0
-    height: int = 0
+
+@dataclass
+class File:
+    frame: Frame | None = None
     comment: bytes = b""
-    parts: list[tuple[int, int, int, int]] = field(default_factory=list)  # id, h, v, quantisation table
-    quant: dict[int, np.ndarray] = field(default_factory=dict)
-    base: list[int] = field(default_factory=list)
-    blocks: list[tuple[int, int]] = field(default_factory=list)  # rows and columns of blocks, whole MCUs
-    scans: dict[tuple, int] = field(default_factory=dict)
+    quant: dict[int, bytes] = field(default_factory=dict)
+    base: int = 0
 
 
-def parse(raw: bytes, markers: np.ndarray, shift: int) -> tuple[Image, list[dict]]:
-    """Headers and scans of one file. markers: places of all 0xFF that begin a marker, shift: of the file in the batch."""
-    image, scans, tables, interval, at = Image(), [], {}, 0, 2
+def parse(raw: bytes, markers: list[int], shift: int) -> tuple[File, list[tuple]]:
+    """Headers and scans of one file. markers: places of all 0xFF that begin a marker, shift: of the file in the batch.
+
+    A scan is (components, band, table, interval, from, to).
+    """
+    file, scans, tables, ids, interval, at = File(), [], {}, [], 0, 2
     while True:
         if raw[at] != 0xFF:
             raise ValueError("no marker where one is due")
         kind = raw[at + 1]
         if kind == 0xD9:
-            return image, scans
-        (size,) = struct.unpack_from(">H", raw, at + 2)
+            return file, scans
+        size = raw[at + 2] << 8 | raw[at + 3]
         body, at = raw[at + 4 : at + 2 + size], at + 2 + size
-        if kind == 0xFE:
-            image.comment = body
+        if kind == 0xDA:
+            n = body[0]
+            parts = tuple([ids.index(body[1 + 2 * i]) for i in range(n)])
+            first, last, bits = body[1 + 2 * n : 4 + 2 * n]
+            table = tables.get(body[2] >> 4) if first == 0 else tables.get(0x10 | body[2] & 15)
+            start, at = at + shift, markers[bisect_left(markers, at + shift)] - shift
+            scans.append((parts, (first, last, bits >> 4, bits & 15), table, interval, start, at + shift))
+        elif kind == 0xFE:
+            file.comment = body
         elif kind == 0xDB:
             while body:
                 if body[0] >> 4:
                     raise ValueError("16-bit quantisation isn't supported")
-                image.quant[body[0] & 15] = np.frombuffer(body[1:65], np.uint8).astype(np.int64)
+                file.quant[body[0] & 15] = body[1:65]
                 body = body[65:]
-        elif kind == 0xC2:
-            _, image.height, image.width, n = struct.unpack_from(">BHHB", body)
-            image.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
-        elif kind in (0xC0, 0xC1, *range(0xC3, 0xC4), *range(0xC5, 0xC8), *range(0xC9, 0xCC), *range(0xCD, 0xD0)):
-            raise ValueError("only progressive Huffman files are read")
         elif kind == 0xC4:
             while body:
                 n = sum(body[1:17])
                 tables[body[0]] = (body[1:17], body[17 : 17 + n])
                 body = body[17 + n :]
+        elif kind == 0xC2:
+            _, height, width, n = struct.unpack_from(">BHHB", body)
+            ids = [body[6 + 3 * i] for i in range(n)]
+            file.frame = Frame(width, height, tuple((body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)))
         elif kind == 0xDD:
             (interval,) = struct.unpack(">H", body)
-        elif kind == 0xDA:
-            n = body[0]
-            ids = [p[0] for p in image.parts]
-            parts = tuple(ids.index(body[1 + 2 * i]) for i in range(n))
-            picks = [body[2 + 2 * i] for i in range(n)]
-            first, last, bits = body[1 + 2 * n : 4 + 2 * n]
-            own = tables.get(picks[0] >> 4) if first == 0 else tables.get(0x10 | picks[0] & 15)
-            stop = int(markers[np.searchsorted(markers, at + shift)]) - shift
-            scans.append({"parts": parts, "band": (first, last, bits >> 4, bits & 15), "table": own, "interval": interval, "from": at + shift, "to": stop + shift})
-            at = stop
+        elif 0xC0 <= kind <= 0xCF and kind != 0xC8:
+            raise ValueError("only progressive Huffman files are read")
 
 
 def decode(files: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     """(payload, RGB tensor of height x width x 3) of each file."""
     flat = np.frombuffer(b"".join(files), np.uint8)
-    starts = np.cumsum([0] + [len(f) for f in files])
+    starts = np.cumsum([0] + [len(f) for f in files]).tolist()
     ff = np.flatnonzero(flat[:-1] == 0xFF)
     follow = flat[ff + 1]
-    markers = ff[(follow != 0) & (follow != 0xFF) & ~((follow >= 0xD0) & (follow <= 0xD7))]
-    restarts = ff[(follow >= 0xD0) & (follow <= 0xD7)]
+    restart = (follow >= 0xD0) & (follow <= 0xD7)
+    markers = ff[(follow != 0) & (follow != 0xFF) & ~restart].tolist()
+    restarts = ff[restart]
+    restart_list = restarts.tolist()
     stuffed = ff[follow == 0] + 1
     keep = np.ones(len(flat), bool)
     keep[stuffed] = False
-    clean = np.r_[flat[keep], np.zeros(16, np.uint8)]
+    clean = np.concatenate([flat[keep], np.zeros(16, np.uint8)])
     moved = lambda p: p - np.searchsorted(stuffed, p)  # noqa: E731  a place before the stuffing was taken out
     words = np.zeros(len(clean) - 8, np.uint64)
     for i in range(8):
-        words = words << U(8) | clean[i : i + len(words)].astype(np.uint64)
+        words = words << U(8) | clean[i : i + len(words)]
 
-    images, phases, total = [], {}, 0
+    parsed, phases, total = [], {}, 0
     for k, raw in enumerate(files):
-        image, scans = parse(raw, markers, int(starts[k]))
-        hmax, vmax = max(p[1] for p in image.parts), max(p[2] for p in image.parts)
-        wide, high = -(-image.width // (8 * hmax)), -(-image.height // (8 * vmax))
-        for _, h, v, _ in image.parts:
-            image.base.append(total)
-            image.blocks.append((high * v, wide * h))
-            total += high * v * wide * h
-        images.append(image)
-        count: dict[tuple, int] = {}
-        for scan in scans:
-            # Scans of the same band and bits over different components don't depend on each other.
-            nth = count.get(scan["parts"], 0)
-            count[scan["parts"]] = nth + 1
-            if scan["band"][0] == 0:
-                sets = [mcu_order(wide, high, image.parts[c][1], image.parts[c][2]) + image.base[c] for c in scan["parts"]]
-                if len(sets) == 1:
-                    sets = [sets[0].reshape(-1, 1)]
-                order, part = np.concatenate(sets, 1), np.repeat(np.arange(len(sets)), [s.shape[1] for s in sets])
-            else:
-                (c,) = scan["parts"]
-                _, h, v, _ = image.parts[c]
-                rows, cols = -(-(-(-image.height * v // vmax)) // 8), -(-(-(-image.width * h // hmax)) // 8)
-                order = (np.arange(rows)[:, None] * image.blocks[c][1] + np.arange(cols) + image.base[c]).reshape(-1, 1)
-                part = np.zeros(1, np.int64)
-            inner = restarts[np.searchsorted(restarts, scan["from"]) : np.searchsorted(restarts, scan["to"])]
-            begin = moved(np.r_[scan["from"], inner + 2])
-            interval = scan["interval"] or len(order)
-            key = (len(phases) and 0, nth if scan["band"][0] else -1 if scan["band"][2] == 0 else 99, scan["band"], scan["table"], tuple(part.tolist()))
-            phases.setdefault(key, []).append((order, begin, interval))
+        file, scans = parse(raw, markers, starts[k])
+        file.base = total
+        total += file.frame.grids()[1][-1]
+        parsed.append(file)
+        for parts, band, table, interval, start, stop in scans:
+            order = file.frame.order(parts, band[0] == 0)
+            shape = tuple([file.frame.parts[c][:2] for c in parts]) if band[0] == 0 else ()
+            inner = bisect_left(restart_list, start), bisect_left(restart_list, stop)
+            # Scans of one band and one pair of bits don't depend on each other: they are decoded in step.
+            phases.setdefault((band, table, shape), []).append((order, file.base, interval or len(order), start, *inner))
 
     coefs = np.zeros((total + 1, 64), np.int32)
     # First passes before refinements, coarse bits before fine ones.
-    for (_, nth, band, table, part), parts in sorted(phases.items(), key=lambda x: (x[0][1], x[0][2][2] != 0, -x[0][2][3], x[0][2])):
-        order = np.concatenate([o for o, _, _ in parts])
-        begin = np.concatenate([b for _, b, _ in parts])
-        first_unit, units, at = [], [], 0
-        for o, b, interval in parts:
-            lo = at + np.arange(len(b)) * interval
-            first_unit.append(lo)
-            units.append(np.minimum(lo + interval, at + len(o)) - lo)
-            at += len(o)
-        first_unit, units = np.concatenate(first_unit), np.concatenate(units)
-        first, last, high, low = band
-        bit = begin.astype(np.int64) * 8
+    for (band, table, shape), scans in sorted(phases.items(), key=lambda x: (x[0][0][2] != 0, -x[0][0][3], x[0][0][0])):
+        lengths = np.array([len(s[0]) for s in scans])
+        order = np.concatenate([s[0] for s in scans]) + np.repeat([s[1] for s in scans], lengths)[:, None]
+        interval, start, lo, hi = np.array([s[2:] for s in scans]).T
+        lanes = hi - lo + 1
+        of = np.repeat(np.arange(len(scans)), lanes)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        begin = np.where(nth == 0, start[of], np.append(restarts, 0)[np.maximum(lo[of] + nth - 1, 0)] + 2)
+        ends = np.cumsum(lengths)
+        first_unit = (ends - lengths)[of] + nth * interval[of]
+        units = np.minimum(interval[of], ends[of] - first_unit)
+        bit = moved(begin).astype(np.int64) * 8
+        first, _, high, low = band
         if first == 0 and high:
             _dc_refine(words, bit, order, first_unit, units, low, coefs)
         elif first == 0:
-            _dc_first(words, bit, order, np.array(part), first_unit, units, low, Huffman(*table), coefs)
+            part = np.repeat(np.arange(len(shape)), [h * v if len(shape) > 1 else 1 for h, v in shape])
+            _dc_first(words, bit, order.reshape(-1, 1) if len(shape) == 1 else order, part, first_unit, units, low, Huffman(*table), coefs)
         elif high:
             _ac_refine(words, bit, order[:, 0], first_unit, units, band, Huffman(*table), coefs)
         else:
             _ac_first(words, bit, order[:, 0], first_unit, units, band, Huffman(*table), coefs)
-    return [(_payload(image, coefs), _rgb(image, coefs)) for image in images]
+    return list(zip([_payload(f, coefs) for f in parsed], _tensors(parsed, coefs)))
 
 
 def _peek(words: np.ndarray, bit: np.ndarray) -> np.ndarray:
@@ -518,13 +542,12 @@ def _ac_refine(words, bit, order, first_unit, units, band, table, coefs) -> None
             unit, stop, bit, k, zeros, value, blocks, due = (a[live] for a in (unit, stop, bit, k, zeros, value, blocks, due))
 
 
-def _payload(image: Image, coefs: np.ndarray) -> bytes:
+def _payload(file: File, coefs: np.ndarray) -> bytes:
     """The stored bytes: coefficients plus 128, in the order of components and blocks; none without the comment."""
-    if not image.comment.startswith(b"payload="):
+    if not file.comment.startswith(b"payload="):
         return b""
-    parts = [coefs[b : b + r * c] for b, (r, c) in zip(image.base, image.blocks)]
-    whole = np.concatenate([p.reshape(-1) for p in parts])
-    return (whole[: int(image.comment[8:])] + 128).astype(np.uint8).tobytes()
+    size = int(file.comment[8:])
+    return (coefs[file.base : file.base + -(-size // 64)].reshape(-1)[:size] + 128).astype(np.uint8).tobytes()
 
 
 def _basis() -> np.ndarray:
@@ -537,23 +560,41 @@ def _basis() -> np.ndarray:
 BASIS = _basis()
 
 
-def _rgb(image: Image, coefs: np.ndarray) -> np.ndarray:
-    hmax, vmax = max(p[1] for p in image.parts), max(p[2] for p in image.parts)
-    planes = []
-    for (_, h, v, q), base, (rows, cols) in zip(image.parts, image.base, image.blocks):
-        scaled = np.empty((rows * cols, 64), np.float32)
-        scaled[:, ZIGZAG] = coefs[base : base + rows * cols] * image.quant[q]
-        x = (scaled.reshape(-1, 8) @ BASIS).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 8) @ BASIS
-        plane = x.reshape(rows, cols, 8, 8).transpose(0, 3, 1, 2).reshape(rows * 8, cols * 8) + 128
-        plane = np.clip(np.rint(plane), 0, 255)
-        plane = np.repeat(np.repeat(plane, vmax // v, 0), hmax // h, 1)
-        planes.append(plane[: image.height, : image.width])
-    if len(planes) == 1:
-        planes = planes * 3
-        return np.stack(planes, -1).astype(np.uint8)
-    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-    rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], -1)
-    return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
+def _tensors(files: list[File], coefs: np.ndarray) -> list[np.ndarray]:
+    """RGB tensors; files of one frame and quantisation are transformed together."""
+    out: list = [None] * len(files)
+    alike: dict[tuple, list[int]] = {}
+    for i, f in enumerate(files):
+        alike.setdefault((f.frame, tuple(sorted(f.quant.items()))), []).append(i)
+    for (frame, quant), members in alike.items():
+        quant = dict(quant)
+        hmax, vmax = frame.most
+        blocks, base = frame.grids()
+        planes = []
+        at = np.array([files[i].base for i in members])[:, None]
+        for (h, v, q), (rows, cols), b in zip(frame.parts, blocks, base):
+            scaled = np.empty((len(members) * rows * cols, 64), np.float32)
+            scaled[:, ZIGZAG] = coefs[(at + np.arange(b, b + rows * cols)).ravel()] * np.frombuffer(quant[q], np.uint8).astype(np.int32)
+            x = (scaled.reshape(-1, 8) @ BASIS).reshape(-1, 8, 8).transpose(0, 2, 1).reshape(-1, 8) @ BASIS
+            plane = x.reshape(-1, rows, cols, 8, 8).transpose(0, 1, 4, 2, 3).reshape(-1, rows * 8, cols * 8) + np.float32(128)
+            np.clip(np.rint(plane, out=plane), 0, 255, out=plane)
+            if vmax > v:
+                plane = np.repeat(plane, vmax // v, 1)
+            if hmax > h:
+                plane = np.repeat(plane, hmax // h, 2)
+            planes.append(plane[:, : frame.height, : frame.width])
+        if len(planes) == 1:
+            rgb = np.stack(planes * 3, -1)
+        else:
+            y, cb, cr = planes[0], planes[1] - np.float32(128), planes[2] - np.float32(128)
+            rgb = np.empty((*y.shape, 3), np.float32)
+            rgb[..., 0] = y + np.float32(1.402) * cr
+            rgb[..., 1] = y - np.float32(0.344136) * cb - np.float32(0.714136) * cr
+            rgb[..., 2] = y + np.float32(1.772) * cb
+        rgb = np.clip(np.rint(rgb, out=rgb), 0, 255, out=rgb).astype(np.uint8)
+        for i, image in zip(members, rgb):
+            out[i] = image
+    return out
 
 
 def payload_of(text: str) -> bytes:
@@ -562,9 +603,18 @@ def payload_of(text: str) -> bytes:
 
 
 def feature(rgb: np.ndarray) -> str:
-    """Height, width, mean and deviation of each channel."""
-    flat = rgb.reshape(-1, 3).astype(np.float64)
-    return f"{rgb.shape[0]}x{rgb.shape[1]}:" + ",".join(f"{m:.2f}/{d:.2f}" for m, d in zip(flat.mean(0), flat.std(0)))
+    """Height, width, mean and deviation of each channel, from exact sums."""
+    flat = rgb.reshape(-1, 3)
+    n = len(flat)
+    parts = []
+    for c in range(3):
+        counts = np.bincount(flat[:, c], minlength=256)
+        total, squares = int(counts @ LEVELS), int(counts @ LEVELS**2)
+        parts.append(f"{total / n:.2f}/{max(0.0, squares / n - (total / n) ** 2) ** 0.5:.2f}")
+    return f"{rgb.shape[0]}x{rgb.shape[1]}:" + ",".join(parts)
+
+
+LEVELS = np.arange(256)
 
 
 def _batches(texts: list[str]) -> Iterator[list[bytes]]:
