@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, licenses, media, mixing, ngram_join, secrets, toxicity
+from . import bpe, exact_dedup, licenses, media, mixing, ngram_join, secrets, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -47,8 +47,13 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_fm, op3_bpe_round_trip, op4_progressive_jpeg, op5_secret_scan, op6_license_templates, op7_exact_dedup, op8_ngram_jaccard, op9_source_mix,
+    op10_suffix_dedup,
 )}
 
 ORACLES = {
