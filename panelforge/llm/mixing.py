@@ -63,7 +63,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, m
     )
 
 
-def mix_sources(
+def planned(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -74,23 +74,16 @@ def mix_sources(
     seed: str = "mix",
     bins: int = 4096,
     small: int = 100_000,
+    carry: bool = False,
 ) -> DataFrame:
-    """One row for each row of docs: doc_id, size, source_size, target, taken, and its source.
-
-    size is the number of words, 0 for a null or empty text. A source's target
-    covers ``floor(target / source_size)`` complete epochs of all its documents;
-    the rest goes to documents in key order while at least half of a document
-    fits, so a source ends within half a document of its target. taken counts
-    words with repeats. A null source is a source of its own. A source without
-    words has target 0. Identical rows tie: their order is arbitrary but the
-    rows returned are the same. An empty input gives an empty result.
-    """
+    """doc_id, source, size, source_size, target and copies of each row of docs; with carry also row, all its columns."""
     text = text_or_empty(text_col)
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         (-F.log(unit_interval(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text))) / quality_weight(text)).alias("key"),
+        *([F.struct(*docs.columns).alias("row")] if carry else []),
     ).withColumn("bin", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * bins).cast("int"))
 
     by_bin = materialize(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
@@ -114,11 +107,33 @@ def mix_sources(
     key_order = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     edge = joined.filter(F.col("bin") == F.col("edge")).withColumn("sum", F.col("before") + F.coalesce(F.sum("size").over(key_order), F.lit(0)))
     edge = edge.withColumn("extra", ((F.col("sum") < F.col("rest")) & (F.col("sum") + F.col("size") / 2 <= F.col("rest"))).cast("int")).drop("sum")
-    return whole.unionByName(edge).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("extra"))).alias("taken"), "source", (F.col("epochs") + F.col("extra")).alias("copies")
+    both = whole.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("extra"))
+    return both.select("doc_id", "source", "size", "source_size", "target", "copies", *(["row"] if carry else []))
+
+
+def mix_sources(docs: DataFrame, **settings) -> DataFrame:
+    """One row for each row of docs: doc_id, size, source_size, target, taken, source and copies.
+
+    size is the number of words, 0 for a null or empty text. A source's target
+    covers ``floor(target / source_size)`` complete epochs of all its documents;
+    the rest goes to documents in key order while at least half of a document
+    fits, so a source ends within half a document of its target. taken counts
+    words with repeats. A null source is a source of its own. A source without
+    words has target 0. Identical rows tie: their order is arbitrary but the
+    rows returned are the same. An empty input gives an empty result. Settings
+    are those of ``planned``.
+    """
+    return planned(docs, **settings).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies"
     )
 
 
+def mixed(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: rows of docs, with all their columns, as often as they are taken."""
+    rows = planned(docs, carry=True, **settings).filter("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
+
+
 def oracle_sql(weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> str:
     cases = " ".join(f"WHEN {i} THEN {w}.0" for i, w in enumerate(weights))
     return rf"""

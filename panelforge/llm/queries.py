@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, licenses, media, mixing, ngram_join, secrets, suffix_dedup, toxicity
+from . import bpe, exact_dedup, licenses, media, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
 from .common import read_table
 
 
@@ -19,6 +19,10 @@ def op1_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), vocabulary())
 
@@ -52,7 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity_fm, op3_bpe_round_trip, op4_progressive_jpeg, op5_secret_scan, op6_license_templates, op7_exact_dedup, op8_ngram_jaccard, op9_source_mix,
+    op1_toxicity_fm, op2_best_fit_packing, op3_bpe_round_trip, op4_progressive_jpeg, op5_secret_scan, op6_license_templates, op7_exact_dedup, op8_ngram_jaccard, op9_source_mix,
     op10_suffix_dedup,
 )}
 
