@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from panelforge.plans import factor_queries
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+for module in (factor_queries,):
+    QUERIES |= module.register.queries
+    ORACLES |= module.register.oracles
