@@ -17,8 +17,8 @@ def weekly_panel(lineitem: DataFrame) -> DataFrame:
     return (
         lineitem.groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("trade_date"), F.col("l_suppkey").alias("ticker"))
         .agg(
-            F.round(F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity")), 6).alias("close"),
-            F.round(F.max(price), 6).alias("high"),
+            F.round(F.try_divide(F.sum("l_extendedprice"), F.sum("l_quantity")), 9).alias("close"),
+            F.round(F.max(price), 9).alias("high"),
             F.sum("l_quantity").alias("volume"),
             F.round(F.sum("l_extendedprice"), 2).alias("trdval"),
             F.round(F.sum(signed), 2).alias("flow"),
@@ -75,7 +75,7 @@ def signed_flow(bars: DataFrame, markets_present: DataFrame, instruments: DataFr
 PANEL_SQL = """
 WITH panel AS (
   SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS trade_date, l_suppkey AS ticker,
-    round(sum(l_extendedprice) / sum(l_quantity), 6) AS close, round(max(l_extendedprice / l_quantity), 6) AS high,
+    round(sum(l_extendedprice) / sum(l_quantity), 9) AS close, round(max(l_extendedprice / l_quantity), 9) AS high,
     sum(l_quantity) AS volume, round(sum(l_extendedprice), 2) AS trdval,
     round(sum(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END), 2) AS flow
   FROM lineitem GROUP BY 1, 2
