@@ -23,6 +23,17 @@ def rank_of(raw: Column, *group: str) -> Column:
     return midrank(F.round(winsorize(raw, 0.01, 0.99, *group), 10), *group)
 
 
+def with_ranks(rows: DataFrame, raws: dict[str, Column], *group: str) -> DataFrame:
+    """rows with rank_of each raw column, step by step so that all of them share their windows."""
+    w = Window.partitionBy(*group)
+    out = rows.withColumns({f"__raw_{n}": c for n, c in raws.items()})
+    out = out.withColumns({f"__cut_{n}": F.percentile(f"__raw_{n}", F.array(F.lit(0.01), F.lit(0.99))).over(w) for n in raws})
+    held = lambda n: F.greatest(F.col(f"__cut_{n}")[0], F.least(F.col(f"__cut_{n}")[1], F.col(f"__raw_{n}")))
+    out = out.withColumns({f"__raw_{n}": F.round(F.when(F.col(f"__raw_{n}").isNotNull(), held(n)), 10) for n in raws})
+    out = out.withColumns({n: midrank(F.col(f"__raw_{n}"), *group) for n in raws})
+    return out.drop(*[f"__{k}_{n}" for k in ("raw", "cut") for n in raws])
+
+
 def fill_missing(rank: Column, failed: Column | None = None) -> Column:
     """Structurally missing ranks are neutral, those whose source failed are low."""
     other = F.lit(NEUTRAL) if failed is None else F.when(failed, FAILED).otherwise(NEUTRAL)
@@ -54,30 +65,34 @@ def bpp_scores(stocks: DataFrame, bucket: str, floor: float, with_issuance: bool
     """
     first, primary = (F.col(f"trend_{bucket}_{i}") for i in (0, 1))
     out = stocks.withColumn("liquid", F.coalesce(F.col("adv60") >= floor, F.lit(False)))
-    trends = [rank_of(F.when(F.col("liquid"), c), "sel") for c in (first, primary)]
-    if bucket == "long":
-        trends.append(rank_of(F.when(F.col("liquid"), F.col("high_prox")), "sel"))
-    out = out.withColumn("rank_trend", row_mean(*trends)).withColumn("eligible", F.col("liquid") & primary.isNotNull() & F.col("rank_trend").isNotNull())
+    raws = [first, primary, *([F.col("high_prox")] if bucket == "long" else [])]
+    names = [f"__t{i}" for i in range(len(raws))]
+    out = with_ranks(out, {n: F.when(F.col("liquid"), c) for n, c in zip(names, raws)}, "sel")
+    out = out.withColumn("rank_trend", row_mean(*map(F.col, names))).withColumn("eligible", F.col("liquid") & primary.isNotNull() & F.col("rank_trend").isNotNull())
     mask = lambda c: F.when(F.col("eligible"), c)
     caps = F.percentile(mask(F.when(F.col("mktcap") > 0, F.col("mktcap"))), F.array(*map(F.lit, SIZE_CUTS))).over(Window.partitionBy("sel"))
     out = out.withColumn("cuts", caps).withColumn("sleeve", F.when(F.col("eligible"), size_tier(F.col("mktcap"), F.col("cuts")[0], F.col("cuts")[1])).otherwise("small"))
-    by_adv = rank_of(mask(signed_log(F.when(F.col("adv60") > 0, F.col("flow60") / F.col("adv60")))), "sel")
-    sponsor = rank_of(mask(signed_log(F.col("flow60"))), "sel")
-    flow = F.when(F.col("sleeve").isin("large", "mid"), row_mean(by_adv, sponsor)).otherwise(by_adv)
+    raw = {
+        "__adv": signed_log(F.when(F.col("adv60") > 0, F.col("flow60") / F.col("adv60"))),
+        "__sponsor": signed_log(F.col("flow60")),
+        "rank_volume": F.col("surge"),
+        "rank_turnover": F.when(F.col("mktcap") > 0, F.col("adv60") / F.col("mktcap")),
+        **({"__issuance": F.col("net_issuance")} if with_issuance else {}),
+    }
+    out = with_ranks(out, {n: mask(c) for n, c in raw.items()}, "sel")
+    flow = F.when(F.col("sleeve").isin("large", "mid"), row_mean(F.col("__adv"), F.col("__sponsor"))).otherwise(F.col("__adv"))
     out = out.withColumn("rank_flow", fill_missing(flow, F.col("flow_failed")))
-    for name in ("earnings", "quality"):
-        rank = midrank(F.round(mask(F.col(name)), 10), "sel", "sector")
-        out = out.withColumn(f"rank_{name}", fill_missing(rank, F.col(f"{name}_failed")))
-    out = out.withColumn("rank_volume", rank_of(mask(F.col("surge")), "sel"))
-    out = out.withColumn("rank_turnover", rank_of(mask(F.when(F.col("mktcap") > 0, F.col("adv60") / F.col("mktcap"))), "sel"))
+    out = out.withColumns({f"__{n}": F.round(mask(F.col(n)), 10) for n in ("earnings", "quality")})
+    ranks = {f"rank_{n}": fill_missing(midrank(F.col(f"__{n}"), "sel", "sector"), F.col(f"{n}_failed")) for n in ("earnings", "quality")}
+    out = out.withColumns(ranks)
     parts = ["rank_trend", "rank_flow", "rank_earnings", "rank_quality"]
     if with_issuance:
-        out = out.withColumn("rank_issuance", fill_missing(rank_of(mask(F.col("net_issuance")), "sel")))
+        out = out.withColumn("rank_issuance", fill_missing(F.col("__issuance")))
         parts.append("rank_issuance")
     out = out.withColumn("bonus", volume_bonus(F.col("rank_volume"), F.col("rank_trend"), bucket))
     out = out.withColumn("penalty", pump_penalty(F.col("rank_turnover"), F.col("ret5")))
     score = row_mean(*map(F.col, parts)) + clamp(F.col("bonus"), 0, BONUS_CAP) - F.greatest(F.lit(0.0), F.col("penalty"))
-    return out.withColumn("score", F.when(F.col("eligible"), F.round(score, 8))).withColumn("bucket", F.lit(bucket)).drop("cuts")
+    return out.withColumn("score", F.when(F.col("eligible"), F.round(score, 8))).withColumn("bucket", F.lit(bucket)).drop("cuts", "__adv", "__sponsor", "__issuance", "__earnings", "__quality", *names)
 
 
 def legacy_scores(stocks: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.lineage import settle
 from panelforge.operators import features as X
 from panelforge.operators import panel as P
 from panelforge.operators import scoring as G
@@ -106,8 +107,9 @@ THREE_SQL = STOCKS_SQL + "," + ",".join(scores_sql(b) for b in T.BUCKETS)
 
 
 def three_scored(spark, sf_dir) -> dict[str, DataFrame]:
-    stocks = stocks_at(spark, sf_dir).cache()  # read once for each bucket and for each exclusion
-    return {b: G.bpp_scores(stocks, b, FLOOR) for b in T.BUCKETS}
+    # A row for each instrument, used for each bucket and each exclusion.
+    stocks = settle(stocks_at(spark, sf_dir))
+    return {b: settle(G.bpp_scores(stocks, b, FLOOR)) for b in T.BUCKETS}
 
 
 @register(THREE_SQL + "," + ",".join(pick_sql(b, list(T.BUCKETS[:i])) for i, b in enumerate(T.BUCKETS)) + " " + " UNION ALL ".join(f"SELECT '{b}' AS bucket, ticker, sleeve, round(score, 6) AS score, rank FROM p_{b}" for b in T.BUCKETS))
@@ -137,14 +139,14 @@ UNION_SQL = STOCKS_SQL + "," + scores_sql("short") + ", hit AS (" + " UNION ".jo
 
 @register(UNION_SQL + "," + pick_sql("short", [], "u") + " SELECT ticker, sleeve, round(score, 6) AS score, rank FROM p_short")
 def cfg6_union(spark, sf_dir):
-    scored = G.bpp_scores(stocks_at(spark, sf_dir), "short", FLOOR)
+    scored = settle(G.bpp_scores(stocks_at(spark, sf_dir), "short", FLOOR))
     return T.select_sleeves(T.screens_union(scored, ["rank_trend", "rank_flow", "rank_volume"], 5, "sel"), QUOTA, "sel").select("ticker", "sleeve", F.round("score", 6).alias("score"), "rank")
 
 
 @register(STOCKS_SQL + "," + scores_sql("short") + ", v AS (SELECT *, round(rank_volume, 8) AS surge_rank, round(CASE WHEN eligible THEN adv60 END, 6) AS adv_key FROM s_short)," + pick_sql("short", [], "v", "surge_rank") + "," + pick_sql("mid", [], "v", "adv_key")
           + " SELECT 'surge' AS leg, ticker, sleeve, rank FROM p_short UNION ALL SELECT 'volume' AS leg, ticker, sleeve, rank FROM p_mid")
 def cfg7_surge(spark, sf_dir):
-    scored = G.bpp_scores(stocks_at(spark, sf_dir), "short", FLOOR)
+    scored = settle(G.bpp_scores(stocks_at(spark, sf_dir), "short", FLOOR))
     surge = T.select_sleeves(scored.withColumn("score", F.round("rank_volume", 8)), QUOTA, "sel").select(F.lit("surge").alias("leg"), "ticker", "sleeve", "rank")
     volume = T.select_sleeves(scored.withColumn("score", F.when(F.col("eligible"), F.round("adv60", 6))), QUOTA, "sel").select(F.lit("volume").alias("leg"), "ticker", "sleeve", "rank")
     return surge.unionByName(volume)
@@ -186,11 +188,11 @@ def reserve_arm(spark, sf_dir):
     return T.reserve_swap(picked, pool, 3, "sel").select("ticker", F.round("score", 6).alias("score"), "origin")
 
 
-@register(THREE_SQL + """, j AS (SELECT ticker, a.score AS short, b.score AS mid, c.score AS long FROM s_short a JOIN s_mid b USING (ticker) JOIN s_long c USING (ticker) WHERE a.score IS NOT NULL AND b.score IS NOT NULL AND c.score IS NOT NULL),
-f AS (SELECT ticker, CASE WHEN short >= mid AND short >= long THEN 'short' WHEN mid >= long THEN 'mid' ELSE 'long' END AS bucket, greatest(short, mid, long) AS score FROM j),
-o AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, ticker) AS r FROM f), n AS (SELECT 24 - count(*) AS missing FROM o WHERE r <= 8),
-b AS (SELECT *, row_number() OVER (ORDER BY score DESC, ticker) AS l FROM o WHERE r > 8)
-SELECT ticker, bucket, round(score, 6) AS score, false AS filled FROM o WHERE r <= 8 UNION ALL SELECT ticker, bucket, round(score, 6) AS score, true AS filled FROM b, n WHERE l <= missing""")
+@register(THREE_SQL + """, fj AS (SELECT ticker, a.score AS short, b.score AS mid, c.score AS long FROM s_short a JOIN s_mid b USING (ticker) JOIN s_long c USING (ticker) WHERE a.score IS NOT NULL AND b.score IS NOT NULL AND c.score IS NOT NULL),
+fv AS (SELECT ticker, CASE WHEN short >= mid AND short >= long THEN 'short' WHEN mid >= long THEN 'mid' ELSE 'long' END AS bucket, greatest(short, mid, long) AS score FROM fj),
+fo AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY score DESC, ticker) AS r FROM fv), fn AS (SELECT 24 - count(*) AS missing FROM fo WHERE r <= 8),
+fb AS (SELECT *, row_number() OVER (ORDER BY score DESC, ticker) AS l FROM fo WHERE r > 8)
+SELECT ticker, bucket, round(score, 6) AS score, false AS filled FROM fo WHERE r <= 8 UNION ALL SELECT ticker, bucket, round(score, 6) AS score, true AS filled FROM fb, fn WHERE l <= missing""")
 def favourite_bucket_fill(spark, sf_dir):
     rows = None
     for b, df in three_scored(spark, sf_dir).items():
