@@ -2,27 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.functions.lineage import settle
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the shared folder.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (local tests) a temporary folder of this machine is used.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="panelforge-ckpt-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
+    return settle(df)
 
 
 def text_or_empty(name: str = "text") -> Column:
