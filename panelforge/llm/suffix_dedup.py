@@ -44,7 +44,7 @@ CHUNK = 1 << 20
 HINT, HOT, HOT_LEAST, SALTS = 64, 10_000, 200, 64
 GIANT = 50_000
 #: Bytes of contexts that one suffix sort takes.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 
 U = np.uint64
 P = U(0x9E3779B97F4A7C15)
