@@ -53,7 +53,7 @@ class WordBpe:
     kept for up to ``cache`` chunks.
     """
 
-    def __init__(self, path: str, as_text: bool = False, cache: int = 500_000):
+    def __init__(self, path: str, as_text: bool = False, cache: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -195,7 +195,7 @@ def load(path: str, as_text: bool = False) -> WordBpe:
 
 
 #: Characters that are encoded together, so that a batch's memory doesn't follow its longest texts.
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
@@ -222,9 +222,13 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
         for pdf in batches:
-            texts = ["" if t is None else t for t in pdf[text_col]]
-            pdf[ids_col] = [np.fromiter((i for p in pieces for i in p), np.int32) for g in _groups(texts) for pieces in bpe.encode(g)]
-            yield pdf
+            at = 0
+            for group in _groups(["" if t is None else t for t in pdf[text_col]]):
+                part = pdf.iloc[at : at + len(group)].copy()
+                part[ids_col] = [np.fromiter((i for p in pieces for i in p), np.int32) for pieces in bpe.encode(group)]
+                at += len(group)
+                yield part
+        bpe.chunks.clear()  # the worker may go on to other tasks: it keeps the tables, not the pieces
 
     return base.mapInPandas(run, schema)
 
@@ -260,5 +264,6 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                     ids.append(sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
                     decoded.append(sha256(" ".join([p[2] for p in pieces]).encode()).hexdigest())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
+        bpe.chunks.clear()
 
     return rows.mapInPandas(run, f"doc_id {fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         known: dict[bytes, tuple[int, ...]] = {}
 
         def look(word: bytes) -> tuple[int, ...]:
-            if len(known) > 300_000:
+            if len(known) > 150_000:
                 known.clear()
             known[word] = at = tuple(place[b] for b in buckets_of(word, m.bits) if b in place)
             return at
