@@ -16,6 +16,7 @@ tokens; a pool's last rows are its only extra padding.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -61,7 +62,8 @@ class RoomTree:
 
 
 def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
-    """Rows of positions of sizes, none over length; ties keep their order. Zero sizes are in no row."""
+    """Rows of positions of sizes, none over length; ties keep their order, and of rows
+    with equal room the first is filled. Zero sizes are in no row."""
     tree, rows, open_rows = RoomTree(length), [], {}
     for i in sorted((i for i, n in enumerate(sizes) if n), key=lambda i: (-sizes[i], i)):
         room = tree.find(sizes[i])
@@ -69,12 +71,12 @@ def best_fit_decreasing(sizes: list[int], length: int) -> list[list[int]]:
             row, room = len(rows), length
             rows.append([])
         else:
-            row = open_rows[room].pop()
+            row = heappop(open_rows[room])
             tree.add(room, -1)
         rows[row].append(i)
         left = room - sizes[i]
         if left:
-            open_rows.setdefault(left, []).append(row)
+            heappush(open_rows.setdefault(left, []), row)
             tree.add(left, 1)
     return rows
 
