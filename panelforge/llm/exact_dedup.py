@@ -74,10 +74,10 @@ def exact_dedup(
         several = rows.join(collided, "digest", "left_semi").join(groups, ["digest", "content"])
         joined = joined.unionByName(several.withColumn("text_sha256", F.sha2("content", 256)).drop("content"))
 
-    # Rows repeated with their id: number them, in partitions dealt by id, so that a hot text is spread.
+    # Rows repeated with their id: number them, in partitions dealt by id and text, so that a hot text is spread.
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     number = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("group_size"))
-    return joined.repartition("doc_id").select(
+    return joined.repartition("doc_id", "text_sha256").select(
         "doc_id", "keep_id", "group_size", (stays & (number == 1)).alias("kept"), "text_sha256"
     )
 
