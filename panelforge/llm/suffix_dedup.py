@@ -39,9 +39,10 @@ LENGTH = 200
 GRAM = 100
 #: Starts of windows that are handled together, a bound on memory for long texts.
 CHUNK = 1 << 20
-#: One row in HINT is looked at for frequent anchor strings, at most HOT of them; their rows are dealt by context
-#: too. This only steers the partitioning: results don't depend on it.
-HINT, HOT, HOT_LEAST, SALTS = 64, 10_000, 200, 64
+#: One row in HINT is looked at for what is frequent, at most HOT contexts and HOT anchor strings. Rows of a context
+#: seen to repeat are spread anywhere, for their verdict is known; other rows of a frequent anchor string are dealt
+#: by context too. This only steers the partitioning: results don't depend on it.
+HINT, HOT, HOT_LEAST, SALTS = 64, 10_000, 20, 64
 GIANT = 50_000
 #: Bytes of contexts that one suffix sort takes.
 SLICE_BYTES = 3_000_000
@@ -107,23 +108,31 @@ def anchors(texts: DataFrame) -> DataFrame:
 
 def judged(texts: DataFrame, row_id: Column) -> DataFrame:
     """Anchor rows that may repeat: n rows have their context; ``stands`` for it among several of the anchor string."""
-    hint = (
+    seen = materialize(
         anchors(texts.filter(F.pmod(row_id, F.lit(HINT)) == 0).select("key", "text"))
-        .groupBy("gram").count().filter(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "gram").limit(HOT)
+        .groupBy("gram", "context").agg(F.count(F.lit(1)).alias("count"), F.min(F.struct("key", "span")).alias("one"))
     )
-    hot = F.broadcast(hint.select("gram", F.lit(True).alias("hot")))  # HOT rows at most
+    # Of a frequent context two rows were seen at least, so it repeats; one of its rows stands for all in the groups.
+    frequent = materialize(seen.filter(F.col("count") >= max(2, HOT_LEAST)).orderBy(F.desc("count"), "gram", "context").limit(HOT))
+    known = F.broadcast(frequent.select("gram", "context", F.lit(True).alias("known")))  # HOT rows at most
+    varied = seen.join(known, ["gram", "context"], "left_anti").groupBy("gram").agg(F.sum("count").alias("count"))
+    varied = varied.filter(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "gram").limit(HOT)
+    hot = F.broadcast(varied.select("gram", F.lit(True).alias("hot")))  # HOT rows at most
+    rows = anchors(texts.select("key", "text")).join(known, ["gram", "context"], "left").withColumn("given", F.lit(0))
+    stand_ins = frequent.select("gram", "context", "one.*", F.lit(None).cast("boolean").alias("known"), F.lit(1).alias("given"))
+    by_context = F.when(F.col("hot"), F.pmod("context", F.lit(SALTS)) + 1).otherwise(F.lit(0))
+    anywhere = -1 - F.pmod(F.xxhash64("key", "span"), F.lit(4096))
     dealt = (
-        anchors(texts.select("key", "text")).join(hot, "gram", "left")
-        .withColumn("salt", F.when(F.col("hot"), F.pmod("context", F.lit(SALTS)) + 1).otherwise(F.lit(0)))
-        .drop("hot").repartition("gram", "salt")
+        rows.unionByName(stand_ins).join(hot, "gram", "left")
+        .withColumn("salt", F.when(F.col("known"), anywhere).otherwise(by_context)).drop("hot").repartition("gram", "salt")
     )
     same = Window.partitionBy("gram", "salt", "context")
     group = Window.partitionBy("gram", "salt")
     several = (F.min("context").over(group) != F.max("context").over(group)) | (F.col("salt") > 0)
     return (
         dealt.withColumn("nth", F.row_number().over(same.orderBy("key", "span")))
-        .withColumn("n", F.count(F.lit(1)).over(same))
-        .withColumn("stands", several & (F.col("nth") == 1))
+        .withColumn("n", F.when(F.col("known"), F.lit(2)).otherwise(F.count(F.lit(1)).over(same) + F.max("given").over(same)))
+        .withColumn("stands", F.col("known").isNull() & several & (F.col("nth") == 1))
         .filter("n > 1 OR stands")
         .select("gram", "key", "span", "n", "stands")
     )

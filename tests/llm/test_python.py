@@ -259,11 +259,11 @@ def brute_removal(texts):
     return out
 
 
-@pytest.mark.parametrize("giant, least", [(50_000, 200), (1, 1)], ids=["usual", "dealt by window"])
+@pytest.mark.parametrize("giant, least", [(50_000, 20), (1, 1), (50_000, 2)], ids=["usual", "dealt by window", "all frequent"])
 def test_removal_against_all_strings(spark, monkeypatch, giant, least):
     monkeypatch.setattr(suffix_dedup, "GIANT", giant)
     monkeypatch.setattr(suffix_dedup, "HOT_LEAST", least)
-    monkeypatch.setattr(suffix_dedup, "HINT", 1 if least == 1 else 64)
+    monkeypatch.setattr(suffix_dedup, "HINT", 1 if least < 20 else 64)
     expected = [(r[0], *x) for r, x in zip(fixtures.rows(), brute_removal([(t or "").encode() for _, t, *_ in fixtures.rows()]))]
     got = suffix_dedup.removal_digests(fixtures.docs(spark))
     assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=str)
