@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 from panelforge.llm import bpe, licenses, media, ngram_join, packing, suffix_dedup, toxicity
 from panelforge.llm.queries import vocabulary
-from pyspark.sql import functions as F
 
 from tests.llm import fixtures
 
@@ -286,4 +285,3 @@ def test_removal_of_an_empty_table(spark):
 def test_general_output_has_texts_and_runs(spark):
     r = suffix_dedup.remove_repeats(fixtures.docs(spark)).filter("doc_id = 8").first()
     assert r.n_bytes - r.n_removed == len(r.kept) and sum(x.stop - x.first for x in r.removed) == r.n_removed
-    assert isinstance(F.lit(1), object)
