@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 NO_RANK = np.int64(1) << 40
 #: White space of Unicode; Python's split also cuts at these four separators, which are symbols here.
 SEPARATORS = re.compile("[\x1c-\x1f]")
-UNICODE_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+UNICODE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def byte_symbols() -> list[str]:
