@@ -110,3 +110,18 @@ def legacy_scores(stocks: DataFrame) -> DataFrame:
         one = norm.select("sel", F.lit(bucket).alias("bucket"), "ticker", "mktcap", F.round(sum(parts.values(), F.lit(0.0)), 8).alias("score"), label.alias("label"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def chart_scores(rows: DataFrame, factors: list[str], *group: str) -> DataFrame:
+    """rows with score: the mean of the factors' ranks, 50 where a factor is missing."""
+    out = with_ranks(rows, {f"rank_{f}": F.col(f).cast("double") for f in factors}, *group)
+    return out.withColumn("score", F.round(row_mean(*[fill_missing(F.col(f"rank_{f}")) for f in factors]), 8))
+
+
+def weighted_scores(ranks: DataFrame, factors: list[str], priors: dict[str, float]) -> DataFrame:
+    """rows with score: ranks weighted by their prior mean correlation, not under 0; equal weights if none is above 0."""
+    weights = {f: max(0.0, priors.get(f, 0.0)) for f in factors}
+    if not any(weights.values()):
+        weights = dict.fromkeys(factors, 1.0)
+    total = sum((w * F.coalesce(F.col(f), F.lit(NEUTRAL)) for f, w in weights.items()), F.lit(0.0))
+    return ranks.withColumn("score", F.round(total / sum(weights.values()), 8))
