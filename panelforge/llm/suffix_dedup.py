@@ -45,7 +45,7 @@ CHUNK = 1 << 20
 HINT, HOT, HOT_LEAST, SALTS = 64, 10_000, 20, 64
 GIANT = 50_000
 #: Bytes of contexts that one suffix sort takes.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_500_000
 
 U = np.uint64
 P = U(0x9E3779B97F4A7C15)
@@ -118,23 +118,26 @@ def judged(texts: DataFrame, row_id: Column) -> DataFrame:
     varied = seen.join(known, ["gram", "context"], "left_anti").groupBy("gram").agg(F.sum("count").alias("count"))
     varied = varied.filter(F.col("count") >= HOT_LEAST).orderBy(F.desc("count"), "gram").limit(HOT)
     hot = F.broadcast(varied.select("gram", F.lit(True).alias("hot")))  # HOT rows at most
-    rows = anchors(texts.select("key", "text")).join(known, ["gram", "context"], "left").withColumn("given", F.lit(0))
-    stand_ins = frequent.select("gram", "context", "one.*", F.lit(None).cast("boolean").alias("known"), F.lit(1).alias("given"))
+    rows = anchors(texts.select("key", "text")).join(known, ["gram", "context"], "left")
+    # A stand-in's span is below 0; rows of a known context have a salt below 0. So no further column is shuffled.
+    stand_ins = frequent.select("gram", "context", "one.key", (-F.col("one.span")).alias("span"), F.lit(None).cast("boolean").alias("known"))
     by_context = F.when(F.col("hot"), F.pmod("context", F.lit(SALTS)) + 1).otherwise(F.lit(0))
     anywhere = -1 - F.pmod(F.xxhash64("key", "span"), F.lit(4096))
     dealt = (
         rows.unionByName(stand_ins).join(hot, "gram", "left")
-        .withColumn("salt", F.when(F.col("known"), anywhere).otherwise(by_context)).drop("hot").repartition("gram", "salt")
+        .withColumn("salt", F.when(F.col("known"), anywhere).otherwise(by_context)).drop("hot", "known").repartition("gram", "salt")
     )
     same = Window.partitionBy("gram", "salt", "context")
     group = Window.partitionBy("gram", "salt")
     several = (F.min("context").over(group) != F.max("context").over(group)) | (F.col("salt") > 0)
+    known_row = F.col("salt") < 0
+    count = F.count(F.lit(1)).over(same) + F.max(F.when(F.col("span") < 0, 1).otherwise(0)).over(same)
     return (
         dealt.withColumn("nth", F.row_number().over(same.orderBy("key", "span")))
-        .withColumn("n", F.when(F.col("known"), F.lit(2)).otherwise(F.count(F.lit(1)).over(same) + F.max("given").over(same)))
-        .withColumn("stands", F.col("known").isNull() & several & (F.col("nth") == 1))
+        .withColumn("n", F.when(known_row, F.lit(2)).otherwise(count))
+        .withColumn("stands", ~known_row & several & (F.col("nth") == 1))
         .filter("n > 1 OR stands")
-        .select("gram", "key", "span", "n", "stands")
+        .select("gram", "key", F.abs("span").alias("span"), "n", "stands")
     )
 
 
