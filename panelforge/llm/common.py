@@ -27,20 +27,3 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     df should be materialized: its rows are counted here.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-#: Keys that spread_join sends to every task, and the fewest rows of such a key.
-HOT, HOT_LEAST = 10_000, 20
-
-
-def spread_join(rows: DataFrame, table: DataFrame, *keys: str, n: str) -> DataFrame:
-    """Inner join of rows with a table that has one row for each key; no task takes a hot key's rows alone.
-
-    Column n of table is the number of rows with the key. The HOT keys with the
-    most rows are broadcast, so their rows stay where they are. Any other key has
-    less than one in HOT of all rows, or under HOT_LEAST, and is joined by shuffle.
-    rows are read twice: they should be materialized or cheap.
-    """
-    hot = materialize(table.filter(F.col(n) >= HOT_LEAST).orderBy(F.desc(n), *keys).limit(HOT))
-    rest = rows.join(F.broadcast(hot.select(*keys)), list(keys), "left_anti").join(table, list(keys))
-    return rows.join(F.broadcast(hot), list(keys)).unionByName(rest)  # HOT rows at most

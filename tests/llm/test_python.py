@@ -6,7 +6,6 @@ import random
 import numpy as np
 import pytest
 from panelforge.llm import bpe, licenses, media, ngram_join, packing, suffix_dedup, toxicity
-from panelforge.llm.common import spread_join
 from panelforge.llm.queries import vocabulary
 
 from tests.llm import fixtures
@@ -228,12 +227,6 @@ def test_near_copies_of_a_large_group(spark):
     assert by_id(ngram_join.jaccard_classes(fixtures.docs(spark, rows)), "class_id", "class_size", "n_links") == brute_links(rows)
 
 
-def test_hot_keys_join_like_others(spark):
-    rows = spark.range(500).selectExpr("CASE WHEN id < 300 THEN 1 WHEN id < 330 THEN 2 ELSE id END AS k", "id AS v")
-    table = rows.groupBy("k").count().withColumnRenamed("count", "n")
-    assert sorted(spread_join(rows, table, "k", n="n").collect()) == sorted(rows.join(table, "k").collect())
-
-
 def test_depth_follows_the_recall():
     assert ngram_join.depth_for(0.8, 32, 12, 0.99999) == 5
     assert ngram_join.depth_for(0.8, 32, 12, 0.5) > 5
