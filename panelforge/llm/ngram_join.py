@@ -11,9 +11,11 @@ No pair is ever emitted:
 
 1. Equal sets are one *set row* with a weight, so copies cost nothing.
 2. In each trie node the set with the smallest digest leads; every other set of
-   the node gets one edge to it. Edges whose signatures agree too little are
-   dropped. Connected components of these edges bring all candidates of a
-   document together.
+   the node gets one edge to it, unless their sketches disagree too much. Sets
+   that are not close to the leader stay and elect the next one, until none is
+   left: what a set resembles is within reach of the leader that settles it.
+   Connected components of these edges bring all candidates of a document
+   together.
 3. Components are cut into blocks of a bounded number of documents, and each
    pair of blocks is one bounded unit of work: its n-gram sets are intersected
    exactly, and only counts and one link for each document leave it.
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -47,6 +50,23 @@ def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
     return 1
 
 
+def reach(threshold: float, recall: float) -> tuple[int, int]:
+    """(close, far): a set that differs from a leader in up to close values of its sketch needs no other leader,
+    one that differs in up to far is tied to it.
+
+    Linked sets differ in more than far - close values with a hundredth of the chance that the recall
+    leaves, so by the triangle inequality all that a close set is linked with is tied to the same leader.
+    """
+    missed, apart = 0.0, SKETCH
+    while apart > 0:
+        missed += comb(SKETCH, apart) * (1 - threshold) ** apart * threshold ** (SKETCH - apart)
+        if missed > (1 - recall) / 100:
+            break
+        apart -= 1
+    far = max(apart, int(SKETCH * (1 - AGREE)))
+    return far - apart, far
+
+
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 250_000:
@@ -230,13 +250,24 @@ def jaccard_classes(
 
     nodes = rows.filter("set_id IS NOT NULL").select("set_id", F.posexplode("keys").alias("tree", "key"))
     leaders = nodes.groupBy("tree", "key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).filter("leader <> last").drop("last")
-    edges = nodes.join(leaders, ["tree", "key"]).filter("set_id <> leader").select("set_id", "leader").distinct()
+    led = materialize(nodes.join(leaders, ["tree", "key"]).filter("set_id <> leader"))
     sketches = rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("sketch").alias("sketch"))
-    edges = (
-        edges.join(sketches, "set_id")
+    close, far = reach(threshold, recall)
+    pairs = materialize(
+        led.select("set_id", "leader").distinct()
+        .join(sketches, "set_id")
         .join(sketches.select(F.col("set_id").alias("leader"), F.col("sketch").alias("of_leader")), "leader")
-        .mapInPandas(_agreeing, "a binary, b binary")
+        .mapInPandas(_apart, "set_id binary, leader binary, apart int")
     )
+    # Sets that their leader doesn't settle. If all of a node are tied to it, they are together already.
+    left = materialize(
+        led.join(pairs.filter(F.col("apart") > close), ["set_id", "leader"]).select("tree", "key", "set_id", (F.col("apart") <= far).alias("tied")).distinct()
+    )
+    unled = left.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.min("tied").alias("all_tied")).filter("members > 1 AND NOT all_tied")
+    again = left.join(unled.select("tree", "key"), ["tree", "key"]).join(sketches, "set_id")
+    again = again.repartition("tree", "key").sortWithinPartitions("tree", "key", "set_id")
+    edges = pairs.filter(F.col("apart") <= far).selectExpr("set_id AS a", "leader AS b")
+    edges = edges.union(again.mapInPandas(lambda batches: _elected(batches, close, far), "a binary, b binary"))
     member = components(edges)
 
     sized = member.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
@@ -276,13 +307,54 @@ def jaccard_classes(
     )
 
 
-def _agreeing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         if len(pdf):
             x = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
             y = np.frombuffer(b"".join(pdf["of_leader"]), np.uint8).reshape(-1, SKETCH)
-            keep = (x == y).mean(1) >= AGREE
-            yield pd.DataFrame({"a": pdf["set_id"][keep], "b": pdf["leader"][keep]})
+            yield pd.DataFrame({"set_id": pdf["set_id"], "leader": pdf["leader"], "apart": (x != y).sum(1).astype(np.int32)})
+
+
+def _elections(sketches: np.ndarray, tied: np.ndarray, close: int, far: int) -> list[tuple[int, int]]:
+    """(member, leader) positions: each set leads those that are left, or is settled by one before it.
+
+    Only ties of what was not together are given. The tied are together from the start.
+    """
+    group = np.where(tied, -1, np.arange(len(tied)))
+    left, out = np.arange(len(tied)), []
+    while len(left) > 1 and (group[left] != group[left[0]]).any():
+        lead, left = left[0], left[1:]
+        apart = (sketches[left] != sketches[lead]).sum(1)
+        near = left[apart <= far]
+        new, first = np.unique(group[near], return_index=True)
+        for g, k in zip(new, first):
+            if g != group[lead]:
+                out.append((int(near[k]), int(lead)))
+                group[group == g] = group[lead]
+        left = left[apart > close]
+    return out
+
+
+def _elected(batches: Iterator[pd.DataFrame], close: int, far: int) -> Iterator[pd.DataFrame]:
+    """Edges inside trie nodes, one after the other: rows of one (tree, key) follow each other."""
+    node, ids, sketches, tied = None, [], [], []
+
+    def done() -> list[tuple[bytes, bytes]]:
+        found = _elections(np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH), np.array(tied), close, far)
+        return [(ids[a], ids[b]) for a, b in found]
+
+    for pdf in batches:
+        out = []
+        for tree, key, set_id, sketch, is_tied in zip(pdf["tree"], pdf["key"], pdf["set_id"], pdf["sketch"], pdf["tied"]):
+            if node != (tree, key):
+                if ids:
+                    out += done()
+                node, ids, sketches, tied = (tree, key), [], [], []
+            ids.append(set_id), sketches.append(sketch), tied.append(is_tied)
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+    if ids and (out := done()):
+        yield pd.DataFrame(out, columns=["a", "b"])
 
 
 def _verified(batches: Iterator[pd.DataFrame], n: int, threshold: float) -> Iterator[pd.DataFrame]:

@@ -227,6 +227,31 @@ def test_near_copies_of_a_large_group(spark):
     assert by_id(ngram_join.jaccard_classes(fixtures.docs(spark, rows)), "class_id", "class_size", "n_links") == brute_links(rows)
 
 
+def test_near_copies_among_texts_of_shared_lines(spark):
+    rng = random.Random(4)
+    lines = [f"line{i}" for i in range(240)]
+    texts = [rng.sample(lines, 100) for _ in range(6000)]
+    for k in range(0, 400, 2):  # 90 of 100 lines shared: 90 / 110 > 0.8
+        texts[k + 1] = texts[k][:90] + rng.sample(sorted(set(lines) - set(texts[k])), 10)
+    rows = [(i, " ".join(t), None, None, None) for i, t in enumerate(texts)]
+    on = np.array([[x in t for x in lines] for t in map(set, texts)], np.float32)
+    both = on @ on.T
+    want = ((both / (200 - both) >= 0.8).sum(1) - 1).tolist()
+    got = by_id(ngram_join.jaccard_classes(fixtures.docs(spark, rows), n=1), "n_links")
+    assert sum(want) >= 400 and sorted(got) == list(enumerate(want))
+
+
+def test_elections_reach_all_that_are_near():
+    rng = np.random.default_rng(3)
+    close, far = ngram_join.reach(0.8, 0.99999)
+    assert (close, far) == (25, 76) and ngram_join.reach(0.5, 0.99999)[0] == 0
+    strangers = rng.integers(0, 256, (300, ngram_join.SKETCH), dtype=np.uint8)
+    near = strangers.copy()
+    near[:, rng.permutation(ngram_join.SKETCH)[: far - close]] ^= 1
+    edges = ngram_join._elections(np.concatenate([strangers, near]), np.arange(600) == 7, close, far)
+    assert sorted(tuple(sorted(e)) for e in edges) == [(k, k + 300) for k in range(300)]
+
+
 def test_depth_follows_the_recall():
     assert ngram_join.depth_for(0.8, 32, 12, 0.99999) == 5
     assert ngram_join.depth_for(0.8, 32, 12, 0.5) > 5
