@@ -23,6 +23,14 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def test_regimes_of_dates_with_even_numbers_too(spark):
+    from panelforge.plans.backtest_queries import regimes
+
+    rows = regimes(spark, "/root/testdata/sf0.01").collect()
+    kept = {r.trade_date for r in catalog.QUERIES["market_regime_all_dates"](spark, "/root/testdata/sf0.01").collect()}
+    assert kept == {r.trade_date for r in rows} and {r.n % 2 for r in rows} == {0, 1}
+
+
 def test_entry_works_without_the_optional_parts():
     import subprocess
     import sys
