@@ -148,10 +148,23 @@ f AS (SELECT *, admins = 1 AND coalesce(admin = lag(admin) OVER w AND day = lag(
 i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY day) AS island FROM f)
 SELECT event_type, day, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, island ORDER BY day) AS BIGINT) AS streak FROM i""")
 def admin_streak(spark, sf_dir):
-    d = read_table(spark, sf_dir, "events").filter("user_id % 5 = 0 AND value > 40").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count_distinct(F.col("user_id") % 3).alias("admins"), F.min(F.col("user_id") % 3).alias("admin"))
-    w = Window.partitionBy("event_type").orderBy("day")
+    events = read_table(spark, sf_dir, "events").filter("user_id % 5 = 0 AND value > 40")
+    return one_admin_streaks(events, "event_type", F.col("user_id") % 3)
+
+
+@register("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_type) AS admins, min(event_type) AS admin FROM events GROUP BY ALL),
+f AS (SELECT *, admins = 1 AND coalesce(admin = lag(admin) OVER w AND day = lag(day) OVER w + 1, false) AS same FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)),
+i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY day) AS island FROM f)
+SELECT user_id, day, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY day) AS BIGINT) AS streak FROM i""")
+def admin_streak_all_events(spark, sf_dir):
+    return one_admin_streaks(read_table(spark, sf_dir, "events"), "user_id", F.col("event_type"))
+
+
+def one_admin_streaks(events, series, admin):
+    d = events.groupBy(series, F.to_date("ts").alias("day")).agg(F.count_distinct(admin).alias("admins"), F.min(admin).alias("admin"))
+    w = Window.partitionBy(series).orderBy("day")
     same = (F.col("admins") == 1) & F.coalesce((F.col("admin") == F.lag("admin", 1).over(w)) & (F.col("day") == F.date_add(F.lag("day", 1).over(w), 1)), F.lit(False))
-    return O.run_lengths(d.withColumn("same", same), "event_type", "day", "same").select("event_type", "day", "streak")
+    return O.run_lengths(d.withColumn("same", same), series, "day", "same").select(series, "day", "streak")
 
 
 @register("""WITH p(prefix, label) AS (VALUES ('1', 'a'), ('12', 'b'), ('123', 'c'), ('4', 'd'), ('77', 'e')), c AS (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS code FROM customer),

@@ -31,9 +31,18 @@ def gate_verdicts(spark, sf_dir):
 @register("""WITH s AS (SELECT o_custkey % 7 AS arm, CASE o_orderstatus WHEN 'P' THEN 'fail' WHEN 'O' THEN 'insufficient' ELSE 'pass' END AS state FROM orders WHERE o_totalprice > 400000),
 p AS (SELECT *, CASE state WHEN 'fail' THEN 0 WHEN 'insufficient' THEN 1 ELSE 2 END AS k FROM s) SELECT arm, arg_min(state, k) AS state FROM p GROUP BY arm""")
 def worst_of_rollup(spark, sf_dir):
+    return worst_of(read_table(spark, sf_dir, "orders").filter("o_totalprice > 400000"), F.col("o_custkey") % 7)
+
+
+@register("""WITH s AS (SELECT o_custkey AS arm, CASE o_orderstatus WHEN 'P' THEN 'fail' WHEN 'O' THEN 'insufficient' ELSE 'pass' END AS state FROM orders),
+p AS (SELECT *, CASE state WHEN 'fail' THEN 0 WHEN 'insufficient' THEN 1 ELSE 2 END AS k FROM s) SELECT arm, arg_min(state, k) AS state FROM p GROUP BY arm""")
+def worst_of_rollup_all_orders(spark, sf_dir):
+    return worst_of(read_table(spark, sf_dir, "orders"), F.col("o_custkey"))
+
+
+def worst_of(orders, arm):
     state = F.when(F.col("o_orderstatus") == "P", "fail").when(F.col("o_orderstatus") == "O", "insufficient").otherwise("pass")
-    rows = read_table(spark, sf_dir, "orders").filter("o_totalprice > 400000").select((F.col("o_custkey") % 7).alias("arm"), state.alias("state"))
-    return R.accumulate_worst(rows, ("fail", "insufficient", "pass"), "arm")
+    return R.accumulate_worst(orders.select(arm.alias("arm"), state.alias("state")), ("fail", "insufficient", "pass"), "arm")
 
 
 @register(PANEL_SQL + """, r AS (SELECT ticker, row_number() OVER (ORDER BY mktcap DESC, ticker) AS a, row_number() OVER (ORDER BY name DESC) AS b, count(*) OVER () AS n FROM meta)

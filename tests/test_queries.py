@@ -31,6 +31,18 @@ def test_regimes_of_dates_with_even_numbers_too(spark):
     assert kept == {r.trade_date for r in rows} and {r.n % 2 for r in rows} == {0, 1}
 
 
+def test_rollups_read_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    events, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("events", "orders"))
+    streaks = catalog.QUERIES["admin_streak_all_events"](spark, SF)
+    assert streaks.count() == events.select("user_id", F.to_date("ts")).distinct().count()
+    states = catalog.QUERIES["worst_of_rollup_all_orders"](spark, SF)
+    assert states.count() == orders.select("o_custkey").distinct().count() and states.select("state").distinct().count() > 1
+    low = orders.filter("o_orderstatus = 'P' AND o_totalprice <= 400000").selectExpr("o_custkey AS arm")
+    assert low.count() > 0 and low.join(states.filter("state = 'fail'"), "arm", "left_anti").isEmpty()
+
+
 def test_entry_works_without_the_optional_parts():
     import subprocess
     import sys
