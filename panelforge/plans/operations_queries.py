@@ -197,7 +197,16 @@ CARRY = "WITH t AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS month, o
 
 @register(CARRY + """, b AS (SELECT max(month) AS month FROM t WHERE month < TIMESTAMP '2001-07-01' AND bucket = 'short') SELECT DATE '2001-07-01' AS month, ticker, bucket FROM t JOIN b USING (month) WHERE bucket = 'short' AND ticker NOT IN (SELECT ticker FROM t WHERE month = TIMESTAMP '2001-07-01')""")
 def carry_forward(spark, sf_dir):
-    t = read_table(spark, sf_dir, "orders").filter("o_orderdate >= '2001-05-01'").select(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.col("o_custkey").alias("ticker"), F.when(F.col("o_custkey") % 2 == 0, "short").otherwise("long").alias("bucket")).distinct()
+    return carried(read_table(spark, sf_dir, "orders").filter("o_orderdate >= '2001-05-01'"))
+
+
+@register(CARRY.removesuffix(" WHERE o_orderdate >= TIMESTAMP '2001-05-01')") + """), b AS (SELECT max(month) AS month FROM t WHERE month < TIMESTAMP '2001-07-01' AND bucket = 'short') SELECT DATE '2001-07-01' AS month, ticker, bucket FROM t JOIN b USING (month) WHERE bucket = 'short' AND ticker NOT IN (SELECT ticker FROM t WHERE month = TIMESTAMP '2001-07-01')""")
+def carry_forward_all_months(spark, sf_dir):
+    return carried(read_table(spark, sf_dir, "orders"))
+
+
+def carried(orders):
+    t = orders.select(F.date_trunc("month", "o_orderdate").cast("date").alias("month"), F.col("o_custkey").alias("ticker"), F.when(F.col("o_custkey") % 2 == 0, "short").otherwise("long").alias("bucket")).distinct()
     return sinks.carry_forward(t, "2001-07-01", "short")
 
 

@@ -115,7 +115,18 @@ def account_aliases(spark, sf_dir):
 t AS (SELECT date, sum(weight) AS weight, sum(value) AS value FROM p GROUP BY date)
 SELECT date, ticker, false AS is_cash, round(weight, 6) AS weight, round(value, 2) AS value FROM p UNION ALL SELECT date, NULL, false, 1.0, round(value, 2) FROM t UNION ALL SELECT date, NULL, true, round(round(1 - weight, 8), 6), 0.0 FROM t WHERE round(1 - weight, 8) > 0""")
 def portfolio_snapshot(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders").filter("o_orderdate < '1995-02-01'").withColumn("date", F.to_date("o_orderdate"))
+    return snapshots(read_table(spark, sf_dir, "orders").filter("o_orderdate < '1995-02-01'"))
+
+
+@register("""WITH p AS (SELECT CAST(o_orderdate AS DATE) AS date, o_custkey AS ticker, round(0.3 * row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderkey) / 10, 8) AS weight, o_totalprice AS value FROM orders),
+t AS (SELECT date, sum(weight) AS weight, sum(value) AS value FROM p GROUP BY date)
+SELECT date, ticker, false AS is_cash, round(weight, 6) AS weight, round(value, 2) AS value FROM p UNION ALL SELECT date, NULL, false, 1.0, round(value, 2) FROM t UNION ALL SELECT date, NULL, true, round(round(1 - weight, 8), 6), 0.0 FROM t WHERE round(1 - weight, 8) > 0""")
+def portfolio_snapshot_all_dates(spark, sf_dir):
+    return snapshots(read_table(spark, sf_dir, "orders"))
+
+
+def snapshots(orders):
+    o = orders.withColumn("date", F.to_date("o_orderdate"))
     w = Window.partitionBy("date").orderBy("o_orderkey")
     p = o.select("date", F.col("o_custkey").alias("ticker"), F.round(0.3 * F.row_number().over(w) / 10, 8).alias("weight"), F.col("o_totalprice").alias("value"))
     return R.snapshot_rows(p).select("date", "ticker", "is_cash", F.round("weight", 6).alias("weight"), F.round("value", 2).alias("value"))

@@ -43,6 +43,20 @@ def test_rollups_read_all_rows(spark):
     assert low.count() > 0 and low.join(states.filter("state = 'fail'"), "arm", "left_anti").isEmpty()
 
 
+def test_snapshots_and_carried_rows_of_all_dates(spark):
+    import datetime
+
+    from panelforge.plans.operations_queries import carried
+    from pyspark.sql import functions as F
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    dates = catalog.QUERIES["portfolio_snapshot_all_dates"](spark, SF).select("date").distinct()
+    assert dates.count() == orders.select(F.to_date("o_orderdate")).distinct().count()
+    assert catalog.QUERIES["carry_forward_all_months"](spark, SF).count() > 0
+    old = spark.createDataFrame([(datetime.datetime(1999, 3, 5), 8), (datetime.datetime(1998, 3, 5), 6)], "o_orderdate timestamp, o_custkey long")
+    assert [r.ticker for r in carried(old).collect()] == [8]
+
+
 def test_entry_works_without_the_optional_parts():
     import subprocess
     import sys
