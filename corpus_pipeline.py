@@ -34,9 +34,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, their number, and whether decoding them gives the library's text of the same ids."""
+    """Token ids, their number, and the text that decoding them gives (``decoded``)."""
     tokens = bpe.encode(docs, vocabulary()).withColumn("n_tokens", F.size("token_ids").cast("long"))
-    return tokens
+    return bpe.decode(tokens, vocabulary())
 
 
 STAGES = [

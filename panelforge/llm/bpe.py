@@ -150,8 +150,8 @@ class WordBpe:
         ids, ends = self.merge([w.encode() for w in words]) if words else ([], [])
         starts = [0, *ends]
         if self.as_text:
-            shown, tokens = [self.id_text[i] for i in ids], [self.tokens[i] for i in ids]
-            done = [(b - a, shown[a], tokens[a]) if b - a == 1 else (b - a, " ".join(shown[a:b]), " ".join(tokens[a:b])) for a, b in zip(starts, ends)]
+            shown = [self.id_text[i] for i in ids]
+            done = [(b - a, " ".join(shown[a:b]), self.decode(ids[a:b])) for a, b in zip(starts, ends)]
         else:
             done = [tuple(ids[a:b]) for a, b in zip(starts, ends)]
         chunks = self.chunks
@@ -168,7 +168,7 @@ class WordBpe:
         for c in missing:
             if c[0] == " ":
                 i = self.special[c[1:]]
-                chunks[c] = (1, str(i), c[1:]) if self.as_text else (i,)
+                chunks[c] = (1, str(i), self.decode([i])) if self.as_text else (i,)
 
     def encode(self, texts: list[str]) -> list[list[tuple]]:
         """For each text the pieces of its chunks."""

@@ -113,6 +113,20 @@ def test_bpe_is_the_librarys(spark, library):
     assert bpe.encode(docs.limit(0), vocabulary()).count() == 0
 
 
+def test_digested_texts_are_decoded_from_ids(monkeypatch):
+    made = bpe.WordBpe(vocabulary(), as_text=True)
+    monkeypatch.setattr(made, "decode", lambda ids: " ".join(map(str, ids)))
+    for pieces in made.encode(["some words, decoded", "again words <|x|>"]):
+        assert pieces and all(p[2] == p[1] for p in pieces)
+
+
+def test_last_stage_gives_the_decoded_text(spark, library):
+    import corpus_pipeline
+
+    rows = corpus_pipeline.encode(spark, fixtures.docs(spark), SF).collect()
+    assert rows and all(r.decoded == library.decode(list(r.token_ids), skip_special_tokens=False) for r in rows)
+
+
 def test_unsafe_merges_follow_the_order_of_places(library):
     made = bpe.WordBpe(vocabulary())
     rng = random.Random(1)
