@@ -1,10 +1,10 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by MinHash banding with exact verification.
 
-Documents are sets of hashed word n-grams. A forest of ``trees`` prefix tries
-holds their MinHash signatures; a tree's key is read from the full prefix of
-``deepest`` values down. The matched prefix is shortened until pairs at the
-threshold meet in some tree with the target recall: the probability that a pair
-of similarity s shares a prefix of length d in one of T trees is
+Documents are sets of hashed word n-grams. In each of ``trees`` trees a set's key
+is a prefix of its MinHash values. One depth, ``deepest`` at most, holds for all
+trees and sets: the longest at which pairs at the threshold meet in some tree
+with the target recall. The probability that a pair of similarity s shares a
+prefix of length d in one of T trees is
 ``1 - (1 - s^d)^T``.
 
 No pair is ever emitted:
