@@ -1,25 +1,31 @@
-"""N-gram Jaccard self-join by MinHash banding with exact verification.
+"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
-Documents are sets of hashed word n-grams. In each of ``trees`` trees a set's key
-is a prefix of its MinHash values. One depth, ``deepest`` at most, holds for all
-trees and sets: the longest at which pairs at the threshold meet in some tree
-with the target recall. The probability that a pair of similarity s shares a
-prefix of length d in one of T trees is
-``1 - (1 - s^d)^T``.
-
-No pair is ever emitted:
+Documents are sets of hashed word n-grams. A set's signature is a ring of
+``trees * floor`` MinHash values. Its path in tree t is the stretch of
+``deepest`` values that begins at ``t * floor``: beginnings of up to ``floor``
+values are independent between trees, longer ones borrow values of the next
+trees and only steer. A pair of similarity s shares a beginning of length d in
+one of T trees with probability ``1 - (1 - s^d)^T``; ``floor`` is the longest
+length at which that reaches the target recall for pairs at the threshold.
 
 1. Equal sets are one *set row* with a weight, so copies cost nothing.
-2. In each trie node the set with the smallest digest leads; every other set of
-   the node gets one edge to it, unless their sketches disagree too much. Sets
-   that are not close to the leader stay and elect the next one, until none is
-   left: what a set resembles is within reach of the leader that settles it.
-   Connected components of these edges bring all candidates of a document
-   together.
-3. Components are cut into blocks of a bounded number of documents, and each
-   pair of blocks is one bounded unit of work: its n-gram sets are intersected
-   exactly, and only counts and one link for each document leave it.
-4. Classes are the connected components of verified links.
+2. *Tries.* All paths are sorted by (tree, path), dealt by range, so that a trie
+   is a stretch of sorted rows and a node a stretch of equal beginnings. A crowded
+   node reaches over several tasks, none of which gets more than its range.
+3. *Shortening.* In each trie sets are matched at the longest beginnings first.
+   In a node some sets lead: one ties all sets of the node to it whose sketches are
+   near and settles those that are very near. A settled set is spoken for by its
+   leader and goes no further in this tree; all others are matched again at a
+   shorter beginning, until the floor, where the target recall is met. What the
+   leaders of a node that several tasks share have in common is found by
+   comparing these leaders in blocks.
+4. Connected components of the ties hold all candidates of a document together.
+   They are cut into blocks of a bounded number of documents and n-grams. Each
+   pair of blocks is one bounded unit of work: its sets are intersected exactly,
+   and only counts and one link for each document leave it.
+5. Classes are the connected components of verified links.
+
+No pair of documents is ever emitted.
 """
 
 from __future__ import annotations
@@ -31,15 +37,20 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Values of a signature compared at an edge, and the least agreement that keeps it.
-SKETCH, AGREE = 128, 0.4
-#: Documents of a block. Two blocks are intersected in one unit of work.
-BLOCK = 1024
+#: Values of a signature that two sets of a node are compared by.
+SKETCH = 128
+#: Sets that are matched together in one node, at most; the leaders of more are compared in blocks.
+PIECE = 2048
+#: Documents and n-grams of a block, on average at most. Two blocks are intersected in one unit of work.
+BLOCK, BLOCK_GRAMS = 2048, 1_000_000
+#: Differing values of a sketch up to which a leader settles a set: at the deepest level, half way, and at the floor.
+SETTLES = (6, 5, 5)
 
 
 def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
@@ -50,12 +61,19 @@ def depth_for(threshold: float, trees: int, deepest: int, recall: float) -> int:
     return 1
 
 
-def reach(threshold: float, recall: float) -> tuple[int, int]:
-    """(close, far): a set that differs from a leader in up to close values of its sketch needs no other leader,
-    one that differs in up to far is tied to it.
+def levels(floor: int, deepest: int) -> list[tuple[int, int]]:
+    """(length, differences that settle) of the beginnings that are matched, longest first; the last is the floor."""
+    if deepest <= floor:
+        return [(floor, SETTLES[-1])]
+    return list(zip((deepest, (deepest + floor) // 2, floor), SETTLES)) if deepest > floor + 1 else [(deepest, SETTLES[0]), (floor, SETTLES[-1])]
+
+
+def reach(threshold: float, recall: float) -> int:
+    """Differing values of a sketch up to which a set is tied to a leader.
 
-    Linked sets differ in more than far - close values with a hundredth of the chance that the recall
-    leaves, so by the triangle inequality all that a close set is linked with is tied to the same leader.
+    Linked sets differ in more than ``apart`` values with a hundredth of the chance that the recall leaves.
+    Either of two linked sets is at most sum(SETTLES) differences from the one that speaks for it, so
+    by the triangle inequality these two are within reach of each other.
     """
     missed, apart = 0.0, SKETCH
     while apart > 0:
@@ -63,8 +81,7 @@ def reach(threshold: float, recall: float) -> tuple[int, int]:
         if missed > (1 - recall) / 100:
             break
         apart -= 1
-    far = max(apart, int(SKETCH * (1 - AGREE)))
-    return far - apart, far
+    return min(SKETCH, apart + 2 * sum(SETTLES))
 
 
 class _WordHash(dict):
@@ -107,47 +124,202 @@ def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 2**63, count, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, count, dtype=np.uint64)
 
 
-def signed(docs: DataFrame, n: int, trees: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text_key, set_id, grams, keys, sketch) of each row; set_id is null for a text without words."""
+def paths_of(values: np.ndarray, trees: int, floor: int, deepest: int) -> np.ndarray:
+    """A row of 8 + deepest - floor bytes for each tree: a hash of the first floor values, then a byte of each further one."""
+    at = np.arange(trees) * floor
+    top = np.zeros(trees, np.uint64)
+    for d in range(floor):
+        top = _mix(top * np.uint64(31) + values[at + d])
+    further = [(values[(at + d) % (trees * floor)] & np.uint64(255)).astype(np.uint8) for d in range(floor, deepest)]
+    return np.column_stack([top.astype(">u8").view(np.uint8).reshape(trees, 8), *further])
+
+
+def signed(docs: DataFrame, n: int, trees: int, floor: int, deepest: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, set_id, grams, paths, sketch) of each row; set_id is null for a text without words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _WordHash()
-        a, b = _functions(max(trees * depth, SKETCH))
+        a, b = _functions(max(trees * floor, SKETCH))
         for pdf in batches:
-            ids, sizes, keys, sketches = [], [], [], []
+            ids, sizes, paths, sketches = [], [], [], []
             for text in pdf["text"]:
                 grams = shingles(text or "", n, known)
                 sizes.append(len(grams))
                 if not len(grams):
-                    ids.append(None), keys.append(None), sketches.append(None)
+                    ids.append(None), paths.append(None), sketches.append(None)
                     continue
                 ids.append(blake2b(grams.tobytes(), digest_size=16).digest())
                 values = _mix(signature(grams, a, b))
-                prefix = np.zeros(trees, np.uint64)
-                for d in range(depth):
-                    prefix = _mix(prefix * np.uint64(31) + values[d * trees : (d + 1) * trees])
-                keys.append(prefix.view(np.int64))
+                paths.append(paths_of(values, trees, floor, deepest).tobytes())
                 sketches.append((values[:SKETCH] & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "set_id": ids, "grams": sizes, "keys": keys, "sketch": sketches})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "set_id": ids, "grams": sizes, "paths": paths, "sketch": sketches})
+
+    return rows.mapInPandas(run, f"doc_id {kind}, text_key long, set_id binary, grams int, paths binary, sketch binary")
+
+
+# The tries
+
+
+def _by_path(rows: DataFrame) -> DataFrame:
+    """Rows in the order of the tries. Ranges are cut at (tree, path, set_id), so they also cut through crowded nodes."""
+    return rows.repartitionByRange("tree", "path", "set_id").sortWithinPartitions("tree", "path", "set_id")
+
+
+def _accompanied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Of sorted paths those that share their node at the floor with a neighbour, and the first and last of a range."""
+    held, with_last = None, True
+    for pdf in batches:
+        if held is not None:
+            pdf = pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
+        top = [(t, p[:8]) for t, p in zip(pdf["tree"], pdf["path"])]
+        same = np.fromiter((x == y for x, y in zip(top, top[1:])), bool, len(top) - 1)
+        keep = np.r_[with_last, same] | np.r_[same, True]
+        held, with_last = pdf.iloc[-1:], bool(np.r_[with_last, same][-1])
+        yield pdf[:-1][keep[:-1]]
+    if held is not None:
+        yield held
+
+
+def _lead(sketches: np.ndarray, live: np.ndarray, settles: int, far: int, group: np.ndarray, ties: list) -> np.ndarray:
+    """Positions that stay: each leads those after it that are left, or is settled by one before it. Ties join groups."""
+    stay, left = [], live
+    while len(left):
+        lead, left = left[0], left[1:]
+        stay.append(lead)
+        if not len(left):
+            break
+        apart = (sketches[left] != sketches[lead]).sum(1)
+        near = left[apart <= far]
+        new, first = np.unique(group[near], return_index=True)
+        for g, k in zip(new, first):
+            if g != group[lead]:
+                ties.append((int(near[k]), int(lead)))
+                group[group == g] = group[lead]
+        left = left[apart > settles]
+    return np.array(stay)
+
+
+def matched(paths: list[bytes], sketches: np.ndarray, steps: list[tuple[int, int]], far: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """(ties, leaders) of the sorted members of one node at the floor: the longest common beginnings are matched first."""
+    floor = steps[-1][0]
+    group, ties, live = np.arange(len(paths)), [], np.arange(len(paths))
+    rest = np.frombuffer(b"".join(p[8:] for p in paths), np.uint8).reshape(len(paths), -1)
+    for length, settles in steps:
+        mine = rest[live, : length - floor]
+        cuts = np.flatnonzero((mine[1:] != mine[:-1]).any(1)) + 1 if length > floor else []
+        live = np.concatenate([part if len(part) == 1 else _lead(sketches, part, settles, far, group, ties) for part in np.split(live, cuts)])
+    return ties, live
+
+
+NODE = "a binary, b binary, tree int, top binary, piece long, sketch binary"
+
+
+def _tied(batches: Iterator[pd.DataFrame], steps: list[tuple[int, int]], far: int) -> Iterator[pd.DataFrame]:
+    """Ties (a, b) of sorted paths with sketches; and, without b, the leaders of pieces whose node may go on elsewhere."""
+    task = TaskContext.get().partitionId() << 32
+    node, open_at_start, pieces = None, True, 0
+    ids, paths, sketches = [], [], []
+
+    def done(more: bool) -> list[tuple]:
+        nonlocal pieces
+        pieces += 1
+        values = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH)
+        ties, leaders = matched(paths, values, steps, far) if len(ids) > 1 else ([], np.arange(len(ids)))
+        out = [(ids[a], ids[b], None, None, None, None) for a, b in ties]
+        if more or open_at_start:
+            out += [(ids[k], None, *node, task + pieces, sketches[k]) for k in leaders]
+        return out
+
+    for pdf in batches:
+        out = []
+        for tree, path, set_id, sketch in zip(pdf["tree"], pdf["path"], pdf["set_id"], pdf["sketch"]):
+            here = (tree, path[:8])
+            if node != here or len(ids) >= PIECE:
+                if ids:
+                    out += done(node == here)
+                open_at_start = node is None or node == here
+                node, ids, paths, sketches = here, [], [], []
+            ids.append(set_id), paths.append(path), sketches.append(sketch)
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b", "tree", "top", "piece", "sketch"])
+    if ids:
+        yield pd.DataFrame(done(True), columns=["a", "b", "tree", "top", "piece", "sketch"])
+
+
+def _tied_leaders(batches: Iterator[pd.DataFrame], far: int) -> Iterator[pd.DataFrame]:
+    """Ties between two blocks of leaders of one node; rows of one (tree, top, i, j) follow each other."""
+    unit, ids, blocks, sketches = None, [], [], []
+
+    def done() -> list[tuple]:
+        values, block = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH), np.array(blocks)
+        group, ties = np.arange(len(ids)), []
+        others = np.flatnonzero(block == unit[3])
+        for lead in np.flatnonzero(block == unit[2]):
+            if (group[others] == group[lead]).all():
+                continue
+            near = others[(values[others] != values[lead]).sum(1) <= far]
+            new, first = np.unique(group[near], return_index=True)
+            for g, k in zip(new, first):
+                if g != group[lead]:
+                    ties.append((ids[near[k]], ids[lead]))
+                    group[group == g] = group[lead]
+        return ties
 
-    return rows.mapInPandas(run, f"doc_id {kind}, text_key long, set_id binary, grams int, keys array<long>, sketch binary")
+    for pdf in batches:
+        out = []
+        for set_id, tree, top, block, i, j, sketch in zip(*(pdf[c] for c in ("a", "tree", "top", "block", "i", "j", "sketch"))):
+            if unit != (tree, top, i, j):
+                if ids:
+                    out += done()
+                unit, ids, blocks, sketches = (tree, top, i, j), [], [], []
+            ids.append(set_id), blocks.append(block), sketches.append(sketch)
+        if out:
+            yield pd.DataFrame(out, columns=["a", "b"])
+    if ids and (out := done()):
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def candidate_ties(sets: DataFrame, trees: int, floor: int, deepest: int, threshold: float, recall: float) -> DataFrame:
+    """(a, b): ties of sets(set_id, paths, sketch) whose components hold every linked pair, with the recall."""
+    width, far, steps = 8 + deepest - floor, reach(threshold, recall), levels(floor, deepest)
+    trie = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("paths", t * width + 1, F.lit(width)))
+    every = sets.select("set_id", F.posexplode(trie).alias("tree", "path"))
+    shared = materialize(_by_path(every).mapInPandas(_accompanied, "set_id binary, tree int, path binary"))
+    sketched = materialize(shared.join(sets.select("set_id", "sketch"), "set_id"))
+    found = materialize(_by_path(sketched).mapInPandas(lambda b: _tied(b, steps, far), NODE))
+
+    open_ = found.filter("b IS NULL").drop("b")
+    sized = open_.groupBy("tree", "top").agg(F.count(F.lit(1)).alias("leaders"), F.count_distinct("piece").alias("pieces")).filter("pieces > 1")
+    sized = materialize(sized.select("tree", "top", F.ceil(F.col("leaders") / PIECE).cast("int").alias("blocks")))
+    units = (
+        open_.join(sized, ["tree", "top"])
+        .withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("a", "tree", "top", "block", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    )
+    units = units.repartition("tree", "top", "i", "j").sortWithinPartitions("tree", "top", "i", "j", "a")
+    between = units.mapInPandas(lambda b: _tied_leaders(b, far), "a binary, b binary")
+    return found.filter("b IS NOT NULL").select("a", "b").union(between)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph with edges (a, b): the smallest node that each reaches.
 
     Alternates large-star and small-star steps; the edges of each round are cut
-    off by a checkpoint. A star is one row for each edge, however large it is.
+    off by a checkpoint. A star is one row for each edge, however large it is;
+    both sides of a join are written before it, so Spark can split a hot star.
     """
     edges = edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
     edges = materialize(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # Large star: neighbours above a node move to its smallest neighbour.
-        large = both.filter("b > a").join(least, "a").selectExpr("b AS a", "m AS b").distinct()
+        large = materialize(both.filter("b > a").join(least, "a").selectExpr("b AS a", "m AS b").distinct())
         # Small star: a node and its smaller neighbours move to the smallest of these.
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b <> m").selectExpr("b AS a", "m AS b").union(low.selectExpr("a", "m AS b")).distinct()
@@ -155,11 +327,14 @@ def components(edges: DataFrame) -> DataFrame:
         same = after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty()
         edges = after
         if same:
-            return edges.selectExpr("a AS node", "b AS root").union(edges.selectExpr("b AS node", "b AS root").distinct())
+            return materialize(edges.selectExpr("a AS node", "b AS root").union(edges.selectExpr("b AS node", "b AS root").distinct()))
 
 
-def _links(sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Weighted link counts, and pairs that connect what is linked: the first partner of each set in each tile.
+# Verification
+
+
+def _links(sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted link counts, and for each set the smallest position that links inside the unit lead to.
 
     left and right are positions of the two blocks. n-grams that only one set has can't be shared and are left out.
     """
@@ -170,7 +345,7 @@ def _links(sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray, right:
     of, width = of[shared], int((counts > 1).sum())
     size = np.array([len(s) for s in sets], np.int64)
     starts = np.searchsorted(of, np.arange(len(sets) + 1))
-    linked, pairs = np.zeros(len(sets), np.int64), []
+    linked, label = np.zeros(len(sets), np.int64), np.arange(len(sets))
     scale = 1_000_000
     least = int(round(threshold * scale))
     tile = 256
@@ -200,27 +375,13 @@ def _links(sets: list[np.ndarray], weights: np.ndarray, left: np.ndarray, right:
             linked[a] += hit @ weights[b]
             if not (same and i == j):
                 linked[b] += hit.T @ weights[a]
-            has = hit.any(1)
-            pairs += zip(a[has].tolist(), b[hit.argmax(1)[has]].tolist())
-            has = hit.any(0)
-            pairs += zip(b[has].tolist(), a[hit.argmax(0)[has]].tolist())
-    return linked, pairs
-
-
-def _first_links(n: int, pairs: list[tuple[int, int]]) -> list[int]:
-    """For each position the smallest one it is connected with by the pairs."""
-    up = list(range(n))
-
-    def top(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    for a, b in pairs:
-        x, y = top(a), top(b)
-        up[max(x, y)] = min(x, y)
-    return [top(x) for x in range(n)]
+            # Every hit joins two labels; as a group grows together few different pairs of labels are left.
+            x, y = np.nonzero(hit)
+            for pair in np.unique(label[a[x]] * len(sets) + label[b[y]]).tolist():
+                p, q = (int(label[k]) for k in divmod(pair, len(sets)))
+                if p != q:
+                    label[label == max(p, q)] = min(p, q)
+    return linked, label
 
 
 def jaccard_classes(
@@ -244,43 +405,25 @@ def jaccard_classes(
     linked too, but name a class only where all its ids are null. Repeated rows
     are linked to each other.
     """
-    depth = depth_for(threshold, trees, deepest, recall)
-    rows = materialize(signed(docs, n, trees, depth, id_col, text_col))
-    sets = rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first_id"))
-
-    nodes = rows.filter("set_id IS NOT NULL").select("set_id", F.posexplode("keys").alias("tree", "key"))
-    leaders = nodes.groupBy("tree", "key").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("last")).filter("leader <> last").drop("last")
-    led = materialize(nodes.join(leaders, ["tree", "key"]).filter("set_id <> leader"))
-    sketches = rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("sketch").alias("sketch"))
-    close, far = reach(threshold, recall)
-    pairs = materialize(
-        led.select("set_id", "leader").distinct()
-        .join(sketches, "set_id")
-        .join(sketches.select(F.col("set_id").alias("leader"), F.col("sketch").alias("of_leader")), "leader")
-        .mapInPandas(_apart, "set_id binary, leader binary, apart int")
-    )
-    # Sets that their leader doesn't settle. If all of a node are tied to it, they are together already.
-    left = materialize(
-        led.join(pairs.filter(F.col("apart") > close), ["set_id", "leader"]).select("tree", "key", "set_id", (F.col("apart") <= far).alias("tied")).distinct()
-    )
-    unled = left.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.min("tied").alias("all_tied")).filter("members > 1 AND NOT all_tied")
-    again = left.join(unled.select("tree", "key"), ["tree", "key"]).join(sketches, "set_id")
-    again = again.repartition("tree", "key").sortWithinPartitions("tree", "key", "set_id")
-    edges = pairs.filter(F.col("apart") <= far).selectExpr("set_id AS a", "leader AS b")
-    edges = edges.union(again.mapInPandas(lambda batches: _elected(batches, close, far), "a binary, b binary"))
-    member = components(edges)
-
-    sized = member.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    placed = member.join(sized, "root").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    floor = depth_for(threshold, trees, deepest, recall)
+    rows = materialize(signed(docs, n, trees, floor, deepest, id_col, text_col))
+    sets = materialize(
+        rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(
+            F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("of"),
+            F.min("grams").alias("grams"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch"),
+        )
+    )
+    member = components(candidate_ties(sets, trees, floor, deepest, threshold, recall))
+
+    sized = member.join(sets.select(F.col("set_id").alias("node"), "weight", "of", "grams"), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int")
+    placed = materialize(sized).join(materialize(sized.groupBy("root").agg(blocks.alias("blocks"))), "root")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # The text of one row of each set of a component. Ids may be null or repeat, so the text's hash is matched as well.
-    wanted = rows.join(placed.withColumnRenamed("node", "set_id"), "set_id").groupBy("set_id", "root", "blocks", "block").agg(
-        F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "text_key")).alias("of")
-    )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
     shipped = (
-        wanted.join(texts, F.col("of.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("of.text_key") == F.col("text_key")))
-        .select("set_id", "weight", "root", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        placed.join(texts, F.col("of.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("of.text_key") == F.col("text_key")))
+        .select(F.col("node").alias("set_id"), "weight", "root", "block", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("set_id", "weight", "root", "block", "text", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
     parts = shipped.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "set_id")
@@ -288,12 +431,12 @@ def jaccard_classes(
     classes = components(found.filter("set_id <> first").selectExpr("set_id AS a", "first AS b"))
 
     linked = found.groupBy("set_id").agg(F.sum("linked").alias("linked"))
-    by_set = (
-        sets.join(linked, "set_id", "left")
+    by_set = materialize(
+        sets.select("set_id", "weight", "first_id").join(linked, "set_id", "left")
         .join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
         .withColumn("root", F.coalesce("root", "set_id"))
-    )
-    by_class = by_set.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("weight").alias("class_size"))
+    )
+    by_class = materialize(by_set.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("weight").alias("class_size")))
     # Materialized, so that both sides of the last join are dealt for it alone and Spark can split a hot set's rows.
     by_set = materialize(
         by_set.join(by_class, "root").select("set_id", "class_id", "class_size", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
@@ -307,56 +450,6 @@ def jaccard_classes(
     )
 
 
-def _apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        if len(pdf):
-            x = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
-            y = np.frombuffer(b"".join(pdf["of_leader"]), np.uint8).reshape(-1, SKETCH)
-            yield pd.DataFrame({"set_id": pdf["set_id"], "leader": pdf["leader"], "apart": (x != y).sum(1).astype(np.int32)})
-
-
-def _elections(sketches: np.ndarray, tied: np.ndarray, close: int, far: int) -> list[tuple[int, int]]:
-    """(member, leader) positions: each set leads those that are left, or is settled by one before it.
-
-    Only ties of what was not together are given. The tied are together from the start.
-    """
-    group = np.where(tied, -1, np.arange(len(tied)))
-    left, out = np.arange(len(tied)), []
-    while len(left) > 1 and (group[left] != group[left[0]]).any():
-        lead, left = left[0], left[1:]
-        apart = (sketches[left] != sketches[lead]).sum(1)
-        near = left[apart <= far]
-        new, first = np.unique(group[near], return_index=True)
-        for g, k in zip(new, first):
-            if g != group[lead]:
-                out.append((int(near[k]), int(lead)))
-                group[group == g] = group[lead]
-        left = left[apart > close]
-    return out
-
-
-def _elected(batches: Iterator[pd.DataFrame], close: int, far: int) -> Iterator[pd.DataFrame]:
-    """Edges inside trie nodes, one after the other: rows of one (tree, key) follow each other."""
-    node, ids, sketches, tied = None, [], [], []
-
-    def done() -> list[tuple[bytes, bytes]]:
-        found = _elections(np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, SKETCH), np.array(tied), close, far)
-        return [(ids[a], ids[b]) for a, b in found]
-
-    for pdf in batches:
-        out = []
-        for tree, key, set_id, sketch, is_tied in zip(pdf["tree"], pdf["key"], pdf["set_id"], pdf["sketch"], pdf["tied"]):
-            if node != (tree, key):
-                if ids:
-                    out += done()
-                node, ids, sketches, tied = (tree, key), [], [], []
-            ids.append(set_id), sketches.append(sketch), tied.append(is_tied)
-        if out:
-            yield pd.DataFrame(out, columns=["a", "b"])
-    if ids and (out := done()):
-        yield pd.DataFrame(out, columns=["a", "b"])
-
-
 def _verified(batches: Iterator[pd.DataFrame], n: int, threshold: float) -> Iterator[pd.DataFrame]:
     """Units of work, one after the other: rows of one (root, i, j) follow each other."""
     known = _WordHash()
@@ -370,8 +463,8 @@ def _verified(batches: Iterator[pd.DataFrame], n: int, threshold: float) -> Iter
         ids = list(seen)
         block = np.array([seen[x][1] for x in ids])
         left, right = np.flatnonzero(block == unit[1]), np.flatnonzero(block == unit[2])
-        linked, pairs = _links([seen[x][2] for x in ids], np.array([seen[x][0] for x in ids]), left, right, unit[1] == unit[2], threshold)
-        return pd.DataFrame({"set_id": ids, "linked": linked, "first": [ids[k] for k in _first_links(len(ids), pairs)]})
+        linked, label = _links([seen[x][2] for x in ids], np.array([seen[x][0] for x in ids]), left, right, unit[1] == unit[2], threshold)
+        return pd.DataFrame({"set_id": ids, "linked": linked, "first": [ids[k] for k in label]})
 
     for pdf in batches:
         out = []

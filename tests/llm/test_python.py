@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -208,11 +209,16 @@ def test_templates_accept_exact_mandatory_wording():
 
 
 def brute_links(rows):
-    sets = [ngram_join.shingles(t or "", 5, ngram_join._WordHash()) for _, t, *_ in rows]
+    def grams(text):
+        words = re.split("[ \t-\r\x1c-\x1f]+", text or "")
+        words = [w for w in words if w]
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [grams(t) for _, t, *_ in rows]
     links = [[] for _ in rows]
     for i, a in enumerate(sets):
         for j in range(i):
-            both = len(np.intersect1d(a, sets[j]))
+            both = len(a & sets[j])
             if len(a) and len(sets[j]) and both * 10 >= 8 * (len(a) + len(sets[j]) - both):
                 links[i].append(j), links[j].append(i)
     out = []
@@ -255,15 +261,54 @@ def test_near_copies_among_texts_of_shared_lines(spark):
     assert sum(want) >= 400 and sorted(got) == list(enumerate(want))
 
 
-def test_elections_reach_all_that_are_near():
+def test_leaders_speak_for_all_that_are_near():
+    """Whatever the pieces, two sets within reach of linked ones end up in one component."""
     rng = np.random.default_rng(3)
-    close, far = ngram_join.reach(0.8, 0.99999)
-    assert (close, far) == (25, 76) and ngram_join.reach(0.5, 0.99999)[0] == 0
+    far, steps = ngram_join.reach(0.8, 0.99999), ngram_join.levels(5, 12)
+    assert far == 51 + 2 * sum(ngram_join.SETTLES) and [s[0] for s in steps] == [12, 8, 5]
     strangers = rng.integers(0, 256, (300, ngram_join.SKETCH), dtype=np.uint8)
     near = strangers.copy()
-    near[:, rng.permutation(ngram_join.SKETCH)[: far - close]] ^= 1
-    edges = ngram_join._elections(np.concatenate([strangers, near]), np.arange(600) == 7, close, far)
-    assert sorted(tuple(sorted(e)) for e in edges) == [(k, k + 300) for k in range(300)]
+    near[:, rng.permutation(ngram_join.SKETCH)[:51]] ^= 1
+    close = strangers.copy()
+    close[:, :4] ^= 1
+    sketches = np.concatenate([strangers, near, close])
+    rest = rng.integers(0, 3, (900, 7), dtype=np.uint8)
+    order = np.lexsort(rest.T[::-1])
+    ties, leaders = ngram_join.matched([bytes(8) + rest[k].tobytes() for k in order], sketches[order], steps, far)
+    up = {k: {k} for k in range(900)}
+    for a, b in ties:
+        a, b = order[a], order[b]
+        up[a] |= up[b]
+        for k in up[a]:
+            up[k] = up[a]
+    assert all({k + 300, k + 600} <= up[k] for k in range(300)) and max(map(len, up.values())) == 3
+    assert len(leaders) < 900
+
+
+@pytest.mark.parametrize("piece", [2048, 3])
+def test_recall_in_crowded_nodes(spark, monkeypatch, piece):
+    """Near copies of similarity 0.8 to 0.95 among texts that share most of a boilerplate passage, against all pairs."""
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    texts = [common + [f"w{rng.randrange(10**6)}" for _ in range(140)] for _ in range(700)]
+    for k in range(0, 500, 2):
+        changed = rng.choice([1, 2, 3, 4])
+        words = list(texts[k])
+        for at in rng.sample(range(len(words)), changed):
+            words[at] = f"n{rng.randrange(10**6)}"
+        texts[k + 1] = words
+    rows = [(i, " ".join(t), None, None, None) for i, t in enumerate(texts)]
+    want = brute_links(rows)
+    assert sum(r[3] for r in want) > 350
+    assert by_id(ngram_join.jaccard_classes(fixtures.docs(spark, rows)), "class_id", "class_size", "n_links") == want
+
+
+def test_classes_hold_together_inside_a_tile():
+    """Links A-X, A-Z, B-Y and B-Z, with A and B in one block: one class, though Z is the first partner of neither."""
+    a, b, x, y, z = (np.arange(k, k + 100, dtype=np.uint64) for k in (50, 72, 39, 83, 61))
+    linked, label = ngram_join._links([a, b, x, y, z], np.ones(5, np.int64), np.arange(2), np.arange(2, 5), False, 0.8)
+    assert label.tolist() == [0] * 5 and linked.tolist() == [2, 2, 1, 1, 2]
 
 
 def test_depth_follows_the_recall():
