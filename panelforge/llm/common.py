@@ -27,3 +27,11 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     df should be materialized: its rows are counted here.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores after it until no column (of any case) has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -6,8 +6,11 @@ than its two terms alone.
 
 Learning uses a bounded sample of labelled rows (``Settings.sample``), chosen by
 a hash of the id. Spark hashes the terms, counts them over the sample and keeps
-the ``Settings.features`` buckets with the largest chi-square; the driver gets
-only these and fits the machine with Adagrad. Scoring reads every whole text.
+the ``Settings.features`` buckets with the largest chi-square. A word that tells
+something only beside another would not be among them, so pairs of near words
+are counted too, and both words of the ``Settings.pairs`` pairs with the largest
+chi-square are kept. The driver gets only these buckets and fits the machine
+with Adagrad. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -30,12 +33,17 @@ TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled rows learned from, at most. least: documents of the sample that a bucket must occur in."""
+    """sample: labelled rows learned from, at most. least: documents of the sample that a bucket must occur in.
+    pairs: pairs of words at most ``window`` apart whose words are kept, out of the ``candidates`` pairs
+    that the most documents with label 1 have."""
 
     sample: int = 12_000
     bits: int = 20
     features: int = 1024
     least: int = 6
+    pairs: int = 128
+    window: int = 3
+    candidates: int = 50_000
     factors: int = 6
     epochs: int = 30
     batch: int = 128
@@ -79,6 +87,42 @@ def buckets_of(word: bytes, bits: int) -> list[int]:
     return [zlib.crc32(word + b" ") & mask, *(zlib.crc32(word[:k]) & mask for k in STEMS if k <= len(word))]
 
 
+def pairs_of(text: str, bits: int, window: int) -> np.ndarray:
+    """Distinct pairs of different words at most window apart, as small bucket << bits | large bucket."""
+    mask = (1 << bits) - 1
+    at = np.array([zlib.crc32(w + b" ") & mask for w in text.encode("utf-8", "replace").translate(TERM_BYTES).split()], np.int64)
+    near = [(np.minimum(x, y) << bits) | np.maximum(x, y) for k in range(1, min(window + 1, len(at))) for x, y in [(at[:-k], at[k:])]]
+    pairs = np.unique(np.concatenate(near)) if near else np.empty(0, np.int64)
+    return pairs[pairs >> bits != pairs & mask]
+
+
+def chi_square(n: float, p: float) -> Column:
+    """Of the columns df and pos, documents and those with label 1, out of n documents with p of label 1."""
+    a, b = F.col("pos"), F.col("df") - F.col("pos")
+    return n * F.pow(a * (n - p - b) - b * (p - a), 2) / (p * (n - p + 1e-9) * F.col("df") * (n - F.col("df") + 1e-9))
+
+
+def telling_pairs(sample: DataFrame, n: float, p: float, s: Settings) -> set[int]:
+    """Buckets of the words of the s.pairs pairs with the largest chi-square in sample(text, toxic)."""
+
+    def counted(wanted: np.ndarray | None):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                rows = [pairs_of(t, s.bits, s.window) for t in pdf["text"]]
+                rows = rows if wanted is None else [r[np.isin(r, wanted)] for r in rows]
+                yield pd.DataFrame({"pair": np.concatenate([*rows, np.empty(0, np.int64)]), "toxic": np.repeat(pdf["toxic"].to_numpy(), [len(r) for r in rows])})
+
+        return lambda df: df.mapInPandas(run, "pair long, toxic int")
+
+    often = counted(None)(sample.filter("toxic = 1")).groupBy("pair").count().filter(F.col("count") >= s.least).orderBy(F.desc("count"), "pair").limit(s.candidates)
+    wanted = np.sort(np.array([r.pair for r in often.collect()], np.int64))  # s.candidates numbers at most
+    best = (
+        counted(wanted)(sample).groupBy("pair").agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos"))
+        .filter(F.col("pos") * n > F.col("df") * p).orderBy(chi_square(n, p).desc(), "pair").limit(s.pairs)
+    )
+    return {b for r in best.collect() for b in (r.pair >> s.bits, r.pair & ((1 << s.bits) - 1))}
+
+
 def held_out(row_id: Column) -> Column:
     """The rows never learned from: crc32 of the id as text is divisible by 5. A null id counts as an empty text."""
     return F.crc32(F.coalesce(row_id.cast("string"), F.lit(""))) % 5 == 0
@@ -104,28 +148,28 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [np.unique(np.array([b for w in words(x) for b in buckets_of(w, bits)], np.int32)) for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "buckets": rows})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "text": pdf["text"], "buckets": rows})
 
     sample = labelled_sample(docs, labels, settings)
+    kinds = [sample.schema["doc_id"], T.StructField("toxic", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("buckets", T.ArrayType(T.IntegerType()))]
     # Copies count once: of equal sets of terms the smallest id is learned from.
-    rows = sample.mapInPandas(hashed, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("buckets", T.ArrayType(T.IntegerType()))]))
-    rows = rows.groupBy(F.xxhash64("buckets").alias("same")).agg(F.min_by(F.struct("doc_id", "toxic", "buckets"), "doc_id").alias("r")).select("r.*")
+    rows = sample.mapInPandas(hashed, T.StructType(kinds))
+    rows = rows.groupBy(F.xxhash64("buckets").alias("same")).agg(F.min_by(F.struct("doc_id", "toxic", "text", "buckets"), F.struct("doc_id", "text")).alias("r")).select("r.*")
     rows = materialize(rows)
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     if whole.n == 0 or whole.p == 0:
         return Model(np.empty(0, np.int64), -4.0 if whole.n else 0.0, np.empty(0), np.empty((0, settings.factors)), bits)
     n, p = float(whole.n), float(whole.p)
-    a, b = F.col("pos"), F.col("df") - F.col("pos")
-    chi = n * F.pow(a * (n - p - b) - b * (p - a), 2) / (p * (n - p + 1e-9) * F.col("df") * (n - F.col("df") + 1e-9))
     best = (
         rows.select(F.explode("buckets").alias("bucket"), "toxic")
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("pos"))
         .filter(F.col("df") >= settings.least)
-        .orderBy(chi.desc(), "bucket")
+        .orderBy(chi_square(n, p).desc(), "bucket")
         .limit(settings.features)
     )
-    buckets = np.sort(np.array([r.bucket for r in best.select("bucket").collect()], np.int64))
+    found = {r.bucket for r in best.select("bucket").collect()} | telling_pairs(rows, n, p, settings)
+    buckets = np.array(sorted(found), np.int64)
     chosen = F.array(*[F.lit(int(x)) for x in buckets]) if len(buckets) else F.array().cast("array<int>")
     data = rows.select("doc_id", "toxic", F.array_intersect("buckets", chosen).alias("b")).orderBy("doc_id").collect()
     return _learn([np.searchsorted(buckets, r.b) for r in data], np.array([r.toxic for r in data], float), buckets, settings)
