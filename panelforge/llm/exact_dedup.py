@@ -91,10 +91,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are matched by id and text, so ids may repeat with different texts.
     """
-    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("__key"))
-    keyed = docs.withColumn("__key", row_key(F.col(id_col), F.sha2(normalized(text_or_empty(text_col)), 256)))
-    number = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
-    return keyed.join(kept, "__key", "left_semi").withColumn("__n", number).filter("__n = 1").select(*docs.columns)
+    kept = exact_dedup(docs, id_col, text_col).filter("kept").select(row_key(F.col("doc_id"), F.col("text_sha256")).alias("key"))
+    # The row goes through as one struct, so its columns may have any names.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col(id_col), F.sha2(normalized(text_or_empty(text_col)), 256)).alias("key"))
+    number = F.row_number().over(Window.partitionBy("key").orderBy("key"))
+    return keyed.join(kept, "key", "left_semi").withColumn("nth", number).filter("nth = 1").select("row.*")
 
 
 ORACLE = r"""
