@@ -28,23 +28,84 @@ PHRASES = (
     ("cc by nc", "cc-by-nc"),
 )
 
-# License notices in the markup above; labels are SPDX-like.
-TEMPLATES = (
+# Whole license texts in the markup above. What an owner fills in is replaceable, what versions leave out optional.
+TEXTS = (
+    (
+        "mit-text",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software <<optional>> and associated
+        documentation files (the "Software") <</optional>>, to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit
+        persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice <<optional>> (including the next paragraph) <</optional>> shall be
+        included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<any:1-8>> BE LIABLE
+        FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+        CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "isc-text",
+        """Permission to use, copy, modify, and<<optional>>/or<</optional>> distribute this software for any purpose with or without fee
+        is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND <<any:1-8>> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<any:1-8>> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+        CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+        NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "bsd-text",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+        conditions are met: <<any:0-1>> Redistributions of source code must retain the above copyright notice, this list of conditions
+        and the following disclaimer. <<any:0-1>> Redistributions in binary form must reproduce the above copyright notice, this list
+        of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+        <<optional>> <<any:0-1>> Neither the name of <<any:1-12>> nor the names of its contributors may be used to endorse or promote
+        products derived from this software without specific prior written permission. <</optional>>
+        THIS SOFTWARE IS PROVIDED BY <<any:1-8>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+        IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<any:1-8>> BE
+        LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO,
+        PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+        OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "zlib-text",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+        any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose,
+        including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+        <<any:0-1>> The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If
+        you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+        <<any:0-1>> Altered source versions must be plainly marked as such, and must not be misrepresented as being the original
+        software. <<any:0-1>> This notice may not be removed or altered from any source distribution.""",
+    ),
+    (
+        "apache-2-text",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use <<any:1-4>> except in compliance with the
+        License. You may obtain a copy of the License at <<any:1-12>> Unless required by applicable law or agreed to in writing, software
+        distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or
+        implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+)
+
+# Sentences that name a license, in the same markup.
+NOTICES = (
     ("mit-notice", "<<optional>> this <<any:1-3>> is <</optional>> licensed under the mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy of this software <<optional>> and associated documentation files the software <</optional>>"),
     ("apache-2-notice", "licensed under the apache license version 2 <<optional>> 0 <</optional>> <<optional>> the license <</optional>>"),
-    ("apache-2-text", "you may not use <<any:1-4>> except in compliance with the license"),
-    ("bsd-text", "redistribution and use in source and binary forms with or without modification are permitted provided that"),
+    ("bsd-notice", "redistribution and use in source and binary forms with or without modification are permitted provided that"),
     ("gpl-notice", "<<optional>> under the terms of the <</optional>> gnu general public license <<optional>> as published by <<any:1-6>> <</optional>> version <<any:1-1>>"),
     ("cc-by-nc-notice", "licensed under <<optional>> a <</optional>> <<optional>> the <</optional>> cc by nc <<optional>> sa <</optional>> <<optional>> nd <</optional>> <<any:0-2>> <<optional>> license <</optional>>"),
     ("cc-notice", "licensed under a creative commons attribution <<optional>> noncommercial <</optional>> <<any:0-3>> license"),
-    ("reserved", "copyright <<any:1-8>> all rights reserved"),
+    ("reserved-notice", "copyright <<any:1-8>> all rights reserved"),
 )
+TEMPLATES = TEXTS + NOTICES
 
 # Bytes that are part of a word: digits, letters (A-Z lower-cased) and all of other characters.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "replace").translate(WORD_BYTES).split()
+
+
 class Automaton:
     """States are numbers; ``words[s]`` leads on by a word, ``free[s]`` by any, ``skips[s]`` without one."""
 
@@ -53,14 +114,16 @@ class Automaton:
         self.free: list[bool] = [False]
         self.skips: list[list[int]] = [[]]
         opened: list[int] = []
-        self.mandatory = 0
-        for part in markup.split():
+        parts = [p for part in re.findall(r"<<[^>]*>>|[^<]+", markup) for p in ([part] if part[0] == "<" else words_of(part))]
+        for part in parts:
             end = len(self.words) - 1
             if part == "<<optional>>":
                 opened.append(end)
             elif part == "<</optional>>":
+                if not opened:
+                    raise ValueError(f"<</optional>> without <<optional>>: {markup}")
                 self.skips[opened.pop()].append(end)
-            elif m := re.fullmatch(r"<<any:(\d+)-(\d+)>>", part):
+            elif isinstance(part, str) and (m := re.fullmatch(r"<<any:(\d+)-(\d+)>>", part)):
                 low, high = map(int, m.groups())
                 steps = [end]
                 for _ in range(high):
@@ -68,12 +131,16 @@ class Automaton:
                     steps.append(self._state())
                 for s in steps[low:-1]:
                     self.skips[s].append(steps[-1])
+            elif isinstance(part, str):
+                raise ValueError(f"unknown markup {part}")
             else:
-                new = self._state()
-                self.words[end][part.encode()] = new
-                self.mandatory += not opened
+                self.words[end][part] = self._state()
         self.end = len(self.words) - 1
-        self.first = {w for s in self._closed({0}) for w in self.words[s]}
+        if opened:
+            raise ValueError(f"<<optional>> is not closed: {markup}")
+        begin = self._closed({0})
+        #: Words that an accepted stretch can begin with; None if any word can begin it.
+        self.first = None if any(self.free[s] for s in begin) else {w for s in begin for w in self.words[s]}
 
     def _state(self) -> int:
         self.words.append({})
@@ -112,10 +179,6 @@ def compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, Automato
     return [(label, Automaton(markup)) for label, markup in templates]
 
 
-def words_of(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").translate(WORD_BYTES).split()
-
-
 def phrase_places(words: list[bytes], joined: bytes, phrase: bytes) -> list[int]:
     """Word positions at which the phrase's words stand consecutively; joined: a space before and after each word."""
     out, at = [], joined.find(phrase)
@@ -133,11 +196,11 @@ def template_matches(words: list[bytes], automata: list[tuple[str, Automaton]])
     present = set(words)
     out = []
     for label, automaton in automata:
-        first = automaton.first & present
+        first = present if automaton.first is None else automaton.first & present
         if not first:
             continue
         free_until = 0
-        places = [i for i, w in enumerate(words) if w in first] if len(first) > 1 else _places(words, next(iter(first)))
+        places = _places(words, next(iter(first))) if len(first) == 1 else [i for i, w in enumerate(words) if w in first]
         for at in places:
             if at >= free_until and (n := automaton.length_at(words, at)):
                 out.append((label, at, n))
@@ -161,7 +224,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     doc_id, n_words, n_base (places of base phrases), first_word and last_word
     (of these places; null without any), base_labels and labels (sorted, distinct,
     comma-joined), matches (label:word:length of accepted templates), and score:
-    1 if a template is accepted, 0.5 with base phrases only, else 0. A null text
+    1 if a whole license text is accepted, 0.75 with a notice, 0.5 with base
+    phrases only, else 0. A null text
     counts as empty: no words, empty labels. Repeated rows get equal values.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -183,7 +247,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         row_id, len(words), len(base), min(places, default=None), max(places, default=None),
                         ",".join(sorted(names)), ",".join(sorted(names | {label for label, _, _ in found})),
                         ",".join(f"{label}:{at}:{n}" for label, at, n in sorted(found, key=lambda m: (m[1], m[0]))),
-                        1.0 if found else 0.5 if base else 0.0,
+                        max([0.75 if label.endswith("-notice") else 1.0 for label, _, _ in found], default=0.5 if base else 0.0),
                     )
                 )
             frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "matches", "score"])
