@@ -10,6 +10,11 @@ a batch of texts are merged together. All their symbols stand in one flat
 array. In each round the keys of adjacent pairs are looked up by binary search
 in the sorted pair keys of the merge list, each word takes its lowest rank, and
 the pairs of that rank are merged in all words at once.
+
+A word of more than ``LONG`` bytes (unspaced scripts, base64, minified code) would
+need a round over all its symbols for each of its ranks. Such words are merged with
+the places of each rank kept in a list: a round takes the lowest rank, merges its
+places together, and looks up only the pairs beside them.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -27,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NO_RANK = np.int64(1) << 40
+#: Bytes above which a word's pairs are kept in lists by rank.
+LONG = 256
 #: White space of Unicode; Python's split also cuts at these four separators, which are symbols here.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 UNICODE_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -83,7 +91,78 @@ class WordBpe:
         self.chunks: dict[str, tuple] = {}
 
     def merge(self, words: list[bytes]) -> tuple[list[int], list[int]]:
-        """All ids in one list, and where each word's ids end. Words are merged together, round by round."""
+        """All ids in one list, and where each word's ids end."""
+        if max(map(len, words)) <= LONG:
+            return self.merge_rounds(words)
+        short = [w for w in words if len(w) <= LONG]
+        ids, ends = self.merge_rounds(short) if short else ([], [])
+        pieces = iter([ids[a:b] for a, b in zip([0, *ends], ends)])
+        out = [next(pieces) if len(w) <= LONG else self.merge_long(w) for w in words]
+        return [i for piece in out for i in piece], np.cumsum([len(piece) for piece in out]).tolist()
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, NO_RANK for one that is never merged."""
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], NO_RANK)
+
+    def merge_long(self, word: bytes) -> list[int]:
+        """The ids of one word, in rounds that touch only the places of the lowest rank and the pairs beside them."""
+        flat = np.frombuffer(word, dtype=np.uint8)
+        sym = self.byte_id[flat]
+        sym[-1] = self.last_id[flat[-1]]
+        n = len(sym)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.append(self.ranks(sym[:-1], sym[1:]), NO_RANK)
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            at = at[rank[at] < NO_RANK]
+            at = at[np.argsort(rank[at], kind="stable")]
+            firsts = np.flatnonzero(np.diff(rank[at], prepend=-1))
+            for r, part in zip(rank[at[firsts]].tolist(), np.split(at, firsts[1:])):
+                if r not in places:
+                    places[r] = []
+                    heappush(queue, r)
+                places[r].append(part)
+
+        note(np.arange(n))
+        while queue:
+            r = heappop(queue)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            if self.safe[r]:
+                # Overlapping places (a run of one symbol): every second of the run.
+                fresh = np.r_[True, after[at[:-1]] != at[1:]]
+                run_start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+                at = at[(np.arange(len(at)) - run_start) % 2 == 0]
+            else:
+                note(at[1:])
+                at = at[:1]
+            gone = after[at]
+            sym[at] = self.made[r]
+            after[at] = after[gone]
+            follow = after[at]
+            before[follow[follow < n]] = at[follow < n]
+            rank[gone] = NO_RANK
+            touched = np.unique(np.concatenate([at, before[at]]))
+            touched = touched[touched >= 0]
+            paired = after[touched] < n
+            rank[touched[~paired]] = NO_RANK
+            touched = touched[paired]
+            rank[touched] = self.ranks(sym[touched], sym[after[touched]])
+            note(touched)
+        at, out = 0, []
+        while at < n:
+            out.append(at)
+            at = int(after[at])
+        return sym[out].tolist()
+
+    def merge_rounds(self, words: list[bytes]) -> tuple[list[int], list[int]]:
+        """merge for words of bounded length: all of them together, a rank of each word in a round."""
         lengths = np.array([len(w) for w in words])
         ends = np.cumsum(lengths)
         flat = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -94,10 +173,7 @@ class WordBpe:
         while len(sym):
             rank = np.full(len(sym), NO_RANK)
             inner = np.flatnonzero(word[:-1] == word[1:])
-            key = sym[inner] * self.size + sym[inner + 1]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            rank[inner[hit]] = self.rank[at[hit]]
+            rank[inner] = self.ranks(sym[inner], sym[inner + 1])
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             best = np.minimum.reduceat(rank, starts)
             counts = np.diff(np.r_[starts, len(sym)])
