@@ -2,11 +2,12 @@
 
 For each rule's regular expression a Boolean query over trigrams is derived:
 every match of the rule must contain, for each clause of the query, one of the
-clause's trigrams. The index holds postings (trigram, document) of the trigrams
-that some rule asks for; intersecting the postings of a rule's clauses leaves
-its candidate documents, and only these are scanned with the expression. A rule
-whose matches need no fixed trigram, such as a run of hex digits, scans every
-document.
+clause's trigrams. The index is a table of postings (trigram, document), written
+once for the trigrams that the rules ask for. A query looks its trigrams up in
+it: a clause is the union of its trigrams' postings, a rule the intersection of
+its clauses, which leaves its candidate documents, and only these are scanned
+with the expression. A rule whose matches need no fixed trigram, such as a run of
+hex digits, scans every document.
 
 Trigrams are of the lower-cased text, so one index serves expressions of either
 case. The expressions themselves always run on the text as it is, and always
@@ -17,12 +18,11 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import materialize, text_or_empty
 
 try:  # the parser of the standard library's own module
     from re import _constants as sre
@@ -137,21 +137,27 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return [c for c in best if len(c) <= max(8, len(best[0]))][:4]
 
 
-def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(row_key, rules): for each document the kinds whose trigram clauses its postings all meet."""
-    queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
-    trigrams = sorted({t for q in queries.values() for clause in q for t in clause})
-    clauses = [(kind, i, sorted(clause)) for kind, q in queries.items() for i, clause in enumerate(q)]
-    # Postings of the index: one row for each wanted trigram and document that has it.
-    postings = (
-        rows.withColumn("low", F.lower("text"))
-        .select("row_key", F.explode(F.filter(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())).alias("trigram"))
-    )
-    # Intersection: a document stays for a rule when each of its clauses has a posting.
-    has = [F.bool_or(F.col("trigram").isin(clause)).alias(f"{kind}__{i}") for kind, i, clause in clauses]
-    met = postings.groupBy("row_key").agg(*has)
-    kinds = [F.when(reduce(lambda a, b: a & b, [F.col(f"{k}__{i}") for k, i, _ in clauses if k == kind]), F.lit(kind)) for kind in queries]
-    return met.select("row_key", F.filter(F.array(*kinds), lambda k: k.isNotNull()).alias("kinds")).filter(F.size("kinds") > 0)
+def clauses_of(rules: tuple[Rule, ...]) -> list[tuple[str, int, str]]:
+    """(kind, clause, trigram) of the Boolean queries of all rules that have one."""
+    return [(r.kind, i, t) for r in rules for i, clause in enumerate(trigram_query(r.pattern)) for t in sorted(clause)]
+
+
+def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
+    """The index of rows(row_key, text): (trigram, row_key) for each of the trigrams that a text has, written as a table."""
+    has = F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams])
+    return materialize(rows.withColumn("low", F.lower("text")).select(F.explode(F.array_compact(has)).alias("trigram"), "row_key"))
+
+
+def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(row_key, kinds): for each document the kinds whose clauses' postings all have it. index may serve several sets of rules."""
+    asked = clauses_of(rules)
+    query = index.sparkSession.createDataFrame(asked, "kind string, clause int, trigram string")
+    # Look-ups by trigram; the query has some hundred rows, which the rules bound. A union of postings has a document once.
+    union = index.join(F.broadcast(query), "trigram").select("row_key", "kind", "clause").distinct()
+    met = union.groupBy("row_key", "kind").agg(F.count(F.lit(1)).alias("met"))
+    needs = {kind: len({c for k, c, _ in asked if k == kind}) for kind, _, _ in asked}
+    of_kind = F.create_map(*[F.lit(x) for pair in needs.items() for x in pair])
+    return met.filter(F.col("met") == of_kind[F.col("kind")]).groupBy("row_key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _lit(text: str) -> str:
@@ -192,7 +198,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    joined = rows.join(candidates(rows, rules), "row_key", "left")
+    index = postings(rows, sorted({t for _, _, t in clauses_of(rules)}))
+    joined = rows.join(materialize(candidates(index, rules)), "row_key", "left")
     found = []
     for order, rule in enumerate(rules):
         scan = f"array_contains(kinds, '{rule.kind}')" if trigram_query(rule.pattern) else f"text RLIKE {_lit(rule.pattern)}"
