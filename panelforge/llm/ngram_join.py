@@ -48,7 +48,7 @@ SKETCH = 128
 #: Sets that are matched together in one node, at most; the leaders of more are compared in blocks.
 PIECE = 2048
 #: Documents and n-grams of a block, on average at most. Two blocks are intersected in one unit of work.
-BLOCK, BLOCK_GRAMS = 2048, 1_000_000
+BLOCK, BLOCK_GRAMS = 1024, 1_000_000
 #: Differing values of a sketch up to which a leader settles a set: at the deepest level, half way, and at the floor.
 SETTLES = (6, 5, 5)
 

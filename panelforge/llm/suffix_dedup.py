@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_broadcast, materialize
 
 LENGTH = 200
 GRAM = 100
@@ -97,8 +97,25 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(dict(zip(("gram", "context", "key", "span"), map(np.concatenate, zip(*out)))))
 
 
-def text_key(text: Column) -> Column:
-    return F.xxhash64(text, F.octet_length(text))
+def text_key(text: Column, seed: int = 0) -> Column:
+    return F.xxhash64(F.lit(seed), text, F.octet_length(text))
+
+
+def with_keys(docs: DataFrame, columns: list[Column], text: Column) -> DataFrame:
+    """columns, text and key, one number for each different text.
+
+    Texts whose numbers collide (their 128-bit digests differ) get a number of
+    the next seed, and all are looked at again, until none collide.
+    """
+    out, seed = docs.select(*columns, text.alias("text")).withColumn("key", text_key(F.col("text"))), 0
+    while True:
+        digest = F.md5("text")
+        collided = out.groupBy("key").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).filter("low <> high").select("key", F.lit(True).alias("collided"))
+        collided = materialize(collided)
+        if collided.isEmpty():
+            return out
+        seed += 1
+        out = out.join(bounded_broadcast(collided, 100_000), "key", "left").withColumn("key", F.when(F.col("collided"), text_key(F.col("text"), seed)).otherwise(F.col("key"))).drop("collided")
 
 
 def anchors(texts: DataFrame) -> DataFrame:
@@ -260,11 +277,9 @@ def _window_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=["window", "key", "first"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, spans) of the texts with repeats: array of (first, stop) starts of windows that repeat; key: text_key."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    texts = docs.select(text_key(text).alias("key"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("row"))
-    rows = materialize(judged(texts, F.col("row")))
+def repeated_spans(texts: DataFrame) -> DataFrame:
+    """(key, spans) of the texts(doc_id, text, key) with repeats: array of (first, stop) starts of windows that repeat."""
+    rows = materialize(judged(texts, F.xxhash64("doc_id", "text")))
     first = F.floor(F.col("span") / 128)
     whole = rows.filter("n > 1").select("key", first.alias("first"), (first + F.pmod("span", F.lit(128))).alias("stop"))
 
@@ -309,9 +324,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes or more lose all of it, each of them. A null or empty text has no
     bytes; texts under 200 bytes lose none. removed holds the runs (first, stop).
     """
-    spans = repeated_spans(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), text_key(text).alias("key"))
+    rows = with_keys(docs, [F.col(id_col).alias("doc_id")], F.coalesce(F.col(text_col), F.lit("")))
+    spans = materialize(repeated_spans(rows))  # written, so that Spark can split the rows of a hot text in the join
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
