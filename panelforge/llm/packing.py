@@ -107,7 +107,7 @@ def pack(
     last token), cu_seqlens the cumulative segment lengths from 0, positions the
     position ids, which restart with each segment, doc_ids and parts the document
     and the part of it in each segment: joining a document's parts in order gives
-    its tokens back. A null or empty text has no tokens and is in no row.
+    its tokens back. tokens may be any tokenizer, such as ``WordBpe.ids``. A null or empty text has no tokens and is in no row.
     Repeated rows are packed as often as they occur. shards: by default one for
     each SHARD_BYTES of text.
     """
@@ -118,7 +118,7 @@ def pack(
     kind = dict(rows.dtypes)["doc_id"]
     dealt = (
         rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
-        .repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
+        .repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -163,3 +163,8 @@ def pack(
 
     schema = f"shard int, row int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<{kind}>, parts array<int>, n_tokens int"
     return dealt.mapInPandas(run, schema)
+
+
+def write_packed(packed: DataFrame, path: str) -> None:
+    """Write the rows of ``pack`` as Parquet, a folder for each shard: a row of the id matrix, its segments and positions."""
+    packed.write.partitionBy("shard").mode("overwrite").parquet(path)
