@@ -10,7 +10,7 @@ SCHEMA = T.StructType(
         T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
     ]
     # Names that the operators use inside.
-    + [T.StructField(n, T.StringType()) for n in ("key", "digest", "content", "set_id", "bin", "row", "span", "grams", "shard", "spans", "score", "token_ids", "of", "size", "copies")]
+    + [T.StructField(n, T.StringType()) for n in ("key", "digest", "content", "set_id", "bin", "row", "span", "grams", "shard", "spans", "score", "token_ids", "of", "size", "copies", "__key", "__n", "__score", "row_key", "kinds", "n_tokens", "decoded", "paths", "tree", "bin_", "nth", "collided", "low")]
 )
 
 

@@ -40,6 +40,11 @@ def test_mixing_comes_near_targets_and_repeats_rows(spark):
     assert mixing.mixed(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("bins", [1, 4])
+def test_mixing_with_few_bins(spark, bins):
+    assert_same(mixing.mix_sources(fixtures.docs(spark), bins=bins), small(fixtures.rows()), mixing.oracle_sql())
+
+
 def test_targets_are_water_filled(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 50)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes, (5, 2, 1), 1.5, 2.0).collect()}
@@ -75,7 +80,9 @@ def test_dedup_compares_content(spark, digest):
 def test_deduplicate_keeps_one_row_with_all_columns(spark):
     docs = fixtures.docs(spark)
     kept = exact_dedup.deduplicate(docs)
-    assert kept.columns == docs.columns and kept.count() == sum(r[3] for r in brute_dedup(fixtures.rows()))
+    rows = kept.collect()
+    assert kept.columns == docs.columns and len(rows) == sum(r[3] for r in brute_dedup(fixtures.rows()))
+    assert all(r[n] == "z" for r in rows for n in docs.columns[5:])
 
 
 def test_trigram_queries():

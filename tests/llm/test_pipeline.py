@@ -6,6 +6,7 @@ import corpus_pipeline
 from panelforge.llm import mixing, toxicity
 from panelforge.llm.queries import vocabulary
 
+from tests.llm import fixtures
 from tests.llm.test_python import brute_links
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,16 @@ def test_stages_against_plain_versions(spark, tmp_path):
 def test_run_gives_the_last_stages_rows(spark):
     a, b = (sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert a == b and len(a) > 0
+
+
+def test_stages_take_awkward_rows_and_empty_tables(spark):
+    """Clashing names keep their values, whatever a stage calls its own columns."""
+    given = fixtures.docs(spark)
+    for empty, docs in ((False, given), (True, given.limit(0))):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            rows = out.collect()
+            assert set(docs.columns) <= set(out.columns) and bool(rows) != empty
+            own = {"token_ids", "n_tokens", "decoded"} if name == "bpe" else set()
+            assert all(r[n] == "z" for r in rows for n in given.columns[5:] if n not in own)
+            docs = out.select(*docs.columns) if name != "bpe" else docs

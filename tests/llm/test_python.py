@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -44,6 +46,35 @@ def test_pairs_weigh_more_than_their_terms():
     assert s[0] > 0.8 and max(s[1:]) < 0.2
 
 
+def test_scores_are_the_sum_over_all_pairs():
+    rng = np.random.default_rng(5)
+    m = toxicity.Model(np.arange(12), -0.3, rng.normal(size=12), rng.normal(size=(12, 4)), 20)
+    rows = [[], [3], [0, 5], [1, 2, 7, 11], list(range(12))]
+    want = [-0.3 + sum(m.weight[i] for i in r) + sum(m.factor[i] @ m.factor[j] for i in r for j in r if i < j) for r in rows]
+    assert np.allclose(m.score(rows), 1 / (1 + np.exp(-np.array(want))))
+
+
+def test_words_that_tell_only_in_pairs(spark):
+    """Each of four words is in half of the rows of either label; ids are strings. Only pairs tell, and no additive weights can."""
+    rng, rows = random.Random(6), []
+    for i in range(1600):
+        a, b = rng.choice(["zorb", "vint"]), rng.choice(["quill", "mast"])
+        noise = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(25)]
+        rows.append((f"d{i}", " ".join(noise[:12] + [a, b] + noise[12:]), int((a == "zorb") == (b == "quill"))))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id string, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id string, quality int, toxic int")
+
+    def auc(settings):
+        truth = {i: y for i, _, y in rows}
+        held = [(r.score, truth[r.doc_id]) for r in toxicity.toxicity_scores(docs, labels, settings).filter("held_out").collect()]
+        pos, neg = (np.array([s for s, y in held if y == k]) for k in (1, 0))
+        return (pos[:, None] > neg).mean() + 0.5 * (pos[:, None] == neg).mean()
+
+    small = {"features": 64}
+    assert auc(toxicity.Settings(**small)) > 0.95
+    assert auc(toxicity.Settings(**small, pairs=0)) < 0.7
+
+
 def test_toxicity_of_awkward_rows(spark):
     docs = fixtures.docs(spark)
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, 0, 1), (4, 1, None), (12, 1, 1), (13, 0, 0)], "doc_id long, quality int, toxic int")
@@ -72,7 +103,7 @@ def test_best_fit_against_a_plain_search():
         assert sorted(sorted(sizes[i] for i in r) for r in got) == sorted(sorted(sizes[i] for i in r) for r in rows)
 
 
-def test_packing_is_lossless(spark):
+def test_packing_is_lossless(spark, tmp_path):
     docs = fixtures.docs(spark)
     seen, length = {}, 64
     for r in packing.pack(docs, length=length, shards=2).collect():
@@ -88,6 +119,8 @@ def test_packing_is_lossless(spark):
             expected.setdefault((i, p), []).append(ids[p * length : (p + 1) * length].tobytes())
     assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in expected.items()}
     assert packing.pack(docs.limit(0)).count() == 0
+    packing.write_packed(packing.pack(docs, length=length, shards=2), str(tmp_path / "packed"))
+    assert spark.read.parquet(str(tmp_path / "packed")).count() == packing.pack(docs, length=length, shards=2).count()
 
 
 # BPE
@@ -136,9 +169,41 @@ def test_unsafe_merges_follow_the_order_of_places(library):
         assert made.ids(w) == library.encode(w, add_special_tokens=False).ids
 
 
+def test_words_of_any_length(library):
+    """A million letters without a space take seconds; the lists by rank give what rounds give."""
+    made, rng = bpe.WordBpe(vocabulary()), random.Random(2)
+    for w in ["a" * 777, "ab" * 500, "aab" * 333, "日本語" * 400, "".join(rng.choice("etaoinshr") for _ in range(3000))]:
+        assert made.ids(w) == made.ids(w) == library.encode(w, add_special_tokens=False).ids
+        assert made.merge_long(w.encode()) == made.merge_rounds([w.encode()])[0]
+    for _ in range(200):
+        w = "".join(rng.choice("aabbcdeinotrs") for _ in range(rng.randrange(1, 40)))
+        assert made.merge_long(w.encode()) == made.merge_rounds([w.encode()])[0]
+    w = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    began = time.time()
+    ids = made.ids(w)
+    assert time.time() - began < 60 and ids == library.encode(w, add_special_tokens=False).ids
+
+
 # Media
 
 
+def test_equal_texts_have_equal_values_in_any_batch(spark):
+    rng = random.Random(5)
+    texts = [fixtures.sentence(rng, rng.randrange(1, 400)) for _ in range(40)]
+    alone = {t: media.decode(media.encode([media.payload_of(t)]))[0] for t in texts}
+    for _ in range(3):
+        rng.shuffle(texts)
+        for t, (payload, rgb) in zip(texts, media.decode(media.encode([media.payload_of(t) for t in texts]))):
+            assert payload == alone[t][0] == media.payload_of(t) and (rgb == alone[t][1]).all()
+    docs = fixtures.docs(spark, [(i, t, None, None, None) for i, t in enumerate(texts * 2)])
+    for r in media.media_columns(docs).collect():
+        payload, rgb = alone[texts[r.doc_id % 40]]
+        (file,) = media.encode([payload])
+        plain = ",".join(f"{rgb[..., c].mean():.2f}/{rgb[..., c].astype(float).std():.2f}" for c in range(3))
+        assert (r.feature, r.tail_crc32) == (f"{rgb.shape[0]}x{rgb.shape[1]}:{plain}", zlib.crc32(payload[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+
+
 def test_media_round_trip(spark):
     got = by_id(media.media_columns(fixtures.docs(spark)), "n_bytes", "payload_bytes", "payload_sha256")
     expected = []
@@ -180,8 +245,6 @@ def test_tensors_column(spark):
 
 
 def test_license_bases_by_brute_force(spark):
-    import re
-
     expected = []
     for i, t, *_ in fixtures.rows():
         low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
@@ -205,6 +268,49 @@ def test_templates_accept_exact_mandatory_wording():
     assert a.length_at(words("licensed beneath x one end"), 0) == 0
 
 
+    free = licenses.Automaton("<<any:1-2>> x end")
+    assert licenses.template_matches(words("foo x end"), [("q", free)]) == [("q", 0, 3)]
+    for wrong in ("a <<optional>> b", "a <</optional>>", "a <<some>> b"):
+        with pytest.raises(ValueError):
+            licenses.Automaton(wrong)
+
+
+def plain_expression(markup):
+    """The template as a regular expression over words, each followed by a space."""
+    out = []
+    for part in re.findall(r"<<[^>]*>>|[^<]+", markup):
+        if part == "<<optional>>":
+            out.append("(?:")
+        elif part == "<</optional>>":
+            out.append(")?")
+        elif part.startswith("<<any:"):
+            out.append(r"(?:[^ ]+ ){%s,%s}" % tuple(part[6:-2].split("-")))
+        else:
+            out += [w + " " for w in re.findall("[a-z0-9]+", part.lower())]
+    return re.compile("".join(out))
+
+
+def filled(markup, rng):
+    text = re.sub(r"<<optional>>(.*?)<</optional>>", lambda m: m[1] if rng.random() < 0.5 else "", markup, flags=re.S)
+    return re.sub(r"<<any:(\d+)-(\d+)>>", lambda m: " ".join(["owner"] * rng.randrange(int(m[1]), int(m[2]) + 1)), text)
+
+
+def test_labels_of_templates_by_regular_expressions(spark):
+    rng, rows = random.Random(7), []
+    for label, markup in licenses.TEMPLATES * 4:
+        words = filled(markup, rng).split()
+        rows.append(" ".join(["see", *words, "thanks"]))
+        words[rng.randrange(len(words))] = "altered"
+        rows.append(" ".join(words))
+    got = {r.doc_id: r for r in licenses.scan_licenses(fixtures.docs(spark, [(i, t, None, None, None) for i, t in enumerate(rows)])).collect()}
+    for i, text in enumerate(rows):
+        joined = " ".join(re.findall("[a-z0-9]+", text.lower())) + " "
+        names = {label for label, markup in licenses.TEMPLATES if re.search("(?<![^ ])" + plain_expression(markup).pattern, joined)}
+        assert set(got[i].labels.split(",")) - {""} == names | (set(got[i].base_labels.split(",")) - {""}), text
+        assert got[i].score == (1.0 if any(n.endswith("-text") for n in names) else 0.75 if names else 0.5 if got[i].base_labels else 0.0)
+    assert sum(r.score == 1.0 for r in got.values()) >= 20
+
+
 # N-gram join
 
 
@@ -352,6 +458,13 @@ def test_removal_against_all_strings(spark, monkeypatch, giant, least):
     assert by_id(got, "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=str)
 
 
+def test_texts_whose_keys_collide(spark, monkeypatch):
+    real = suffix_dedup.text_key
+    monkeypatch.setattr(suffix_dedup, "text_key", lambda text, seed=0: real(text, seed) % 5 if seed < 2 else real(text, seed))
+    expected = [(r[0], *x) for r, x in zip(fixtures.rows(), brute_removal([(t or "").encode() for _, t, *_ in fixtures.rows()]))]
+    assert by_id(suffix_dedup.removal_digests(fixtures.docs(spark)), "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(expected, key=str)
+
+
 def test_texts_longer_than_a_stretch(monkeypatch):
     powers = suffix_dedup._powers()
     raw = bytes(random.Random(1).randrange(256) for _ in range(5000))
