@@ -1,4 +1,8 @@
-"""A training-data pipeline over documents: each stage works on what its predecessor kept."""
+"""A training-data pipeline over documents: each stage works on what its predecessor kept.
+
+Every stage takes null and empty texts, repeated rows, empty tables and further
+columns of any name; those of a stage's own output are replaced as its docstring says.
+"""
 
 from __future__ import annotations
 
@@ -8,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm import bpe, exact_dedup, mixing, ngram_join, toxicity
-from panelforge.llm.common import read_table
+from panelforge.llm.common import read_table, unused
 from panelforge.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score under 0.5; a null text is judged like an empty one."""
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, score_col="__score").filter("__score < 0.5").select(*docs.columns)
+    score = unused("score", docs.columns)
+    return toxicity.score(docs, model, score_col=score).filter(F.col(score) < 0.5).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +39,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, their number, and the text that decoding them gives (``decoded``)."""
+    """docs with token_ids, their number n_tokens, and decoded, the text that decoding them gives.
+
+    Columns of these three names are replaced.
+    """
     tokens = bpe.encode(docs, vocabulary()).withColumn("n_tokens", F.size("token_ids").cast("long"))
     return bpe.decode(tokens, vocabulary())
 
@@ -56,7 +64,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="panelforge-pipeline-")
     folder = f"{shared}/pipeline-{spark.sparkContext.applicationId}-{spark.range(1).select(F.uuid()).first()[0]}"
     docs = read_table(spark, sf_dir, "documents")
+    before = None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        after = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(after)
+        docs = spark.read.parquet(after)
+        if before:  # what the next stage has read is not needed again
+            path = spark._jvm.org.apache.hadoop.fs.Path(before)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = after
     return docs
