@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ LOOKBACKS = {"short": (20, 60), "mid": (63, 126), "long": (126, 252)}
 HIGH_WINDOW, SPIKE_WINDOW, ADV_WINDOW, ADV_LEAST = 252, 5, 60, 30
 SPLIT_RATIO, SPLIT_TOLERANCE, EXTREME = 1.5, 0.15, 3.0
 
+
 def by_ticker() -> WindowSpec:
     return Window.partitionBy("ticker").orderBy("trade_date")
 
@@ -196,19 +198,58 @@ def wilder_rsi(bars: DataFrame, n: int = 14) -> DataFrame:
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """ticker, hist: the last difference of the fast and slow EMA less its own EMA; folds that keep the line's history."""
+    """ticker, hist: the last difference of the fast and slow EMA less its own EMA, plus a bonus for a crossing.
+
+    The bonus is (signal - age) / signal for the line's newest crossing above its
+    EMA, age bars ago, inside the last ``signal`` bars. One fold over each ticker's
+    values, with a few numbers of state.
+    """
     series = bars.groupBy("ticker").agg(F.transform(F.array_sort(F.collect_list(F.struct("trade_date", "close"))), lambda x: x["close"]).alias("v"))
+    mean = lambda n: F.aggregate(F.slice("v", 1, n), F.lit(0.0), lambda a, x: a + x) / n
+    step = lambda a, x, n: a + 2.0 / (n + 1) * (x - a)
+    f0 = F.aggregate(F.slice("v", fast + 1, slow - fast), mean(fast), lambda a, x: step(a, x, fast))
+    out = series.filter(F.size("v") >= slow + signal).withColumn("f0", f0).withColumn("s0", mean(slow))
+
+    def state(f: Column, s: Column, seen: Column, total: Column, line: Column, ema: Column, age: Column) -> Column:
+        return F.struct(f.alias("f"), s.alias("s"), seen.alias("seen"), total.alias("total"), line.alias("line"), ema.alias("ema"), age.alias("age"))
+
+    def after(a: Column, x: Column) -> Column:
+        f, s = step(a["f"], x, fast), step(a["s"], x, slow)
+        line, seen = f - s, a["seen"] + 1
+        total = a["total"] + F.when(seen <= signal, line).otherwise(0.0)
+        ema = F.when(seen > signal, step(a["ema"], line, signal)).when(seen == signal, total / signal)
+        crossed = (a["line"] <= a["ema"]) & (line > ema)
+        return state(f, s, seen, total, line, ema, F.when(crossed, 0).otherwise(a["age"] + 1))
 
-    def line(n: int) -> Column:
-        seed = F.aggregate(F.slice("v", 1, n), F.lit(0.0), lambda a, x: a + x) / n
-        step = lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + 2.0 / (n + 1) * (x - F.element_at(a, -1))))
-        return F.aggregate(F.slice("v", n + 1, F.greatest(F.size("v") - n, F.lit(0))), F.array(seed), step)
+    first = F.col("f0") - F.col("s0")
+    begin = state(F.col("f0"), F.col("s0"), F.lit(1), first, first, F.lit(None).cast("double"), F.lit(signal))
+    out = out.withColumn("end", F.aggregate(F.slice("v", slow + 1, F.size("v") - slow), begin, after))
+    bonus = F.greatest(F.lit(0.0), (signal - F.col("end.age")) / F.lit(float(signal)))
+    return out.select("ticker", (F.col("end.line") - F.col("end.ema") + bonus).alias("hist"))
+
+
+def ema_series(bars: DataFrame, n: int, value: str = "close") -> DataFrame:
+    """ticker, trade_date, ema of every bar: seeded with the mean of the first n values in a row, null before.
+
+    A missing value after the seed ends the series. One group is one ticker's bars.
+    """
 
-    out = series.filter(F.size("v") >= slow + signal).withColumn("f", line(fast)).withColumn("s", line(slow))
-    out = out.withColumn("m", F.zip_with(F.slice("f", slow - fast + 1, F.size("s")), "s", lambda a, b: a - b))
-    seed = F.aggregate(F.slice("m", 1, signal), F.lit(0.0), lambda a, x: a + x) / signal
-    smoothed = F.aggregate(F.slice("m", signal + 1, F.size("m") - signal), seed, lambda a, x: a + 2.0 / (signal + 1) * (x - a))
-    return out.select("ticker", (F.element_at("m", -1) - smoothed).alias("hist"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trade_date")
+        v = pdf[value].astype(float).reset_index(drop=True)
+        full = v.notna().rolling(n).sum() == n
+        out = pd.Series(float("nan"), v.index)
+        if full.any():
+            seed = int(full.idxmax())
+            rest = v[seed + 1 :]
+            stop = int(rest[rest.isna()].index[0]) if rest.isna().any() else len(v)
+            chain = pd.concat([pd.Series([v[seed - n + 1 : seed + 1].mean()]), v[seed + 1 : stop]])
+            out[seed:stop] = chain.ewm(alpha=2.0 / (n + 1), adjust=False).mean().to_numpy()
+        return pd.DataFrame({"ticker": pdf["ticker"].to_numpy(), "trade_date": pdf["trade_date"].to_numpy(), "ema": out.to_numpy()})
+
+    kept = bars.select("ticker", "trade_date", value)
+    types = dict(kept.dtypes)
+    return kept.groupBy("ticker").applyInPandas(run, f"ticker {types['ticker']}, trade_date {types['trade_date']}, ema double")
 
 
 def sector_momentum(bars: DataFrame, instruments: DataFrame, date: str, lag: int = 21, window: int = 126, fraction: float = 0.30, least: int = 3) -> DataFrame:

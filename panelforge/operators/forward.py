@@ -10,6 +10,27 @@ ENTRY_OFFSET, ENTRY_GAP, LOOKAHEAD = 1, 5, 5
 COST, DELISTED = 0.004, -1.0
 
 
+def around(prices: DataFrame, asked: DataFrame, at: str) -> DataFrame:
+    """asked(ticker, at, ...) with last, the (day, close) at or before its day, and next, that of the first day after it.
+
+    Both sides are sorted together by ticker and day, so no row is repeated.
+    """
+    kind = prices.select(F.struct("day", "close").alias("p")).schema["p"].dataType
+    rows = asked.select("ticker", F.col(at).alias("__day"), F.lit(1).alias("__asked"), F.struct(*asked.columns).alias("__row"), F.lit(None).cast(kind).alias("__p"))
+    seen = prices.select("ticker", F.col("day").alias("__day"), F.lit(0).alias("__asked"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.struct("day", "close").alias("__p"))
+    w = Window.partitionBy("ticker").orderBy(F.col("__day").asc_nulls_first(), "__asked")
+    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    both = rows.unionByName(seen).withColumn("last", F.last("__p", ignorenulls=True).over(before)).withColumn("next", F.first("__p", ignorenulls=True).over(after))
+    return both.filter("__asked = 1").select("__row.*", "last", "next")
+
+
+def entries(prices: DataFrame, picks: DataFrame) -> DataFrame:
+    """picks(sel_day, ticker) with used and p0: the first price of the days sel_day + 1 to sel_day + 6."""
+    found = around(prices, picks.select("sel_day", "ticker"), "sel_day")
+    near = F.col("next.day") <= F.col("sel_day") + ENTRY_OFFSET + ENTRY_GAP
+    return found.select("sel_day", "ticker", F.when(near, F.col("next.day")).alias("used"), F.when(near, F.col("next.close")).alias("p0"))
+
+
 def forward_returns(panel: DataFrame, days: DataFrame, picks: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
     """picks(sel_day, ticker) x horizons with ret and status.
 
@@ -20,42 +41,33 @@ def forward_returns(panel: DataFrame, days: DataFrame, picks: DataFrame, horizon
     seen after the target, else insufficient.
     """
     prices = panel.join(days, "trade_date").select("ticker", "day", "close")
-    last = days.agg(F.max("day").alias("last_day"))
-    wanted = picks.select("sel_day", "ticker").withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).join(F.broadcast(last))  # a single row
-    entry = F.col("sel_day") + ENTRY_OFFSET
-    near = (F.col("day") >= entry) & (F.col("day") <= entry + ENTRY_GAP)
-    used = (
-        wanted.join(prices, "ticker", "left")
-        .groupBy("sel_day", "ticker", "horizon", "last_day")
-        .agg(F.min(F.when(near, F.struct("day", "close"))).alias("e"))
-        .withColumn("used", F.col("e.day")).withColumn("p0", F.col("e.close")).withColumn("target", F.col("used") + F.col("horizon"))
-    )
-    after = used.join(prices, "ticker", "left").groupBy("sel_day", "ticker", "horizon", "last_day", "used", "p0", "target").agg(
-        F.max(F.when(F.col("day") == F.col("target"), F.col("close"))).alias("at"),
-        F.max(F.when((F.col("day") > F.col("used")) & (F.col("day") <= F.col("target")), F.struct("day", "close"))).alias("before"),
-        F.min(F.when(F.col("day") > F.col("target"), F.struct("day", "close"))).alias("next"),
-    )
+    last_day = days.agg(F.max("day").alias("last_day"))
+    used = entries(prices, picks).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("target", F.col("used") + F.col("horizon"))
+    found = around(prices, used, "target").join(F.broadcast(last_day))  # a single row
+    at = F.when(F.col("last.day") == F.col("target"), F.col("last.close"))
+    before = F.when(F.col("last.day") > F.col("used"), F.col("last.close"))
     late = F.col("sel_day") + ENTRY_OFFSET > F.col("last_day")
     status = (
         F.when(late, "insufficient").when(F.col("used").isNull(), "absent").when(F.col("target") > F.col("last_day"), "insufficient")
-        .when(F.col("at").isNotNull(), "ok").when(F.col("next").isNotNull(), "gap").when(F.col("before").isNotNull(), "delisted")
+        .when(at.isNotNull(), "ok").when(F.col("next").isNotNull(), "gap").when(before.isNotNull(), "delisted")
         .when(F.col("target") + LOOKAHEAD > F.col("last_day"), "insufficient").otherwise("delisted")
     )
-    price = F.coalesce(F.col("at"), F.col("before.close"), F.col("next.close"))
+    price = F.coalesce(at, before, F.col("next.close"))
     ret = F.when(F.col("status").isin("ok", "gap", "delisted"), F.coalesce(price / F.col("p0") - 1, F.lit(DELISTED)))
-    return after.withColumn("status", status).select("sel_day", "ticker", "horizon", F.round(ret, 8).alias("ret"), "status")
+    return found.withColumn("status", status).select("sel_day", "ticker", "horizon", F.round(ret, 8).alias("ret"), "status")
 
 
 def lead_time(panel: DataFrame, days: DataFrame, picks: DataFrame, horizon: int, threshold: float) -> DataFrame:
-    """sel_day, ticker, lead: days from entry to the first close at least threshold above it, inside the horizon."""
+    """sel_day, ticker, lead: days from entry to the first close at least threshold above it, inside the horizon.
+
+    An entry asks for the prices of the days of its horizon by ticker and day.
+    """
     prices = panel.join(days, "trade_date").select("ticker", "day", "close")
-    entry = F.col("sel_day") + ENTRY_OFFSET
-    used = picks.join(prices, "ticker").groupBy("sel_day", "ticker").agg(
-        F.min(F.when((F.col("day") >= entry) & (F.col("day") <= entry + ENTRY_GAP), F.struct("day", "close"))).alias("e")
-    )
-    gain = F.col("close") / F.col("e.close") - 1
-    inside = (F.col("day") > F.col("e.day")) & (F.col("day") <= F.col("e.day") + horizon)
-    return used.join(prices, "ticker").groupBy("sel_day", "ticker").agg(F.min(F.when(inside & (gain >= threshold) & (gain > 0), F.col("day") - F.col("e.day"))).alias("lead"))
+    used = entries(prices, picks)
+    asked = used.filter("used IS NOT NULL").select("sel_day", "ticker", "used", "p0", F.explode(F.sequence(F.col("used") + 1, F.col("used") + horizon)).alias("day"))
+    gain = F.col("close") / F.col("p0") - 1
+    reached = asked.join(prices, ["ticker", "day"]).filter((gain >= threshold) & (gain > 0)).groupBy("sel_day", "ticker").agg(F.min(F.col("day") - F.col("used")).alias("lead"))
+    return used.select("sel_day", "ticker").join(reached, ["sel_day", "ticker"], "left")
 
 
 def winners(returns: DataFrame, q: float = 0.9, least: int = 10) -> DataFrame:

@@ -22,28 +22,19 @@ def regime_label(spark, sf_dir):
     return named.filter("bar >= 200").select("ticker", "trade_date", B.regime().alias("regime"))
 
 
-@register(P.PANEL_SQL + """, m AS (SELECT trade_date, ticker, bar, close, close / lag(close, 120) OVER w - 1 AS r120, CASE WHEN bar >= 120 THEN avg(close) OVER (PARTITION BY ticker ORDER BY trade_date ROWS 119 PRECEDING) END AS ma120 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)),
-g AS (SELECT trade_date, round(quantile_disc(r120, 0.5), 6) AS med, round(avg(CASE WHEN close > ma120 THEN 1.0 ELSE 0.0 END), 6) AS breadth FROM m WHERE r120 IS NOT NULL GROUP BY trade_date HAVING count(*) % 2 = 1)
-SELECT trade_date, med, breadth, CASE WHEN med > 0 AND breadth > 0.5 THEN 'bull' WHEN med < 0 AND breadth < 0.5 THEN 'bear' ELSE 'mixed' END AS label FROM g""")
-def market_regime(spark, sf_dir):
-    """The dates of market_regime_all_dates with an odd number of instruments, as the SQL has them."""
-    return regimes(spark, sf_dir).filter("n % 2 = 1").drop("n")
-
+#: Mean traded value of 60 bars that an instrument needs to count for the regime, scaled to the driver's tables.
+REGIME_FLOOR = 20_000.0
 
-@register(P.PANEL_SQL + """, m AS (SELECT trade_date, ticker, bar, close, close / lag(close, 120) OVER w - 1 AS r120, CASE WHEN bar >= 120 THEN avg(close) OVER (PARTITION BY ticker ORDER BY trade_date ROWS 119 PRECEDING) END AS ma120 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)),
-g AS (SELECT trade_date, round(list_sort(list(r120))[count(*) // 2 + 1], 6) AS med, round(avg(CASE WHEN close > ma120 THEN 1.0 ELSE 0.0 END), 6) AS breadth FROM m WHERE r120 IS NOT NULL GROUP BY trade_date)
-SELECT trade_date, med, breadth, CASE WHEN med > 0 AND breadth > 0.5 THEN 'bull' WHEN med < 0 AND breadth < 0.5 THEN 'bear' ELSE 'mixed' END AS label FROM g""")
-def market_regime_all_dates(spark, sf_dir):
-    return regimes(spark, sf_dir).drop("n")
 
-
-def regimes(spark, sf_dir):
-    """Label of every date by the upper median of the half-year returns, and the number n of instruments."""
-    m = bars_of(spark, sf_dir).withColumns({"r120": B.trailing_return(120), "ma120": B.sma(120)}).filter("r120 IS NOT NULL")
-    upper = F.sort_array(F.collect_list("r120"))[F.floor(F.count(F.lit(1)) / 2).cast("int")]
-    g = m.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.round(upper, 6).alias("med"), F.round(F.avg(F.when(F.col("close") > F.col("ma120"), 1.0).otherwise(0.0)), 6).alias("breadth"))
-    label = F.when((F.col("med") > 0) & (F.col("breadth") > 0.5), "bull").when((F.col("med") < 0) & (F.col("breadth") < 0.5), "bear").otherwise("mixed")
-    return g.select("trade_date", "n", "med", "breadth", label.alias("label"))
+@register(P.PANEL_SQL + f""", m AS (SELECT trade_date, ticker, bar, close, close / lag(close, 120) OVER w - 1 AS r120, CASE WHEN bar >= 120 THEN avg(close) OVER (PARTITION BY ticker ORDER BY trade_date ROWS 119 PRECEDING) END AS ma120,
+  CASE WHEN bar >= 60 THEN avg(trdval) OVER (PARTITION BY ticker ORDER BY trade_date ROWS 59 PRECEDING) END AS adv FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)),
+g AS (SELECT trade_date, round(list_sort(list(r120) FILTER (r120 IS NOT NULL AND adv >= {REGIME_FLOOR}))[count(*) FILTER (r120 IS NOT NULL AND adv >= {REGIME_FLOOR}) // 2 + 1], 6) AS med,
+  round(avg(CASE WHEN r120 IS NOT NULL AND adv >= {REGIME_FLOOR} THEN CASE WHEN close >= ma120 THEN 1.0 ELSE 0.0 END END), 6) AS breadth FROM m GROUP BY trade_date)
+SELECT trade_date, med, breadth, CASE WHEN med > 0 AND breadth > 0.5 THEN 'bull' WHEN med < 0 AND breadth < 0.5 THEN 'bear' ELSE 'recovery' END AS label FROM g""")
+def market_regime(spark, sf_dir):
+    """Label of every date by the upper median of the half-year returns and the share above their average; recovery without any."""
+    m = bars_of(spark, sf_dir).withColumns({"r120": B.trailing_return(120), "ma120": B.sma(120), "adv": F.when(F.col("bar") >= 60, F.avg("trdval").over(B.back(59)))})
+    return B.market_regime(m, REGIME_FLOOR).select("trade_date", F.round("med", 6).alias("med"), F.round("breadth", 6).alias("breadth"), "label")
 
 
 @register()

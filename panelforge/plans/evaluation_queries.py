@@ -36,8 +36,8 @@ win AS (SELECT * FROM fwd WHERE ret IS NOT NULL QUALIFY count(*) OVER (PARTITION
 
 def selection_days(days: DataFrame) -> DataFrame:
     """sel_day of each quarter: the last market day strictly before it."""
-    quarters = days.select(F.date_trunc("quarter", "trade_date").alias("month")).distinct()
-    return quarters.join(days, days["trade_date"] < quarters["month"]).groupBy("month").agg(F.max("day").alias("sel_day")).select("sel_day")
+    last = days.groupBy(F.date_trunc("quarter", "trade_date").alias("quarter")).agg(F.max("day").alias("last"))
+    return last.select(F.lag("last", 1).over(Window.orderBy("quarter")).alias("sel_day")).filter("sel_day IS NOT NULL")  # a row a quarter
 
 
 def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -176,7 +176,7 @@ lift AS (SELECT *, round(arm_ret - base_ret, 8) AS lift FROM al WHERE arm_ret IS
 def arm_lifts(spark, sf_dir) -> DataFrame:
     score, returns = forward(spark, sf_dir)
     instruments = meta_of(spark, sf_dir)
-    big = instruments.withColumn("m", F.percentile("mktcap", 0.5).over(Window.partitionBy(F.lit(1)))).filter("mktcap >= m").select("ticker")
+    big = instruments.join(F.broadcast(instruments.agg(F.percentile("mktcap", 0.5).alias("m")))).filter("mktcap >= m").select("ticker")  # a single row
     base_picks = top_picks(score).select("sel_day", "ticker", F.lit(1).alias("in_base"))
     arm_picks = top_picks(score.join(big, "ticker", "left_semi")).select("sel_day", "ticker", F.lit(1).alias("in_arm"))
     rows = returns.filter("ret IS NOT NULL").join(base_picks, ["sel_day", "ticker"], "left").join(arm_picks, ["sel_day", "ticker"], "left")

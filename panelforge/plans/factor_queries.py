@@ -204,12 +204,19 @@ w AS (SELECT a.ticker, a.bar, b.close, b.bar AS i, p.span FROM x a JOIN x b ON a
 e AS (SELECT ticker, bar, span, sum(CASE WHEN i <= span THEN close / span * pow(1 - 2.0 / (span + 1), bar - span) ELSE close * 2.0 / (span + 1) * pow(1 - 2.0 / (span + 1), bar - i) END) AS ema FROM w GROUP BY ALL),
 m AS (SELECT ticker, bar, max(CASE WHEN span = 12 THEN ema END) - max(CASE WHEN span = 26 THEN ema END) AS line FROM e GROUP BY ALL),
 q AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY bar) AS k, count(*) OVER (PARTITION BY ticker) AS n FROM m),
-h AS (SELECT ticker, sum(CASE WHEN k <= 9 THEN line / 9 * pow(0.8, n - 9) ELSE line * 0.2 * pow(0.8, n - k) END) AS sig, max(CASE WHEN k = n THEN line END) AS last FROM q GROUP BY ticker)
-SELECT ticker, round(last - sig, 6) AS hist FROM h""")
+g AS (SELECT a.ticker, a.k, a.n, any_value(a.line) AS line, sum(CASE WHEN b.k <= 9 THEN b.line / 9 * pow(0.8, a.k - 9) ELSE b.line * 0.2 * pow(0.8, a.k - b.k) END) AS sig FROM q a JOIN q b ON a.ticker = b.ticker AND b.k <= a.k WHERE a.k >= 9 AND a.k >= a.n - 9 GROUP BY ALL),
+h AS (SELECT ticker, k, n, line - sig AS hist, lag(line) OVER w <= lag(sig) OVER w AND line > sig AS crossed FROM g WINDOW w AS (PARTITION BY ticker ORDER BY k))
+SELECT ticker, round(max(CASE WHEN k = n THEN hist END) + coalesce(max(CASE WHEN crossed THEN (9 - (n - k)) / 9.0::DOUBLE END), 0), 6) AS hist FROM h GROUP BY ticker""")
 def macd_histogram(spark, sf_dir):
     return X.macd(bars_of(spark, sf_dir)).select("ticker", *rounded("hist"))
 
 
+@register(P_SQL + """, x AS (SELECT ticker, trade_date, bar, close FROM bars), w AS (SELECT a.ticker, a.trade_date, a.bar, b.close, b.bar AS i FROM x a JOIN x b ON a.ticker = b.ticker AND b.bar <= a.bar)
+SELECT ticker, trade_date, CASE WHEN bar >= 26 THEN round(sum(CASE WHEN i <= 26 THEN close / 26 * pow(25.0 / 27, bar - 26) ELSE close * 2.0 / 27 * pow(25.0 / 27, bar - i) END), 6) END AS ema FROM w GROUP BY ticker, trade_date, bar""")
+def ema_series(spark, sf_dir):
+    return X.ema_series(bars_of(spark, sf_dir), 26).select("ticker", "trade_date", *rounded("ema"))
+
+
 @register(P_SQL + f""", f AS (SELECT *, lag(close, 21) OVER w / lag(close, 147) OVER w - 1 AS m FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY trade_date)), l AS ({LAST}),
 s AS (SELECT sector, round(avg(m), 8) AS momentum, count(*) AS n FROM l JOIN meta USING (ticker) WHERE m IS NOT NULL GROUP BY sector HAVING count(*) >= 3)
 SELECT sector, momentum, row_number() OVER (ORDER BY momentum DESC, sector) AS place, row_number() OVER (ORDER BY momentum DESC, sector) <= greatest(1, ceil(0.3 * count(*) OVER ())) AS leading FROM s""")
@@ -258,5 +265,7 @@ def size_tiers(spark, sf_dir):
     from panelforge.operators.scoring import size_tier
 
     positive = F.when(F.col("mktcap") > 0, F.col("mktcap"))
-    rows = meta_of(spark, sf_dir).withColumn("cuts", F.percentile(positive, F.array(F.lit(0.8), F.lit(0.4))).over(Window.partitionBy(F.lit(1)))).withColumn("lm", F.ln(positive))
+    instruments = meta_of(spark, sf_dir)
+    cuts = instruments.agg(F.percentile(positive, F.array(F.lit(0.8), F.lit(0.4))).alias("cuts"))
+    rows = instruments.join(F.broadcast(cuts)).withColumn("lm", F.ln(positive))  # a single row
     return rows.select("ticker", size_tier(F.col("mktcap"), F.col("cuts")[0], F.col("cuts")[1]).alias("tier"), F.round(S.midrank(F.col("lm")), 6).alias("size_rank"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions import scalar as S
+from panelforge.functions.ranks import global_rank
 from panelforge.operators import ops as O
 from panelforge.operators import panel as P
 from panelforge.plans.common import Registry, bars_of, meta_of
@@ -143,20 +144,11 @@ def cap_streak(spark, sf_dir):
     return O.run_lengths(rows, "ticker", "month", "up").select("ticker", "month", "streak")
 
 
-@register("""WITH d AS (SELECT event_type, CAST(ts AS DATE) AS day, count(DISTINCT user_id % 3) AS admins, min(user_id % 3) AS admin FROM events WHERE user_id % 5 = 0 AND value > 40 GROUP BY ALL),
-f AS (SELECT *, admins = 1 AND coalesce(admin = lag(admin) OVER w AND day = lag(day) OVER w + 1, false) AS same FROM d WINDOW w AS (PARTITION BY event_type ORDER BY day)),
-i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY day) AS island FROM f)
-SELECT event_type, day, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, island ORDER BY day) AS BIGINT) AS streak FROM i""")
-def admin_streak(spark, sf_dir):
-    events = read_table(spark, sf_dir, "events").filter("user_id % 5 = 0 AND value > 40")
-    return one_admin_streaks(events, "event_type", F.col("user_id") % 3)
-
-
 @register("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(DISTINCT event_type) AS admins, min(event_type) AS admin FROM events GROUP BY ALL),
 f AS (SELECT *, admins = 1 AND coalesce(admin = lag(admin) OVER w AND day = lag(day) OVER w + 1, false) AS same FROM d WINDOW w AS (PARTITION BY user_id ORDER BY day)),
 i AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY day) AS island FROM f)
 SELECT user_id, day, CAST(sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY day) AS BIGINT) AS streak FROM i""")
-def admin_streak_all_events(spark, sf_dir):
+def admin_streak(spark, sf_dir):
     return one_admin_streaks(read_table(spark, sf_dir, "events"), "user_id", F.col("event_type"))
 
 
@@ -192,16 +184,11 @@ def walk_back_price(spark, sf_dir):
     return O.as_of(bought, views, "user_id", "at", "ts", "value", within="1 DAY").select("event_id", "value")
 
 
-CARRY = "WITH t AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS month, o_custkey AS ticker, CASE o_custkey % 2 WHEN 0 THEN 'short' ELSE 'long' END AS bucket FROM orders WHERE o_orderdate >= TIMESTAMP '2001-05-01')"
+CARRY = "WITH t AS (SELECT DISTINCT date_trunc('month', o_orderdate) AS month, o_custkey AS ticker, CASE o_custkey % 2 WHEN 0 THEN 'short' ELSE 'long' END AS bucket FROM orders)"
 
 
 @register(CARRY + """, b AS (SELECT max(month) AS month FROM t WHERE month < TIMESTAMP '2001-07-01' AND bucket = 'short') SELECT DATE '2001-07-01' AS month, ticker, bucket FROM t JOIN b USING (month) WHERE bucket = 'short' AND ticker NOT IN (SELECT ticker FROM t WHERE month = TIMESTAMP '2001-07-01')""")
 def carry_forward(spark, sf_dir):
-    return carried(read_table(spark, sf_dir, "orders").filter("o_orderdate >= '2001-05-01'"))
-
-
-@register(CARRY.removesuffix(" WHERE o_orderdate >= TIMESTAMP '2001-05-01')") + """), b AS (SELECT max(month) AS month FROM t WHERE month < TIMESTAMP '2001-07-01' AND bucket = 'short') SELECT DATE '2001-07-01' AS month, ticker, bucket FROM t JOIN b USING (month) WHERE bucket = 'short' AND ticker NOT IN (SELECT ticker FROM t WHERE month = TIMESTAMP '2001-07-01')""")
-def carry_forward_all_months(spark, sf_dir):
     return carried(read_table(spark, sf_dir, "orders"))
 
 
@@ -244,8 +231,8 @@ SELECT ticker, weighted, spread, place, place BETWEEN 6 AND 15 OR varied AS deba
 def weighted_panel(spark, sf_dir):
     v = read_table(spark, sf_dir, "events").select(F.col("user_id").alias("ticker"), F.when(F.col("event_type").isin("purchase", "signup"), 1.5).otherwise(1.0).alias("w"), S.clamp(F.col("value"), 0, 100).alias("score"))
     p = v.groupBy("ticker").agg(F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 6).alias("weighted"), F.round(F.stddev_pop("score"), 6).alias("spread"))
-    every = Window.partitionBy(F.lit(1))
-    r = p.withColumn("place", F.row_number().over(every.orderBy(F.desc("weighted"), "ticker"))).withColumn("varied", F.row_number().over(every.orderBy(F.desc("spread"), "ticker")) <= F.ceil(F.lit(0.2) * F.count(F.lit(1)).over(every)))
+    r = global_rank(global_rank(p, "place", F.desc("weighted"), "ticker"), "nth", F.desc("spread"), "ticker")
+    r = r.withColumn("varied", F.col("nth") <= F.ceil(F.lit(0.2) * F.col("n")))
     return r.select("ticker", "weighted", "spread", "place", (F.col("place").between(6, 15) | F.col("varied")).alias("debate"))
 
 
@@ -259,9 +246,9 @@ c AS (SELECT ticker, count(*) FILTER (r <= 10) AS votes, round(avg(score), 6) AS
 def board_vote(spark, sf_dir):
     bars = bars_of(spark, sf_dir)
     last = bars.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("trade_date")))).filter("n = 1")
-    every = Window.partitionBy(F.lit(1))
     names = ("close", "volume", "trdval")
-    z = last.select("ticker", *[F.round((F.col(c) - F.avg(c).over(every)) / F.stddev_samp(c).over(every), 8).alias(c) for c in names])
+    whole = last.agg(*[f(c).alias(f"{n}_{c}") for c in names for n, f in (("mean", F.avg), ("sigma", F.stddev_samp))])
+    z = last.join(F.broadcast(whole)).select("ticker", *[F.round((F.col(c) - F.col(f"mean_{c}")) / F.col(f"sigma_{c}"), 8).alias(c) for c in names])  # a single row
     board = spark.createDataFrame(BOARD, "member int, factor string, weight double")
     return O.board_vote(z.unpivot("ticker", list(names), "factor", "value"), board, 10, 0.7)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.ranks import global_rank
 from panelforge.operators import rules as R
 from panelforge.plans.common import Registry, meta_of
 from panelforge.operators.panel import PANEL_SQL
@@ -28,15 +29,9 @@ def gate_verdicts(spark, sf_dir):
     return s.select("arm", F.array_join(failed, ",").alias("failed"), R.interval_verdict(F.col("low"), F.col("high")).alias("verdict"))
 
 
-@register("""WITH s AS (SELECT o_custkey % 7 AS arm, CASE o_orderstatus WHEN 'P' THEN 'fail' WHEN 'O' THEN 'insufficient' ELSE 'pass' END AS state FROM orders WHERE o_totalprice > 400000),
-p AS (SELECT *, CASE state WHEN 'fail' THEN 0 WHEN 'insufficient' THEN 1 ELSE 2 END AS k FROM s) SELECT arm, arg_min(state, k) AS state FROM p GROUP BY arm""")
-def worst_of_rollup(spark, sf_dir):
-    return worst_of(read_table(spark, sf_dir, "orders").filter("o_totalprice > 400000"), F.col("o_custkey") % 7)
-
-
 @register("""WITH s AS (SELECT o_custkey AS arm, CASE o_orderstatus WHEN 'P' THEN 'fail' WHEN 'O' THEN 'insufficient' ELSE 'pass' END AS state FROM orders),
 p AS (SELECT *, CASE state WHEN 'fail' THEN 0 WHEN 'insufficient' THEN 1 ELSE 2 END AS k FROM s) SELECT arm, arg_min(state, k) AS state FROM p GROUP BY arm""")
-def worst_of_rollup_all_orders(spark, sf_dir):
+def worst_of_rollup(spark, sf_dir):
     return worst_of(read_table(spark, sf_dir, "orders"), F.col("o_custkey"))
 
 
@@ -48,8 +43,7 @@ def worst_of(orders, arm):
 @register(PANEL_SQL + """, r AS (SELECT ticker, row_number() OVER (ORDER BY mktcap DESC, ticker) AS a, row_number() OVER (ORDER BY name DESC) AS b, count(*) OVER () AS n FROM meta)
 SELECT ticker, CASE WHEN a <= ceil(0.3 * n) AND b <= ceil(0.3 * n) THEN 'consensus' WHEN b <= ceil(0.3 * n) THEN 'panel' WHEN a <= ceil(0.3 * n) THEN 'factor' ELSE 'none' END AS badge FROM r""")
 def badges(spark, sf_dir):
-    every = Window.partitionBy(F.lit(1))
-    r = meta_of(spark, sf_dir).select("ticker", F.row_number().over(every.orderBy(F.desc("mktcap"), "ticker")).alias("a"), F.row_number().over(every.orderBy(F.desc("name"))).alias("b"), F.count(F.lit(1)).over(every).alias("n"))
+    r = global_rank(global_rank(meta_of(spark, sf_dir), "a", F.desc("mktcap"), "ticker"), "b", F.desc("name"))
     return r.select("ticker", R.badge(R.top_tier(F.col("a"), F.col("n")), R.top_tier(F.col("b"), F.col("n"))).alias("badge"))
 
 
