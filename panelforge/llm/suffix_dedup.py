@@ -325,7 +325,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes; texts under 200 bytes lose none. removed holds the runs (first, stop).
     """
     rows = with_keys(docs, [F.col(id_col).alias("doc_id")], F.coalesce(F.col(text_col), F.lit("")))
-    spans = materialize(repeated_spans(rows))  # written, so that Spark can split the rows of a hot text in the join
+    spans = repeated_spans(rows)
     kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
