@@ -286,14 +286,17 @@ def _groups(texts: list[str]) -> Iterator[list[str]]:
         yield group
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids") -> DataFrame:
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "token_ids", decoded_col: str | None = None) -> DataFrame:
     """docs with the column ids_col, array<int>: the ids of each whole text.
 
-    A null text is encoded as an empty one: no ids. Repeated rows and other
-    columns pass through; a column named ids_col is replaced.
+    With decoded_col also the text that these ids decode to, from the same worker
+    and its one copy of the tables. A null text is encoded as an empty one: no
+    ids. Repeated rows and other columns pass through; columns of the two names
+    are replaced.
     """
-    base = docs.drop(ids_col)
-    schema = base.limit(0).withColumn(ids_col, F.array().cast("array<int>")).schema
+    base = docs.drop(ids_col, *([decoded_col] if decoded_col else []))
+    schema = base.limit(0).withColumn(ids_col, F.array().cast("array<int>"))
+    schema = (schema.withColumn(decoded_col, F.lit("").cast("string")) if decoded_col else schema).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
@@ -302,6 +305,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
             for group in _groups(["" if t is None else t for t in pdf[text_col]]):
                 part = pdf.iloc[at : at + len(group)].copy()
                 part[ids_col] = [np.fromiter((i for p in pieces for i in p), np.int32) for pieces in bpe.encode(group)]
+                if decoded_col:
+                    part[decoded_col] = [bpe.decode(ids.tolist()) for ids in part[ids_col]]
                 at += len(group)
                 yield part
         bpe.chunks.clear()  # the worker may go on to other tasks: it keeps the tables, not the pieces
