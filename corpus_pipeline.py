@@ -43,8 +43,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Columns of these three names are replaced.
     """
-    tokens = bpe.encode(docs, vocabulary()).withColumn("n_tokens", F.size("token_ids").cast("long"))
-    return bpe.decode(tokens, vocabulary())
+    return bpe.encode(docs, vocabulary(), decoded_col="decoded").withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
 STAGES = [
