@@ -151,7 +151,8 @@ def postings(rows: DataFrame, trigrams: list[str]) -> DataFrame:
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(row_key, kinds): for each document the kinds whose clauses' postings all have it. index may serve several sets of rules."""
     asked = clauses_of(rules)
-    query = index.sparkSession.createDataFrame(asked, "kind string, clause int, trigram string")
+    terms = [F.struct(F.lit(k).alias("kind"), F.lit(c).alias("clause"), F.lit(t).alias("trigram")) for k, c, t in asked]
+    query = index.sparkSession.range(1).select(F.inline(F.array(*terms)))
     # Look-ups by trigram; the query has some hundred rows, which the rules bound. A union of postings has a document once.
     union = index.join(F.broadcast(query), "trigram").select("row_key", "kind", "clause").distinct()
     met = union.groupBy("row_key", "kind").agg(F.count(F.lit(1)).alias("met"))
