@@ -23,21 +23,23 @@ def test_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
-def test_regimes_of_dates_with_even_numbers_too(spark):
-    from panelforge.plans.backtest_queries import regimes
+def test_regimes_of_every_date(spark):
+    from panelforge.plans.common import bars_of
 
-    rows = regimes(spark, "/root/testdata/sf0.01").collect()
-    kept = {r.trade_date for r in catalog.QUERIES["market_regime_all_dates"](spark, "/root/testdata/sf0.01").collect()}
-    assert kept == {r.trade_date for r in rows} and {r.n % 2 for r in rows} == {0, 1}
+    sf = "/root/testdata/sf0.01"
+    counts = bars_of(spark, sf).filter("bar > 120").groupBy("trade_date").count().collect()
+    rows = {r.trade_date: r for r in catalog.QUERIES["market_regime"](spark, sf).collect()}
+    assert set(rows) == {r.trade_date for r in bars_of(spark, sf).select("trade_date").distinct().collect()}
+    assert {r["count"] % 2 for r in counts} == {0, 1} and {r.label for r in rows.values() if r.med is None} == {"recovery"}
 
 
 def test_rollups_read_all_rows(spark):
     from pyspark.sql import functions as F
 
     events, orders = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("events", "orders"))
-    streaks = catalog.QUERIES["admin_streak_all_events"](spark, SF)
+    streaks = catalog.QUERIES["admin_streak"](spark, SF)
     assert streaks.count() == events.select("user_id", F.to_date("ts")).distinct().count()
-    states = catalog.QUERIES["worst_of_rollup_all_orders"](spark, SF)
+    states = catalog.QUERIES["worst_of_rollup"](spark, SF)
     assert states.count() == orders.select("o_custkey").distinct().count() and states.select("state").distinct().count() > 1
     low = orders.filter("o_orderstatus = 'P' AND o_totalprice <= 400000").selectExpr("o_custkey AS arm")
     assert low.count() > 0 and low.join(states.filter("state = 'fail'"), "arm", "left_anti").isEmpty()
@@ -50,9 +52,9 @@ def test_snapshots_and_carried_rows_of_all_dates(spark):
     from pyspark.sql import functions as F
 
     orders = spark.read.parquet(f"{SF}/orders.parquet")
-    dates = catalog.QUERIES["portfolio_snapshot_all_dates"](spark, SF).select("date").distinct()
+    dates = catalog.QUERIES["portfolio_snapshot"](spark, SF).select("date").distinct()
     assert dates.count() == orders.select(F.to_date("o_orderdate")).distinct().count()
-    assert catalog.QUERIES["carry_forward_all_months"](spark, SF).count() > 0
+    assert catalog.QUERIES["carry_forward"](spark, SF).count() > 0
     old = spark.createDataFrame([(datetime.datetime(1999, 3, 5), 8), (datetime.datetime(1998, 3, 5), 6)], "o_orderdate timestamp, o_custkey long")
     assert [r.ticker for r in carried(old).collect()] == [8]
 
