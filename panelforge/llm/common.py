@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +20,30 @@ def materialize(df: DataFrame) -> DataFrame:
     return settle(df)
 
 
+class Scratch:
+    """Parquet tables in the shared folder of checkpoints, for steps between two jobs; drop() deletes them.
+
+    Unlike a checkpoint's, their size is known to Spark, and small files are read together.
+    """
+
+    def __init__(self, spark: SparkSession):
+        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        self.spark = spark
+        self.folder = f"{shared or tempfile.mkdtemp(prefix='panelforge-scratch-')}/scratch-{spark.sparkContext.applicationId}-{uuid4()}"
+        self.count = 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, materialize
 
 #: Values of a signature that two sets of a node are compared by.
 SKETCH = 128
@@ -283,18 +283,18 @@ def _tied_leaders(batches: Iterator[pd.DataFrame], far: int) -> Iterator[pd.Data
         yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def candidate_ties(sets: DataFrame, trees: int, floor: int, deepest: int, threshold: float, recall: float) -> DataFrame:
-    """(a, b): ties of sets(set_id, paths, sketch) whose components hold every linked pair, with the recall."""
+def candidate_ties(sets: DataFrame, trees: int, floor: int, deepest: int, threshold: float, recall: float, scratch: Scratch) -> DataFrame:
+    """(a, b): ties of sets(set_id, paths, sketch) whose components hold every linked pair, with the recall; read from scratch."""
     width, far, steps = 8 + deepest - floor, reach(threshold, recall), levels(floor, deepest)
     trie = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("paths", t * width + 1, F.lit(width)))
     every = sets.select("set_id", F.posexplode(trie).alias("tree", "path"))
-    shared = materialize(_by_path(every).mapInPandas(_accompanied, "set_id binary, tree int, path binary"))
-    sketched = materialize(shared.join(sets.select("set_id", "sketch"), "set_id"))
-    found = materialize(_by_path(sketched).mapInPandas(lambda b: _tied(b, steps, far), NODE))
+    shared = scratch.table(_by_path(every).mapInPandas(_accompanied, "set_id binary, tree int, path binary"))
+    sketched = scratch.table(shared.join(sets.select("set_id", "sketch"), "set_id"))
+    found = scratch.table(_by_path(sketched).mapInPandas(lambda b: _tied(b, steps, far), NODE))
 
     open_ = found.filter("b IS NULL").drop("b")
     sized = open_.groupBy("tree", "top").agg(F.count(F.lit(1)).alias("leaders"), F.count_distinct("piece").alias("pieces")).filter("pieces > 1")
-    sized = materialize(sized.select("tree", "top", F.ceil(F.col("leaders") / PIECE).cast("int").alias("blocks")))
+    sized = scratch.table(sized.select("tree", "top", F.ceil(F.col("leaders") / PIECE).cast("int").alias("blocks")))
     units = (
         open_.join(sized, ["tree", "top"])
         .withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
@@ -309,25 +309,33 @@ def candidate_ties(sets: DataFrame, trees: int, floor: int, deepest: int, thresh
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph with edges (a, b): the smallest node that each reaches.
 
-    Alternates large-star and small-star steps; the edges of each round are cut
-    off by a checkpoint. A star is one row for each edge, however large it is;
-    both sides of a join are written before it, so Spark can split a hot star.
+    Alternates large-star and small-star steps; the edges of each round are a
+    table of their own, and the tables of the round before are deleted. A star is
+    one row for each edge, however large it is; both sides of a join are written
+    before it, so Spark can split a hot star. It ends when the large star moves no
+    edge and no node has two smaller neighbours: then every component is a star.
     """
-    edges = edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
-    edges = materialize(edges)
+    spark = edges.sparkSession
+    held = Scratch(spark)
+    edges = held.table(edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        work = Scratch(spark)
+        least = work.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # Large star: neighbours above a node move to its smallest neighbour.
-        large = materialize(both.filter("b > a").join(least, "a").selectExpr("b AS a", "m AS b").distinct())
+        moves = both.filter("b > a").join(least, "a").selectExpr("b AS a", "m AS b", "m <> a AS moved")
+        large = work.table(moves.groupBy("a", "b").agg(F.max("moved").alias("moved")))
         # Small star: a node and its smaller neighbours move to the smallest of these.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").selectExpr("b AS a", "m AS b").union(low.selectExpr("a", "m AS b")).distinct()
-        after = materialize(small)
-        same = after.count() == edges.count() and after.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = after
-        if same:
-            return materialize(edges.selectExpr("a AS node", "b AS root").union(edges.selectExpr("b AS node", "b AS root").distinct()))
+        low = work.table(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("smaller"), F.max("moved").alias("moved")))
+        if low.filter("moved OR smaller > 1").isEmpty():
+            found = materialize(edges.selectExpr("a AS node", "b AS root").union(edges.selectExpr("b AS node", "b AS root").distinct()))
+            work.drop(), held.drop()
+            return found
+        small = large.select("a", "b").join(low.select("a", "m"), "a").filter("b <> m").selectExpr("b AS a", "m AS b")
+        after = Scratch(spark)
+        edges = after.table(small.union(low.selectExpr("a", "m AS b")).distinct())
+        work.drop(), held.drop()
+        held = after
 
 
 # Verification
@@ -413,7 +421,9 @@ def jaccard_classes(
             F.min("grams").alias("grams"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch"),
         )
     )
-    member = components(candidate_ties(sets, trees, floor, deepest, threshold, recall))
+    scratch = Scratch(docs.sparkSession)
+    member = components(candidate_ties(sets, trees, floor, deepest, threshold, recall, scratch))
+    scratch.drop()
 
     sized = member.join(sets.select(F.col("set_id").alias("node"), "weight", "of", "grams"), "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int")
