@@ -482,3 +482,15 @@ def test_removal_of_an_empty_table(spark):
 def test_general_output_has_texts_and_runs(spark):
     r = suffix_dedup.remove_repeats(fixtures.docs(spark)).filter("doc_id = 8").first()
     assert r.n_bytes - r.n_removed == len(r.kept) and sum(x.stop - x.first for x in r.removed) == r.n_removed
+
+
+@pytest.mark.parametrize("edges", [[], [(1, 1)], [(k, k + 1) for k in range(2, 9)] + [(20, 30), (20, 31), (31, 20), (33, 32), (32, 20)]])
+def test_components_of_chains_and_stars(spark, edges):
+    """Every node has the smallest that it reaches, and the rounds' tables are gone."""
+    from pathlib import Path
+
+    given = spark.createDataFrame(edges, "a long, b long")
+    got = {r.node: r.root for r in ngram_join.components(given).collect()}
+    nodes = {x for a, b in edges if a != b for x in (a, b)}
+    assert got == {x: 2 if x < 20 else 20 for x in nodes}
+    assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("scratch-*"))
