@@ -59,19 +59,33 @@ def test_snapshots_and_carried_rows_of_all_dates(spark):
     assert [r.ticker for r in carried(old).collect()] == [8]
 
 
-def test_entry_works_without_the_optional_parts():
+def entry_without(modules: tuple, code: str):
+    """Runs code after an import of the entry, in a process where the modules can't be found."""
     import subprocess
     import sys
     from pathlib import Path
 
-    code = """
+    block = f"""
 import sys
 class Block:
     def find_spec(self, name, path=None, target=None):
-        if name.startswith('panelforge.llm') or name == 'corpus_pipeline':
-            raise ImportError(name)
+        if name in {modules!r}:
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Block())
 import __spark_entry__ as e
-assert 'bpp_short_topk' in e.queries() and not any(n.startswith('op1_') for n in e.queries())
 """
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
+    return subprocess.run([sys.executable, "-c", block + code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+
+
+def test_entry_works_without_the_optional_parts():
+    code = "assert 'bpp_short_topk' in e.queries() and not any(n.startswith('op1_') or n == 'pipeline' for n in e.queries())"
+    for missing in (("panelforge.llm", "corpus_pipeline"), ("panelforge.llm",)):
+        assert entry_without(missing, code).returncode == 0
+
+
+def test_entry_needs_the_libraries_of_parts_that_are_there():
+    from importlib.util import find_spec
+
+    if find_spec("panelforge.llm"):
+        done = entry_without(("xxhash",), "")
+        assert done.returncode and "xxhash" in done.stderr
