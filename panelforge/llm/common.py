@@ -24,6 +24,7 @@ class Scratch:
     """Parquet tables in the shared folder of checkpoints, for steps between two jobs; drop() deletes them.
 
     Unlike a checkpoint's, their size is known to Spark, and small files are read together.
+    As a context it drops them at its end, also after an error.
     """
 
     def __init__(self, spark: SparkSession):
@@ -39,6 +40,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.drop()
+
     def drop(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

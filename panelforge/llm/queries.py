@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, licenses, media, mixing, ngram_join, packing, secrets, suffix_dedup, toxicity
+from . import bpe, divergence, exact_dedup, licenses, media, mixing, nearest, ngram_join, packing, secrets, suffix_dedup, toxicity, whitening
 from .common import read_table
 
 
@@ -55,13 +56,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(read_table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity_fm, op2_best_fit_packing, op3_bpe_round_trip, op4_progressive_jpeg, op5_secret_scan, op6_license_templates, op7_exact_dedup, op8_ngram_jaccard, op9_source_mix,
-    op10_suffix_dedup,
+    op10_suffix_dedup, op11_source_divergence, op12_embedding_whitening, op13_hilbert_neighbours,
 )}
 
 ORACLES = {
     "op5_secret_scan": secrets.oracle_sql(),
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_source_mix": mixing.oracle_sql(),
+    "op11_source_divergence": divergence.oracle_sql(),
 }
