@@ -32,6 +32,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_row, unused
+
 NO_RANK = np.int64(1) << 40
 #: Bytes above which a word's pairs are kept in lists by rank.
 LONG = 256
@@ -294,38 +296,32 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
     ids. Repeated rows and other columns pass through; columns of the two names
     are replaced.
     """
-    base = docs.drop(ids_col, *([decoded_col] if decoded_col else []))
-    schema = base.limit(0).withColumn(ids_col, F.array().cast("array<int>"))
-    schema = (schema.withColumn(decoded_col, F.lit("").cast("string")) if decoded_col else schema).schema
+    new = {"ids": ids_col} | ({"decoded": decoded_col} if decoded_col else {})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
-        for pdf in batches:
-            at = 0
-            for group in _groups(["" if t is None else t for t in pdf[text_col]]):
-                part = pdf.iloc[at : at + len(group)].copy()
-                part[ids_col] = [np.fromiter((i for p in pieces for i in p), np.int32) for pieces in bpe.encode(group)]
+        for texts in batches:
+            for group in _groups(["" if t is None else t for t in texts]):
+                part = pd.DataFrame({"ids": [np.fromiter((i for p in pieces for i in p), np.int32) for pieces in bpe.encode(group)]})
                 if decoded_col:
-                    part[decoded_col] = [bpe.decode(ids.tolist()) for ids in part[ids_col]]
-                at += len(group)
+                    part["decoded"] = [bpe.decode(ids.tolist()) for ids in part["ids"]]
                 yield part
         bpe.chunks.clear()  # the worker may go on to other tasks: it keeps the tables, not the pieces
 
-    return base.mapInPandas(run, schema)
+    made = by_row(run, "ids array<int>" + (", decoded string" if decoded_col else ""))(F.col(text_col))
+    held = unused("made", docs.columns)
+    rows = docs.withColumn(held, made).drop(*[c for c in new.values() if c in docs.columns])
+    return rows.withColumns({c: F.col(held)[k] for k, c in new.items()}).drop(held)
 
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", text_col: str = "decoded") -> DataFrame:
     """tokens with the column text_col: the text of the ids; null ids give an empty text."""
-    base = tokens.drop(text_col)
-    schema = base.limit(0).withColumn(text_col, F.lit("").cast("string")).schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
-        for pdf in batches:
-            pdf[text_col] = [bpe.decode([] if ids is None else list(ids)) for ids in pdf[ids_col]]
-            yield pdf
+        for lists in batches:
+            yield pd.DataFrame({"text": [bpe.decode([] if ids is None else list(ids)) for ids in lists]})
 
-    return base.mapInPandas(run, schema)
+    return tokens.withColumn(text_col, by_row(run, "text string")(F.col(ids_col))["text"])
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,18 +329,18 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     from hashlib import sha256
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    fields = dict(rows.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = load(path, as_text=True)
-        for pdf in batches:
+        for texts in batches:
             n, ids, decoded = [], [], []
-            for group in _groups(pdf["text"].tolist()):
+            for group in _groups(texts.tolist()):
                 for pieces in bpe.encode(group):
                     n.append(sum([p[0] for p in pieces]))
                     ids.append(sha256(" ".join([p[1] for p in pieces]).encode()).hexdigest())
                     decoded.append(sha256(" ".join([p[2] for p in pieces]).encode()).hexdigest())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
+            yield pd.DataFrame({"n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
         bpe.chunks.clear()
 
-    return rows.mapInPandas(run, f"doc_id {fields}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    made = by_row(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.select("doc_id", made("text").alias("made")).select("doc_id", "made.*")

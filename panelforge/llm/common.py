@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +57,18 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def by_row(run: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]], made: str) -> Callable[..., Column]:
+    """A function of a column that gives a struct of the columns made; run gets series of it and yields a row for each value, in order.
+
+    Only that column goes to Python: ids and other columns stay in Spark, and keep their values whatever types they have.
+    """
+
+    def work(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        return run(values)
+
+    return F.pandas_udf(work, made)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark df for broadcast if it has at most max_rows rows; else leave the join to shuffle.
 

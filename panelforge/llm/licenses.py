@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_row
+
 # The base phrases and their labels.
 PHRASES = (
     ("under the mit license", "mit"),
@@ -230,13 +232,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     phrases = [(b" " + p.encode() + b" ", label) for p, label in PHRASES]
-    kind = dict(rows.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         automata = compiled(templates)
-        for pdf in batches:
+        for texts in batches:
             out = []
-            for row_id, text in zip(pdf["doc_id"], pdf["text"]):
+            for text in texts:
                 words = words_of(text)
                 joined = b" " + b" ".join(words) + b" "
                 base = [(at, label) for p, label in phrases for at in phrase_places(words, joined, p)]
@@ -244,13 +245,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 places, names = [at for at, _ in base], {label for _, label in base}
                 out.append(
                     (
-                        row_id, len(words), len(base), min(places, default=None), max(places, default=None),
+                        len(words), len(base), min(places, default=None), max(places, default=None),
                         ",".join(sorted(names)), ",".join(sorted(names | {label for label, _, _ in found})),
                         ",".join(f"{label}:{at}:{n}" for label, at, n in sorted(found, key=lambda m: (m[1], m[0]))),
                         max([0.75 if label.endswith("-notice") else 1.0 for label, _, _ in found], default=0.5 if base else 0.0),
                     )
                 )
-            frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "matches", "score"])
+            frame = pd.DataFrame(out, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "matches", "score"])
             yield frame.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return rows.mapInPandas(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, matches string, score double")
+    made = by_row(run, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, matches string, score double")
+    return rows.select("doc_id", made("text").alias("made")).select("doc_id", "made.*")

@@ -26,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import by_row
+
 #: Payloads are padded with spaces to a multiple of this.
 UNIT = 192
 #: Blocks (or MCUs of an interleaved scan) of a restart interval.
@@ -639,23 +641,21 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     empty one: its payload is 192 spaces. Equal texts get equal values.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
     names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     extra = ["media", "height", "width", "rgb"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, ids, at = pdf["text"].tolist(), pdf["doc_id"], 0
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            texts, at = series.tolist(), 0
             for group in _batches(texts):
                 files, out = encode(group), []
                 for file, (payload, rgb) in zip(files, decode(files)):
                     n = len(texts[at + len(out)].encode("utf-8", "replace"))
                     row = [n, len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(file), sha256(file).hexdigest(), feature(rgb)]
                     out.append(row + [file, rgb.shape[0], rgb.shape[1], rgb.tobytes()] if tensors else row)
-                frame = pd.DataFrame(out, columns=names + (extra if tensors else []))
-                frame.insert(0, "doc_id", ids.iloc[at : at + len(out)].to_numpy())
                 at += len(out)
-                yield frame
+                yield pd.DataFrame(out, columns=names + (extra if tensors else []))
 
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.mapInPandas(run, schema + (", media binary, height int, width int, rgb binary" if tensors else ""))
+    schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    made = by_row(run, schema + (", media binary, height int, width int, rgb binary" if tensors else ""))
+    return rows.select("doc_id", made("text").alias("made")).select("doc_id", "made.*")

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, materialize
+from .common import Scratch, by_row, materialize
 
 #: Values of a signature that two sets of a node are compared by.
 SKETCH = 128
@@ -137,14 +137,13 @@ def paths_of(values: np.ndarray, trees: int, floor: int, deepest: int) -> np.nda
 def signed(docs: DataFrame, n: int, trees: int, floor: int, deepest: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_key, set_id, grams, paths, sketch) of each row; set_id is null for a text without words."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = _WordHash()
         a, b = _functions(max(trees * floor, SKETCH))
-        for pdf in batches:
+        for texts in batches:
             ids, sizes, paths, sketches = [], [], [], []
-            for text in pdf["text"]:
+            for text in texts:
                 grams = shingles(text or "", n, known)
                 sizes.append(len(grams))
                 if not len(grams):
@@ -154,9 +153,10 @@ def signed(docs: DataFrame, n: int, trees: int, floor: int, deepest: int, id_col
                 values = _mix(signature(grams, a, b))
                 paths.append(paths_of(values, trees, floor, deepest).tobytes())
                 sketches.append((values[:SKETCH] & np.uint64(255)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "set_id": ids, "grams": sizes, "paths": paths, "sketch": sketches})
+            yield pd.DataFrame({"set_id": ids, "grams": sizes, "paths": paths, "sketch": sketches})
 
-    return rows.mapInPandas(run, f"doc_id {kind}, text_key long, set_id binary, grams int, paths binary, sketch binary")
+    made = by_row(run, "set_id binary, grams int, paths binary, sketch binary")
+    return rows.select("doc_id", "text_key", made("text").alias("made")).select("doc_id", "text_key", "made.*")
 
 
 # The tries

@@ -119,6 +119,7 @@ def pack(
     dealt = (
         rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
         .repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "text")
+        .withColumn("doc_id", F.col("doc_id").cast("string"))  # a long beside a null would become a double in pandas
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,8 +162,8 @@ def pack(
         if out:
             yield frame()
 
-    schema = f"shard int, row int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<{kind}>, parts array<int>, n_tokens int"
-    return dealt.mapInPandas(run, schema)
+    schema = "shard int, row int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<string>, parts array<int>, n_tokens int"
+    return dealt.mapInPandas(run, schema).withColumn("doc_ids", F.col("doc_ids").cast(f"array<{kind}>"))
 
 
 def write_packed(packed: DataFrame, path: str) -> None:

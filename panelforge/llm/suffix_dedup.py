@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, materialize
+from .common import bounded_broadcast, by_row, materialize
 
 LENGTH = 200
 GRAM = 100
@@ -326,19 +326,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = with_keys(docs, [F.col(id_col).alias("doc_id")], F.coalesce(F.col(text_col), F.lit("")))
     spans = repeated_spans(rows)
-    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for row_id, text, spans in zip(pdf["doc_id"], pdf["text"], pdf["spans"]):
+            for text, spans in zip(pdf["text"], pdf["spans"]):
                 raw = text.encode("utf-8", "replace")
                 kept, runs = _kept(raw, spans)
-                out.append((row_id, len(raw), len(raw) - len(kept), len(runs), sha256(kept).hexdigest(), kept, [{"first": a, "stop": b} for a, b in runs]))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])
+                out.append((len(raw), len(raw) - len(kept), len(runs), sha256(kept).hexdigest(), kept, [{"first": a, "stop": b} for a, b in runs]))
+            yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])
 
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<first:long,stop:long>>"
-    return rows.join(spans, "key", "left").select("doc_id", "text", "spans").mapInPandas(run, schema)
+    schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<first:long,stop:long>>"
+    made = by_row(run, schema)(F.struct("text", "spans")).alias("made")
+    return rows.join(spans, "key", "left").select("doc_id", made).select("doc_id", "made.*")
 
 
 def removal_digests(docs: DataFrame) -> DataFrame:

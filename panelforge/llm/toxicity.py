@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import by_row, materialize
 
 # Bytes that are part of a term: letters of ASCII, lower-cased, and all of other characters.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -216,10 +216,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     scores. Other columns pass through; a column named score_col is replaced.
     """
     base = docs.drop(score_col)
-    schema = base.limit(0).withColumn(score_col, F.lit(0.0)).schema
     shared = base.sparkSession.sparkContext.broadcast(model)  # settings.features rows at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         place = {int(x): i for i, x in enumerate(m.buckets)}
         known: dict[bytes, tuple[int, ...]] = {}
@@ -230,14 +229,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             known[word] = at = tuple(place[b] for b in buckets_of(word, m.bits) if b in place)
             return at
 
-        for pdf in batches:
+        for texts in batches:
             rows = []
-            for text in pdf[text_col]:
+            for text in texts:
                 rows.append(sorted({i for w in words(text or "") for i in (known[w] if w in known else look(w))}))
-            pdf[score_col] = m.score(rows)
-            yield pdf
+            yield pd.DataFrame({"score": m.score(rows)})
 
-    return base.mapInPandas(run, schema)
+    return base.withColumn(score_col, by_row(run, "score double")(F.col(text_col))["score"])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -39,6 +39,19 @@ def rows():
     return out
 
 
+#: No double is this number.
+BIG = 2**53 + 1
+
+
+def beside_null(spark):
+    """One batch with an id that doubles can't hold beside a null one, and columns of types that pandas or Arrow can't hold."""
+    text = sentence(random.Random(9), 120)
+    rows = spark.createDataFrame([(BIG, text, "en", "s0", BIG), (None, text[:500], "en", "s0", None), (BIG + 2, text + " more", "en", "s1", 3), (4, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    return rows.coalesce(1).selectExpr(
+        "*", "timestamp '9999-12-31 23:59:59' AS last", "interval '3' month AS months", "interval '3 4:05:06.789' day to second AS spell", "map('a', n_chars) AS numbers", "CAST(n_chars AS decimal(30, 5)) AS exact",
+    )
+
+
 def docs(spark, given=None):
     padded = [r + ("z",) * (len(SCHEMA) - 5) for r in (rows() if given is None else given)]
     return spark.createDataFrame(padded, SCHEMA).repartition(3)

@@ -494,3 +494,45 @@ def test_components_of_chains_and_stars(spark, edges):
     nodes = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: 2 if x < 20 else 20 for x in nodes}
     assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("scratch-*"))
+
+
+# Ids and other columns
+
+
+IDS = {fixtures.BIG, fixtures.BIG + 2, None, 4}
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lambda d, labels: toxicity.toxicity_scores(d, labels),
+        lambda d, labels: bpe.token_digests(d, vocabulary()),
+        lambda d, labels: media.media_columns(d),
+        lambda d, labels: licenses.scan_licenses(d),
+        lambda d, labels: ngram_join.jaccard_classes(d),
+        lambda d, labels: suffix_dedup.remove_repeats(d),
+    ],
+    ids=["toxicity", "bpe", "media", "licenses", "ngram_join", "suffix_dedup"],
+)
+def test_ids_beside_null(spark, run):
+    labels = spark.createDataFrame([(fixtures.BIG, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    rows = run(fixtures.beside_null(spark), labels).collect()
+    assert {r.doc_id for r in rows} == IDS and len(rows) == 4
+    if "class_id" in rows[0]:
+        assert {r.class_id for r in rows} <= IDS
+
+
+def test_packed_ids_beside_null(spark):
+    rows = packing.pack(fixtures.beside_null(spark), length=64).collect()
+    assert {i for r in rows for i in r.doc_ids} == IDS - {4}
+
+
+def test_stages_keep_columns_of_all_types(spark):
+    import corpus_pipeline
+
+    docs = fixtures.beside_null(spark)
+    want = {r.doc_id: r for r in docs.selectExpr("doc_id", *[f"CAST({c} AS string) AS {c}" for c in docs.columns[4:]]).collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        rows = out.selectExpr("doc_id", *[f"CAST({c} AS string) AS {c}" for c in docs.columns[4:]]).collect()
+        assert rows and all(r == want[r.doc_id] for r in rows), name
