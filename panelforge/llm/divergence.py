@@ -203,13 +203,15 @@ def audit(
     counted = scratch.table(counted.filter(none | (F.col("in_docs") >= least)).select("lang", "source", "term", "n", "in_lang", "in_groups"))
 
     # A row for each group: its number in its language, and the probability of a count of 0.
-    by_lang = counted.filter(~none).select("lang", "term", "in_lang", "in_groups").distinct()
+    by_lang = counted.filter(~none).groupBy("lang", "term").agg(F.max("in_lang").alias("in_lang"), F.max("in_groups").alias("in_groups"))
+    by_lang = by_lang.groupBy("lang", "in_groups").agg(F.count(F.lit(1)).alias("terms"), F.sum("in_lang").alias("in_lang"))
     sizes = counted.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     inside = Window.partitionBy("lang")
     groups = sizes.withColumns({"group": F.row_number().over(inside.orderBy("source")) - 1, "sources": F.count(F.lit(1)).over(inside)})
     heavy = 2 * F.col("in_groups") >= F.col("sources")
     langs = by_lang.join(groups.select("lang", "sources").distinct(), "lang").groupBy("lang").agg(
-        F.count(F.lit(1)).alias("kept"), F.sum("in_lang").alias("lang_total"), F.count_if(~heavy).alias("light"), F.count_if(heavy).alias("heavy"),
+        F.sum("terms").alias("kept"), F.sum("in_lang").alias("lang_total"),
+        F.sum(F.when(heavy, 0).otherwise(F.col("terms"))).alias("light"), F.sum(F.when(heavy, F.col("terms")).otherwise(0)).alias("heavy"),
     )
     groups = groups.join(langs, "lang", "left").fillna(0, ["kept", "lang_total", "light", "heavy"])
     groups = scratch.table(
