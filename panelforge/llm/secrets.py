@@ -165,6 +165,23 @@ def _lit(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+#: Numbers of an array that are added up together.
+STRETCH = 256
+
+
+def sums_before(numbers: str) -> str:
+    """SQL for the sum of the numbers before each number of an array.
+
+    An accumulator that grows is copied for each number, so the array is cut: the
+    sums of its stretches come first, then those inside each stretch.
+    """
+    none = "CAST(struct({at} AS at, array() AS out) AS struct<at:int,out:array<int>>)"
+    grown = "(a, x) -> struct(a.at + x AS at, array_append(a.out, a.at) AS out), a -> a.out"
+    cut = f"transform(array({numbers}), n -> transform(sequence(0, size(n) div {STRETCH}), i -> slice(n, i * {STRETCH} + 1, {STRETCH})))[0]"
+    starts = f"aggregate(transform(cut, x -> aggregate(x, 0, (a, b) -> a + b)), {none.format(at=0)}, {grown})"
+    return f"transform(array({cut}), cut -> flatten(zip_with(cut, {starts}, (part, first) -> aggregate(part, {none.format(at='first')}, {grown}))))[0]"
+
+
 def spans(rule: Rule, order: int, text: str = "text") -> str:
     """SQL for the matches of a rule as array<struct<start, kind, span>>; code points, end exclusive.
 
@@ -175,15 +192,11 @@ def spans(rule: Rule, order: int, text: str = "text") -> str:
     pieces = f"transform(split({text}, {pattern}, -1), x -> length(x))"
     found = f"transform(regexp_extract_all({text}, {pattern}, 0), x -> length(x))"
     judged = f"transform(regexp_extract_all({text}, {pattern}, {rule.group}), x -> length(x))"
-    return f"""aggregate(
-        zip_with({pieces}, zip_with({found}, {judged}, (n, g) -> struct(n AS n, g AS g)), (gap, m) -> struct(gap AS gap, m.n AS n, m.g AS g)),
-        CAST(struct(0 AS at, array() AS out) AS struct<at:int,out:{SPANS}>),
-        (a, m) -> CAST(struct(
-            a.at + m.gap + coalesce(m.n, 0) AS at,
-            CASE WHEN m.g >= {rule.least}
-                 THEN array_append(a.out, struct(a.at + m.gap AS start, {order} AS kind, concat('{rule.kind}:', a.at + m.gap, ':', a.at + m.gap + m.n) AS span))
-                 ELSE a.out END AS out) AS struct<at:int,out:{SPANS}>),
-        a -> a.out)"""
+    matched = f"zip_with({found}, {judged}, (n, g) -> struct(n AS n, g AS g))" if rule.group else f"transform({found}, n -> struct(n AS n, n AS g))"
+    # A list in an array of one is bound to a name, so that it is made once.
+    return f"""filter(transform(array(zip_with({pieces}, {matched}, (gap, m) -> struct(gap AS gap, m.n AS n, m.g AS g))), ms ->
+        zip_with(ms, {sums_before('transform(ms, m -> m.gap + coalesce(m.n, 0))')}, (m, at) ->
+            CASE WHEN m.g >= {rule.least} THEN struct(at + m.gap AS start, {order} AS kind, concat('{rule.kind}:', at + m.gap, ':', at + m.gap + m.n) AS span) END))[0], s -> s IS NOT NULL)"""
 
 
 SPANS = "array<struct<start:int,kind:int,span:string>>"

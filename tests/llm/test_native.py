@@ -27,6 +27,22 @@ def test_secrets_of_awkward_rows(spark):
     assert_same(secrets.secret_digests(fixtures.docs(spark)), small(fixtures.rows()), secrets.oracle_sql())
 
 
+def test_secrets_of_a_text_with_many(spark):
+    """Time follows the number of matches: 100,000 in one text take seconds."""
+    import time
+
+    token = "0123456789abcdef0123456789abcdef"
+    text = " ".join([token] * 100_000) + ' é password = "hunter2hunter2" 0f0f'
+    docs = spark.createDataFrame([(1, text), (2, token + " " + token), (3, None)], "doc_id long, text string")
+    began = time.time()
+    rows = {r.doc_id: r for r in secrets.secret_digests(docs).collect()}
+    assert time.time() - began < 60
+    assert rows[1].n_hex == 100_000 and rows[2].n_hex == 2 and rows[3].spans == ""
+    spans = [s for s in rows[1].spans.split(",") if s.startswith("hex:")]
+    assert spans == [f"hex:{33 * i}:{33 * i + 32}" for i in range(100_000)]
+    assert f"assign:{33 * 100_000 + 2}:{33 * 100_000 + 28}" in rows[1].spans
+
+
 def test_mixing_of_awkward_rows(spark):
     assert_same(mixing.mix_sources(fixtures.docs(spark)), small(fixtures.rows()), mixing.oracle_sql())
 
