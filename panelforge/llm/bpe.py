@@ -31,9 +31,20 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import by_row, unused
 
+
+@lru_cache(maxsize=1)
+def later_characters() -> re.Pattern:
+    """Characters that Unicode 3.2 hasn't assigned: tables of different ages may not agree on them."""
+    old = unicodedata.ucd_3_2_0.category
+    free = [c for c in range(128, 0x110000) if old(chr(c)) == "Cn" and not 0xD800 <= c < 0xE000]
+    edges = [c for i, c in enumerate(free) if not i or free[i - 1] != c - 1], [c for i, c in enumerate(free) if i + 1 == len(free) or free[i + 1] != c + 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(*edges)) + "]")
+
+
 NO_RANK = np.int64(1) << 40
 #: Bytes above which a word's pairs are kept in lists by rank.
 LONG = 256
@@ -71,7 +82,12 @@ class WordBpe:
         suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        # Texts with characters that not all tables know are composed, lower-cased and split by the tables of the library.
+        self.later = later_characters()
+        self.composed, self.lowered = normalizers.NFC(), normalizers.Lowercase()
+        self.splitter = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         symbols = byte_symbols()
         self.byte_id = np.array([vocab[s] for s in symbols])
@@ -210,6 +226,9 @@ class WordBpe:
             for i, part in enumerate(self.special_split.split(text)):
                 out += [" " + part] if i % 2 else self.cut(part)
             return out
+        if not text.isascii() and self.later.search(text):
+            text = self.lowered.normalize_str(self.composed.normalize_str(text))
+            return [c for c in UNICODE_SPACE.split(text) if c]
         if not text.isascii():
             # Lower-casing here is by character: a capital sigma is never final.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
@@ -220,11 +239,13 @@ class WordBpe:
         words: dict[str, int] = {}
         whole, parts = [], {}
         for c in missing:
-            if c.isalpha():
+            later = not c.isascii() and self.later.search(c)
+            if c.isalpha() and not later:
                 words.setdefault(c, len(words))
                 whole.append(c)
             elif c[0] != " ":
-                parts[c] = [words.setdefault(w, len(words)) for w in self.split.findall(c)]
+                split = [w for w, _ in self.splitter.pre_tokenize_str(c)] if later else self.split.findall(c)
+                parts[c] = [words.setdefault(w, len(words)) for w in split]
         ids, ends = self.merge([w.encode() for w in words]) if words else ([], [])
         starts = [0, *ends]
         if self.as_text:

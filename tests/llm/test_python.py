@@ -496,6 +496,19 @@ def test_components_of_chains_and_stars(spark, edges):
     assert not list(Path(spark.conf.get("spark.checkpoint.dir")).glob("scratch-*"))
 
 
+def test_bpe_of_every_character():
+    """Composed, classed and split as in the library, whatever version of Unicode its tables have."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(vocabulary()), bpe.load(vocabulary())
+    characters = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    later = [c for c in characters if own.later.search(c)]
+    for group in (sorted(set(characters) - set(later)), later[::11], [c for c in later if c.isalnum() or c < "\u2100"]):
+        for at in range(0, len(group), 2000):
+            text = " ".join(f"e{c}\u0301 a{c}1{c}B" for c in group[at : at + 2000])
+            assert own.ids(text) == library.encode(text, add_special_tokens=False).ids
+
+
 # Ids and other columns
 
 
