@@ -89,3 +89,11 @@ def test_entry_needs_the_libraries_of_parts_that_are_there():
     if find_spec("panelforge.llm"):
         done = entry_without(("xxhash",), "")
         assert done.returncode and "xxhash" in done.stderr
+
+
+def test_entry_lets_errors_inside_of_parts_through():
+    from importlib.util import find_spec
+
+    if find_spec("panelforge.llm"):
+        done = entry_without(("panelforge.llm.common",), "")
+        assert done.returncode and "panelforge.llm.common" in done.stderr
