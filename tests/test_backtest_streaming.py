@@ -9,17 +9,37 @@ from panelforge.streaming import ticks
 from pyspark.sql import functions as F
 
 
-def test_confirmed_level_rises_holds_and_decays():
-    levels = list(B.confirmed_levels([0.5, 0.5, 0.5, 0.2, 0.2, 0.0, 0.0]))
-    assert levels[:3] == [0.0, 0.0, pytest.approx(0.5)]
-    assert levels[3] == pytest.approx(0.38) and levels[-1] == 0.0
+def test_confirmed_level_rises_holds_and_decays(spark):
+    rows = [(1, datetime.date(2024, 1, i + 1), i + 1, w) for i, w in enumerate([0.5, 0.5, 0.5, 0.2, 0.2, 0.0, 0.0])] + [(2, datetime.date(2024, 1, 1), 1, 0.9)]
+    got = B.with_level(spark.createDataFrame(rows, "ticker long, trade_date date, bar int, warning double")).orderBy("ticker", "trade_date").collect()
+    # Means 0.5, 0.4, 0.3, 0.13, 0.07: set, left, less 0.12, less 0.30 and no further than 0.
+    assert [r.level for r in got] == [0.0, 0.0, 0.5, 0.5, pytest.approx(0.38), pytest.approx(0.08), 0.0, 0.0]
 
 
-def test_crash_cuts_exposure_and_it_returns_by_steps():
-    n = 12
-    rows = pd.DataFrame({"ticker": 1, "trade_date": pd.date_range("2024-01-01", periods=n).date, "regime": "bull", "warning": 0.0, "ret": [0.0] * 3 + [-0.08] + [0.01] * (n - 4), "vol_pct": [80.0] * 4 + [40.0] * (n - 4), "rsi": 50.0})
-    e = B.exposures(rows)["exposure"].tolist()
+def path_of(spark, *series):
+    """Exposures of series of (regime, warning, ret, vol_pct, rsi) by bar."""
+    rows = [(k, datetime.date(2024, 1, 1) + datetime.timedelta(i), i + 1, *r) for k, s in enumerate(series) for i, r in enumerate(s)]
+    df = spark.createDataFrame(rows, "ticker long, trade_date date, bar int, regime string, warning double, ret double, vol_pct double, rsi double")
+    out = B.exposure_path(df).orderBy("ticker", "trade_date").collect()
+    return [[r.exposure for r in out if r.ticker == k] for k in range(len(series))]
+
+
+def test_crash_cuts_exposure_and_it_returns_by_steps(spark):
+    crash = [("bull", 0.0, 0.0 if i < 3 else -0.08 if i == 3 else 0.01, 80.0 if i < 4 else 40.0, 50.0) for i in range(12)]
+    held_down = [("sideways", 0.0, 0.0 if i != 3 else -0.08, 80.0, 50.0) for i in range(8)]
+    e, f = path_of(spark, crash, held_down)
     assert e[2] == 1.0 and e[3] == 0.10 and e[4] <= 0.40 + 1e-9 and e[-1] == 1.0 and all(b - a <= 0.30 + 1e-9 for a, b in zip(e, e[1:]))
+    assert f[2] == 0.95 and f[3] == 0.10 and f[4:] == [pytest.approx(0.20)] * 4
+
+
+def test_streaks_caps_and_missing_values(spark):
+    losses = [("sideways", 0.0, -0.02, 50.0, 50.0)] * 7
+    stressed = [("bear", 0.0, None, 95.0, None)] * 4
+    warned = [("bull", 0.8, 0.0, None, 20.0)] * 5
+    a, b, c = path_of(spark, losses, stressed, warned)
+    assert a[3] == 0.95 and a[4] == 0.25
+    assert b == [0.5, 0.45, 0.45, 0.45]
+    assert c[:2] == [1.0, 1.0] and c[2] == 0.5 and c[3] == pytest.approx(0.25 * 1.15)
 
 
 def test_portfolio_buys_whole_shares_and_pays_costs():
