@@ -74,7 +74,7 @@ class WordBpe:
     kept for up to ``cache`` chunks.
     """
 
-    def __init__(self, path: str, as_text: bool = False, cache: int = 250_000):
+    def __init__(self, path: str, as_text: bool = False, cache: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -329,7 +329,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "t
                 yield part
         bpe.chunks.clear()  # the worker may go on to other tasks: it keeps the tables, not the pieces
 
-    made = by_row(run, "ids array<int>" + (", decoded string" if decoded_col else ""))(F.col(text_col))
+    made = by_row(docs, run, "ids array<int>" + (", decoded string" if decoded_col else ""))(F.col(text_col))
     held = unused("made", docs.columns)
     rows = docs.withColumn(held, made).drop(*[c for c in new.values() if c in docs.columns])
     return rows.withColumns({c: F.col(held)[k] for k, c in new.items()}).drop(held)
@@ -342,7 +342,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "token_ids", text_col: s
         for lists in batches:
             yield pd.DataFrame({"text": [bpe.decode([] if ids is None else list(ids)) for ids in lists]})
 
-    return tokens.withColumn(text_col, by_row(run, "text string")(F.col(ids_col))["text"])
+    return tokens.withColumn(text_col, by_row(tokens, run, "text string")(F.col(ids_col))["text"])
 
 
 def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -363,5 +363,5 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
         bpe.chunks.clear()
 
-    made = by_row(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    made = by_row(rows, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
     return rows.select("doc_id", made("text").alias("made")).select("doc_id", "made.*")

@@ -57,11 +57,19 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def by_row(run: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]], made: str) -> Callable[..., Column]:
-    """A function of a column that gives a struct of the columns made; run gets series of it and yields a row for each value, in order.
+#: Bytes of texts that go to Python at once, at most: a worker holds them as Arrow, as strings, and with what is made of them.
+BATCH_BYTES = 16 << 20
 
-    Only that column goes to Python: ids and other columns stay in Spark, and keep their values whatever types they have.
+
+def by_row(docs: DataFrame, run: Callable[[Iterator[pd.Series]], Iterator[pd.DataFrame]], made: str) -> Callable[..., Column]:
+    """A function of a column of docs that gives a struct of the columns made; run gets series of it and yields a row for each value, in order.
+
+    Only that column goes to Python: ids and other columns stay in Spark, and keep
+    their values whatever types they have. The session's batches are held under BATCH_BYTES.
     """
+    spark, name = docs.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
 
     def work(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         return run(values)

@@ -254,5 +254,5 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             frame = pd.DataFrame(out, columns=["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "matches", "score"])
             yield frame.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    made = by_row(run, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, matches string, score double")
+    made = by_row(rows, run, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, matches string, score double")
     return rows.select("doc_id", made("text").alias("made")).select("doc_id", "made.*")

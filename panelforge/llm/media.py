@@ -657,5 +657,5 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pd.DataFrame(out, columns=names + (extra if tensors else []))
 
     schema = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    made = by_row(run, schema + (", media binary, height int, width int, rgb binary" if tensors else ""))
+    made = by_row(rows, run, schema + (", media binary, height int, width int, rgb binary" if tensors else ""))
     return rows.select("doc_id", made("text").alias("made")).select("doc_id", "made.*")

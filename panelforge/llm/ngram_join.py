@@ -155,7 +155,7 @@ def signed(docs: DataFrame, n: int, trees: int, floor: int, deepest: int, id_col
                 sketches.append((values[:SKETCH] & np.uint64(255)).astype(np.uint8).tobytes())
             yield pd.DataFrame({"set_id": ids, "grams": sizes, "paths": paths, "sketch": sketches})
 
-    made = by_row(run, "set_id binary, grams int, paths binary, sketch binary")
+    made = by_row(rows, run, "set_id binary, grams int, paths binary, sketch binary")
     return rows.select("doc_id", "text_key", made("text").alias("made")).select("doc_id", "text_key", "made.*")
 
 

@@ -337,7 +337,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])
 
     schema = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<first:long,stop:long>>"
-    made = by_row(run, schema)(F.struct("text", "spans")).alias("made")
+    made = by_row(rows, run, schema)(F.struct("text", "spans")).alias("made")
     return rows.join(spans, "key", "left").select("doc_id", made).select("doc_id", "made.*")
 
 

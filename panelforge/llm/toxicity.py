@@ -224,7 +224,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         known: dict[bytes, tuple[int, ...]] = {}
 
         def look(word: bytes) -> tuple[int, ...]:
-            if len(known) > 150_000:
+            if len(known) > 80_000:
                 known.clear()
             known[word] = at = tuple(place[b] for b in buckets_of(word, m.bits) if b in place)
             return at
@@ -235,7 +235,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 rows.append(sorted({i for w in words(text or "") for i in (known[w] if w in known else look(w))}))
             yield pd.DataFrame({"score": m.score(rows)})
 
-    return base.withColumn(score_col, by_row(run, "score double")(F.col(text_col))["score"])
+    return base.withColumn(score_col, by_row(base, run, "score double")(F.col(text_col))["score"])
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
