@@ -45,12 +45,16 @@ def at_selections(rows: DataFrame, days: DataFrame, sels: DataFrame) -> DataFram
     return spans.join(F.broadcast(sels), (F.col("day") <= F.col("sel_day")) & (F.col("sel_day") < F.col("until"))).drop("until", "day").withColumnRenamed("sel_day", "sel")
 
 
-def large_and_mid(stocks: DataFrame, floor: float) -> DataFrame:
-    """Liquid rows whose value is above the cut between mid and small of their cross-section's liquid rows; with tier."""
+def with_tier(stocks: DataFrame, floor: float) -> DataFrame:
+    """stocks with tier: by the cuts of their cross-section's liquid rows; those that aren't liquid are small."""
     liquid = F.coalesce(F.col("adv60") >= floor, F.lit(False))
     cuts = F.percentile(F.when(liquid & (F.col("mktcap") > 0), F.col("mktcap")), F.array(*map(F.lit, SIZE_CUTS))).over(Window.partitionBy("sel"))
     tier = F.when(liquid, size_tier(F.col("mktcap"), F.col("__cuts")[0], F.col("__cuts")[1])).otherwise("small")
-    return stocks.withColumn("__cuts", cuts).withColumn("tier", tier).filter(F.col("tier").isin("large", "mid")).drop("__cuts")
+    return stocks.withColumn("__cuts", cuts).withColumn("tier", tier).drop("__cuts")
+
+
+def large_and_mid(stocks: DataFrame, floor: float) -> DataFrame:
+    return with_tier(stocks, floor).filter(F.col("tier").isin("large", "mid"))
 
 
 def chart_universe(stocks: DataFrame) -> DataFrame:
@@ -170,14 +174,20 @@ def period_ic(scored: DataFrame, returns: DataFrame, horizons: dict[str, int], *
 def recalls(picks: DataFrame, winners: DataFrame, universe: DataFrame, *by: str) -> DataFrame:
     """by, sel, selected, hits, winners, recall, random, lift of picks(by, sel, ticker) against the winners of any horizon.
 
-    Periods without winners are left out. random is what picking as many blindly would find.
+    Every period with winners counts for each of the picks' legs, also where a leg
+    picks nothing; periods without winners are left out. random is what picking as
+    many blindly would find.
     """
     won = winners.select(F.col("sel_day").alias("sel"), "ticker").distinct()
     total = won.groupBy("sel").agg(F.count(F.lit(1)).alias("winners"))
     size = universe.groupBy("sel").agg(F.count(F.lit(1)).alias("size"))
+    periods = total.join(size, "sel")
+    if by:
+        periods = periods.join(F.broadcast(picks.select(*by).distinct()))  # a row for each leg
     hit = picks.join(won.withColumn("__hit", F.lit(1)), ["sel", "ticker"], "left").groupBy(*by, "sel").agg(F.count(F.lit(1)).alias("selected"), F.count("__hit").alias("hits"))
+    out = periods.join(hit, [*by, "sel"], "left").fillna(0, ["selected", "hits"])
     recall, blind = F.col("hits") / F.col("winners"), F.col("selected") / F.col("size")
-    return hit.join(total, "sel").join(size, "sel").select(*by, "sel", "selected", "hits", "winners", recall.alias("recall"), blind.alias("random"), (recall - blind).alias("lift"))
+    return out.select(*by, "sel", "selected", "hits", "winners", recall.alias("recall"), blind.alias("random"), (recall - blind).alias("lift"))
 
 
 def ratio(ic: str) -> Column:
@@ -204,10 +214,11 @@ def leg_report(found: DataFrame, ics: DataFrame, *by: str) -> DataFrame:
 
 
 def dropped_recall(picks: DataFrame, winners: DataFrame, universe: DataFrame) -> DataFrame:
-    """dropped, recall, loss: pooled recall without each indicator, and how much less that is than with all."""
-    pooled = recalls(picks, winners, universe, "dropped").groupBy("dropped").agg((F.sum("hits") / F.sum("winners")).alias("recall"))
-    whole = pooled.filter("dropped IS NULL").select(F.col("recall").alias("whole"))  # a single row
-    return pooled.filter("dropped IS NOT NULL").join(F.broadcast(whole)).select("dropped", "recall", (F.col("whole") - F.col("recall")).alias("loss"))
+    """dropped, recall, loss: pooled recall without each indicator, and how much less that is than with all (dropped is null)."""
+    named = picks.withColumn("dropped", F.coalesce("dropped", F.lit("")))
+    pooled = recalls(named, winners, universe, "dropped").groupBy("dropped").agg((F.sum("hits") / F.sum("winners")).alias("recall"))
+    whole = pooled.filter("dropped = ''").select(F.col("recall").alias("whole"))  # a single row
+    return pooled.filter("dropped <> ''").join(F.broadcast(whole)).select("dropped", "recall", (F.col("whole") - F.col("recall")).alias("loss"))
 
 
 def verdict(switch: DataFrame, report: DataFrame) -> DataFrame:
@@ -221,6 +232,75 @@ def verdict(switch: DataFrame, report: DataFrame) -> DataFrame:
     return both.select(decision.alias("decision"), (F.col("fired") | F.col("blocked")).alias("appendix"), reason.alias("reasons"))
 
 
+# Marginal legs
+
+
+def funnel(picks: DataFrame, winners: DataFrame, universe: DataFrame, horizons: dict[str, int]) -> DataFrame:
+    """leg, sel, and counts of each period with winners: selected, size, num and den of all winners, lm_num and lm_den of
+    large and mid ones, and num_<bucket> and den_<bucket> of each horizon's winners against the picks of its bucket.
+
+    picks: leg, sel, bucket, ticker, each ticker in one bucket; universe: sel, ticker, tier.
+    """
+    named = F.create_map(*[F.lit(x) for b, h in horizons.items() for x in (h, b)])
+    large = F.col("tier").isin("large", "mid")
+    by_bucket = winners.select(F.col("sel_day").alias("sel"), named[F.col("horizon")].alias("bucket"), "ticker")
+    won = by_bucket.select("sel", "ticker").distinct().join(universe.select("sel", "ticker", "tier"), ["sel", "ticker"])
+    dens = won.groupBy("sel").agg(F.count(F.lit(1)).alias("den"), F.count_if(large).alias("lm_den"))
+    sizes = universe.groupBy("sel").agg(F.count(F.lit(1)).alias("size"))
+    horizon_dens = by_bucket.groupBy("sel").agg(*[F.count_if(F.col("bucket") == b).alias(f"den_{b}") for b in horizons])
+    own = by_bucket.withColumn("__own", F.lit(1))
+    hits = (
+        picks.join(won.withColumn("__won", F.lit(1)), ["sel", "ticker"], "left").join(own, ["sel", "bucket", "ticker"], "left").groupBy("leg", "sel")
+        .agg(
+            F.count(F.lit(1)).alias("selected"), F.count("__won").alias("num"), F.count_if(F.col("__won").isNotNull() & large).alias("lm_num"),
+            *[F.count_if(F.col("__own").isNotNull() & (F.col("bucket") == b)).alias(f"num_{b}") for b in horizons],
+        )
+    )
+    periods = dens.join(sizes, "sel").join(horizon_dens, "sel").join(F.broadcast(picks.select("leg").distinct()))  # a row for each leg
+    return periods.join(hits, ["leg", "sel"], "left").fillna(0, ["selected", "num", "lm_num", *[f"num_{b}" for b in horizons]])
+
+
+def pooled(counts: DataFrame, ics: DataFrame, horizons: dict[str, int]) -> DataFrame:
+    """leg, periods, pooled recall overall, of large and mid, and by horizon, the random share and the ratio to it, interval of the periods' recall, mean and ratio of ic."""
+    rows = counts.withColumn("recall", F.col("num") / F.col("den")).join(ics, ["leg", "sel"], "left")
+    share = lambda n, d: F.try_divide(F.sum(n), F.sum(d))
+    out = rows.groupBy("leg").agg(
+        F.count(F.lit(1)).alias("periods"), share("num", "den").alias("overall"), share("lm_num", "lm_den").alias("largemid"), *[share(f"num_{b}", f"den_{b}").alias(b) for b in horizons], share("selected", "size").alias("random"),
+        *[c.alias(f"recall_{n}") for c, n in zip(interval("recall")[1:], ("low", "high"))], F.avg("ic").alias("ic_mean"), ratio("ic").alias("ic_ir"),
+    )
+    return out.withColumn("random_ratio", F.try_divide("overall", "random"))
+
+
+def marginal(counts: DataFrame, legs: DataFrame, base: str, other: str) -> DataFrame:
+    """periods, lift with its interval over the same periods, and the other leg's pooled figures less the base's; a single row."""
+    of = lambda leg: F.sum(F.when(F.col("leg") == leg, F.col("num") / F.col("den")))
+    lifts = counts.groupBy("sel").agg((of(other) - of(base)).alias("lift"))
+    two = F.count("lift") >= 2
+    lift = lifts.agg(F.count("lift").alias("periods"), F.avg("lift").alias("lift"), F.when(two, F.round(F.percentile("lift", 0.05), 4)).alias("lift_low"), F.when(two, F.round(F.percentile("lift", 0.95), 4)).alias("lift_high"))
+    figures = ("overall", "largemid", "ic_mean", "ic_ir")
+    less = lambda c: F.max(F.when(F.col("leg") == other, F.round(c, 4))) - F.max(F.when(F.col("leg") == base, F.round(c, 4)))
+    return lift.join(F.broadcast(legs.agg(*[F.round(less(c), 4).alias(f"d_{c}") for c in figures])))  # a single row each
+
+
+def overlap_report(samples: DataFrame, factors: tuple[str, ...], limit: float = KILL_LIMIT) -> DataFrame:
+    """scope, factor, samples, mean, low, high, state: orthogonal, correlated (the mean at or over the limit either way) or missing."""
+    asked = samples.sparkSession.createDataFrame([(s, f) for s in SCOPES for f in factors], "scope string, factor string")
+    found = samples.groupBy("scope", "factor").agg(F.count("rho").alias("samples"), *interval("rho"))
+    out = F.broadcast(asked).join(found, ["scope", "factor"], "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
+    return out.withColumn("state", F.when(F.col("samples") == 0, "missing").when(F.abs("mean") >= limit, "correlated").otherwise("orthogonal"))
+
+
+def marginal_verdict(overlap: DataFrame, lift: DataFrame, proven: bool) -> DataFrame:
+    """verdict, orthogonal, raw of a marginal lift: it needs the interval above 0, a better ratio of ic, and a factor that
+    is no proxy; without proof that the data were known at the time it stays blocked. A single row."""
+    fine = overlap.agg(F.bool_and(F.col("state") == "orthogonal").alias("orthogonal"))
+    rows = lift.join(F.broadcast(fine))  # a single row each
+    helps = F.coalesce((F.col("lift_low") > 0) & (F.col("d_ic_ir") > 0), F.lit(False)) & F.col("orthogonal")
+    raw = F.when(helps, "MARGINAL_LIFT").otherwise("NO_MARGINAL_LIFT")
+    verdict = F.when(F.lit(not proven), "BLOCKED").when(~F.col("orthogonal"), "NOT_ORTHOGONAL").when(helps, "EXPLORATORY_LIFT").otherwise("EXPLORATORY_NO_LIFT")
+    return rows.select(verdict.alias("verdict"), "orthogonal", raw.alias("raw"))
+
+
 # Generators of combined selections
 
 

@@ -110,8 +110,10 @@ def _ic_sql(name: str, source: str, *by: str) -> str:
 
 def _recall_sql(name: str, picks: str, *by: str) -> str:
     g = ", ".join((*by, "sel"))
+    every = f"(SELECT DISTINCT {', '.join(by)} FROM {picks}) CROSS JOIN tot" if by else "tot"
     return f""", {name}h AS (SELECT {', '.join(f'p.{c}' for c in (*by, 'sel'))}, count(*) AS selected, count(w.ticker) AS hits FROM {picks} p LEFT JOIN won w ON w.sel = p.sel AND w.ticker = p.ticker GROUP BY ALL),
-{name} AS (SELECT {g}, selected, hits, winners, hits / winners AS recall, selected / size AS random, hits / winners - selected / size AS lift FROM {name}h JOIN tot USING (sel) JOIN siz USING (sel))"""
+{name} AS (SELECT {g}, coalesce(selected, 0) AS selected, coalesce(hits, 0) AS hits, winners, coalesce(hits, 0) / winners AS recall, coalesce(selected, 0) / size AS random, coalesce(hits, 0) / winners - coalesce(selected, 0) / size AS lift
+  FROM {every} JOIN siz USING (sel) LEFT JOIN {name}h USING ({g}))"""
 
 
 def _interval(v: str) -> str:
@@ -217,10 +219,9 @@ def chart_selector(spark, sf_dir):
 def chart_left_out(spark, sf_dir):
     """Recall of the adjudicated size without each sub-indicator, and what is lost against all eight."""
     stocks, returns, chart, _ = large(spark, sf_dir)
-    versions = settle(in_buckets(H.left_out(chart, [f"rank_{s}" for s in H.SUBS]).fillna("none", ["dropped"])))
+    versions = settle(in_buckets(H.left_out(chart, [f"rank_{s}" for s in H.SUBS]).fillna("", ["dropped"])))
     picks = H.pooled_top(H.staged_buckets(versions, in_order(spark), L.QUOTA, "dropped", "sel"), SIZES[:1], "dropped", "sel")
-    named = picks.withColumn("dropped", F.when(F.col("dropped") != "none", F.col("dropped")))
-    return H.dropped_recall(named, Z.winners(returns), stocks).select("dropped", *rounded("recall", "loss"))
+    return H.dropped_recall(picks, Z.winners(returns), stocks).select("dropped", *rounded("recall", "loss"))
 
 
 @register(LARGE_SQL + ", pr AS (" + " UNION ALL ".join(f"SELECT sel, '{a}' AS \"left\", '{b}' AS \"right\", CASE WHEN count(*) >= 2 AND NOT isnan(corr(rank_{a}, rank_{b})) THEN round(corr(rank_{a}, rank_{b}), 8) END AS rho FROM chart GROUP BY sel" for i, a in enumerate(H.SUBS) for b in H.SUBS[i + 1 :])
@@ -302,3 +303,100 @@ def combo_groups(spark, sf_dir):
     by_state = F.when(F.col("state") == "bull", "bull").otherwise("not_bull")
     records = combos(spark, sf_dir).withColumn("grp", F.when(F.col("generator") == "regime_earnings", by_state).otherwise(by_date))
     return H.group_verdict(records, "generator", "grp").select("generator", "grp", "periods", *rounded("lift"), "low", "high", *rounded("ic_ir"), "primary", "cogate", "verdict")
+
+
+# The issuance factor against the score without it, over all instruments
+
+WITH_ISSUANCE_SQL = "".join("," + _by_sel(L.scores_sql(b, True)) for b in BUCKETS)
+for _b in BUCKETS:  # the same CTEs under other names
+    for _name in ("w", "x", "r", "t", "g", "m", "y", "k", "o", "s"):
+        WITH_ISSUANCE_SQL = WITH_ISSUANCE_SQL.replace(f"{_name}_{_b}", f"{_name}i_{_b}")
+WITH_ISSUANCE_SQL = WITH_ISSUANCE_SQL.replace("trend_longi_", "trend_long_")
+ISSUE_FACTORS = ("trend", "flow", "earnings", "quality", "size")
+TIERS_SQL = """, tq AS (SELECT *, quantile_cont(CASE WHEN liquid AND mktcap > 0 THEN mktcap END, 0.8) OVER (PARTITION BY sel) AS hi0, quantile_cont(CASE WHEN liquid AND mktcap > 0 THEN mktcap END, 0.4) OVER (PARTITION BY sel) AS lo0 FROM stocks),
+tier AS (SELECT sel, ticker, CASE WHEN liquid AND mktcap >= hi0 THEN 'large' WHEN liquid AND mktcap >= lo0 THEN 'mid' ELSE 'small' END AS tier FROM tq)"""
+ISSUE_SQL = SECTIONS_SQL + EVERY_SQL + WON_SQL + TIERS_SQL + SCORES_SQL + WITH_ISSUANCE_SQL + ", li AS (" + " UNION ALL ".join(
+    [f"SELECT 'base' AS leg, sel, '{b}' AS bucket, ticker, sleeve, score FROM s_{b}" for b in BUCKETS]
+    + [f"SELECT 'issuance' AS leg, sel, '{b}' AS bucket, ticker, sleeve, score FROM si_{b}" for b in BUCKETS]
+    + [f"SELECT 'alone' AS leg, sel, '{b}' AS bucket, ticker, sleeve, CASE WHEN eligible THEN round(rank_issuance, 8) END AS score FROM si_{b}" for b in BUCKETS]
+) + ")" + _staged_sql("ip", "li", PLAIN_STAGES, "leg", "sel") + _ic_sql("ii", "li", "leg")
+_HB = " ".join(f"WHEN {h} THEN '{b}'" for b, h in HORIZON.items())
+FUNNEL_SQL = ISSUE_SQL + f""", wb AS (SELECT sel_day AS sel, CASE horizon {_HB} END AS bucket, ticker FROM win),
+wt AS (SELECT won.sel, won.ticker, tier IN ('large', 'mid') AS lm FROM won JOIN tier USING (sel, ticker)),
+dn AS (SELECT sel, count(*) AS den, count(*) FILTER (lm) AS lm_den FROM wt GROUP BY sel), hd AS (SELECT sel, {', '.join(f"count(*) FILTER (bucket = '{b}') AS den_{b}" for b in BUCKETS)} FROM wb GROUP BY sel),
+ht AS (SELECT p.leg, p.sel, count(*) AS selected, count(w.ticker) AS num, count(*) FILTER (w.lm) AS lm_num, {', '.join(f"count(o.ticker) FILTER (p.bucket = '{b}') AS num_{b}" for b in BUCKETS)}
+  FROM ip p LEFT JOIN wt w ON w.sel = p.sel AND w.ticker = p.ticker LEFT JOIN wb o ON o.sel = p.sel AND o.bucket = p.bucket AND o.ticker = p.ticker GROUP BY ALL),
+fu AS (SELECT leg, sel, size, den, lm_den, {', '.join(f'den_{b}' for b in BUCKETS)}, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('selected', 'num', 'lm_num', *(f'num_{b}' for b in BUCKETS)))} FROM (SELECT DISTINCT leg FROM ip) CROSS JOIN dn JOIN siz USING (sel) JOIN hd USING (sel) LEFT JOIN ht USING (leg, sel)),
+po AS (SELECT leg, count(*) AS periods, sum(num) / sum(den) AS overall, sum(lm_num) / nullif(sum(lm_den), 0) AS largemid, {', '.join(f'sum(num_{b}) / nullif(sum(den_{b}), 0) AS "{b}"' for b in BUCKETS)}, sum(selected) / sum(size) AS random,
+  CASE WHEN count(*) >= 2 THEN round(quantile_cont(num / den, 0.05), 4) END AS recall_low, CASE WHEN count(*) >= 2 THEN round(quantile_cont(num / den, 0.95), 4) END AS recall_high, avg(ic) AS ic_mean, {IR} AS ic_ir,
+  sum(num) / sum(den) / nullif(sum(selected) / sum(size), 0) AS random_ratio FROM fu LEFT JOIN ii USING (leg, sel) GROUP BY leg),
+lf AS (SELECT sel, sum(CASE WHEN leg = 'issuance' THEN num / den END) - sum(CASE WHEN leg = 'base' THEN num / den END) AS lift FROM fu GROUP BY sel),
+mg AS (SELECT (SELECT count(lift) FROM lf) AS periods, (SELECT avg(lift) FROM lf) AS lift, (SELECT CASE WHEN count(lift) >= 2 THEN round(quantile_cont(lift, 0.05), 4) END FROM lf) AS lift_low, (SELECT CASE WHEN count(lift) >= 2 THEN round(quantile_cont(lift, 0.95), 4) END FROM lf) AS lift_high,
+  {', '.join(f"round(max(CASE WHEN leg = 'issuance' THEN round({c}, 4) END) - max(CASE WHEN leg = 'base' THEN round({c}, 4) END), 4) AS d_{c}" for c in ('overall', 'largemid', 'ic_mean', 'ic_ir'))} FROM po)"""
+_RANKS = {"trend": "rank_trend", "flow": "rank_flow", "earnings": "rank_earnings", "quality": "rank_quality", "size": "size"}
+OVERLAP_SQL = ", oz AS (" + " UNION ALL ".join(
+    f"SELECT sel, '{b}' AS bucket, sleeve, round(rank_issuance, 8) AS issuance, {', '.join(f'round({c}, 8) AS {f}' for f, c in _RANKS.items())} FROM (SELECT *, {Q._midrank_sql('lm', 'sel')} AS size FROM (SELECT *, round(ln(CASE WHEN mktcap > 0 THEN mktcap END), 10) AS lm FROM si_{b} WHERE eligible))" for b in BUCKETS
+) + f"""), oc AS (SELECT sel, bucket, coalesce(sleeve, 'overall') AS scope, {', '.join(f"CASE WHEN count(*) FILTER (issuance IS NOT NULL AND {f} IS NOT NULL) >= 2 AND NOT isnan(corr(issuance, {f})) THEN round(corr(issuance, {f}), 8) END AS {f}" for f in ISSUE_FACTORS)} FROM oz GROUP BY GROUPING SETS ((sel, bucket), (sel, bucket, sleeve))),
+ou AS ({' UNION ALL '.join(f"SELECT scope, '{f}' AS factor, {f} AS rho FROM oc" for f in ISSUE_FACTORS)}), oa AS (SELECT scope, factor, count(rho) AS samples, avg(rho) AS mean, {_interval('rho')} FROM ou GROUP BY ALL),
+ol AS (SELECT scope, factor, coalesce(samples, 0) AS samples, mean, low, high, CASE WHEN coalesce(samples, 0) = 0 THEN 'missing' WHEN abs(mean) >= {H.KILL_LIMIT} THEN 'correlated' ELSE 'orthogonal' END AS state
+  FROM (VALUES {', '.join(f"('{s}')" for s in H.SCOPES)}) s(scope) CROSS JOIN (VALUES {', '.join(f"('{f}')" for f in ISSUE_FACTORS)}) f(factor) LEFT JOIN oa USING (scope, factor))"""
+
+
+def issuance_scores(stocks: DataFrame) -> DataFrame:
+    """sel, bucket, ticker, sleeve, score, eligible, size and the factors' ranks, with issuance as a fifth factor."""
+    kept = ["sel", "bucket", "ticker", "sleeve", "score", "eligible", "mktcap", "rank_trend", "rank_flow", "rank_earnings", "rank_quality", "rank_issuance"]
+    return settle(reduce(DataFrame.unionByName, [G.bpp_scores(stocks, b, L.FLOOR, with_issuance=True).select(*kept) for b in BUCKETS]))
+
+
+def overlap(scored: DataFrame) -> DataFrame:
+    """sel, bucket, scope, factor, rho of the issuance rank with each factor's, overall and by sleeve."""
+    logs = F.round(F.ln(F.when(F.col("mktcap") > 0, F.col("mktcap"))), 10)
+    rows = scored.filter("eligible").withColumn("size", H.midrank(logs, "sel", "bucket"))
+    rows = rows.select("sel", "bucket", "sleeve", F.round("rank_issuance", 8).alias("issuance"), *[F.round(c, 8).alias(f) for f, c in _RANKS.items()])
+    out = rows.groupingSets([["sel", "bucket"], ["sel", "bucket", "sleeve"]], "sel", "bucket", "sleeve").agg(*[H.correlation("issuance", f).alias(f) for f in ISSUE_FACTORS])
+    return out.select("sel", "bucket", F.coalesce("sleeve", F.lit("overall")).alias("scope"), F.explode(F.map_from_arrays(F.array(*map(F.lit, ISSUE_FACTORS)), F.array(*ISSUE_FACTORS))).alias("factor", "rho"))
+
+
+def issuance_funnel(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scores with issuance, counts by leg and period, pooled figures by leg): the score, the score with issuance, and issuance alone."""
+    bars, days, stocks = sections(spark, sf_dir)
+    returns, base, issued = returns_of(bars, days, stocks), plain_scores(stocks), issuance_scores(stocks)
+    kept = ["sel", "bucket", "ticker", "sleeve", "score"]
+    alone = issued.withColumn("score", F.when(F.col("eligible"), F.round("rank_issuance", 8)))
+    legs = settle(reduce(DataFrame.unionByName, [d.select(F.lit(leg).alias("leg"), *kept) for leg, d in (("base", base), ("issuance", issued), ("alone", alone))]))
+    tiers = H.with_tier(stocks, L.FLOOR)
+    counts = settle(H.funnel(H.staged_buckets(legs, in_order(spark), L.QUOTA, "leg", "sel"), Z.winners(returns), tiers, HORIZON))
+    return issued, counts, settle(H.pooled(counts, H.period_ic(legs, returns, HORIZON, "leg"), HORIZON))
+
+
+POOLED = ("overall", "largemid", *BUCKETS, "random", "random_ratio", "recall_low", "recall_high", "ic_mean", "ic_ir")
+
+
+@register(FUNNEL_SQL + f" SELECT leg, periods, {', '.join(f'round({c}, 6) AS {c}' for c in POOLED)} FROM po")
+def issuance_legs(spark, sf_dir):
+    return issuance_funnel(spark, sf_dir)[2].select("leg", "periods", *rounded(*POOLED))
+
+
+MARGINAL = ("lift", "lift_low", "lift_high", "d_overall", "d_largemid", "d_ic_mean", "d_ic_ir")
+
+
+@register(FUNNEL_SQL + f" SELECT periods, {', '.join(f'round({c}, 6) AS {c}' for c in MARGINAL)} FROM mg")
+def issuance_marginal(spark, sf_dir):
+    """What issuance adds to the score, over the same periods and winners."""
+    _, counts, legs = issuance_funnel(spark, sf_dir)
+    return H.marginal(counts, legs, "base", "issuance").select("periods", *rounded(*MARGINAL))
+
+
+@register(ISSUE_SQL + OVERLAP_SQL + " SELECT scope, factor, samples, round(mean, 6) AS mean, low, high, state FROM ol")
+def issuance_overlap(spark, sf_dir):
+    _, _, stocks = sections(spark, sf_dir)
+    return H.overlap_report(overlap(issuance_scores(stocks)), ISSUE_FACTORS).withColumn("mean", F.round("mean", 6))
+
+
+@register(FUNNEL_SQL + OVERLAP_SQL + """, vd AS (SELECT lift_low, d_ic_ir, (SELECT bool_and(state = 'orthogonal') FROM ol) AS orthogonal FROM mg), vh AS (SELECT *, coalesce(lift_low > 0 AND d_ic_ir > 0, false) AND orthogonal AS helps FROM vd)
+SELECT proven, CASE WHEN NOT proven THEN 'BLOCKED' WHEN NOT orthogonal THEN 'NOT_ORTHOGONAL' WHEN helps THEN 'EXPLORATORY_LIFT' ELSE 'EXPLORATORY_NO_LIFT' END AS verdict, orthogonal, CASE WHEN helps THEN 'MARGINAL_LIFT' ELSE 'NO_MARGINAL_LIFT' END AS raw FROM vh, (VALUES (true), (false)) p(proven)""")
+def issuance_verdict(spark, sf_dir):
+    """The verdict with and without proof that share counts were known at the time."""
+    issued, counts, legs = issuance_funnel(spark, sf_dir)
+    report, lift = settle(H.overlap_report(overlap(issued), ISSUE_FACTORS)), settle(H.marginal(counts, legs, "base", "issuance"))
+    return reduce(DataFrame.unionByName, [H.marginal_verdict(report, lift, proven).select(F.lit(proven).alias("proven"), "*") for proven in (True, False)])

@@ -120,3 +120,36 @@ def test_period_without_winners_is_left_out(spark):
     universe = spark.createDataFrame([(s, t) for s in (1, 2) for t in "abcz"], "sel int, ticker string")
     (r,) = H.recalls(picks, won, universe).collect()
     assert (r.sel, r.selected, r.hits, r.winners, r.recall, r.random, r.lift) == (1, 2, 1, 2, 0.5, 0.5, 0.0)
+    # One with winners counts for every leg, also for those that pick nothing in it.
+    legs = picks.filter("sel = 2").withColumn("leg", F.lit("x")).union(picks.filter("sel = 1").withColumn("leg", F.lit("y")))
+    got = {r.leg: (r.selected, r.recall, r.random) for r in H.recalls(legs, won, universe, "leg").collect()}
+    assert got == {"x": (0, 0.0, 0.0), "y": (2, 0.5, 0.5)}
+
+
+def test_funnel_counts_by_horizon_and_size(spark):
+    picks = spark.createDataFrame([("a", 1, "short", "p"), ("a", 1, "mid", "q"), ("a", 1, "long", "r"), ("b", 2, "short", "p")], "leg string, sel int, bucket string, ticker string")
+    won = spark.createDataFrame([(1, 4, "p", 0.1), (1, 13, "p", 0.1), (1, 13, "r", 0.1), (1, 26, "r", 0.1), (1, 26, "z", 0.2)], "sel_day int, horizon int, ticker string, ret double")
+    universe = spark.createDataFrame([(1, "p", "large"), (1, "q", "mid"), (1, "r", "small"), (1, "z", "mid"), (2, "p", "large")], "sel int, ticker string, tier string")
+    horizons = {"short": 4, "mid": 13, "long": 26}
+    counts = H.funnel(picks, won, universe, horizons)
+    got = {r.leg: r for r in counts.collect()}
+    a = got["a"]
+    assert (a.selected, a["size"], a.num, a.den, a.lm_num, a.lm_den) == (3, 4, 2, 3, 1, 2)
+    assert [(a[f"num_{b}"], a[f"den_{b}"]) for b in horizons] == [(1, 1), (0, 2), (1, 2)]
+    assert (got["b"].selected, got["b"].num, got["b"].den) == (0, 0, 3)
+    ics = spark.createDataFrame([("a", 1, 0.5)], "leg string, sel int, ic double")
+    pooled = {r.leg: r for r in H.pooled(counts, ics, horizons).collect()}
+    assert pooled["a"].overall == pytest.approx(2 / 3) and pooled["a"].largemid == 0.5 and pooled["a"].random == 0.75 and pooled["a"].recall_low is None and pooled["a"].ic_ir is None
+    lift = H.marginal(counts, H.pooled(counts, ics, horizons), "b", "a").first()
+    assert lift.lift == pytest.approx(2 / 3) and lift.d_overall == pytest.approx(0.6667) and lift.d_ic_mean is None
+
+
+@pytest.mark.parametrize(
+    "low,ir,mean,proven,want",
+    [(0.1, 0.1, 0.2, True, "EXPLORATORY_LIFT"), (0.1, 0.1, 0.2, False, "BLOCKED"), (0.1, 0.1, -0.6, True, "NOT_ORTHOGONAL"), (-0.1, 0.1, 0.2, True, "EXPLORATORY_NO_LIFT"), (0.1, -0.1, 0.2, True, "EXPLORATORY_NO_LIFT"), (None, 0.1, 0.2, True, "EXPLORATORY_NO_LIFT"), (0.1, 0.1, None, True, "NOT_ORTHOGONAL")],
+)
+def test_marginal_verdicts(spark, low, ir, mean, proven, want):
+    rho = {(s, "size"): [mean if s == "mid" else 0.1] for s in H.SCOPES}
+    lift = spark.createDataFrame([(low, ir)], "lift_low double, d_ic_ir double")
+    got = H.marginal_verdict(H.overlap_report(samples(spark, rho), ("size",)), lift, proven).first()
+    assert got.verdict == want and got.raw == ("MARGINAL_LIFT" if want == "EXPLORATORY_LIFT" or not proven else "NO_MARGINAL_LIFT")
