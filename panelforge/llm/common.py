@@ -17,9 +17,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the shared folder."""
-    return settle(df)
+#: Rows of ids and numbers that a written file has at least, where the table is larger.
+FILE_ROWS = 50_000
+
+
+def gathered(df: DataFrame, rows: int | None) -> DataFrame:
+    """df in as many partitions as a table of at most so many rows needs, and not in more than it has: small tables aren't written in as many files as there are shuffle partitions."""
+    return df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+
+
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cut the lineage of df with a reliable checkpoint in the shared folder; rows: the most it can have, where that is known."""
+    return settle(gathered(df, rows))
 
 
 class Scratch:
@@ -35,11 +44,11 @@ class Scratch:
         self.folder = f"{shared or tempfile.mkdtemp(prefix='panelforge-scratch-')}/scratch-{spark.sparkContext.applicationId}-{uuid4()}"
         self.count = 0
 
-    def table(self, df: DataFrame) -> DataFrame:
-        """df, written and read again."""
+    def table(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df, written and read again; rows: the most it can have, where that is known."""
         self.count += 1
         path = f"{self.folder}/{self.count}"
-        df.write.parquet(path)
+        gathered(df, rows).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def __enter__(self) -> Scratch:

@@ -84,8 +84,8 @@ def cuts(rows: DataFrame, weights: tuple[float, ...], share: float, most: float,
     rows equal to it, ``ties`` of them. cut_key is null where none is.
     """
     place = F.col("key") / (1 + F.col("key")) * bins
-    rows = rows.withColumn("bin", F.floor(place).cast("int"))
-    by_bin = materialize(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")))
+    rows, n = rows.withColumn("bin", F.floor(place).cast("int")), rows.count()
+    by_bin = materialize(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), n)
     targets = source_targets(by_bin.groupBy("source").agg(F.sum("bin_size").alias("source_size")), weights, share, most)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     targets = targets.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -96,15 +96,16 @@ def cuts(rows: DataFrame, weights: tuple[float, ...], share: float, most: float,
         sums.alias("s")
         .join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
         .groupBy(F.col("t.source").alias("of"), "source_size", "target", "epochs", "rest")
-        .agg(F.max(F.when(F.col("before") < F.col("rest"), F.struct("bin", "before"))).alias("edge"))
+        .agg(F.max(F.when(F.col("before") < F.col("rest"), F.struct("bin", "before"))).alias("edge")),
+        n,
     )
     inside = rows.join(edges, F.col("source").eqNullSafe(F.col("of")) & (F.col("bin") == F.col("edge.bin")))
-    inside = materialize(inside.select("of", "rest", "edge", "key", "doc_id", "size", F.floor((place - F.col("bin")) * bins).cast("int").alias("part")))
+    inside = materialize(inside.select("of", "rest", "edge", "key", "doc_id", "size", F.floor((place - F.col("bin")) * bins).cast("int").alias("part")), n)
 
     order = Window.partitionBy("of").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = inside.groupBy("of", "rest", "edge", "part").agg(F.sum("size").alias("part_size"))
     parts = parts.withColumn("start", F.col("edge.before") + F.coalesce(F.sum("part_size").over(order), F.lit(0)))
-    ends = materialize(parts.filter(F.col("start") < F.col("rest")).groupBy(F.col("of").alias("by")).agg(F.max(F.struct("part", "start")).alias("end")))
+    ends = materialize(parts.filter(F.col("start") < F.col("rest")).groupBy(F.col("of").alias("by")).agg(F.max(F.struct("part", "start")).alias("end")), n)
     key_order = Window.partitionBy("by").orderBy("key", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     summed = inside.join(ends, F.col("of").eqNullSafe(F.col("by")) & (F.col("part") == F.col("end.part")))
     summed = summed.withColumn("sum", F.col("end.start") + F.coalesce(F.sum("size").over(key_order), F.lit(0)))
@@ -134,7 +135,7 @@ def planned(
     """doc_id, source, size, source_size, target and copies of each row of docs; with carry also row, all its columns."""
     # Numbers only: texts are read once for them, and once more where rows are carried.
     slim = materialize(keyed(docs, id_col, text_col, source_col, seed))
-    plan = bounded_broadcast(materialize(cuts(slim, weights, share, most, bins)), small)
+    plan = bounded_broadcast(materialize(cuts(slim, weights, share, most, bins), slim.count()), small)
     rows = keyed(docs, id_col, text_col, source_col, seed, F.struct(*docs.columns).alias("row")) if carry else slim
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("of")))
     at_cut = (F.col("key") == F.col("cut_key")) & F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("ties") > 0)

@@ -318,22 +318,23 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     held = Scratch(spark)
     edges = held.table(edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
+    rows = 2 * edges.count()  # no step makes more edges, or nodes, than this
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         work = Scratch(spark)
-        least = work.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = work.table(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), rows)
         # Large star: neighbours above a node move to its smallest neighbour.
         moves = both.filter("b > a").join(least, "a").selectExpr("b AS a", "m AS b", "m <> a AS moved")
-        large = work.table(moves.groupBy("a", "b").agg(F.max("moved").alias("moved")))
+        large = work.table(moves.groupBy("a", "b").agg(F.max("moved").alias("moved")), rows)
         # Small star: a node and its smaller neighbours move to the smallest of these.
-        low = work.table(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("smaller"), F.max("moved").alias("moved")))
+        low = work.table(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("smaller"), F.max("moved").alias("moved")), rows)
         if low.filter("moved OR smaller > 1").isEmpty():
-            found = materialize(edges.selectExpr("a AS node", "b AS root").union(edges.selectExpr("b AS node", "b AS root").distinct()))
+            found = materialize(edges.selectExpr("a AS node", "b AS root").union(edges.selectExpr("b AS node", "b AS root").distinct()), rows)
             work.drop(), held.drop()
             return found
         small = large.select("a", "b").join(low.select("a", "m"), "a").filter("b <> m").selectExpr("b AS a", "m AS b")
         after = Scratch(spark)
-        edges = after.table(small.union(low.selectExpr("a", "m AS b")).distinct())
+        edges = after.table(small.union(low.selectExpr("a", "m AS b")).distinct(), rows)
         work.drop(), held.drop()
         held = after
 
@@ -421,13 +422,13 @@ def jaccard_classes(
             F.min("grams").alias("grams"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch"),
         )
     )
-    scratch = Scratch(docs.sparkSession)
-    member = components(candidate_ties(sets, trees, floor, deepest, threshold, recall, scratch))
-    scratch.drop()
+    n_sets = sets.count()
+    with Scratch(docs.sparkSession) as scratch:
+        member = components(candidate_ties(sets, trees, floor, deepest, threshold, recall, scratch))
 
     sized = member.join(sets.select(F.col("set_id").alias("node"), "weight", "of", "grams"), "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int")
-    placed = materialize(sized).join(materialize(sized.groupBy("root").agg(blocks.alias("blocks"))), "root")
+    placed = materialize(sized, n_sets).join(materialize(sized.groupBy("root").agg(blocks.alias("blocks")), n_sets), "root")
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # The text of one row of each set of a component. Ids may be null or repeat, so the text's hash is matched as well.
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
@@ -444,12 +445,14 @@ def jaccard_classes(
     by_set = materialize(
         sets.select("set_id", "weight", "first_id").join(linked, "set_id", "left")
         .join(classes.withColumnRenamed("node", "set_id"), "set_id", "left")
-        .withColumn("root", F.coalesce("root", "set_id"))
+        .withColumn("root", F.coalesce("root", "set_id")),
+        n_sets,
     )
-    by_class = materialize(by_set.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("weight").alias("class_size")))
+    by_class = materialize(by_set.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("weight").alias("class_size")), n_sets)
     # Materialized, so that both sides of the last join are dealt for it alone and Spark can split a hot set's rows.
     by_set = materialize(
-        by_set.join(by_class, "root").select("set_id", "class_id", "class_size", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+        by_set.join(by_class, "root").select("set_id", "class_id", "class_size", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")),
+        n_sets,
     )
     return rows.select("doc_id", "set_id", "grams").join(by_set, "set_id", "left").select(
         "doc_id",

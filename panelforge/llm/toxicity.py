@@ -31,6 +31,10 @@ from .common import by_row, materialize
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+#: Files that the sample is written in, at most.
+SAMPLE_FILES = 24
+
+
 @dataclass(frozen=True)
 class Settings:
     """sample: labelled rows learned from, at most. least: documents of the sample that a bucket must occur in.
@@ -155,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     # Copies count once: of equal sets of terms the smallest id is learned from.
     rows = sample.mapInPandas(hashed, T.StructType(kinds))
     rows = rows.groupBy(F.xxhash64("buckets").alias("same")).agg(F.min_by(F.struct("doc_id", "toxic", "text", "buckets"), F.struct("doc_id", "text")).alias("r")).select("r.*")
-    rows = materialize(rows)
+    rows = materialize(rows.coalesce(SAMPLE_FILES))
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
     if whole.n == 0 or whole.p == 0:
         return Model(np.empty(0, np.int64), -4.0 if whole.n else 0.0, np.empty(0), np.empty((0, settings.factors)), bits)
