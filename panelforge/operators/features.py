@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from panelforge.operators import folds
+
 # Fixed values.
 SKIP = 21
 LOOKBACKS = {"short": (20, 60), "mid": (63, 126), "long": (126, 252)}
@@ -166,11 +167,9 @@ def simple_rsi(n: int = 14) -> Column:
 
 
 def rolling_rank(bars: DataFrame, value: str, window: int, least: int) -> DataFrame:
-    """Percentile of the newest value among the window, ties averaged: column pct."""
-    values = F.collect_list(value).over(back(window - 1))
-    below = F.aggregate("seen", F.lit(0.0), lambda a, x: a + F.when(x < F.col(value), 1.0).when(x == F.col(value), 0.5).otherwise(0.0))
-    out = bars.withColumn("seen", values)
-    return out.withColumn("pct", F.when(F.size("seen") >= least, (below + 0.5) / F.size("seen") * 100)).drop("seen")
+    """Percentile of the newest value among the window, ties averaged: column pct. A ticker has a date once."""
+    ranked = folds.fold_series(bars, [value], [], ["pct"], lambda grid: folds.newest_rank(grid, value, window, least))
+    return bars.join(ranked, ["ticker", "trade_date"])
 
 
 def ema(bars: DataFrame, n: int, value: str = "close") -> DataFrame:
@@ -231,25 +230,9 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
 def ema_series(bars: DataFrame, n: int, value: str = "close") -> DataFrame:
     """ticker, trade_date, ema of every bar: seeded with the mean of the first n values in a row, null before.
 
-    A missing value after the seed ends the series. One group is one ticker's bars.
+    A missing value after the seed ends the series.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trade_date")
-        v = pdf[value].astype(float).reset_index(drop=True)
-        full = v.notna().rolling(n).sum() == n
-        out = pd.Series(float("nan"), v.index)
-        if full.any():
-            seed = int(full.idxmax())
-            rest = v[seed + 1 :]
-            stop = int(rest[rest.isna()].index[0]) if rest.isna().any() else len(v)
-            chain = pd.concat([pd.Series([v[seed - n + 1 : seed + 1].mean()]), v[seed + 1 : stop]])
-            out[seed:stop] = chain.ewm(alpha=2.0 / (n + 1), adjust=False).mean().to_numpy()
-        return pd.DataFrame({"ticker": pdf["ticker"].to_numpy(), "trade_date": pdf["trade_date"].to_numpy(), "ema": out.to_numpy()})
-
-    kept = bars.select("ticker", "trade_date", value)
-    types = dict(kept.dtypes)
-    return kept.groupBy("ticker").applyInPandas(run, f"ticker {types['ticker']}, trade_date {types['trade_date']}, ema double")
+    return folds.fold_series(bars, [value], [], ["ema"], lambda grid: folds.ema(grid, value, n))
 
 
 def sector_momentum(bars: DataFrame, instruments: DataFrame, date: str, lag: int = 21, window: int = 126, fraction: float = 0.30, least: int = 3) -> DataFrame:

@@ -87,3 +87,30 @@ def momentum(grid: Grid, rsi: int = 14, fast: int = 12, slow: int = 26, signal:
         newest[:age] = False
         bonus = np.maximum(bonus, newest * (signal - age) / signal)
     return {"rsi": np.where(np.isnan(up), np.nan, strength), "macd": line - mean + bonus}
+
+
+def ema(grid: Grid, value: str, n: int) -> Grid:
+    """ema of every bar: seeded with the mean of the first n values in a row; a missing value after the seed ends the series."""
+    v = grid[value]
+    out, run, level, seeded = np.full(v.shape, np.nan), np.zeros(v.shape[1], int), np.full(v.shape[1], np.nan), np.zeros(v.shape[1], bool)
+    for t, x in enumerate(v):
+        run = np.where(np.isnan(x), 0, run + 1)
+        first = ~seeded & (run >= n)
+        level = level + 2.0 / (n + 1) * (x - level)  # a missing value makes it nan for good
+        if first.any():
+            level = np.where(first, v[t - n + 1 : t + 1].sum(axis=0) / n, level)
+            seeded |= first
+        out[t] = np.where(seeded, level, np.nan)
+    return {"ema": out}
+
+
+def newest_rank(grid: Grid, value: str, window: int, least: int) -> Grid:
+    """pct of every bar: the percentile of its value among the present ones of the window, ties averaged; nan with fewer than least."""
+    v = grid[value]
+    below, seen = np.zeros(v.shape), np.zeros(v.shape)
+    for age in range(min(window, len(v))):
+        then, now = v[: len(v) - age], v[age:]
+        below[age:] += (then < now) + 0.5 * (then == now)
+        seen[age:] += ~np.isnan(then)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return {"pct": np.where((seen >= least) & ~np.isnan(v), (below + 0.5) / seen * 100, np.nan)}

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.lineage import few
 from panelforge.functions.scalar import midrank, row_mean
 from panelforge.operators import features as X
 from panelforge.operators import folds
@@ -183,7 +184,7 @@ def recalls(picks: DataFrame, winners: DataFrame, universe: DataFrame, *by: str)
     size = universe.groupBy("sel").agg(F.count(F.lit(1)).alias("size"))
     periods = total.join(size, "sel")
     if by:
-        periods = periods.join(F.broadcast(picks.select(*by).distinct()))  # a row for each leg
+        periods = periods.join(few(picks.select(*by).distinct()))  # a row for each leg
     hit = picks.join(won.withColumn("__hit", F.lit(1)), ["sel", "ticker"], "left").groupBy(*by, "sel").agg(F.count(F.lit(1)).alias("selected"), F.count("__hit").alias("hits"))
     out = periods.join(hit, [*by, "sel"], "left").fillna(0, ["selected", "hits"])
     recall, blind = F.col("hits") / F.col("winners"), F.col("selected") / F.col("size")
@@ -256,7 +257,7 @@ def funnel(picks: DataFrame, winners: DataFrame, universe: DataFrame, horizons:
             *[F.count_if(F.col("__own").isNotNull() & (F.col("bucket") == b)).alias(f"num_{b}") for b in horizons],
         )
     )
-    periods = dens.join(sizes, "sel").join(horizon_dens, "sel").join(F.broadcast(picks.select("leg").distinct()))  # a row for each leg
+    periods = dens.join(sizes, "sel").join(horizon_dens, "sel").join(few(picks.select("leg").distinct()))  # a row for each leg
     return periods.join(hits, ["leg", "sel"], "left").fillna(0, ["selected", "num", "lm_num", *[f"num_{b}" for b in horizons]])
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.lineage import few
+
 
 def pooled_recall(picks: DataFrame, winners: DataFrame) -> DataFrame:
     """leg, sel_day, horizon, hits, winners of picks(leg, sel_day, ticker): every leg is held against every winner."""
-    legs = picks.select("leg").distinct()
-    asked = winners.select("sel_day", "horizon", "ticker").join(F.broadcast(legs))  # a row for each leg
-    hit = picks.select("leg", "sel_day", "ticker", F.lit(1).alias("hit"))
-    return asked.join(hit, ["leg", "sel_day", "ticker"], "left").groupBy("leg", "sel_day", "horizon").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("winners"))
+    total = winners.groupBy("sel_day", "horizon").agg(F.count(F.lit(1)).alias("winners")).join(few(picks.select("leg").distinct()))  # a row for each leg
+    hits = winners.select("sel_day", "horizon", "ticker").join(picks.select("leg", "sel_day", "ticker"), ["sel_day", "ticker"]).groupBy("leg", "sel_day", "horizon").agg(F.count(F.lit(1)).alias("hits"))
+    return total.join(hits, ["leg", "sel_day", "horizon"], "left").select("leg", "sel_day", "horizon", F.coalesce("hits", F.lit(0)).alias("hits"), "winners")
 
 
 def paired_legs(recall: DataFrame, base: str, other: str) -> DataFrame:

@@ -55,13 +55,20 @@ def subscription(holdings: DataFrame, shortlist: DataFrame, most: int = MOST_KEY
 
 
 def write_once(anomalies: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append anomalies whose key isn't stored yet; a repeated micro-batch adds nothing."""
+    """Append anomalies whose key isn't stored yet, in folders by hour; a repeated micro-batch adds nothing.
+
+    A key holds its minute, so only the folders of the batch's hours are read again.
+    """
     spark = anomalies.sparkSession
+    dealt = anomalies.withColumn("hour", F.date_format("ts", "yyyyMMddHH"))
 
     def add(batch: DataFrame, _: int) -> None:
-        stored = spark.read.schema("dedup_key string").parquet(path)
-        batch.dropDuplicates(["dedup_key"]).join(stored, "dedup_key", "left_anti").write.mode("append").parquet(path)
-
-    spark.createDataFrame([], anomalies.schema).write.mode("append").parquet(path)
-    writer = anomalies.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+        batch = batch.dropDuplicates(["dedup_key"]).persist()
+        hours = [r.hour for r in batch.select("hour").distinct().collect()]  # those of one micro-batch
+        stored = spark.read.schema("dedup_key string, hour string").parquet(path).filter(F.col("hour").isin(hours))
+        batch.join(stored.select("dedup_key"), "dedup_key", "left_anti").write.mode("append").partitionBy("hour").parquet(path)
+        batch.unpersist()
+
+    spark.createDataFrame([], dealt.schema).write.mode("append").partitionBy("hour").parquet(path)
+    writer = dealt.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="20 seconds")).start()
