@@ -15,7 +15,7 @@ from panelforge.functions.lineage import few
 from panelforge.functions.scalar import midrank, row_mean
 from panelforge.operators import features as X
 from panelforge.operators import folds
-from panelforge.operators.forward import information_ratio
+from panelforge.operators.forward import decile_spread, information_ratio
 from panelforge.operators.rules import failures
 from panelforge.operators.scoring import SIZE_CUTS, fill_missing, size_tier, with_ranks
 from panelforge.operators.selection import select_sleeves
@@ -353,3 +353,102 @@ def group_verdict(records: DataFrame, *group: str) -> DataFrame:
     primary = F.when(F.col("low").isNotNull(), F.col("low") > 0).otherwise(F.coalesce(F.col("lift") >= LIFT_FALLBACK, F.lit(False)))
     out = out.withColumns({"primary": primary, "cogate": F.coalesce(F.col("ic_ir") >= IC_LEAST, F.lit(False))})
     return out.withColumn("verdict", F.when(F.col("primary") & F.col("cogate"), "ADJUDICATE_PENDING_SIZE_NEUTRAL").otherwise("FAIL"))
+
+
+# Scoped correlations of a harvest
+
+
+RANKED = ("trend", "flow", "earnings", "quality")
+TERCILE_LEAST, SCOPE_LEAST = 9, 5
+
+
+def harvest_blocks(scored: DataFrame, returns: DataFrame, tiers: DataFrame, horizons: dict[str, int]) -> DataFrame:
+    """sel, block, value: means over the buckets of a period.
+
+    Blocks: ic, of all eligible rows; top_tercile, of those whose score is in the
+    upper third (nine rows at least); large and mid, of the instruments' tiers, and
+    trend, flow, earnings and quality, of a factor's rank in place of the score
+    (five rows at least); spread, the best tenth's return less the worst's, net of
+    cost. scored: sel, bucket, ticker, eligible, score and rank_<factor>.
+    """
+    named = F.create_map(*[F.lit(x) for pair in horizons.items() for x in pair])
+    rows = scored.filter("eligible").withColumn("horizon", named[F.col("bucket")])
+    both = rows.join(returns.filter("ret IS NOT NULL").withColumnRenamed("sel_day", "sel"), ["sel", "horizon", "ticker"]).join(tiers.select("sel", "ticker", "tier"), ["sel", "ticker"])
+    w = Window.partitionBy("sel", "bucket")
+    both = both.withColumns({"__n": F.count(F.lit(1)).over(w), "__third": F.percentile("score", F.lit(2.0 / 3.0)).over(w)})
+    block = lambda name, value, met, least: F.when(met & value.isNotNull(), F.struct(F.lit(name).alias("block"), value.cast("double").alias("value"), F.lit(least).alias("least")))
+    score, every = F.col("score"), F.lit(True)
+    scopes = [block("ic", score, every, 3), block("top_tercile", score, (F.col("__n") >= TERCILE_LEAST) & (score >= F.col("__third")), 3)]
+    scopes += [block(t, score, F.col("tier") == t, SCOPE_LEAST) for t in ("large", "mid")] + [block(f, F.round(f"rank_{f}", 8), every, SCOPE_LEAST) for f in RANKED]
+    each = both.withColumn("__s", F.explode(F.array_compact(F.array(*scopes)))).select("sel", "bucket", "ret", "__s.*")
+    group = ["sel", "bucket", "block"]
+    ranked = each.withColumns({"__a": midrank(F.col("value"), *group), "__b": midrank(F.col("ret"), *group)})
+    ics = ranked.groupBy(*group).agg(F.when(F.count(F.lit(1)) >= F.max("least"), correlation("__a", "__b", 3)).alias("value"))
+    spread = decile_spread(both.select("sel", "bucket", "ticker", "score", "ret"), "sel", "bucket").select("sel", "bucket", F.lit("spread").alias("block"), F.col("spread").alias("value"))
+    return ics.unionByName(spread).groupBy("sel", "block").agg(F.avg("value").alias("value")).filter("value IS NOT NULL")
+
+
+def harvest_summary(blocks: DataFrame) -> DataFrame:
+    """block, periods, mean, low, high, median, positive (share of periods above 0) and ratio of harvest_blocks."""
+    return blocks.groupBy("block").agg(
+        F.count("value").alias("periods"), *interval("value"), F.percentile("value", 0.5).alias("median"), F.avg(F.when(F.col("value") > 0, 1.0).otherwise(0.0)).alias("positive"), ratio("value").alias("ratio")
+    )
+
+
+# Shadow arms of a sector hypothesis
+
+
+TILT, SHARE, LEAST_IN_SECTOR = 10.0, 0.30, 3
+
+
+def leading_sectors(stocks: DataFrame) -> DataFrame:
+    """sel, sector: the best share, one at least, of the sectors of three rows or more by the mean of their momentum m."""
+    means = stocks.filter("m IS NOT NULL").groupBy("sel", "sector").agg(F.round(F.avg("m"), 8).alias("momentum"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_IN_SECTOR)
+    w = Window.partitionBy("sel")
+    place, most = F.row_number().over(w.orderBy(F.desc("momentum"), "sector")), F.greatest(F.lit(1), F.ceil(F.lit(SHARE) * F.count(F.lit(1)).over(w)))
+    return means.withColumn("__lead", place <= most).filter("__lead").select("sel", "sector")
+
+
+def tilted(scored: DataFrame, leading: DataFrame) -> DataFrame:
+    """scored(sel, sector, score, ...) with TILT more for rows of a leading sector; without a score they stay so."""
+    return scored.join(leading.withColumn("__t", F.lit(TILT)), ["sel", "sector"], "left").withColumn("score", F.col("score") + F.coalesce("__t", F.lit(0.0))).drop("__t")
+
+
+def gated(stocks: DataFrame, leading: DataFrame) -> DataFrame:
+    """The stocks of leading sectors; all of a cross-section that has no leading sector, as there is no hypothesis to gate by."""
+    some = leading.select("sel").distinct()
+    return stocks.join(leading, ["sel", "sector"], "left_semi").select(*stocks.columns).unionByName(stocks.join(some, "sel", "left_anti").select(*stocks.columns))
+
+
+def arm_facts(picks: DataFrame, stocks: DataFrame, gate: DataFrame, quota: int, gate_arm: str) -> DataFrame:
+    """arm, sel, selected, status, sectors, universe_size, universe_hash, gate_eligible, cut: of picks(arm, sel, ticker, sector).
+
+    sectors are the picks' counts by sector. Size and hash are of the whole
+    cross-section, so all arms of a period share them. The gate's arm alone has an
+    eligible size and a number of cut rows, and is incomplete with fewer picks
+    than the quotas ask for.
+    """
+    from panelforge.operators.rules import cover_hash
+
+    size = stocks.groupBy("sel").agg(F.count_distinct("ticker").alias("universe_size"))
+    hashes = cover_hash(stocks, "ticker", "sel").withColumnRenamed("hash", "universe_hash")
+    inside = gate.groupBy("sel").agg(F.count_distinct("ticker").alias("gate_eligible"))
+    by_sector = picks.groupBy("arm", "sel", "sector").agg(F.count(F.lit(1)).alias("n"))
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sector", "n"))), lambda x: F.concat(x["sector"], F.lit("="), x["n"].cast("string"))), ",")
+    out = by_sector.groupBy("arm", "sel").agg(F.sum("n").alias("selected"), shown.alias("sectors")).join(size, "sel").join(hashes, "sel").join(inside, "sel", "left")
+    own = F.col("arm") == gate_arm
+    return out.select(
+        "arm", "sel", "selected", F.when(own & (F.col("selected") < quota), "incomplete_run").otherwise("logged").alias("status"), "sectors", "universe_size", "universe_hash",
+        F.when(own, F.col("gate_eligible")).alias("gate_eligible"), F.when(own, F.col("universe_size") - F.col("gate_eligible")).alias("cut"),
+    )
+
+
+def cut_winners(stocks: DataFrame, gate: DataFrame, winners: DataFrame) -> DataFrame:
+    """sel, horizon, cut_winners, mean_return and listed (ticker:return, by ticker): what a gate cut that became a winner.
+
+    An observation, no verdict on the gate. Periods and horizons without any have no row.
+    """
+    cut = stocks.select("sel", "ticker").join(gate.select("sel", "ticker"), ["sel", "ticker"], "left_anti")
+    rows = winners.withColumnRenamed("sel_day", "sel").join(cut, ["sel", "ticker"], "left_semi")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ticker", "ret"))), lambda x: F.concat(x["ticker"].cast("string"), F.lit(":"), F.round(x["ret"], 4).cast("decimal(20,4)").cast("string")))  # winners of one cross-section
+    return rows.groupBy("sel", "horizon").agg(F.count(F.lit(1)).alias("cut_winners"), F.avg("ret").alias("mean_return"), F.array_join(listed, ",").alias("listed"))

@@ -45,7 +45,7 @@ FOLDS_SQL = """, mm AS (
 _BY = "OVER (PARTITION BY ticker ORDER BY trade_date"
 #: stocks0: a row for each selection day and instrument, with all that the scores read.
 SECTIONS_SQL = Q.FACTOR_SQL.replace("WITH", "WITH RECURSIVE", 1).replace(f",\nl AS ({Q.LAST})", "") + FOLDS_SQL + f""",
-c1 AS (SELECT f.*, {', '.join(f'CASE WHEN bar >= {n} THEN avg(close) {_BY} ROWS {n - 1} PRECEDING) END AS ma{n}' for n in (20, 60, 120))}, close / lag(close, 120) {_BY}) - 1 AS r120,
+c1 AS (SELECT f.*, {', '.join(f'CASE WHEN bar >= {n} THEN avg(close) {_BY} ROWS {n - 1} PRECEDING) END AS ma{n}' for n in (20, 60, 120))}, close / lag(close, 120) {_BY}) - 1 AS r120, lag(close, 21) {_BY}) / lag(close, 147) {_BY}) - 1 AS m,
   max(high) {_BY} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS h20, avg(trdval) {_BY} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING) AS t60,
   stddev_pop(ret) {_BY} ROWS 19 PRECEDING) AS s20, stddev_pop(ret) {_BY} ROWS 59 PRECEDING) AS s60, CASE WHEN bar >= 20 THEN stddev_pop(close) {_BY} ROWS 19 PRECEDING) END AS sigma FROM f),
 c2 AS (SELECT *, CASE WHEN bar >= 120 THEN (close > ma20)::INT + (ma20 > ma60)::INT + (ma60 > ma120)::INT END AS alignment, CASE WHEN bar >= 21 THEN CASE WHEN close > h20 THEN 1.0 ELSE close / h20 END END AS donchian,
@@ -145,7 +145,7 @@ def sections(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     half, before = F.sum("trdval").over(X.back(25)), F.sum("trdval").over(X.back(51, 26))
     rows = H.chart_bars(bars).withColumns(
         {
-            "earnings": F.when(F.col("bar") >= 52, half / before - 1), "quality": F.when(F.col("bar") >= 52, F.col("close") / F.avg("close").over(X.back(51)) - 1), "r120": X.trailing_return(120),
+            "earnings": F.when(F.col("bar") >= 52, half / before - 1), "quality": F.when(F.col("bar") >= 52, F.col("close") / F.avg("close").over(X.back(51)) - 1), "r120": X.trailing_return(120), "m": F.lag("close", 21).over(X.by_ticker()) / F.lag("close", 147).over(X.by_ticker()) - 1,
         }
     )
     stocks = H.at_selections(rows, days, E.selection_days(days)).drop("mid").join(meta_of(spark, sf_dir), "ticker")
@@ -400,3 +400,83 @@ def issuance_verdict(spark, sf_dir):
     issued, counts, legs = issuance_funnel(spark, sf_dir)
     report, lift = settle(H.overlap_report(overlap(issued), ISSUE_FACTORS)), settle(H.marginal(counts, legs, "base", "issuance"))
     return reduce(DataFrame.unionByName, [H.marginal_verdict(report, lift, proven).select(F.lit(proven).alias("proven"), "*") for proven in (True, False)])
+
+
+# Blocks of the harvest
+
+BLOCKS_SQL = SECTIONS_SQL + EVERY_SQL + WON_SQL + TIERS_SQL + SCORES_SQL + ", hs AS (" + " UNION ALL ".join(
+    f"SELECT sel, '{b}' AS bucket, {h} AS horizon, ticker, score, rank_trend, rank_flow, rank_earnings, rank_quality FROM s_{b} WHERE eligible" for b, h in HORIZON.items()
+) + f"""), hb AS (SELECT hs.*, f.ret, t.tier, count(*) OVER (PARTITION BY hs.sel, bucket) AS n, quantile_cont(score, {2.0 / 3.0!r}) OVER (PARTITION BY hs.sel, bucket) AS third FROM hs JOIN fwd f ON f.sel_day = hs.sel AND f.ticker = hs.ticker AND f.horizon = hs.horizon JOIN tier t ON t.sel = hs.sel AND t.ticker = hs.ticker WHERE f.ret IS NOT NULL),
+hx AS ({' UNION ALL '.join(f"SELECT sel, bucket, '{n}' AS block, {v} AS value, ret, {least} AS least FROM hb WHERE {v} IS NOT NULL AND {met}" for n, v, met, least in (
+    ('ic', 'score', 'true', 3), ('top_tercile', 'score', f'n >= {H.TERCILE_LEAST} AND score >= third', 3), *((t, 'score', f"tier = '{t}'", H.SCOPE_LEAST) for t in ('large', 'mid')), *((f, f'round(rank_{f}, 8)', 'true', H.SCOPE_LEAST) for f in H.RANKED)))}),
+hk AS (SELECT *, {Q._midrank_sql('value', 'sel', 'bucket', 'block')} AS ra, {Q._midrank_sql('ret', 'sel', 'bucket', 'block')} AS rb FROM hx),
+hc AS (SELECT sel, bucket, block, CASE WHEN count(*) >= max(least) AND count(*) >= 3 AND NOT isnan(corr(ra, rb)) THEN round(corr(ra, rb), 8) END AS value FROM hk GROUP BY ALL),
+hd_ AS (SELECT *, row_number() OVER (PARTITION BY sel, bucket ORDER BY score DESC, ticker) AS top, row_number() OVER (PARTITION BY sel, bucket ORDER BY score, ticker DESC) AS low FROM hb WHERE n >= 10),
+hv AS (SELECT sel, block, avg(value) AS value FROM (SELECT * FROM hc UNION ALL SELECT sel, bucket, 'spread', round(avg(CASE WHEN top <= n // 10 THEN ret END) - avg(CASE WHEN low <= n // 10 THEN ret END) - {Z.COST}, 6) FROM hd_ GROUP BY ALL) GROUP BY ALL HAVING avg(value) IS NOT NULL)"""
+
+
+def blocks(spark, sf_dir) -> DataFrame:
+    bars, days, stocks = sections(spark, sf_dir)
+    kept = ["sel", "bucket", "ticker", "score", "eligible", *(f"rank_{f}" for f in H.RANKED)]
+    scored = settle(reduce(DataFrame.unionByName, [G.bpp_scores(stocks, b, L.FLOOR).select(*kept) for b in BUCKETS]))
+    return H.harvest_blocks(scored, returns_of(bars, days, stocks), H.with_tier(stocks, L.FLOOR), HORIZON)
+
+
+@register(BLOCKS_SQL + " SELECT sel, block, round(value, 6) AS value FROM hv")
+def harvest_blocks(spark, sf_dir):
+    return blocks(spark, sf_dir).withColumn("value", F.round("value", 6))
+
+
+@register(BLOCKS_SQL + f""" SELECT block, count(*) AS periods, round(avg(value), 6) AS mean, {_interval('value')}, round(median(value), 6) AS median, round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, round({IR.replace('ic', 'value')}, 6) AS ratio FROM hv GROUP BY block""")
+def harvest_summary(spark, sf_dir):
+    return H.harvest_summary(blocks(spark, sf_dir)).select("block", "periods", *rounded("mean"), "low", "high", *rounded("median", "positive", "ratio"))
+
+
+# Shadow arms
+
+ARMS = ("production-mirror", "sector-soft-tilt", "sector-hard-gate")
+GATED_SCORES_SQL = "".join("," + _by_sel(L.scores_sql(b)).replace("FROM stocks)", "FROM gated)") for b in BUCKETS)
+for _b in BUCKETS:
+    for _name in ("w", "x", "r", "t", "g", "m", "y", "k", "o", "s"):
+        GATED_SCORES_SQL = GATED_SCORES_SQL.replace(f"{_name}_{_b}", f"{_name}g_{_b}")
+ARMS_SQL = SECTIONS_SQL + EVERY_SQL + SCORES_SQL + f""", lm_ AS (SELECT sel, sector, round(avg(m), 8) AS momentum FROM stocks WHERE m IS NOT NULL GROUP BY ALL HAVING count(*) >= {H.LEAST_IN_SECTOR}),
+ld AS (SELECT sel, sector FROM lm_ QUALIFY row_number() OVER (PARTITION BY sel ORDER BY momentum DESC, sector) <= greatest(1, ceil({H.SHARE} * count(*) OVER (PARTITION BY sel)))),
+gated AS (SELECT * FROM stocks WHERE (sel, sector) IN (SELECT (sel, sector) FROM ld) OR sel NOT IN (SELECT sel FROM ld))""" + GATED_SCORES_SQL.replace("trend_longg_", "trend_long_") + ", sa_ AS (" + " UNION ALL ".join(
+    [f"SELECT '{ARMS[0]}' AS arm, sel, '{b}' AS bucket, ticker, sector, sleeve, score FROM s_{b}" for b in BUCKETS]
+    + [f"SELECT '{ARMS[1]}' AS arm, sel, '{b}' AS bucket, ticker, sector, sleeve, score + CASE WHEN (sel, sector) IN (SELECT (sel, sector) FROM ld) THEN {H.TILT} ELSE 0 END AS score FROM s_{b}" for b in BUCKETS]
+    + [f"SELECT '{ARMS[2]}' AS arm, sel, '{b}' AS bucket, ticker, sector, sleeve, score FROM sg_{b}" for b in BUCKETS]
+) + ")" + _staged_sql("sp", "sa_", PLAIN_STAGES, "arm", "sel")
+
+
+def shadow(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(stocks, gated stocks, picks by arm, returns)."""
+    bars, days, stocks = sections(spark, sf_dir)
+    leading = settle(H.leading_sectors(stocks))  # a few rows a period
+    gate = settle(H.gated(stocks, leading))
+    kept = ["sel", "bucket", "ticker", "sector", "sleeve", "score"]
+    scores = lambda rows: settle(reduce(DataFrame.unionByName, [G.bpp_scores(rows, b, L.FLOOR).select(*kept) for b in BUCKETS]))
+    plain = scores(stocks)
+    arms = dict(zip(ARMS, (plain, H.tilted(plain, leading), scores(gate))))
+    every = settle(reduce(DataFrame.unionByName, [d.select(F.lit(a).alias("arm"), *kept) for a, d in arms.items()]))
+    return stocks, gate, settle(H.staged_buckets(every, in_order(spark), L.QUOTA, "arm", "sel")), returns_of(bars, days, stocks)
+
+
+@register(ARMS_SQL + " SELECT arm, sel, bucket, ticker, sector, round(score, 6) AS score FROM sp JOIN (SELECT sel, ticker, sector FROM stocks) USING (sel, ticker)")
+def shadow_arms(spark, sf_dir):
+    return shadow(spark, sf_dir)[2].select("arm", "sel", "bucket", "ticker", "sector", F.round("score", 6).alias("score"))
+
+
+@register(ARMS_SQL + f""", pc AS (SELECT arm, sel, sector, count(*) AS n FROM sp JOIN (SELECT sel, ticker, sector FROM stocks) USING (sel, ticker) GROUP BY ALL), pa AS (SELECT arm, sel, CAST(sum(n) AS BIGINT) AS selected, array_to_string(list(sector || '=' || n ORDER BY sector), ',') AS sectors FROM pc GROUP BY ALL),
+us AS (SELECT sel, count(DISTINCT ticker) AS universe_size, sha256(array_to_string(list(DISTINCT CAST(ticker AS VARCHAR) || chr(0) ORDER BY CAST(ticker AS VARCHAR) || chr(0)), '')) AS universe_hash FROM stocks GROUP BY sel), ug AS (SELECT sel, count(DISTINCT ticker) AS g FROM gated GROUP BY sel)
+SELECT arm, sel, selected, CASE WHEN arm = '{ARMS[2]}' AND selected < {sum(L.QUOTA.values()) * 3} THEN 'incomplete_run' ELSE 'logged' END AS status, sectors, universe_size, universe_hash, CASE WHEN arm = '{ARMS[2]}' THEN g END AS gate_eligible, CASE WHEN arm = '{ARMS[2]}' THEN universe_size - g END AS cut FROM pa JOIN us USING (sel) LEFT JOIN ug USING (sel)""")
+def shadow_arm_facts(spark, sf_dir):
+    stocks, gate, picks, _ = shadow(spark, sf_dir)
+    return H.arm_facts(picks, stocks, gate, sum(L.QUOTA.values()) * len(BUCKETS), ARMS[2])
+
+
+@register(ARMS_SQL + WON_SQL + """, cw AS (SELECT sel_day AS sel, horizon, ticker, ret FROM win WHERE (sel_day, ticker) NOT IN (SELECT (sel, ticker) FROM gated))
+SELECT sel, horizon, count(*) AS cut_winners, round(avg(ret), 6) AS mean_return, array_to_string(list(CAST(ticker AS VARCHAR) || ':' || CAST(CAST(round(ret, 4) AS DECIMAL(20, 4)) AS VARCHAR) ORDER BY ticker), ',') AS listed FROM cw GROUP BY ALL""")
+def gate_cut_winners(spark, sf_dir):
+    """What the hard gate cut that became a winner, listed for each period and horizon."""
+    stocks, gate, _, returns = shadow(spark, sf_dir)
+    return H.cut_winners(stocks, gate, Z.winners(returns)).withColumn("mean_return", F.round("mean_return", 6))
