@@ -283,18 +283,19 @@ def _tied_leaders(batches: Iterator[pd.DataFrame], far: int) -> Iterator[pd.Data
         yield pd.DataFrame(out, columns=["a", "b"])
 
 
-def candidate_ties(sets: DataFrame, trees: int, floor: int, deepest: int, threshold: float, recall: float, scratch: Scratch) -> DataFrame:
-    """(a, b): ties of sets(set_id, paths, sketch) whose components hold every linked pair, with the recall; read from scratch."""
+def candidate_ties(sets: DataFrame, n_sets: int, trees: int, floor: int, deepest: int, threshold: float, recall: float, scratch: Scratch) -> DataFrame:
+    """(a, b): ties of n_sets sets(set_id, paths, sketch) whose components hold every linked pair, with the recall; read from scratch."""
     width, far, steps = 8 + deepest - floor, reach(threshold, recall), levels(floor, deepest)
     trie = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.substring("paths", t * width + 1, F.lit(width)))
     every = sets.select("set_id", F.posexplode(trie).alias("tree", "path"))
-    shared = scratch.table(_by_path(every).mapInPandas(_accompanied, "set_id binary, tree int, path binary"))
-    sketched = scratch.table(shared.join(sets.select("set_id", "sketch"), "set_id"))
-    found = scratch.table(_by_path(sketched).mapInPandas(lambda b: _tied(b, steps, far), NODE))
+    most = trees * n_sets
+    shared = scratch.table(_by_path(every).mapInPandas(_accompanied, "set_id binary, tree int, path binary"), most)
+    sketched = scratch.table(shared.join(sets.select("set_id", "sketch"), "set_id"), most)
+    found = scratch.table(_by_path(sketched).mapInPandas(lambda b: _tied(b, steps, far), NODE), most)
 
     open_ = found.filter("b IS NULL").drop("b")
     sized = open_.groupBy("tree", "top").agg(F.count(F.lit(1)).alias("leaders"), F.count_distinct("piece").alias("pieces")).filter("pieces > 1")
-    sized = scratch.table(sized.select("tree", "top", F.ceil(F.col("leaders") / PIECE).cast("int").alias("blocks")))
+    sized = scratch.table(sized.select("tree", "top", F.ceil(F.col("leaders") / PIECE).cast("int").alias("blocks")), n_sets)
     units = (
         open_.join(sized, ["tree", "top"])
         .withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
@@ -306,18 +307,18 @@ def candidate_ties(sets: DataFrame, trees: int, floor: int, deepest: int, thresh
     return found.filter("b IS NOT NULL").select("a", "b").union(between)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, root) of the graph with edges (a, b): the smallest node that each reaches.
 
     Alternates large-star and small-star steps; the edges of each round are a
     table of their own, and the tables of the round before are deleted. A star is
     one row for each edge, however large it is; both sides of a join are written
-    before it, so Spark can split a hot star. It ends when the large star moves no
+    before it, so Spark can split a hot star. most: edges, at most, where that is known. It ends when the large star moves no
     edge and no node has two smaller neighbours: then every component is a star.
     """
     spark = edges.sparkSession
     held = Scratch(spark)
-    edges = held.table(edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
+    edges = held.table(edges.filter("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), most)
     rows = 2 * edges.count()  # no step makes more edges, or nodes, than this
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -420,11 +421,12 @@ def jaccard_classes(
         rows.filter("set_id IS NOT NULL").groupBy("set_id").agg(
             F.count(F.lit(1)).alias("weight"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("of"),
             F.min("grams").alias("grams"), F.min("paths").alias("paths"), F.min("sketch").alias("sketch"),
-        )
+        ),
+        rows.count(),
     )
     n_sets = sets.count()
     with Scratch(docs.sparkSession) as scratch:
-        member = components(candidate_ties(sets, trees, floor, deepest, threshold, recall, scratch))
+        member = components(candidate_ties(sets, n_sets, trees, floor, deepest, threshold, recall, scratch), trees * n_sets)
 
     sized = member.join(sets.select(F.col("set_id").alias("node"), "weight", "of", "grams"), "node")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("grams") / BLOCK_GRAMS)).cast("int")
@@ -439,7 +441,7 @@ def jaccard_classes(
     )
     parts = shipped.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "set_id")
     found = materialize(parts.mapInPandas(lambda b: _verified(b, n, threshold), "set_id binary, linked long, first binary"))
-    classes = components(found.filter("set_id <> first").selectExpr("set_id AS a", "first AS b"))
+    classes = components(found.filter("set_id <> first").selectExpr("set_id AS a", "first AS b"), found.count())
 
     linked = found.groupBy("set_id").agg(F.sum("linked").alias("linked"))
     by_set = materialize(
