@@ -153,3 +153,53 @@ def test_marginal_verdicts(spark, low, ir, mean, proven, want):
     lift = spark.createDataFrame([(low, ir)], "lift_low double, d_ic_ir double")
     got = H.marginal_verdict(H.overlap_report(samples(spark, rho), ("size",)), lift, proven).first()
     assert got.verdict == want and got.raw == ("MARGINAL_LIFT" if want == "EXPLORATORY_LIFT" or not proven else "NO_MARGINAL_LIFT")
+
+
+def sectors(spark, rows):
+    return spark.createDataFrame(rows, "sel int, ticker int, sector string, m double")
+
+
+def test_leading_sectors_are_the_best_share(spark):
+    rows = [(1, i, s, v) for i, (s, v) in enumerate([("a", 3.0)] * 3 + [("b", 2.0)] * 3 + [("c", 1.0)] * 3 + [("d", 0.5)] * 3 + [("few", 9.0)] * 2)] + [(2, 0, "a", 1.0), (2, 1, "a", 1.0), (2, 2, "a", None)]
+    got = {(r.sel, r.sector) for r in H.leading_sectors(sectors(spark, rows)).collect()}
+    assert got == {(1, "a"), (1, "b")}  # 30 % of four, rounded up; two rows are too few
+
+
+def test_arms_of_a_hypothesis(spark):
+    stocks = sectors(spark, [(1, 1, "a", 1.0), (1, 2, "b", 1.0), (1, 3, "a", None), (2, 4, "b", 1.0)])
+    leading = spark.createDataFrame([(1, "a")], "sel int, sector string")
+    scored = spark.createDataFrame([(1, "short", 1, "a", "large", 5.0), (1, "short", 2, "b", "large", 9.0), (1, "short", 3, "a", "large", None)], "sel int, bucket string, ticker int, sector string, sleeve string, score double")
+    assert {r.ticker: r.score for r in H.tilted(scored, leading).collect()} == {1: 15.0, 2: 9.0, 3: None}
+    gate = H.gated(stocks, leading)
+    # A period without a hypothesis isn't gated.
+    assert sorted((r.sel, r.ticker) for r in gate.collect()) == [(1, 1), (1, 3), (2, 4)]
+    picks = spark.createDataFrame([("mirror", 1, 1, "a"), ("mirror", 1, 2, "b"), ("gate", 1, 1, "a"), ("gate", 2, 4, "b"), ("gate", 2, 5, "b")], "arm string, sel int, ticker int, sector string")
+    facts = {(r.arm, r.sel): r for r in H.arm_facts(picks, stocks, gate, 2, "gate").collect()}
+    assert (facts["mirror", 1].status, facts["mirror", 1].sectors, facts["mirror", 1].gate_eligible) == ("logged", "a=1,b=1", None)
+    assert (facts["gate", 1].status, facts["gate", 1].gate_eligible, facts["gate", 1].cut) == ("incomplete_run", 2, 1) and facts["gate", 2].status == "logged"
+    assert facts["mirror", 1].universe_hash == facts["gate", 1].universe_hash != facts["gate", 2].universe_hash and facts["gate", 1].universe_size == 3
+    won = spark.createDataFrame([(1, 4, 2, 0.25), (1, 13, 2, 0.5), (1, 13, 1, 0.9), (2, 4, 4, 0.1)], "sel_day int, horizon int, ticker int, ret double")
+    assert {(r.sel, r.horizon): (r.cut_winners, r.mean_return, r.listed) for r in H.cut_winners(stocks, gate, won).collect()} == {(1, 4): (1, 0.25, "2:0.2500"), (1, 13): (1, 0.5, "2:0.5000")}
+
+
+def test_blocks_against_plain_ranks(spark):
+    rng = np.random.default_rng(7)
+    n = 30
+    score, ret, trend = rng.normal(size=n), rng.normal(size=n), rng.normal(size=n)
+    tiers = ["large"] * 10 + ["mid"] * 4 + ["small"] * 16
+    columns = "sel int, bucket string, ticker int, eligible boolean, score double, rank_trend double, rank_flow double, rank_earnings double, rank_quality double"
+    scored = spark.createDataFrame([(1, "short", i, True, float(score[i]), float(trend[i]), 50.0, None, float(score[i])) for i in range(n)] + [(1, "short", 99, False, 9.0, 9.0, 9.0, 9.0, 9.0)], columns)
+    returns = spark.createDataFrame([(1, 4, i, float(ret[i])) for i in range(n)] + [(1, 4, 99, 9.0)], "sel_day int, horizon int, ticker int, ret double")
+    universe = spark.createDataFrame([(1, i, t) for i, t in enumerate(tiers)] + [(1, 99, "large")], "sel int, ticker int, tier string")
+    got = {r.block: r.value for r in H.harvest_blocks(scored, returns, universe, {"short": 4}).collect()}
+
+    def spearman(a, b):
+        return np.corrcoef(np.argsort(np.argsort(a)), np.argsort(np.argsort(b)))[0, 1]
+
+    top = score >= np.quantile(score, 2 / 3)
+    large = np.array(tiers) == "large"
+    order = np.argsort(-score)
+    want = {"ic": spearman(score, ret), "quality": spearman(score, ret), "trend": spearman(trend, ret), "top_tercile": spearman(score[top], ret[top]), "large": spearman(score[large], ret[large])}
+    want["spread"] = ret[order[:3]].mean() - ret[order[-3:]].mean() - 0.004
+    # Four of a tier are too few, a factor without values or without spread has no block.
+    assert set(got) == set(want) and all(got[b] == pytest.approx(v, abs=1e-6) for b, v in want.items())
