@@ -88,3 +88,21 @@ def fresh_and_incumbents(fresh: DataFrame, incumbents: DataFrame, key: str) -> D
     """All fresh rows, and incumbents that aren't among them; origin tells which."""
     kept = incumbents.join(fresh.select(key), key, "left_anti")
     return fresh.withColumn("origin", F.lit("fresh")).unionByName(kept.withColumn("origin", F.lit("incumbent")))
+
+
+def preferred_scope(lines: DataFrame, scopes: tuple[str, ...], *key: str) -> DataFrame:
+    """Of each key's lines those of the first scope that the key has any of; keys with other scopes only have none."""
+    place = F.array_position(F.array(*map(F.lit, scopes)), F.col("scope"))
+    ranked = lines.withColumn("__p", place).filter("__p > 0").withColumn("__best", F.min("__p").over(Window.partitionBy(*key)))
+    return ranked.filter("__p = __best").drop("__p", "__best")
+
+
+def grid_issues(cells: DataFrame, configs: DataFrame, regimes: DataFrame, rules: tuple[tuple[str, Column], ...]) -> DataFrame:
+    """config, regime, issue, reasons: what the grid of configs and regimes lacks (missing), and cells that break a rule (invalid), by name."""
+    from panelforge.functions.lineage import few
+
+    grid = configs.join(few(regimes))  # a row for each regime
+    broken = F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])), ",")
+    found = cells.withColumn("reasons", broken).select("config", "regime", "reasons")
+    out = grid.join(found, ["config", "regime"], "left")
+    return out.filter("reasons IS NULL OR reasons <> ''").select("config", "regime", F.when(F.col("reasons").isNull(), "missing").otherwise("invalid").alias("issue"), F.coalesce("reasons", F.lit("")).alias("reasons"))
