@@ -34,8 +34,8 @@ from .common import Scratch, bounded_broadcast
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Terms that a task counts before it hands them on.
 HELD = 250_000
-#: Groups to a block and terms to a slice of a dense tile, at most and on average.
-BLOCK, SLICE = 256, 1024
+#: Groups to a block, at most; terms to a slice of a dense tile, and counts to a piece of the histograms, on average.
+BLOCK, SLICE, PIECE = 256, 1024, 20_000
 #: Cells that are computed at once.
 CELLS = 1 << 20
 UNIT = 1_000_000_000
@@ -129,13 +129,13 @@ def _dense(key: tuple, cells: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFram
 
 
 def _plain(key: tuple, counts: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
-    """Light terms, as if no two groups shared one: all at a count of 0, changed by each group's histogram of counts."""
-    lang, i, j = key
+    """Light terms, as if no two groups shared one: all at a count of 0, changed by a piece of each group's histogram of counts."""
+    lang, i, j, piece = key
     groups = groups.sort_values("group")
     number, zero, block = groups["group"].to_numpy(), groups["zero"].to_numpy(), groups["group"].to_numpy() // BLOCK
     rows, columns = np.flatnonzero(block == i), np.flatnonzero(block == j)
     both = _gap(zero[rows][:, None], zero[columns][None, :])
-    sums = both * (int(groups["light"].iloc[0]) if len(groups) else 0)
+    sums = both * (int(groups["light"].iloc[0]) if piece == 0 and len(groups) else 0)
     at = np.searchsorted(number, counts["group"].to_numpy())
     p, terms = counts["p"].to_numpy(), counts["terms"].to_numpy()
     for side, others in ((rows, columns), (columns, rows)):
@@ -184,6 +184,7 @@ def audit(
     top: int = 10,
     small: int = 100_000,
     per_slice: int = SLICE,
+    per_piece: int = PIECE,
 ) -> DataFrame:
     """lang, source, part, item, value, rank: the divergence of each (lang, source) group.
 
@@ -240,9 +241,13 @@ def audit(
     each = _tiles(own.select("lang", "group", "zero", "blocks", "slices").filter("slices > 0")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     dense = _tiles(sliced.select("lang", "group", "term", "p", "blocks", "slice")).groupBy(*tile).cogroup(each.groupBy(*tile)).applyInPandas(_dense, PARTIAL)
 
-    counts = cells.filter(~heavy).groupBy("lang", "group", "blocks", "p").agg(F.count(F.lit(1)).alias("terms"))
-    tile = ["lang", "i", "j"]
-    plain = _tiles(counts).groupBy(*tile).cogroup(_tiles(own.select("lang", "group", "zero", "blocks", "light")).groupBy(*tile)).applyInPandas(_plain, PARTIAL)
+    counts = scratch.table(cells.filter(~heavy).groupBy("lang", "group", "blocks", "p").agg(F.count(F.lit(1)).alias("terms")))
+    pieces = scratch.table(counts.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / per_piece).cast("int").alias("pieces")))
+    tile = ["lang", "i", "j", "piece"]
+    dealt = counts.join(bounded_broadcast(pieces, small), "lang").withColumn("piece", F.pmod(F.xxhash64("group", "p"), F.col("pieces")).cast("int")).drop("pieces")
+    every = own.select("lang", "group", "zero", "blocks", "light").join(bounded_broadcast(pieces.toDF("lang", "pieces"), small), "lang", "left")
+    every = every.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))).drop("pieces")
+    plain = _tiles(dealt).groupBy(*tile).cogroup(_tiles(every).groupBy(*tile)).applyInPandas(_plain, PARTIAL)
 
     lists = F.sort_array(F.collect_list(F.struct("group", "p", "zero")))
     postings = cells.filter(~heavy & (F.col("in_groups") > 1)).groupBy("lang", "term").agg(lists.alias("list"))

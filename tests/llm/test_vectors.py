@@ -66,7 +66,7 @@ def test_divergence_of_many_sources(spark):
     df = spark.createDataFrame(rows, "lang string, source string, text string").repartition(5)
     want = brute_audit(rows)
     for small in (100_000, 0):  # groups broadcast, or joined by a shuffle
-        assert audited(divergence.audit(df, per_slice=8, small=small)) == want
+        assert audited(divergence.audit(df, per_slice=8, small=small, per_piece=50)) == want
 
 
 def test_divergence_of_awkward_rows(spark):
