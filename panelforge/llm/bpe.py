@@ -289,8 +289,8 @@ class WordBpe:
 
 
 @lru_cache(maxsize=2)
-def load(path: str, as_text: bool = False) -> WordBpe:
-    return WordBpe(path, as_text)
+def load(path: str, as_text: bool = False, cache: int = 120_000) -> WordBpe:
+    return WordBpe(path, as_text, cache)
 
 
 #: Characters that are encoded together, so that a batch's memory doesn't follow its longest texts.
@@ -352,7 +352,7 @@ def token_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = load(path, as_text=True)
+        bpe = load(path, as_text=True, cache=250_000)  # pieces are short texts here, and nothing else of the batch is kept
         for texts in batches:
             n, ids, decoded = [], [], []
             for group in _groups(texts.tolist()):
