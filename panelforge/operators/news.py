@@ -6,7 +6,8 @@ an answer that breaks the form is no vote, but the panel keeps its size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pandas as pd
@@ -70,26 +71,39 @@ def by_first_word(rows: DataFrame, named: DataFrame, id_col: str) -> DataFrame:
     return one.union(several).distinct()
 
 
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value) with value computed once a row: a column that is named in many places would be computed in each."""
+    return F.transform(F.array(value), made)[0]
+
+
 def judgment(content: Column) -> Column:
-    """The struct of an answer: its outermost braces as JSON, with every field there and of its kind; null if not."""
-    body = F.regexp_extract(content, r"(?s)(\{.*\})", 1)
-    v = F.try_parse_json(body)
-    j = F.try_variant_get(v, "$", JUDGMENT)
-    kind = lambda name: F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")), "^[A-Z]+", 0)
-    texts = [kind(n) == "STRING" for n in ("scope", "severity", "confidence", "materiality", "directness")]
-    known = [j["scope"].isin(*SCOPES), j["severity"].isin(*SEVERITIES), j["confidence"].isin(*LEVELS), j["materiality"].isin(*LEVELS), j["directness"].isin(*DIRECT)]
-    shape = [kind("thesis_break") == "BOOLEAN", kind("thesis_break_reason").isin("STRING", "VOID"), kind("affected_tickers") == "ARRAY"]
-    listed = F.forall(F.try_variant_get(v, "$.affected_tickers", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
-    good = F.lit(True)
-    for c in (*texts, *known, *shape, listed):
-        good = good & F.coalesce(c, F.lit(False))
-    return F.when(good, j)
+    """The struct of an answer: its outermost braces as JSON, with every field there and of its kind; null if not.
+
+    An answer is parsed once. Of what isn't a string, nothing reads as one of the
+    known words, so those fields need no look at their kind.
+    """
+
+    def strict(v: Column) -> Column:
+        kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        listed = F.forall(F.try_variant_get(v, "$.affected_tickers", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+        shape = [kind("thesis_break") == "BOOLEAN", kind("thesis_break_reason").isin("STRING", "VOID"), listed]
+
+        def known(j: Column) -> Column:
+            words = [j["scope"].isin(*SCOPES), j["severity"].isin(*SEVERITIES), j["confidence"].isin(*LEVELS), j["materiality"].isin(*LEVELS), j["directness"].isin(*DIRECT)]
+            return F.when(reduce(lambda a, b: a & b, [*words, *shape]), j)
+
+        return bound(F.try_variant_get(v, "$", JUDGMENT), known)
+
+    return bound(F.try_parse_json(F.regexp_extract(content, r"(?s)(\{.*\})", 1)), strict)
 
 
 def modal(values: Column) -> Column:
     """The most frequent value of an array without nulls; of ties the one that comes first."""
-    counted = F.transform(F.array_distinct(values), lambda v: F.struct(F.size(F.filter(values, lambda x: x == v)).alias("n"), (-F.array_position(values, v)).alias("first"), v.alias("v")))
-    return F.array_max(counted)["v"]
+
+    def counted(every: Column) -> Column:
+        return F.transform(F.array_distinct(every), lambda v: F.struct(F.size(F.filter(every, lambda x: x == v)).alias("n"), (-F.array_position(every, v)).alias("first"), v.alias("v")))
+
+    return F.array_max(bound(values, counted))["v"]
 
 
 def agreed_level(values: Column, need: Column) -> Column:
@@ -104,8 +118,9 @@ def assessments(answers: DataFrame, panel: int, *news: str) -> DataFrame:
     A majority is of the whole panel, also of those whose answer was no judgment;
     pairs without any judgment have no row. persona orders the votes for ties.
     """
-    read = answers.withColumn("j", judgment(F.col("content"))).filter("j IS NOT NULL")
-    votes = read.groupBy(*news, "ticker").agg(F.array_sort(F.collect_list(F.struct("persona", "j"))).alias("v"))  # a panel's answers
+    # A filter on the judgment would compute it a second time; a list leaves nulls out.
+    vote = F.when(F.col("j").isNotNull(), F.struct("persona", "j"))
+    votes = answers.withColumn("j", judgment(F.col("content"))).groupBy(*news, "ticker").agg(F.array_sort(F.collect_list(vote)).alias("v")).filter(F.size("v") > 0)  # a panel's answers
     need = F.lit(panel // 2 + 1)
     j = lambda name: F.transform("v", lambda x: x["j"][name])
     count = lambda met: F.size(F.filter("v", met))

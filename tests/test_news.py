@@ -4,6 +4,7 @@ import json
 
 import pytest
 from panelforge.operators import news as N
+from panelforge.plans import news_queries as Q
 from pyspark.sql import functions as F
 
 NAMES = [(1, "Alpha"), (2, "alpha beta"), (3, "Beta Gamma"), (4, "삼성전자"), (5, "A.B. Corp"), (5, "ab"), (6, None), (7, "--"), (8, "beta gamma delta epsilon"), (9, "Élan")]
@@ -116,3 +117,17 @@ def test_ledger(spark):
     calm = [("a", 1, "alert_only", "shadowed", 0.0, "news_warning"), ("b", 1, "alert_only", "shadowed", 0.0, "news_warning"), ("b", 1, "hold_for_review", "held_by_brake", 0.0, "")]
     assert of(prices) == sorted([*calm, ("a", 1, "auto_remove", "removed", 10.0, "news_critical"), ("a", 2, "auto_remove", "shadowed", 0.0, "news_critical")])
     assert of(None) == sorted([*calm, ("a", 1, "auto_remove", "shadowed", 0.0, "news_critical"), ("a", 2, "auto_remove", "shadowed", 0.0, "news_critical")])
+
+
+def test_an_answer_is_parsed_once(spark):
+    """A column named in many places is computed in each: parsing is most of the work."""
+    plan = N.assessments(answers(spark, {}, None), 5, "news")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
+def test_mentions_are_dealt_by_their_number(spark, monkeypatch):
+    """Few bytes, many answers: partitions of size would leave them to one task."""
+    monkeypatch.setattr(Q, "MENTIONS_A_TASK", 10)
+    mentions = spark.range(1000).selectExpr("id AS doc_id", "id % 7 AS ticker").coalesce(1)
+    got = Q.dealt(mentions)
+    assert got.rdd.getNumPartitions() == 100 and got.count() == 1000
