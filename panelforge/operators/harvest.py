@@ -443,6 +443,15 @@ def arm_facts(picks: DataFrame, stocks: DataFrame, gate: DataFrame, quota: int,
     )
 
 
+def listed_digits(value: Column, digits: int = 4) -> Column:
+    """value rounded as the SQL does: the nearest whole number of the last digit's units, halves away from 0.
+
+    F.round takes the decimal text, where 0.75245 is a half; as a double it is a little less, and so is its product.
+    """
+    units = float(10**digits)
+    return F.round(value * units) / units
+
+
 def cut_winners(stocks: DataFrame, gate: DataFrame, winners: DataFrame) -> DataFrame:
     """sel, horizon, cut_winners, mean_return and listed (ticker:return, by ticker): what a gate cut that became a winner.
 
@@ -450,5 +459,5 @@ def cut_winners(stocks: DataFrame, gate: DataFrame, winners: DataFrame) -> DataF
     """
     cut = stocks.select("sel", "ticker").join(gate.select("sel", "ticker"), ["sel", "ticker"], "left_anti")
     rows = winners.withColumnRenamed("sel_day", "sel").join(cut, ["sel", "ticker"], "left_semi")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ticker", "ret"))), lambda x: F.concat(x["ticker"].cast("string"), F.lit(":"), F.round(x["ret"], 4).cast("decimal(20,4)").cast("string")))  # winners of one cross-section
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ticker", "ret"))), lambda x: F.concat(x["ticker"].cast("string"), F.lit(":"), listed_digits(x["ret"]).cast("decimal(20,4)").cast("string")))  # winners of one cross-section
     return rows.groupBy("sel", "horizon").agg(F.count(F.lit(1)).alias("cut_winners"), F.avg("ret").alias("mean_return"), F.array_join(listed, ",").alias("listed"))

@@ -182,6 +182,18 @@ def test_arms_of_a_hypothesis(spark):
     assert {(r.sel, r.horizon): (r.cut_winners, r.mean_return, r.listed) for r in H.cut_winners(stocks, gate, won).collect()} == {(1, 4): (1, 0.25, "2:0.2500"), (1, 13): (1, 0.5, "2:0.5000")}
 
 
+def test_listed_returns_are_rounded_as_by_the_sql(spark):
+    """Halves in decimal text that are a little less as doubles."""
+    import duckdb
+
+    stocks = spark.createDataFrame([(1, i) for i in range(1, 5)], "sel int, ticker int")
+    rets = [0.75245, 2.99685, 0.5, 0.00005]
+    won = spark.createDataFrame([(1, 4, i + 1, r) for i, r in enumerate(rets)], "sel_day int, horizon int, ticker int, ret double")
+    (got,) = H.cut_winners(stocks, stocks.limit(0), won).collect()
+    want = [duckdb.execute("SELECT CAST(CAST(round(?::DOUBLE, 4) AS DECIMAL(20, 4)) AS VARCHAR)", [r]).fetchone()[0] for r in rets]
+    assert got.listed == ",".join(f"{i + 1}:{w}" for i, w in enumerate(want)) and got.listed.startswith("1:0.7524,2:2.9968,")
+
+
 def test_blocks_against_plain_ranks(spark):
     rng = np.random.default_rng(7)
     n = 30
