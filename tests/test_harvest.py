@@ -215,3 +215,15 @@ def test_blocks_against_plain_ranks(spark):
     want["spread"] = ret[order[:3]].mean() - ret[order[-3:]].mean() - 0.004
     # Four of a tier are too few, a factor without values or without spread has no block.
     assert set(got) == set(want) and all(got[b] == pytest.approx(v, abs=1e-6) for b, v in want.items())
+
+
+@pytest.mark.parametrize("name,unread", [("chart_pairs", ("returns_of", "plain_scores")), ("chart_left_out", ("plain_scores",)), ("chart_kill_switch", ("returns_of",)), ("shadow_arms", ("returns_of",)), ("gate_cut_winners", ("plain_scores", "shadow"))])
+def test_what_is_not_read_is_not_computed(spark, monkeypatch, name, unread):
+    from panelforge.plans import harvest_queries as HQ
+
+    def no(*_):
+        raise AssertionError("computed")
+
+    for f in unread:
+        monkeypatch.setattr(HQ, f, no)
+    HQ.register.queries[name](spark, "/root/testdata/sf0.001")
