@@ -116,10 +116,19 @@ def correlation(a: str, b: str, least: int = 2) -> Column:
     return F.when(F.count(x) >= least, F.round(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 8))
 
 
+def rounded_as_sql(value: Column, digits: int = 4) -> Column:
+    """value rounded as the SQL does: the nearest whole number of the last digit's units, halves away from 0.
+
+    F.round takes the decimal text, where 0.75245 is a half; as a double it is a little less, and so is its product.
+    """
+    units = float(10**digits)
+    return F.round(value * units) / units
+
+
 def interval(value: str) -> list[Column]:
     """mean, low and high of the present values; the interval needs two."""
     two = F.count(value) >= 2
-    return [F.avg(value).alias("mean"), F.when(two, F.round(F.percentile(value, 0.05), 4)).alias("low"), F.when(two, F.round(F.percentile(value, 0.95), 4)).alias("high")]
+    return [F.avg(value).alias("mean"), F.when(two, rounded_as_sql(F.percentile(value, 0.05))).alias("low"), F.when(two, rounded_as_sql(F.percentile(value, 0.95))).alias("high")]
 
 
 def overlap_samples(chart: DataFrame, scored: DataFrame) -> DataFrame:
@@ -206,7 +215,7 @@ def gate(low: Column, mean: Column, ir: Column) -> Column:
 def leg_report(found: DataFrame, ics: DataFrame, *by: str) -> DataFrame:
     """by, periods, pooled recall with the interval of the periods', lift with interval, mean and ratio of ic, and the gate's failures."""
     joined = found.join(ics, [*(c for c in by if c in ics.columns), "sel"], "left")
-    low, high = (F.when(F.count("lift") >= 2, F.round(F.percentile("lift", p), 4)) for p in (0.05, 0.95))
+    low, high = (F.when(F.count("lift") >= 2, rounded_as_sql(F.percentile("lift", p))) for p in (0.05, 0.95))
     out = joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("periods"), (F.sum("hits") / F.sum("winners")).alias("recall"), *[c.alias(f"recall_{n}") for c, n in zip(interval("recall")[1:], ("low", "high"))],
         F.avg("lift").alias("lift"), low.alias("lift_low"), high.alias("lift_high"), F.avg("ic").alias("ic_mean"), ratio("ic").alias("ic_ir"),
@@ -277,7 +286,7 @@ def marginal(counts: DataFrame, legs: DataFrame, base: str, other: str) -> DataF
     of = lambda leg: F.sum(F.when(F.col("leg") == leg, F.col("num") / F.col("den")))
     lifts = counts.groupBy("sel").agg((of(other) - of(base)).alias("lift"))
     two = F.count("lift") >= 2
-    lift = lifts.agg(F.count("lift").alias("periods"), F.avg("lift").alias("lift"), F.when(two, F.round(F.percentile("lift", 0.05), 4)).alias("lift_low"), F.when(two, F.round(F.percentile("lift", 0.95), 4)).alias("lift_high"))
+    lift = lifts.agg(F.count("lift").alias("periods"), F.avg("lift").alias("lift"), F.when(two, rounded_as_sql(F.percentile("lift", 0.05))).alias("lift_low"), F.when(two, rounded_as_sql(F.percentile("lift", 0.95))).alias("lift_high"))
     figures = ("overall", "largemid", "ic_mean", "ic_ir")
     less = lambda c: F.max(F.when(F.col("leg") == other, F.round(c, 4))) - F.max(F.when(F.col("leg") == base, F.round(c, 4)))
     return lift.join(F.broadcast(legs.agg(*[F.round(less(c), 4).alias(f"d_{c}") for c in figures])))  # a single row each
@@ -348,7 +357,7 @@ def group_verdict(records: DataFrame, *group: str) -> DataFrame:
     """
     two = F.count("lift") >= 2
     out = records.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("periods"), F.avg("lift").alias("lift"), F.when(two, F.round(F.percentile("lift", 0.05), 4)).alias("low"), F.when(two, F.round(F.percentile("lift", 0.95), 4)).alias("high"), ratio("ic").alias("ic_ir")
+        F.count(F.lit(1)).alias("periods"), F.avg("lift").alias("lift"), F.when(two, rounded_as_sql(F.percentile("lift", 0.05))).alias("low"), F.when(two, rounded_as_sql(F.percentile("lift", 0.95))).alias("high"), ratio("ic").alias("ic_ir")
     )
     primary = F.when(F.col("low").isNotNull(), F.col("low") > 0).otherwise(F.coalesce(F.col("lift") >= LIFT_FALLBACK, F.lit(False)))
     out = out.withColumns({"primary": primary, "cogate": F.coalesce(F.col("ic_ir") >= IC_LEAST, F.lit(False))})
@@ -443,15 +452,6 @@ def arm_facts(picks: DataFrame, stocks: DataFrame, gate: DataFrame, quota: int,
     )
 
 
-def listed_digits(value: Column, digits: int = 4) -> Column:
-    """value rounded as the SQL does: the nearest whole number of the last digit's units, halves away from 0.
-
-    F.round takes the decimal text, where 0.75245 is a half; as a double it is a little less, and so is its product.
-    """
-    units = float(10**digits)
-    return F.round(value * units) / units
-
-
 def cut_winners(stocks: DataFrame, gate: DataFrame, winners: DataFrame) -> DataFrame:
     """sel, horizon, cut_winners, mean_return and listed (ticker:return, by ticker): what a gate cut that became a winner.
 
@@ -459,5 +459,5 @@ def cut_winners(stocks: DataFrame, gate: DataFrame, winners: DataFrame) -> DataF
     """
     cut = stocks.select("sel", "ticker").join(gate.select("sel", "ticker"), ["sel", "ticker"], "left_anti")
     rows = winners.withColumnRenamed("sel_day", "sel").join(cut, ["sel", "ticker"], "left_semi")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ticker", "ret"))), lambda x: F.concat(x["ticker"].cast("string"), F.lit(":"), listed_digits(x["ret"]).cast("decimal(20,4)").cast("string")))  # winners of one cross-section
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("ticker", "ret"))), lambda x: F.concat(x["ticker"].cast("string"), F.lit(":"), rounded_as_sql(x["ret"]).cast("decimal(20,4)").cast("string")))  # winners of one cross-section
     return rows.groupBy("sel", "horizon").agg(F.count(F.lit(1)).alias("cut_winners"), F.avg("ret").alias("mean_return"), F.array_join(listed, ",").alias("listed"))

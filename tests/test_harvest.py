@@ -217,6 +217,13 @@ def test_blocks_against_plain_ranks(spark):
     assert set(got) == set(want) and all(got[b] == pytest.approx(v, abs=1e-6) for b, v in want.items())
 
 
+def test_ends_of_an_interval_are_rounded_as_by_the_sql(spark):
+    import duckdb
+
+    (r,) = spark.createDataFrame([(0.75245,), (0.75245,)], "v double").agg(*H.interval("v")).collect()
+    assert [r.low, r.high] == [duckdb.execute("SELECT round(0.75245::DOUBLE, 4)").fetchone()[0]] * 2 == [0.7524, 0.7524]
+
+
 @pytest.mark.parametrize("name,unread", [("chart_pairs", ("returns_of", "plain_scores")), ("chart_left_out", ("plain_scores",)), ("chart_kill_switch", ("returns_of",)), ("shadow_arms", ("returns_of",)), ("gate_cut_winners", ("plain_scores", "shadow"))])
 def test_what_is_not_read_is_not_computed(spark, monkeypatch, name, unread):
     from panelforge.plans import harvest_queries as HQ
