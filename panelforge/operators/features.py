@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelforge.operators import folds
+from panelforge.operators.rolling import Bars, divided, over_bars
 
 # Fixed values.
 SKIP = 21
@@ -71,26 +75,57 @@ def split_flags(lookback: int) -> tuple[Column, Column]:
     return F.max(split).over(w) == 1, F.max(extreme).over(w) == 1
 
 
-def factor_bars(bars: DataFrame) -> DataFrame:
-    """bars with the daily return ret and every factor that scoring uses."""
-    out = bars.withColumn("ret", daily_return())
-    out = out.withColumns(
-        {
-            "jump": F.try_divide(F.col("list_shrs"), F.lag("list_shrs", 1).over(by_ticker())),
-            "px": F.try_divide(F.col("close"), F.lag("close", 1).over(by_ticker())),
-            **{f"trend_{b}_{i}": trend(n) for b, pair in LOOKBACKS.items() for i, n in enumerate(pair)},
-            "high_prox": high_proximity(),
-            "ret5": trailing_return(SPIKE_WINDOW),
-            "adv60": adv(),
-            "surge": volume_surge(),
-            "flow60": F.sum("flow").over(back(ADV_WINDOW - 1)),
-            "issue_3m": issuance(63),
-            "issue_12m": issuance(252),
-        }
-    )
-    split, extreme = split_flags(252)
+#: Columns that factors reads and gives.
+FACTOR_INPUTS = ["close", "high", "trdval", "flow", "list_shrs"]
+FACTORS = ["ret", "jump", "px", *(f"trend_{b}_{i}" for b in LOOKBACKS for i in (0, 1)), "high_prox", "ret5", "adv60", "surge", "flow60", "issue_3m", "issue_12m", "split", "extreme"]
+
+
+def factors(bars: Bars, asked: Bars) -> dict[str, np.ndarray]:
+    """The daily return ret and every factor that scoring uses, of the asked bars: what daily_return, trend and the others above are."""
+    own = bars.columns
+    before = bars.lag("close", 1)
+    own["ret"] = np.where(before > 0, own["close"] / before - 1, np.nan)
+    own["jump"], own["px"] = divided(own["list_shrs"], bars.lag("list_shrs", 1)), divided(own["close"], before)
+    own["split"] = ((own["jump"] >= SPLIT_RATIO) & (np.abs(own["jump"] * own["px"] - 1) <= SPLIT_TOLERANCE)).astype(float)
+    own["extreme"] = (own["jump"] >= EXTREME).astype(float)
+    own["up"] = np.where(own["high"] > 0, own["high"], np.nan)
+
+    def since(name: str, n: int) -> np.ndarray:
+        then = asked.lag(name, n)
+        return np.where(then > 0, asked.now(name) / then - 1, np.nan)
+
+    def trend_of(lookback: int) -> np.ndarray:
+        sigma = asked.deviation("ret", SKIP + lookback - 1, SKIP)
+        cumulative = asked.lag("close", SKIP) / asked.lag("close", SKIP + lookback) - 1
+        return np.where((asked.bar >= lookback + SKIP + 1) & (sigma > 0), cumulative / sigma, np.nan)
+
+    slow, n = asked.total("trdval", 59)
+    return {
+        **{c: asked.now(c) for c in ("ret", "jump", "px")}, **{f"trend_{b}_{i}": trend_of(k) for b, pair in LOOKBACKS.items() for i, k in enumerate(pair)},
+        "high_prox": asked.now("close") / asked.top("up", HIGH_WINDOW - 1), "ret5": since("close", SPIKE_WINDOW), "adv60": asked.median("trdval", ADV_WINDOW, ADV_LEAST),
+        "surge": np.where(n >= 60, divided(asked.mean("trdval", 4), slow / 60) - 1, np.nan), "flow60": asked.total("flow", ADV_WINDOW - 1)[0],
+        "issue_3m": since("list_shrs", 63), "issue_12m": since("list_shrs", 252), "split": asked.top("split", 251), "extreme": asked.top("extreme", 251),
+    }
+
+
+def from_mean(asked: Bars) -> np.ndarray:
+    """Distance of the close from its yearly mean."""
+    return np.where(asked.bar >= 52, asked.now("close") / asked.mean("close", 51) - 1, np.nan)
+
+
+def halves(asked: Bars) -> dict[str, np.ndarray]:
+    """earnings, the growth of traded value over half a year, and quality, the distance of the close from its yearly mean."""
+    grown = asked.total("trdval", 25)[0] / asked.total("trdval", 51, 26)[0] - 1
+    return {"earnings": np.where(asked.bar >= 52, grown, np.nan), "quality": from_mean(asked)}
+
+
+def factor_bars(bars: DataFrame, asked: str | None = None, more: Callable[[Bars, Bars], dict[str, np.ndarray]] | None = None, made: tuple[str, ...] = ()) -> DataFrame:
+    """bars with the daily return ret and every factor that scoring uses, and the columns made by more; only where asked holds, if given."""
+    fold = lambda every, some: factors(every, some) | (more(every, some) if more else {})
+    out = over_bars(bars, FACTOR_INPUTS, [*FACTORS, *made], fold, asked)
     mean = (F.col("issue_3m") + F.col("issue_12m")) / 2
-    return out.withColumns({"split_like": split, "extreme": extreme}).withColumn("net_issuance", F.when(~F.col("split_like") & ~F.col("extreme"), -mean))
+    out = out.withColumns({"split_like": F.col("split") == 1, "extreme": F.col("extreme") == 1}).drop("split")
+    return out.withColumn("net_issuance", F.when(~F.col("split_like") & ~F.col("extreme"), -mean))
 
 
 def price_signals() -> dict[str, Column]:
@@ -128,6 +163,43 @@ def chart_columns() -> dict[str, Column]:
     }
 
 
+#: Sub-indicators of every bar that chart gives, and what of it else is read.
+CHART = ("ma20", "ma60", "ma120", "alignment", "donchian", "confirmed", "atr_contraction", "composite", "recency", "rsi", "macd")
+
+
+def chart(bars: Bars, asked: Bars) -> dict[str, np.ndarray]:
+    """chart_columns, bollinger's composite, golden_cross's recency and the folds' rsi and macd of the asked bars; needs ret."""
+    own = bars.columns
+    nan = np.nan
+
+    def after(b: Bars, n: int, value: np.ndarray) -> np.ndarray:
+        return np.where(b.bar >= n, value, nan)
+
+    # What looks back at indicators of earlier bars needs them of all.
+    mid = after(bars, 20, bars.mean("close", 19))
+    sigma = after(bars, 20, bars.deviation("close", 19))
+    own["bandwidth"] = np.where(sigma > 0, 4.0 * sigma / mid, nan)
+    own["pct_b"] = np.where(sigma > 0, (own["close"] - (mid - 2.0 * sigma)) / (4.0 * sigma), nan)
+    own["composite"] = (own["pct_b"] + np.fmax(0.0, np.fmin(1.0, own["bandwidth"] / bars.least_so_far("bandwidth") - 1))) / 2
+    own["gap"] = mid - after(bars, 60, bars.mean("close", 59))
+    own["crossed"] = np.where((own["gap"] > 0) & (bars.lag("gap", 1) <= 0), bars.bar.astype(float), nan)
+    turns = folds.momentum({"close": bars.grid("close")})
+
+    close, recent = asked.now("close"), asked.top("crossed", 19)
+    ma20, ma60, ma120 = (after(asked, n, asked.mean("close", n - 1)) for n in (20, 60, 120))
+    aligned = (close > ma20).astype(float) + (ma20 > ma60) + (ma60 > ma120)
+    high20 = asked.top("high", 20, 1)
+    breakout = after(asked, 21, np.where(close > high20, 1.0, close / high20))
+    heavy = np.where(asked.now("trdval") > 1.5 * asked.mean("trdval", 60, 1), 1.0, 0.5)
+    s20, s60 = asked.deviation("ret", 19), asked.deviation("ret", 59)
+    age = np.where(np.isnan(recent), 0.0, (20 - (asked.bar - recent)) / 20.0)
+    return {
+        "ma20": ma20, "ma60": ma60, "ma120": ma120, "alignment": after(asked, 120, aligned), "donchian": breakout, "confirmed": after(asked, 61, breakout * heavy),
+        "atr_contraction": np.where((asked.bar >= 61) & (s60 > 0), 1 - s20 / s60, nan), "composite": asked.now("composite"), "recency": np.where(np.isnan(asked.now("gap")), nan, age),
+        **{c: bars.off_grid(cells)[asked.at] for c, cells in turns.items()},
+    }
+
+
 def bollinger(bars: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
     """pct_b, bandwidth and their composite: mean of pct_b and the bandwidth's excess over its minimum so far, 0 to 1."""
     mid, sigma = sma(n), F.when(F.col("bar") >= n, F.stddev_pop("close").over(back(n - 1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.functions.sections import every, over_sections, quantiles
+
 # Fixed values.
 ENTRY_OFFSET, ENTRY_GAP, LOOKAHEAD = 1, 5, 5
 COST, DELISTED = 0.004, -1.0
@@ -18,9 +20,10 @@ def around(prices: DataFrame, asked: DataFrame, at: str) -> DataFrame:
     kind = prices.select(F.struct("day", "close").alias("p")).schema["p"].dataType
     rows = asked.select("ticker", F.col(at).alias("__day"), F.lit(1).alias("__asked"), F.struct(*asked.columns).alias("__row"), F.lit(None).cast(kind).alias("__p"))
     seen = prices.select("ticker", F.col("day").alias("__day"), F.lit(0).alias("__asked"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.struct("day", "close").alias("__p"))
-    w = Window.partitionBy("ticker").orderBy(F.col("__day").asc_nulls_first(), "__asked")
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    both = rows.unionByName(seen).withColumn("last", F.last("__p", ignorenulls=True).over(before)).withColumn("next", F.first("__p", ignorenulls=True).over(after))
+    # Both ways the frame grows by a row at a time; one that ends with the partition is gone through anew for each row.
+    ahead = Window.partitionBy("ticker").orderBy(F.col("__day").asc_nulls_first(), "__asked").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("ticker").orderBy(F.col("__day").desc_nulls_last(), F.desc("__asked")).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(seen).withColumn("last", F.last("__p", ignorenulls=True).over(ahead)).withColumn("next", F.last("__p", ignorenulls=True).over(back))
     return both.filter("__asked = 1").select("__row.*", "last", "next")
 
 
@@ -72,8 +75,8 @@ def lead_time(panel: DataFrame, days: DataFrame, picks: DataFrame, horizon: int,
 
 def winners(returns: DataFrame, q: float = 0.9, least: int = 10) -> DataFrame:
     """Rows with a positive return of at least the quantile of their sel_day and horizon; none of small cross-sections."""
-    w = Window.partitionBy("sel_day", "horizon")
-    out = returns.filter("ret IS NOT NULL").withColumn("cut", F.percentile("ret", q).over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+    cut = lambda s: {"cut": every(quantiles(s["ret"], q)[0], len(s["ret"])), "n": every(len(s["ret"]), len(s["ret"]))}
+    out = over_sections(returns.filter("ret IS NOT NULL").select("sel_day", "horizon", "ticker", "ret"), ["ret"], ["cut", "n"], cut, "sel_day", "horizon")
     return out.filter((F.col("n") >= least) & (F.col("ret") >= F.col("cut")) & (F.col("ret") > 0)).select("sel_day", "horizon", "ticker", "ret")
 
 

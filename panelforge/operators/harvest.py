@@ -6,18 +6,20 @@ a cross-section is the rows of one sel.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.lineage import few
+from panelforge.functions.lineage import few, settle
 from panelforge.functions.scalar import midrank, row_mean
+from panelforge.functions.sections import Section, every, held, midranks, over_sections, quantiles
 from panelforge.operators import features as X
-from panelforge.operators import folds
 from panelforge.operators.forward import decile_spread, information_ratio
 from panelforge.operators.rules import failures
-from panelforge.operators.scoring import SIZE_CUTS, fill_missing, size_tier, with_ranks
+from panelforge.operators.scoring import SIZE_CUTS, fill_missing, size_tier
 from panelforge.operators.selection import select_sleeves
 
 #: Sub-indicators of the chart composite.
@@ -28,30 +30,38 @@ PRIMARY = ("trend", "full")
 SCOPES = ("overall", "large", "mid", "small")
 
 
-def chart_bars(bars: DataFrame) -> DataFrame:
-    """factor_bars with the sub-indicators of every bar, as of that bar."""
-    out = X.golden_cross(X.bollinger(X.factor_bars(bars).withColumns(X.chart_columns())))
-    return out.join(folds.fold_series(bars, ["close"], [], ["rsi", "macd"], folds.momentum), ["ticker", "trade_date"])
+def marked_days(bars: DataFrame, days: DataFrame, sels: DataFrame) -> DataFrame:
+    """bars with day, until, the day of the ticker's next row, and asked: whether a sel_day of sels lies from the one to before the other.
+
+    A row holds from its day until the ticker's next one. sels has a row for each
+    period, days one for each day of the market.
+    """
+    next_sel = days.join(F.broadcast(sels), F.col("sel_day") >= F.col("day")).groupBy("trade_date").agg(F.min("sel_day").alias("__sel"))
+    dated = bars.join(F.broadcast(days.join(next_sel, "trade_date", "left")), "trade_date", "left")
+    until = F.coalesce(F.lead("day").over(X.by_ticker()), F.lit(2**31 - 1))
+    return dated.withColumn("until", until).withColumn("asked", F.coalesce(F.col("__sel") < F.col("until"), F.lit(False))).drop("__sel")
 
 
-def at_selections(rows: DataFrame, days: DataFrame, sels: DataFrame) -> DataFrame:
-    """Of rows(ticker, trade_date, ...) the last one of each ticker up to each sel_day of sels, as sel.
+def at_selections(bars: DataFrame, days: DataFrame, sels: DataFrame, more: Callable[[X.Bars, X.Bars], dict[str, np.ndarray]], made: tuple[str, ...]) -> DataFrame:
+    """Of bars the last one of each ticker up to each sel_day of sels, as sel, with factors, sub-indicators and what more makes.
 
-    A row holds from its day until the ticker's next one, so none is repeated but
-    for the selection days in between; sels has a row for each period.
+    All bars are read, but only those are computed that hold at a selection day.
     """
-    dated = rows.join(days, "trade_date")
-    until = F.coalesce(F.lead("day").over(Window.partitionBy("ticker").orderBy("day")), F.lit(2**31 - 1))
-    spans = dated.withColumn("until", until)
-    return spans.join(F.broadcast(sels), (F.col("day") <= F.col("sel_day")) & (F.col("sel_day") < F.col("until"))).drop("until", "day").withColumnRenamed("sel_day", "sel")
+    rows = X.factor_bars(marked_days(bars, days, sels), "asked", lambda every, asked: X.chart(every, asked) | more(every, asked), (*X.CHART, *made))
+    return rows.join(F.broadcast(sels), (F.col("day") <= F.col("sel_day")) & (F.col("sel_day") < F.col("until"))).drop("until", "day").withColumnRenamed("sel_day", "sel")
 
 
 def with_tier(stocks: DataFrame, floor: float) -> DataFrame:
     """stocks with tier: by the cuts of their cross-section's liquid rows; those that aren't liquid are small."""
     liquid = F.coalesce(F.col("adv60") >= floor, F.lit(False))
-    cuts = F.percentile(F.when(liquid & (F.col("mktcap") > 0), F.col("mktcap")), F.array(*map(F.lit, SIZE_CUTS))).over(Window.partitionBy("sel"))
-    tier = F.when(liquid, size_tier(F.col("mktcap"), F.col("__cuts")[0], F.col("__cuts")[1])).otherwise("small")
-    return stocks.withColumn("__cuts", cuts).withColumn("tier", tier).drop("__cuts")
+    tier = F.when(liquid, size_tier(F.col("mktcap"), F.col("__cut0"), F.col("__cut1"))).otherwise("small")
+    return _cut(stocks, F.when(liquid & (F.col("mktcap") > 0), F.col("mktcap"))).withColumn("tier", tier).drop("__cut0", "__cut1")
+
+
+def _cut(stocks: DataFrame, caps: Column) -> DataFrame:
+    """stocks with the cuts of size of their cross-section, __cut0 and __cut1."""
+    measure = lambda s: {f"__cut{i}": every(q, len(s["__cap"])) for i, q in enumerate(quantiles(s["__cap"], *SIZE_CUTS))}
+    return over_sections(stocks.withColumn("__cap", caps), ["__cap"], ["__cut0", "__cut1"], measure, "sel")
 
 
 def large_and_mid(stocks: DataFrame, floor: float) -> DataFrame:
@@ -60,10 +70,15 @@ def large_and_mid(stocks: DataFrame, floor: float) -> DataFrame:
 
 def chart_universe(stocks: DataFrame) -> DataFrame:
     """sel, ticker, mktcap, sleeve, rank_<sub> for each sub-indicator, and score, their mean; warm-up counts as 50."""
-    ranked = with_ranks(stocks, {f"rank_{s}": F.col(s).cast("double") for s in SUBS}, "sel")
+    rows = stocks.select("sel", "ticker", "mktcap", F.when(F.col("mktcap") > 0, F.col("mktcap")).alias("__cap"), *[F.col(s).cast("double").alias(f"__{s}") for s in SUBS])
+
+    def measure(s: Section) -> dict:
+        cuts = {f"__cut{i}": every(q, len(s["__cap"])) for i, q in enumerate(quantiles(s["__cap"], *SIZE_CUTS))}
+        return {f"rank_{c}": midranks(held(s[f"__{c}"], 0.01, 0.99)) for c in SUBS} | cuts
+
+    ranked = over_sections(rows, ["__cap", *(f"__{s}" for s in SUBS)], [*(f"rank_{s}" for s in SUBS), "__cut0", "__cut1"], measure, "sel")
     ranked = ranked.withColumns({f"rank_{s}": fill_missing(F.col(f"rank_{s}")) for s in SUBS})
-    cuts = F.percentile(F.when(F.col("mktcap") > 0, F.col("mktcap")), F.array(*map(F.lit, SIZE_CUTS))).over(Window.partitionBy("sel"))
-    ranked = ranked.withColumn("__cuts", cuts).withColumn("sleeve", size_tier(F.col("mktcap"), F.col("__cuts")[0], F.col("__cuts")[1]))
+    ranked = ranked.withColumn("sleeve", size_tier(F.col("mktcap"), F.col("__cut0"), F.col("__cut1")))
     score = F.round(row_mean(*[F.col(f"rank_{s}") for s in SUBS]), 8)
     return ranked.select("sel", "ticker", "mktcap", "sleeve", *[f"rank_{s}" for s in SUBS], score.alias("score"))
 
@@ -95,7 +110,7 @@ def staged_buckets(scored: DataFrame, stages: DataFrame, quota: dict[str, int],
         open_rows = rows.filter(F.col("stage") == stage)
         if used is not None:
             open_rows = open_rows.join(used, [*group, "ticker"], "left_anti")
-        picked = select_sleeves(open_rows, quota, *group).drop("stage")
+        picked = settle(select_sleeves(open_rows, quota, *group).drop("stage"))  # some rows a group
         taken = picked.select(*group, "ticker")
         used = taken if used is None else used.union(taken)
         out = picked if out is None else out.unionByName(picked)
@@ -176,7 +191,8 @@ def period_ic(scored: DataFrame, returns: DataFrame, horizons: dict[str, int], *
     rows = scored.filter("score IS NOT NULL").withColumn("horizon", named[F.col("bucket")])
     both = rows.join(returns.filter("ret IS NOT NULL").withColumnRenamed("sel_day", "sel"), ["sel", "horizon", "ticker"])
     group = [*by, "sel", "bucket"]
-    ranked = both.withColumns({"__a": midrank(F.col("score"), *group), "__b": midrank(F.col("ret"), *group)})
+    ranks = lambda s: {"__a": midranks(s["score"]), "__b": midranks(s["ret"])}
+    ranked = over_sections(both.select(*group, "score", "ret"), ["score", "ret"], ["__a", "__b"], ranks, *group)
     ics = ranked.groupBy(*group).agg(correlation("__a", "__b", 3).alias("ic"))
     return ics.groupBy(*by, "sel").agg(F.avg("ic").alias("ic"))
 
@@ -383,16 +399,20 @@ def harvest_blocks(scored: DataFrame, returns: DataFrame, tiers: DataFrame, hori
     named = F.create_map(*[F.lit(x) for pair in horizons.items() for x in pair])
     rows = scored.filter("eligible").withColumn("horizon", named[F.col("bucket")])
     both = rows.join(returns.filter("ret IS NOT NULL").withColumnRenamed("sel_day", "sel"), ["sel", "horizon", "ticker"]).join(tiers.select("sel", "ticker", "tier"), ["sel", "ticker"])
-    w = Window.partitionBy("sel", "bucket")
-    both = both.withColumns({"__n": F.count(F.lit(1)).over(w), "__third": F.percentile("score", F.lit(2.0 / 3.0)).over(w)})
-    block = lambda name, value, met, least: F.when(met & value.isNotNull(), F.struct(F.lit(name).alias("block"), value.cast("double").alias("value"), F.lit(least).alias("least")))
-    score, every = F.col("score"), F.lit(True)
-    scopes = [block("ic", score, every, 3), block("top_tercile", score, (F.col("__n") >= TERCILE_LEAST) & (score >= F.col("__third")), 3)]
-    scopes += [block(t, score, F.col("tier") == t, SCOPE_LEAST) for t in ("large", "mid")] + [block(f, F.round(f"rank_{f}", 8), every, SCOPE_LEAST) for f in RANKED]
-    each = both.withColumn("__s", F.explode(F.array_compact(F.array(*scopes)))).select("sel", "bucket", "ret", "__s.*")
-    group = ["sel", "bucket", "block"]
-    ranked = each.withColumns({"__a": midrank(F.col("value"), *group), "__b": midrank(F.col("ret"), *group)})
-    ics = ranked.groupBy(*group).agg(F.when(F.count(F.lit(1)) >= F.max("least"), correlation("__a", "__b", 3)).alias("value"))
+    least = {"ic": 3, "top_tercile": 3} | dict.fromkeys(("large", "mid", *RANKED), SCOPE_LEAST)
+    both = both.withColumns({f"__{f}": F.round(f"rank_{f}", 8) for f in RANKED} | {f"__{t}": F.when(F.col("tier") == t, F.col("score")) for t in ("large", "mid")})
+
+    def measure(s: Section) -> dict:
+        """Of each block the ranks of its values and of the returns of the same rows."""
+        score, third = s["score"], quantiles(s["score"], 2.0 / 3.0)[0]
+        low = np.ma.getdata(score) < third if third is not None and len(score) >= TERCILE_LEAST else True
+        values = {"ic": score, "top_tercile": np.ma.masked_where(np.ma.getmaskarray(score) | low, score)} | {b: s[f"__{b}"] for b in ("large", "mid", *RANKED)}
+        return {f"a_{b}": midranks(v) for b, v in values.items()} | {f"b_{b}": midranks(np.ma.MaskedArray(np.ma.getdata(s["ret"]), np.ma.getmaskarray(v))) for b, v in values.items()}
+
+    inputs, made = ["score", "ret", *(f"__{b}" for b in ("large", "mid", *RANKED))], [f"{x}_{b}" for b in least for x in ("a", "b")]
+    ranked = over_sections(both.select("sel", "bucket", *inputs), inputs, made, measure, "sel", "bucket")
+    each = F.inline(F.array(*[F.struct(F.lit(b).alias("block"), F.lit(n).alias("least"), F.col(f"a_{b}").alias("a"), F.col(f"b_{b}").alias("b")) for b, n in least.items()]))
+    ics = ranked.select("sel", "bucket", each).filter("a IS NOT NULL").groupBy("sel", "bucket", "block").agg(F.when(F.count(F.lit(1)) >= F.max("least"), correlation("a", "b", 3)).alias("value"))
     spread = decile_spread(both.select("sel", "bucket", "ticker", "score", "ret"), "sel", "bucket").select("sel", "bucket", F.lit("spread").alias("block"), F.col("spread").alias("value"))
     return ics.unionByName(spread).groupBy("sel", "block").agg(F.avg("value").alias("value")).filter("value IS NOT NULL")
 

@@ -55,6 +55,12 @@ def last_before(bars: DataFrame, date: str) -> DataFrame:
     return bars.filter(F.col("trade_date") < F.lit(date).cast("date")).withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+def marked_last(bars: DataFrame, date: str) -> DataFrame:
+    """The rows strictly before a date with asked: whether a row is the last one of its ticker."""
+    following = F.lead("trade_date").over(Window.partitionBy("ticker").orderBy("trade_date"))
+    return bars.filter(F.col("trade_date") < F.lit(date).cast("date")).withColumn("asked", following.isNull())
+
+
 def universe(instruments: DataFrame, floor: float, words: tuple[str, ...], suffixes: tuple[str, ...]) -> DataFrame:
     """Instruments of at least floor market value whose name has none of the words and no suffix, largest first."""
     name = F.upper("name")

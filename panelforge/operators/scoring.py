@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.scalar import clamp, midrank, row_mean, signed_log, winsorize, z_to_score
+from panelforge.functions.sections import Section, every, held, midranks, over_sections, quantiles
 
 # Fixed values.
 NEUTRAL, FAILED = 50.0, 5.0
@@ -24,14 +25,10 @@ def rank_of(raw: Column, *group: str) -> Column:
 
 
 def with_ranks(rows: DataFrame, raws: dict[str, Column], *group: str) -> DataFrame:
-    """rows with rank_of each raw column, step by step so that all of them share their windows."""
-    w = Window.partitionBy(*group)
-    out = rows.withColumns({f"__raw_{n}": c for n, c in raws.items()})
-    out = out.withColumns({f"__cut_{n}": F.percentile(f"__raw_{n}", F.array(F.lit(0.01), F.lit(0.99))).over(w) for n in raws})
-    held = lambda n: F.greatest(F.col(f"__cut_{n}")[0], F.least(F.col(f"__cut_{n}")[1], F.col(f"__raw_{n}")))
-    out = out.withColumns({f"__raw_{n}": F.round(F.when(F.col(f"__raw_{n}").isNotNull(), held(n)), 10) for n in raws})
-    out = out.withColumns({n: midrank(F.col(f"__raw_{n}"), *group) for n in raws})
-    return out.drop(*[f"__{k}_{n}" for k in ("raw", "cut") for n in raws])
+    """rows with rank_of each raw column, all of them from one pass over a group."""
+    raw = {n: f"__raw_{n}" for n in raws}
+    out = rows.withColumns({raw[n]: c.cast("double") for n, c in raws.items()})
+    return over_sections(out, list(raw.values()), list(raws), lambda s: {n: midranks(held(s[c], 0.01, 0.99)) for n, c in raw.items()}, *group)
 
 
 def fill_missing(rank: Column, failed: Column | None = None) -> Column:
@@ -65,26 +62,31 @@ def bpp_scores(stocks: DataFrame, bucket: str, floor: float, with_issuance: bool
     """
     first, primary = (F.col(f"trend_{bucket}_{i}") for i in (0, 1))
     out = stocks.withColumn("liquid", F.coalesce(F.col("adv60") >= floor, F.lit(False)))
-    raws = [first, primary, *([F.col("high_prox")] if bucket == "long" else [])]
-    names = [f"__t{i}" for i in range(len(raws))]
-    out = with_ranks(out, {n: F.when(F.col("liquid"), c) for n, c in zip(names, raws)}, "sel")
-    out = out.withColumn("rank_trend", row_mean(*map(F.col, names))).withColumn("eligible", F.col("liquid") & primary.isNotNull() & F.col("rank_trend").isNotNull())
-    mask = lambda c: F.when(F.col("eligible"), c)
-    caps = F.percentile(mask(F.when(F.col("mktcap") > 0, F.col("mktcap"))), F.array(*map(F.lit, SIZE_CUTS))).over(Window.partitionBy("sel"))
-    out = out.withColumn("cuts", caps).withColumn("sleeve", F.when(F.col("eligible"), size_tier(F.col("mktcap"), F.col("cuts")[0], F.col("cuts")[1])).otherwise("small"))
-    raw = {
-        "__adv": signed_log(F.when(F.col("adv60") > 0, F.col("flow60") / F.col("adv60"))),
-        "__sponsor": signed_log(F.col("flow60")),
-        "rank_volume": F.col("surge"),
-        "rank_turnover": F.when(F.col("mktcap") > 0, F.col("adv60") / F.col("mktcap")),
-        **({"__issuance": F.col("net_issuance")} if with_issuance else {}),
+    # A liquid row with a primary trend has a rank of it.
+    out = out.withColumn("eligible", F.col("liquid") & primary.isNotNull())
+    liquid, mask = (lambda c: F.when(F.col("liquid"), c)), (lambda c: F.when(F.col("eligible"), c))
+    trends = {f"__t{i}": liquid(c) for i, c in enumerate([first, primary, *([F.col("high_prox")] if bucket == "long" else [])])}
+    raws = trends | {
+        "__adv": mask(signed_log(F.when(F.col("adv60") > 0, F.col("flow60") / F.col("adv60")))),
+        "__sponsor": mask(signed_log(F.col("flow60"))),
+        "rank_volume": mask(F.col("surge")),
+        "rank_turnover": mask(F.when(F.col("mktcap") > 0, F.col("adv60") / F.col("mktcap"))),
+        **({"__issuance": mask(F.col("net_issuance"))} if with_issuance else {}),
     }
-    out = with_ranks(out, {n: mask(c) for n, c in raw.items()}, "sel")
+    ranked, inside = tuple(raws), ("earnings", "quality")  # the latter within the sector
+    out = out.withColumns({f"__raw_{n}": c.cast("double") for n, c in raws.items()} | {f"__raw_{n}": F.round(mask(F.col(n)), 10) for n in inside} | {"__cap": mask(F.when(F.col("mktcap") > 0, F.col("mktcap")))})
+
+    def measure(s: Section) -> dict:
+        cuts = {f"__cut{i}": every(q, len(s["__cap"])) for i, q in enumerate(quantiles(s["__cap"], *SIZE_CUTS))}
+        return {n: midranks(held(s[f"__raw_{n}"], 0.01, 0.99)) for n in ranked} | {f"__{n}": midranks(s[f"__raw_{n}"], s["sector"]) for n in inside} | cuts
+
+    made = [*ranked, *(f"__{n}" for n in inside), "__cut0", "__cut1"]
+    out = over_sections(out, [*(f"__raw_{n}" for n in (*ranked, *inside)), "__cap", "sector"], made, measure, "sel")
+    out = out.withColumn("rank_trend", row_mean(*map(F.col, trends)))
+    out = out.withColumn("sleeve", F.when(F.col("eligible"), size_tier(F.col("mktcap"), F.col("__cut0"), F.col("__cut1"))).otherwise("small"))
     flow = F.when(F.col("sleeve").isin("large", "mid"), row_mean(F.col("__adv"), F.col("__sponsor"))).otherwise(F.col("__adv"))
     out = out.withColumn("rank_flow", fill_missing(flow, F.col("flow_failed")))
-    out = out.withColumns({f"__{n}": F.round(mask(F.col(n)), 10) for n in ("earnings", "quality")})
-    ranks = {f"rank_{n}": fill_missing(midrank(F.col(f"__{n}"), "sel", "sector"), F.col(f"{n}_failed")) for n in ("earnings", "quality")}
-    out = out.withColumns(ranks)
+    out = out.withColumns({f"rank_{n}": fill_missing(F.col(f"__{n}"), F.col(f"{n}_failed")) for n in inside})
     parts = ["rank_trend", "rank_flow", "rank_earnings", "rank_quality"]
     if with_issuance:
         out = out.withColumn("rank_issuance", fill_missing(F.col("__issuance")))
@@ -92,7 +94,7 @@ def bpp_scores(stocks: DataFrame, bucket: str, floor: float, with_issuance: bool
     out = out.withColumn("bonus", volume_bonus(F.col("rank_volume"), F.col("rank_trend"), bucket))
     out = out.withColumn("penalty", pump_penalty(F.col("rank_turnover"), F.col("ret5")))
     score = row_mean(*map(F.col, parts)) + clamp(F.col("bonus"), 0, BONUS_CAP) - F.greatest(F.lit(0.0), F.col("penalty"))
-    return out.withColumn("score", F.when(F.col("eligible"), F.round(score, 8))).withColumn("bucket", F.lit(bucket)).drop("cuts", "__adv", "__sponsor", "__issuance", "__earnings", "__quality", *names)
+    return out.withColumn("score", F.when(F.col("eligible"), F.round(score, 8))).withColumn("bucket", F.lit(bucket)).drop("__cut0", "__cut1", "__adv", "__sponsor", "__issuance", "__earnings", "__quality", *trends)
 
 
 def legacy_scores(stocks: DataFrame) -> DataFrame:

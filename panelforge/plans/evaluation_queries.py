@@ -9,7 +9,9 @@ from panelforge.functions.lineage import settle
 from panelforge.functions.scalar import midrank
 from panelforge.operators import features as X
 from panelforge.operators import forward as Z
+from panelforge.operators import harvest as H
 from panelforge.operators import panel as P
+from panelforge.operators.rolling import over_bars
 from panelforge.plans.common import Registry, bars_of, meta_of
 from panelforge.plans.factor_queries import _midrank_sql
 
@@ -44,11 +46,10 @@ def base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
     """(bars, days, score): score is sel_day, ticker, score from each ticker's last bar up to the selection day."""
     bars = settle(bars_of(spark, sf_dir))
     days = settle(P.market_days(bars))
-    scored = bars.withColumn("s", F.when(F.col("bar") >= 52, F.col("close") / F.avg("close").over(X.back(51)) - 1)).join(days, "trade_date")
-    # The last bar up to each selection day: bars become intervals [day, next day), so no row is repeated.
-    until = F.coalesce(F.lead("day").over(Window.partitionBy("ticker").orderBy("day")), F.lit(2**31 - 1))
-    spans = scored.withColumn("until", until).select("ticker", "day", "until", "s")
     sels = selection_days(days)
+    # The last bar up to each selection day: bars become intervals [day, next day), so no row is repeated.
+    marked = H.marked_days(bars, days, sels).select("ticker", "trade_date", "day", "until", "asked", "close")
+    spans = over_bars(marked, ["close"], ["s"], lambda _, asked: {"s": X.from_mean(asked)}, "asked")
     score = spans.join(F.broadcast(sels), (F.col("day") <= F.col("sel_day")) & (F.col("sel_day") < F.col("until")))  # at most a row a quarter
     return bars, days, score.select("sel_day", "ticker", F.round("s", 8).alias("score"))
 

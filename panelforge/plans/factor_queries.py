@@ -42,8 +42,13 @@ def foreign_flow(spark, sf_dir):
     return P.signed_flow(bars_of(spark, sf_dir), present, instruments, SELECTION)
 
 
+def at_selection(spark, sf_dir, more=None, made: tuple[str, ...] = ()) -> DataFrame:
+    """The selection bars with their factors, and the columns made by more."""
+    return X.factor_bars(P.marked_last(bars_of(spark, sf_dir), SELECTION), "asked", more, made)
+
+
 def factors_at_selection(spark, sf_dir) -> DataFrame:
-    return P.last_before(X.factor_bars(bars_of(spark, sf_dir)), SELECTION)
+    return at_selection(spark, sf_dir)
 
 
 def _trend_sql(n: int, skip: int = 21) -> str:

@@ -22,11 +22,8 @@ FLOOR = 60000.0
 def stocks_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cross-section that scoring reads. Earnings is the growth of traded value over half a year, quality the
     distance of the close from its yearly mean; instruments without a positive value have no data of either."""
-    bars = X.factor_bars(bars_of(spark, sf_dir))
-    half = F.sum("trdval").over(X.back(25))
-    before = F.sum("trdval").over(X.back(51, 26))
-    bars = bars.withColumn("earnings", F.when(F.col("bar") >= 52, half / before - 1)).withColumn("quality", F.when(F.col("bar") >= 52, F.col("close") / F.avg("close").over(X.back(51)) - 1))
-    rows = P.last_before(bars, SELECTION).join(meta_of(spark, sf_dir), "ticker").withColumn("sel", F.lit(SELECTION).cast("date"))
+    rows = Q.at_selection(spark, sf_dir, lambda _, asked: X.halves(asked), ("earnings", "quality"))
+    rows = rows.join(meta_of(spark, sf_dir), "ticker").withColumn("sel", F.lit(SELECTION).cast("date"))
     failed = F.col("mktcap") <= 0
     for c in ("earnings", "quality"):
         rows = rows.withColumn(c, F.when(~failed, F.col(c))).withColumn(f"{c}_failed", failed)
