@@ -6,11 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.lineage import settle
+from panelforge.functions.ranks import global_quantile
 from panelforge.functions.scalar import midrank
 from panelforge.operators import forward as Z
 from panelforge.operators import reports as R
 from panelforge.plans.common import Registry, meta_of
-from panelforge.plans.evaluation_queries import PICKS_SQL, forward, top_picks
+from panelforge.plans.evaluation_queries import HORIZONS, PICKS_SQL, base, forward, selection_days, top_picks
 from panelforge.plans.factor_queries import _midrank_sql
 from panelforge.sources.tables import read_table
 
@@ -50,14 +51,12 @@ def reserve_recovery(spark, sf_dir):
 @register(PICKS_SQL + """, thin AS (SELECT quantile_cont(trdval, 0.05) AS floor FROM panel), g AS (SELECT f.*, p.trdval AS at_pick FROM fwd f JOIN days d ON d.day = f.sel_day LEFT JOIN panel p ON p.ticker = f.ticker AND p.trade_date = d.trade_date WHERE f.status = 'gap')
 SELECT horizon, count(*) AS gaps, count(*) FILTER (at_pick >= floor) AS usable, count(*) FILTER (at_pick IS NULL) AS untraded FROM g, thin GROUP BY horizon""")
 def thin_gaps(spark, sf_dir):
-    from panelforge.operators import panel as P
-    from panelforge.plans.common import bars_of
-
-    bars = settle(bars_of(spark, sf_dir))
-    days = P.market_days(bars)
-    floor = bars.agg(F.percentile("trdval", 0.05).alias("floor"))
-    at = bars.join(days, "trade_date").select("ticker", F.col("day").alias("sel_day"), F.col("trdval").alias("at_pick"))
-    g = forward(spark, sf_dir)[1].filter("status = 'gap'").join(at, ["ticker", "sel_day"], "left").join(F.broadcast(floor))  # a single row
+    bars, days, score = base(spark, sf_dir)
+    returns = settle(Z.forward_returns(bars, days, settle(score), HORIZONS))
+    asked = days.join(selection_days(days).withColumnRenamed("sel_day", "day"), "day")  # a row for each period
+    at = bars.join(F.broadcast(asked), "trade_date").select("ticker", F.col("day").alias("sel_day"), F.col("trdval").alias("at_pick"))
+    floor = global_quantile(bars, "trdval", 0.05).withColumnRenamed("trdval", "floor")
+    g = returns.filter("status = 'gap'").join(at, ["ticker", "sel_day"], "left").join(F.broadcast(floor))  # a single row
     return g.groupBy("horizon").agg(F.count(F.lit(1)).alias("gaps"), F.count_if(F.col("at_pick") >= F.col("floor")).alias("usable"), F.count_if(F.col("at_pick").isNull()).alias("untraded"))
 
 
