@@ -18,7 +18,7 @@ def select_sleeves(scored: DataFrame, quota: dict[str, int], *group: str) -> Dat
     order = [F.desc("score"), F.asc("ticker")]
     limit = reduce(lambda c, kv: c.when(F.col("sleeve") == kv[0], kv[1]), quota.items(), F.when(F.lit(False), 0)).otherwise(0)
     every = Window.partitionBy(*group)
-    # A leftover is asked for only if fewer than all quotas are better: more than a sleeve's own and these can't be picked.
+    # Leftovers fill at most the sum of the quotas: a row further down than its sleeve's quota and that can't be picked.
     out = scored.filter("score IS NOT NULL").withColumn("__r", F.row_number().over(Window.partitionBy(*group, "sleeve").orderBy(*order))).filter(F.col("__r") <= max(quota.values()) + sum(quota.values()))
     out = out.withColumn("__taken", F.col("__r") <= limit)
     out = out.withColumn("__short", sum(quota.values()) - F.sum(F.col("__taken").cast("int")).over(every))
