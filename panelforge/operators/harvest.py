@@ -125,10 +125,15 @@ def pooled_top(picked: DataFrame, sizes: tuple[int, ...], *group: str) -> DataFr
 
 
 def correlation(a: str, b: str, least: int = 2) -> Column:
-    """Pearson over rows that have both; null without spread or with fewer than least."""
+    """Pearson over rows that have both; null without spread or with fewer than least.
+
+    The deviation doesn't tell whether there is spread: partial means are merged by a
+    quotient and a product, so that of equal values in several partitions isn't always 0.
+    """
     both = F.col(a).isNotNull() & F.col(b).isNotNull()
     x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
-    return F.when(F.count(x) >= least, F.round(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 8))
+    spread = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when((F.count(x) >= least) & spread, F.round(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)), 8))
 
 
 def rounded_as_sql(value: Column, digits: int = 4) -> Column:

@@ -224,6 +224,12 @@ def test_ends_of_an_interval_are_rounded_as_by_the_sql(spark):
     assert [r.low, r.high] == [duckdb.execute("SELECT round(0.75245::DOUBLE, 4)").fetchone()[0]] * 2 == [0.7524, 0.7524]
 
 
+def test_equal_values_in_many_partitions_have_no_correlation(spark):
+    rows = spark.range(0, 2718, 1, 7).selectExpr("50.0D AS same", "cast(id * 37 % 101 AS double) AS y", "cast(id AS double) AS z")
+    got = rows.agg(*[H.correlation(a, b).alias(f"{a}_{b}") for a, b in (("same", "y"), ("y", "same"), ("y", "z"))]).first()
+    assert got.same_y is None and got.y_same is None and -1 < got.y_z < 1
+
+
 @pytest.mark.parametrize("name,unread", [("chart_pairs", ("returns_of", "plain_scores")), ("chart_left_out", ("plain_scores",)), ("chart_kill_switch", ("returns_of",)), ("shadow_arms", ("returns_of",)), ("gate_cut_winners", ("plain_scores", "shadow"))])
 def test_what_is_not_read_is_not_computed(spark, monkeypatch, name, unread):
     from panelforge.plans import harvest_queries as HQ
