@@ -79,37 +79,36 @@ def bound(value: Column, made: Callable[[Column], Column]) -> Column:
 def judgment(content: Column) -> Column:
     """The struct of an answer: its outermost braces as JSON, with every field there and of its kind; null if not.
 
-    An answer is parsed once. Of what isn't a string, nothing reads as one of the
-    known words, so those fields need no look at their kind.
+    An answer is first read leniently, which finds all that strict reading finds.
+    What lacks a known word or a field there is no judgment. What is, written again,
+    the very same text was JSON with all fields, once each and of their kinds; only
+    other texts (spaces, another order, more fields) are read strictly.
     """
+    text = F.regexp_extract(content, r"(?s)(\{.*\})", 1)
 
-    def strict(v: Column) -> Column:
-        kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
-        listed = F.forall(F.try_variant_get(v, "$.affected_tickers", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
-        shape = [kind("thesis_break") == "BOOLEAN", kind("thesis_break_reason").isin("STRING", "VOID"), listed]
-
-        def known(j: Column) -> Column:
-            words = [j["scope"].isin(*SCOPES), j["severity"].isin(*SEVERITIES), j["confidence"].isin(*LEVELS), j["materiality"].isin(*LEVELS), j["directness"].isin(*DIRECT)]
-            return F.when(reduce(lambda a, b: a & b, [*words, *shape]), j)
-
-        return bound(F.try_variant_get(v, "$", JUDGMENT), known)
+    def checked(read: Column) -> Column:
+        words = [read["scope"].isin(*SCOPES), read["severity"].isin(*SEVERITIES), read["confidence"].isin(*LEVELS), read["materiality"].isin(*LEVELS), read["directness"].isin(*DIRECT)]
+        known = reduce(lambda a, b: a & b, [*words, read["thesis_break"].isNotNull(), F.forall(read["affected_tickers"], lambda x: x.isNotNull())])
+        same = F.to_json(read, {"ignoreNullFields": "false"}) == text
+        return F.when(known & same, read).when(known, strictly(text))
 
-    return bound(F.try_parse_json(F.regexp_extract(content, r"(?s)(\{.*\})", 1)), strict)
+    return F.when(text != "", bound(F.from_json(text, JUDGMENT, {"allowSingleQuotes": "false"}), checked))
 
 
-def modal(values: Column) -> Column:
-    """The most frequent value of an array without nulls; of ties the one that comes first."""
+def strictly(text: Column) -> Column:
+    """The struct of a text that is JSON with every field of its kind; null if not. Fields of words are not looked at."""
 
-    def counted(every: Column) -> Column:
-        return F.transform(F.array_distinct(every), lambda v: F.struct(F.size(F.filter(every, lambda x: x == v)).alias("n"), (-F.array_position(every, v)).alias("first"), v.alias("v")))
+    def strict(v: Column) -> Column:
+        kind = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+        listed = F.forall(F.try_variant_get(v, "$.affected_tickers", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING")
+        return F.when((kind("thesis_break") == "BOOLEAN") & kind("thesis_break_reason").isin("STRING", "VOID") & listed, F.try_variant_get(v, "$", JUDGMENT))
 
-    return F.array_max(bound(values, counted))["v"]
+    return bound(F.try_parse_json(text), strict)
 
 
-def agreed_level(values: Column, need: Column) -> Column:
-    """The highest level that at least need values reach; low without one."""
-    reach = lambda least: F.size(F.filter(values, lambda x: x.isin(*LEVELS[least:])))
-    return F.when(reach(2) >= need, "high").when(reach(1) >= need, "medium").otherwise("low")
+def most(*found: Column) -> Column:
+    """The value of structs of (count, smallest persona, value) that counts most; of ties the one of the smallest persona."""
+    return F.array_min(F.array(*[F.struct((-c["n"]).alias("n"), c["first"].alias("first"), c["v"].alias("v")) for c in found]))["v"]
 
 
 def assessments(answers: DataFrame, panel: int, *news: str) -> DataFrame:
@@ -118,18 +117,31 @@ def assessments(answers: DataFrame, panel: int, *news: str) -> DataFrame:
     A majority is of the whole panel, also of those whose answer was no judgment;
     pairs without any judgment have no row. persona orders the votes for ties.
     """
-    # A filter on the judgment would compute it a second time; a list leaves nulls out.
-    vote = F.when(F.col("j").isNotNull(), F.struct("persona", "j"))
-    votes = answers.withColumn("j", judgment(F.col("content"))).groupBy(*news, "ticker").agg(F.array_sort(F.collect_list(vote)).alias("v")).filter(F.size("v") > 0)  # a panel's answers
-    need = F.lit(panel // 2 + 1)
-    j = lambda name: F.transform("v", lambda x: x["j"][name])
-    count = lambda met: F.size(F.filter("v", met))
-    breaks = count(lambda x: x["j"]["thesis_break"]) >= need
-    reasons = F.transform(F.filter("v", lambda x: x["j"]["thesis_break"] & (F.coalesce(x["j"]["thesis_break_reason"], F.lit("")) != "")), lambda x: x["j"]["thesis_break_reason"])
-    return votes.select(
-        *news, "ticker", F.size("v").alias("votes"), modal(j("scope")).alias("scope"), modal(j("severity")).alias("severity"), agreed_level(j("confidence"), need).alias("confidence"),
-        agreed_level(j("materiality"), need).alias("materiality"), F.when(count(lambda x: x["j"]["directness"] == "direct") >= need, "direct").otherwise("indirect").alias("directness"),
-        breaks.alias("thesis_break"), F.when(breaks & (F.size(reasons) > 0), modal(reasons)).alias("reason"), (count(lambda x: F.array_contains(x["j"]["affected_tickers"], F.col("ticker").cast("string"))) >= need).alias("affected"),
+    return agreed(answers.withColumn("j", judgment(F.col("content"))), panel, *news)
+
+
+def agreed(votes: DataFrame, panel: int, *news: str) -> DataFrame:
+    """What assessments gives, of votes(news, ticker, persona, j): j is an answer's judgment, null if it is none."""
+    j = lambda name: F.col("j")[name]
+    reason = F.when(j("thesis_break") & (j("thesis_break_reason") != ""), j("thesis_break_reason"))
+    met = {
+        **{f"__scope_{v}": j("scope") == v for v in SCOPES}, **{f"__severity_{v}": j("severity") == v for v in SEVERITIES},
+        **{f"__{c}_{least}": j(c).isin(*LEVELS[least:]) for c in ("confidence", "materiality") for least in (1, 2)},
+        "__direct": j("directness") == "direct", "__breaks": j("thesis_break"), "__affected": F.array_contains(j("affected_tickers"), F.col("ticker").cast("string")),
+    }
+    ranked = [c for c in met if c.startswith(("__scope_", "__severity_"))]
+    # Counts by reason, then of all of them: sums of numbers, which need no lists of answers.
+    counts = votes.withColumn("__reason", reason).groupBy(*news, "ticker", "__reason").agg(
+        F.count("j").alias("votes"), F.min(F.when(F.col("j").isNotNull(), F.col("persona"))).alias("__first"), *[F.count_if(m).alias(c) for c, m in met.items()], *[F.min(F.when(met[c], F.col("persona"))).alias(f"{c}_first") for c in ranked],
+    )
+    by_reason = F.when(F.col("__reason").isNotNull(), F.struct((-F.col("votes")).alias("n"), F.col("__first").alias("first"), F.col("__reason").alias("v")))
+    whole = counts.groupBy(*news, "ticker").agg(F.sum("votes").alias("votes"), *[F.sum(c).alias(c) for c in met], *[F.min(f"{c}_first").alias(f"{c}_first") for c in ranked], F.min(by_reason)["v"].alias("__reason")).filter("votes > 0")
+    reach = lambda c: F.col(c) >= panel // 2 + 1
+    level = lambda c: F.when(reach(f"__{c}_2"), "high").when(reach(f"__{c}_1"), "medium").otherwise("low")
+    modal = lambda c, values: most(*[F.struct(F.col(f"__{c}_{v}").alias("n"), F.col(f"__{c}_{v}_first").alias("first"), F.lit(v).alias("v")) for v in values])
+    return whole.select(
+        *news, "ticker", F.col("votes").cast("int").alias("votes"), modal("scope", SCOPES).alias("scope"), modal("severity", SEVERITIES).alias("severity"), level("confidence").alias("confidence"), level("materiality").alias("materiality"),
+        F.when(reach("__direct"), "direct").otherwise("indirect").alias("directness"), reach("__breaks").alias("thesis_break"), F.when(reach("__breaks"), F.col("__reason")).alias("reason"), reach("__affected").alias("affected"),
     )
 
 

@@ -39,6 +39,25 @@ def test_answers_are_read_strictly(spark):
     assert got == {"plain", "fenced", "chatty", "null reason", "none affected"}
 
 
+def test_texts_that_are_not_written_our_way_are_read_strictly(spark):
+    own = json.dumps(GOOD, separators=(",", ":"))
+    said = {
+        "own": own, "spaced": json.dumps(GOOD, indent=2), "another order": json.dumps(dict(reversed(GOOD.items()))), "one more field": json.dumps(GOOD | {"more": [{}]}), "escaped": own.replace('"x"', '"\\u0078\\""'),
+        "twice": own[:-1] + ',"scope":"market"}', "single quotes": own.replace('"', "'"), "no reason": json.dumps({k: v for k, v in GOOD.items() if k != "thesis_break_reason"}), "reason is a number": own.replace('"x"', "3"), "null ticker": own.replace('["1"]', "[null]"), "braces only": "{}", "turned": "}{",
+    }
+    df = spark.createDataFrame(list(said.items()), "name string, content string").withColumn("j", N.judgment(F.col("content"))).filter("j IS NOT NULL")
+    got = {r["name"]: r["j"] for r in df.collect()}
+    assert set(got) == {"own", "spaced", "another order", "one more field", "escaped"} and got["escaped"].thesis_break_reason == 'x"' and got["spaced"].asDict() == GOOD
+
+
+def test_a_text_that_is_given_many_times_is_read_once(spark, monkeypatch):
+    sf, seen = "/root/testdata/sf0.001", spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(N, "judgment", F.udf(lambda text: seen.add(1), N.JUDGMENT))
+    assert Q.assessed(spark, sf).collect() == []
+    answers = Q.drawn(Q.found(spark, sf))
+    assert seen.value == answers.select("said", "about").distinct().count() < answers.count()
+
+
 def answers(spark, *votes, ticker=1):
     """Answers of a panel: changes of GOOD, or None for an answer that is no judgment."""
     rows = [("n", ticker, i, "?" if v is None else json.dumps(GOOD | v)) for i, v in enumerate(votes)]
