@@ -58,6 +58,15 @@ def test_a_text_that_is_given_many_times_is_read_once(spark, monkeypatch):
     assert seen.value == answers.select("said", "about").distinct().count() < answers.count()
 
 
+@pytest.mark.parametrize("name,kept", [("news_brakes", [])])
+def test_only_what_is_read_twice_is_kept(spark, monkeypatch, name, kept):
+    """Rows of surfaces are written only for the ledger, which reads them twice, and without the votes behind them."""
+    settled, real = [], Q.settle
+    monkeypatch.setattr(Q, "settle", lambda df: settled.append(set(df.columns)) or real(df))
+    getattr(Q, name)(spark, "/root/testdata/sf0.001")
+    assert [c for c in settled if "surface" in c] == kept
+
+
 def answers(spark, *votes, ticker=1):
     """Answers of a panel: changes of GOOD, or None for an answer that is no judgment."""
     rows = [("n", ticker, i, "?" if v is None else json.dumps(GOOD | v)) for i, v in enumerate(votes)]
