@@ -58,7 +58,7 @@ def test_a_text_that_is_given_many_times_is_read_once(spark, monkeypatch):
     assert seen.value == answers.select("said", "about").distinct().count() < answers.count()
 
 
-@pytest.mark.parametrize("name,kept", [("news_brakes", [])])
+@pytest.mark.parametrize("name,kept", [("news_brakes", []), ("news_ledger", [{"doc_id", "ticker", "run", "action", "surface", "track"}])])
 def test_only_what_is_read_twice_is_kept(spark, monkeypatch, name, kept):
     """Rows of surfaces are written only for the ledger, which reads them twice, and without the votes behind them."""
     settled, real = [], Q.settle
