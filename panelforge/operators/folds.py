@@ -11,7 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Series that one step moves together.
 TOGETHER = 256
@@ -31,29 +34,47 @@ def stepped(series: list[pd.DataFrame], inputs: list[str], fold: Callable[[Grid]
 
 
 def fold_series(rows: DataFrame, inputs: list[str], kept: list[str], made: list[str], fold: Callable[[Grid], Grid]) -> DataFrame:
-    """ticker, trade_date, the kept columns and those made by fold, doubles, for each row; missing values are nan for fold and null after it."""
+    """ticker, trade_date, the kept columns as they are and those made by fold, doubles, for each row that has a ticker; missing values are nan for fold and null after it."""
     names = ["ticker", "trade_date", *kept]
     columns = list(dict.fromkeys([*names, *inputs]))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
+    def done(table: pa.Table, begin: np.ndarray) -> Iterator[pa.RecordBatch]:
+        given = table.select(inputs).to_pandas()
+        out = stepped([given.iloc[a:b] for a, b in zip(begin, [*begin[1:], len(given)])], inputs, fold)
+        values = {c: out[c].to_numpy(float) for c in made}
+        shown = [*table.select(names).columns, *(pa.array(v, mask=np.isnan(v)) for v in values.values())]
+        yield from pa.table(shown, names=[*names, *made]).to_batches(max_chunksize=10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, series, last = [], 0, None  # series: those that begin in what is held
+        for batch in batches:  # sorted by ticker: only the last series of a batch may go on
+            part = pa.Table.from_batches([batch.filter(batch["ticker"].is_valid())])
+            if not part.num_rows:
+                continue
+            new = _begins(part["ticker"])
+            new = new[1:] if part["ticker"][0] == last else new
+            last = part["ticker"][-1]
+            held.append(part)
+            series += len(new)
+            if series > TOGETHER:
+                table = pa.concat_tables(held)
+                begin = _begins(table["ticker"])
+                while len(begin) > TOGETHER:
+                    yield from done(table.slice(0, begin[TOGETHER]), begin[:TOGETHER])
+                    table, begin = table.slice(begin[TOGETHER]), begin[TOGETHER:] - begin[TOGETHER]
+                held, series = [table], len(begin)
+        if held:
+            table = pa.concat_tables(held)
+            yield from done(table, _begins(table["ticker"]))
 
-        def done() -> pd.DataFrame:
-            out = stepped([pd.concat(p) for p in held.values()], inputs, fold)[[*names, *made]]
-            held.clear()
-            return out.astype(dict.fromkeys(made, object)).where(out.notna(), None) if out[made].isna().any(axis=None) else out
+    schema = StructType([*rows.select(*names).schema.fields, *(StructField(c, DoubleType()) for c in made)])
+    return rows.select(*columns).repartition("ticker").sortWithinPartitions("ticker", "trade_date").mapInArrow(run, schema)
 
-        for pdf in batches:  # sorted by ticker: only the last series of a batch may go on
-            for ticker, part in pdf.groupby("ticker", sort=False):
-                if ticker not in held and len(held) >= TOGETHER:
-                    yield done()
-                held.setdefault(ticker, []).append(part)
-        if held:
-            yield done()
 
-    types = dict(rows.dtypes)
-    schema = ", ".join([f"`{c}` {types[c]}" for c in names] + [f"`{c}` double" for c in made])
-    return rows.select(*columns).repartition("ticker").sortWithinPartitions("ticker", "trade_date").mapInPandas(run, schema)
+def _begins(ticker: pa.ChunkedArray) -> np.ndarray:
+    """The first row of each series; each row has a ticker."""
+    t = ticker.combine_chunks()
+    return np.flatnonzero(np.r_[True, pc.not_equal(t.slice(1), t.slice(0, len(t) - 1)).to_numpy(zero_copy_only=False)])
 
 
 def _smoothed(values: np.ndarray, first: int, n: int, weight: float) -> np.ndarray:

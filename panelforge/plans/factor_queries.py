@@ -170,7 +170,7 @@ f AS (SELECT *, CASE WHEN n >= 60 THEN round((below + 0.5) / n * 100, 6) END AS
 SELECT ticker, pct FROM l""")
 def rolling_volume_pct(spark, sf_dir):
     bars = bars_of(spark, sf_dir).filter(F.col("trade_date") < F.lit(SELECTION).cast("date"))
-    return P.last_before(X.rolling_rank(bars, "volume", 252, 60), SELECTION).select("ticker", *rounded("pct"))
+    return P.last_before(X.rolling_rank(bars.select("ticker", "trade_date", "volume"), "volume", 252, 60), SELECTION).select("ticker", *rounded("pct"))
 
 
 @register(P_SQL + f""", u AS (SELECT *, CASE WHEN volume > lag(volume) OVER (PARTITION BY ticker ORDER BY trade_date) THEN 1.0 ELSE 0.0 END AS up FROM bars),
