@@ -12,26 +12,43 @@ ENTRY_OFFSET, ENTRY_GAP, LOOKAHEAD = 1, 5, 5
 COST, DELISTED = 0.004, -1.0
 
 
-def around(prices: DataFrame, asked: DataFrame, at: str) -> DataFrame:
+def around(prices: DataFrame, asked: DataFrame, at: str, with_prices: bool = False) -> DataFrame:
     """asked(ticker, at, ...) with last, the (day, close) at or before its day, and next, that of the first day after it.
 
-    Both sides are sorted together by ticker and day, so no row is repeated.
+    Both sides are sorted together by ticker and day, so no row is repeated. With
+    with_prices the prices come out as well, as rows that have __price and, as
+    next, the price after it.
     """
-    kind = prices.select(F.struct("day", "close").alias("p")).schema["p"].dataType
-    rows = asked.select("ticker", F.col(at).alias("__day"), F.lit(1).alias("__asked"), F.struct(*asked.columns).alias("__row"), F.lit(None).cast(kind).alias("__p"))
-    seen = prices.select("ticker", F.col("day").alias("__day"), F.lit(0).alias("__asked"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"), F.struct("day", "close").alias("__p"))
+    both = asked.unionByName(prices.select("ticker", F.struct("day", "close").alias("__price")), allowMissingColumns=True)
+    is_asked = F.col("__price").isNull()
+    both = both.withColumns({"__asked": is_asked, "__day": F.when(is_asked, F.col(at)).otherwise(F.col("__price.day"))})
     # Both ways the frame grows by a row at a time; one that ends with the partition is gone through anew for each row.
     ahead = Window.partitionBy("ticker").orderBy(F.col("__day").asc_nulls_first(), "__asked").rowsBetween(Window.unboundedPreceding, 0)
-    back = Window.partitionBy("ticker").orderBy(F.col("__day").desc_nulls_last(), F.desc("__asked")).rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(seen).withColumn("last", F.last("__p", ignorenulls=True).over(ahead)).withColumn("next", F.last("__p", ignorenulls=True).over(back))
-    return both.filter("__asked = 1").select("__row.*", "last", "next")
+    back = Window.partitionBy("ticker").orderBy(F.col("__day").desc_nulls_last(), F.desc("__asked")).rowsBetween(Window.unboundedPreceding, -1)
+    both = both.withColumn("last", F.last("__price", ignorenulls=True).over(ahead)).withColumn("next", F.last("__price", ignorenulls=True).over(back))
+    return both.drop("__asked", "__day") if with_prices else both.filter("__asked").drop("__asked", "__day", "__price")
 
 
-def entries(prices: DataFrame, picks: DataFrame) -> DataFrame:
-    """picks(sel_day, ticker) with used and p0: the first price of the days sel_day + 1 to sel_day + 6."""
-    found = around(prices, picks.select("sel_day", "ticker"), "sel_day")
+def at_or_before(both: DataFrame, at: str) -> DataFrame:
+    """The asked rows of a table that has prices as well, as around gives them: last is the price at or before the row's day, next the one after that.
+
+    Without a price so early both are missing. The table isn't dealt by ticker
+    again, and a price's row is sorted without the asked rows' columns.
+    """
+    price, asked = F.col("__price"), [c for c in both.columns if c not in ("ticker", "__price", "last", "next")]
+    seen = F.struct(price["day"].alias("day"), price["close"].alias("close"), F.col("next.day").alias("next_day"), F.col("next.close").alias("next_close"))
+    rows = both.select("ticker", F.coalesce(price["day"], F.col(at)).alias("__day"), F.when(price.isNull(), F.struct(*asked)).alias("__row"), F.when(price.isNotNull(), seen).alias("__seen"))
+    ahead = Window.partitionBy("ticker").orderBy(F.col("__day").asc_nulls_first(), F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.withColumn("__seen", F.last("__seen", ignorenulls=True).over(ahead)).filter("__row IS NOT NULL")
+    of = lambda day, close: F.when(F.col(f"__seen.{day}").isNotNull(), F.struct(F.col(f"__seen.{day}").alias("day"), F.col(f"__seen.{close}").alias("close")))
+    return found.select("ticker", "__row.*", of("day", "close").alias("last"), of("next_day", "next_close").alias("next"))
+
+
+def entries(prices: DataFrame, picks: DataFrame, with_prices: bool = False) -> DataFrame:
+    """picks(sel_day, ticker) with used and p0: the first price of the days sel_day + 1 to sel_day + 6. with_prices as in around."""
+    found = around(prices, picks.select("sel_day", "ticker"), "sel_day", with_prices)
     near = F.col("next.day") <= F.col("sel_day") + ENTRY_OFFSET + ENTRY_GAP
-    return found.select("sel_day", "ticker", F.when(near, F.col("next.day")).alias("used"), F.when(near, F.col("next.close")).alias("p0"))
+    return found.select("sel_day", "ticker", F.when(near, F.col("next.day")).alias("used"), F.when(near, F.col("next.close")).alias("p0"), *(["__price", "next"] if with_prices else []))
 
 
 def forward_returns(panel: DataFrame, days: DataFrame, picks: DataFrame, horizons: tuple[int, ...]) -> DataFrame:
@@ -45,8 +62,10 @@ def forward_returns(panel: DataFrame, days: DataFrame, picks: DataFrame, horizon
     """
     prices = panel.join(days, "trade_date").select("ticker", "day", "close")
     last_day = days.agg(F.max("day").alias("last_day"))
-    used = entries(prices, picks).withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("target", F.col("used") + F.col("horizon"))
-    found = around(prices, used, "target").join(F.broadcast(last_day))  # a single row
+    # The prices stay among the rows, once each with the one after it: the target is looked up where the entry was.
+    each = F.when(F.col("__price").isNull(), F.array(*map(F.lit, horizons))).otherwise(F.array(F.lit(None).cast("int")))
+    used = entries(prices, picks, with_prices=True).withColumn("horizon", F.explode(each)).withColumn("target", F.col("used") + F.col("horizon"))
+    found = at_or_before(used, "target").join(F.broadcast(last_day))  # a single row
     at = F.when(F.col("last.day") == F.col("target"), F.col("last.close"))
     before = F.when(F.col("last.day") > F.col("used"), F.col("last.close"))
     late = F.col("sel_day") + ENTRY_OFFSET > F.col("last_day")

@@ -45,9 +45,10 @@ def marked_days(bars: DataFrame, days: DataFrame, sels: DataFrame) -> DataFrame:
 def at_selections(bars: DataFrame, days: DataFrame, sels: DataFrame, more: Callable[[X.Bars, X.Bars], dict[str, np.ndarray]], made: tuple[str, ...]) -> DataFrame:
     """Of bars the last one of each ticker up to each sel_day of sels, as sel, with factors, sub-indicators and what more makes.
 
-    All bars are read, but only those are computed that hold at a selection day.
+    All bars are read, but only those are computed that hold at a selection day, and
+    of their columns only what factors are computed from goes along.
     """
-    rows = X.factor_bars(marked_days(bars, days, sels), "asked", lambda every, asked: X.chart(every, asked) | more(every, asked), (*X.CHART, *made))
+    rows = X.factor_bars(marked_days(bars.select("ticker", "trade_date", *X.FACTOR_INPUTS), days, sels), "asked", lambda every, asked: X.chart(every, asked) | more(every, asked), (*X.CHART, *made))
     return rows.join(F.broadcast(sels), (F.col("day") <= F.col("sel_day")) & (F.col("sel_day") < F.col("until"))).drop("until", "day").withColumnRenamed("sel_day", "sel")
 
 
@@ -450,8 +451,8 @@ def tilted(scored: DataFrame, leading: DataFrame) -> DataFrame:
 
 def gated(stocks: DataFrame, leading: DataFrame) -> DataFrame:
     """The stocks of leading sectors; all of a cross-section that has no leading sector, as there is no hypothesis to gate by."""
-    some = leading.select("sel").distinct()
-    return stocks.join(leading, ["sel", "sector"], "left_semi").select(*stocks.columns).unionByName(stocks.join(some, "sel", "left_anti").select(*stocks.columns))
+    some = few(leading.select("sel").distinct())
+    return stocks.join(few(leading), ["sel", "sector"], "left_semi").select(*stocks.columns).unionByName(stocks.join(some, "sel", "left_anti").select(*stocks.columns))
 
 
 def arm_facts(picks: DataFrame, stocks: DataFrame, gate: DataFrame, quota: int, gate_arm: str) -> DataFrame:

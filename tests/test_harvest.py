@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from panelforge.functions import lineage
 from panelforge.operators import folds
 from panelforge.operators import harvest as H
 from pyspark.sql import functions as F
@@ -240,3 +241,16 @@ def test_what_is_not_read_is_not_computed(spark, monkeypatch, name, unread):
     for f in unread:
         monkeypatch.setattr(HQ, f, no)
     HQ.register.queries[name](spark, "/root/testdata/sf0.001")
+
+
+def test_gate_leaves_stocks_where_they_are(spark, monkeypatch):
+    """A table of leading sectors is sent to the stocks while it is small, else both are dealt; the same stocks pass."""
+    stocks = spark.createDataFrame([(s, None if i == 9 else f"x{i % 4}", i) for s in (1, 2, None) for i in range(10)], "sel int, sector string, ticker int")
+    leading = spark.createDataFrame([(1, "x1"), (1, "x3"), (1, None), (3, "x1")], "sel int, sector string")
+    small = H.gated(stocks, leading)
+    monkeypatch.setattr(lineage.few, "__defaults__", (0,))
+    large = H.gated(stocks, leading)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(small) == rows(large) == sorted(map(repr, stocks.filter("sel IS NULL OR sel = 2 OR sector IN ('x1', 'x3')").collect()))
+    hints = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast")
+    assert (hints(small), hints(large)) == (2, 0)

@@ -101,3 +101,34 @@ def test_global_quantile(spark, p):
     df = spark.createDataFrame([(float(i % 37),) for i in range(500)] + [(None,)], "v double").repartition(5)
     assert ranks.global_quantile(df, "v", p).collect() == df.agg(F.percentile("v", p).alias("v")).collect()
     assert ranks.global_quantile(df.filter("v > 99"), "v", p).collect()[0].v is None
+
+
+def test_forward_returns_deal_prices_once(spark):
+    """Entry and target looked up one after the other give what two lookups of their own give, also without a ticker, close or entry, and for repeated picks."""
+    rng = random.Random(9)
+    days = spark.createDataFrame([(d,) for d in range(1, 61)], "day int").withColumn("trade_date", F.expr("date_add(DATE '2024-01-01', day * 7)"))
+    rows = [(t, d, None if rng.random() < 0.05 else 50 + rng.random()) for t in (None, *range(15)) for d in range(1, 40 + (t or 0)) if rng.random() < 0.25 + (t or 0) / 20]
+    panel = spark.createDataFrame(rows, "ticker long, day int, close double").join(days, "day").drop("day").repartition(3)
+    picks = spark.createDataFrame([(s, t) for s in (*range(1, 70, 3), 1, None) for t in (None, *range(17))], "sel_day int, ticker long")
+    got = Z.forward_returns(panel, days, picks, (0, 4, 13))
+    assert plan(got).count("Exchange hashpartitioning(ticker") == 1
+
+    prices, end = panel.join(days, "trade_date").select("ticker", "day", "close"), 60
+    used = Z.entries(prices, picks).withColumn("horizon", F.explode(F.array(F.lit(0), F.lit(4), F.lit(13)))).withColumn("target", F.col("used") + F.col("horizon"))
+    want = []
+    for r in Z.around(prices, used, "target").collect():
+        at = r.last.close if r.last and r.last.day == r.target else None
+        before = r.last.close if r.last and r.used is not None and r.last.day > r.used else None
+        if r.sel_day is not None and r.sel_day + 1 > end:
+            status = "insufficient"
+        elif r.used is None:
+            status = "absent"
+        elif r.target > end:
+            status = "insufficient"
+        else:
+            status = "ok" if at is not None else "gap" if r.next else "delisted" if before is not None else "insufficient" if r.target + Z.LOOKAHEAD > end else "delisted"
+        price = at if at is not None else before if before is not None else r.next.close if r.next else None
+        ret = None if status in ("absent", "insufficient") else round(price / r.p0 - 1, 8) if price is not None and r.p0 is not None else -1.0
+        want.append((r.sel_day, r.ticker, r.horizon, ret, status))
+    key = lambda r: repr((r[0], r[1], r[2], r[4], None if r[3] is None else f"{r[3]:.6f}"))
+    assert sorted(map(key, got.collect())) == sorted(map(key, want)) and {r.status for r in got.collect()} == {"ok", "gap", "delisted", "absent", "insufficient"}
